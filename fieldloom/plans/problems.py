@@ -47,7 +47,7 @@ found AS (
   UNION SELECT 'school', d.id, s.id FROM dev d JOIN sch s ON abs(d.lat - s.lat) < 0.01 AND {_DIST.format(p="d", q="s")} <= 250.0
   UNION SELECT 'development', a.id, b.id FROM dev a JOIN dev b ON a.id < b.id AND abs(a.lat - b.lat) < 0.001 AND {_DIST.format(p="a", q="b")} <= 40.0)
 """
-_TIDY = "upper(trim({c}, ' ' || chr(9) || chr(10) || chr(13) || chr(160)))"
+_TIDY = r"upper(regexp_replace({c}, '^[\s\x{{00a0}}\x{{200b}}\x{{feff}}]+|[\s\x{{00a0}}\x{{200b}}\x{{feff}}]+$', '', 'g'))"
 _P4 = f"""
 WITH raw AS (
   SELECT 'extensions' AS ref_table, edge_id AS ref_id, published_at AS at, unnest(serves_app_ids) AS k FROM extensions
