@@ -1,8 +1,9 @@
 """Scanned pages put into reading order, a batch at a time on Arrow columns.
 
 Lines are put into columns by their left edges (a gap of more than COLUMN_GAP
-starts the next column), then read column by column, top to bottom; words broken
-at line ends are joined. Nothing here loops over rows in Python.
+starts the next column); a line that runs over several columns is cut at its wide
+blanks and its parts go to one column after the other. Columns are then read from
+left to right, each from top to bottom, and words broken at line ends are joined. Nothing here loops over rows in Python.
 """
 
 from __future__ import annotations
@@ -50,6 +51,22 @@ def reading_order(text, boxes=None) -> pa.Array:
         step[1:] = (rs[1:] == rs[:-1]) & (xs[1:] - xs[:-1] > COLUMN_GAP)
     column = np.empty(len(row), np.int64)
     column[by_x] = np.cumsum(step)
+    # Numbered over all rows; a line cut into k parts reaches k - 1 columns on, so rows are kept apart by the sort's last key.
+    wide = pc.match_substring(flat, "    ").to_numpy(zero_copy_only=False)
+    if wide.any():
+        at = np.nonzero(wide)[0]
+        parts = pc.split_pattern_regex(pc.utf8_trim_whitespace(flat.take(pa.array(at))), " {4,}")
+        k = np.ones(len(row), np.int64)
+        k[at] = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
+        line = np.repeat(np.arange(len(row)), k)
+        piece = np.arange(len(line)) - np.repeat(np.cumsum(k) - k, k)
+        source = np.empty(len(line), np.int64)
+        cut = wide[line]
+        source[~cut] = line[~cut]
+        source[cut] = len(row) + np.arange(int(cut.sum()))
+        flat = pa.concat_arrays([flat, pc.list_flatten(parts)]).take(pa.array(source))
+        n = np.bincount(row, k, minlength=len(n)).astype(np.int64)
+        row, y, rank, column = row[line], y[line], rank[line], column[line] + piece
     order = np.lexsort((rank, y, column, row))
     offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), flat.take(pa.array(order))), "\n")
