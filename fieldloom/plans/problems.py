@@ -50,11 +50,11 @@ found AS (
 _TIDY = r"upper(regexp_replace({c}, '^[\s\x{{00a0}}\x{{200b}}\x{{feff}}]+|[\s\x{{00a0}}\x{{200b}}\x{{feff}}]+$', '', 'g'))"
 _P4 = f"""
 WITH raw AS (
-  SELECT 'extensions' AS ref_table, edge_id AS ref_id, published_at AS at, unnest(serves_app_ids) AS k FROM extensions
+  SELECT 'extensions' AS ref_table, edge_id AS ref_id, published_at AS moment, unnest(serves_app_ids) AS k FROM extensions
   UNION ALL SELECT 'transport_routes', route_id, published_at, unnest(serves_app_ids) FROM transport_routes),
-refs AS (SELECT DISTINCT ref_table, ref_id, at, {_TIDY.format(c="k")} AS app_id FROM raw WHERE {_TIDY.format(c="k")} <> ''),
+refs AS (SELECT DISTINCT ref_table, ref_id, moment, {_TIDY.format(c="k")} AS app_id FROM raw WHERE {_TIDY.format(c="k")} <> ''),
 own AS (SELECT {_TIDY.format(c="app_id")} AS app_id, min(ingested_at) AS first_seen, min(deleted_at) AS gone_at FROM developments WHERE {_TIDY.format(c="app_id")} <> '' GROUP BY 1),
-judged AS (SELECT r.*, (o.app_id IS NULL OR coalesce(o.first_seen > r.at, false) OR coalesce(o.gone_at <= r.at, false)) AS orphan FROM refs r LEFT JOIN own o ON r.app_id = o.app_id)
+judged AS (SELECT r.*, (o.app_id IS NULL OR coalesce(o.first_seen > r.moment, false) OR coalesce(o.gone_at <= r.moment, false)) AS orphan FROM refs r LEFT JOIN own o ON r.app_id = o.app_id)
 """
 
 QUERIES = {"p2_found": p2_found, "p2_surroundings_count": p2_surroundings_count, "p4_found": p4_found, "p4_orphans_by_period": p4_orphans_by_period}
@@ -62,5 +62,5 @@ SQL = {
     "p2_found": _P2 + "SELECT relation, app_id, other_id FROM found",
     "p2_surroundings_count": _P2 + "SELECT relation, app_id, count(*) AS n_found FROM found GROUP BY relation, app_id",
     "p4_found": _P4 + "SELECT DISTINCT ref_table, ref_id, app_id FROM judged WHERE orphan",
-    "p4_orphans_by_period": _P4 + "SELECT ref_table, strftime(date_trunc('month', at), '%Y-%m-%d') AS period, count(*) AS n_references, CAST(sum(CASE WHEN orphan THEN 1 ELSE 0 END) AS BIGINT) AS n_orphans FROM judged GROUP BY 1, 2",
+    "p4_orphans_by_period": _P4 + "SELECT ref_table, strftime(date_trunc('month', moment), '%Y-%m-%d') AS period, count(*) AS n_references, CAST(sum(CASE WHEN orphan THEN 1 ELSE 0 END) AS BIGINT) AS n_orphans FROM judged GROUP BY 1, 2",
 }
