@@ -5,11 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import abuse, leakage, mixing
+from fieldloom.llm import abuse, canonical, leakage, mixing, neardup
 from fieldloom.llm.sql import SQL  # noqa: F401
 from fieldloom.runtime import table
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return canonical.denoted_streets(table(spark, sf, "network"), table(spark, sf, "streets"))
+
+
+def p1_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each name that denotes no listed street is written."""
+    named = table(spark, sf, "network").select("edge_id", "street_name").distinct()
+    lost = p1_found(spark, sf).where("street_id = -1").select("edge_id")
+    return named.join(lost, "edge_id", "left_semi").where("street_name IS NOT NULL").groupBy("street_name").agg(F.count("*").alias("n_edges"))
+
+
+def _descriptions(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "developments").select(F.col("app_id").alias("key"), F.col("description").alias("text"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.pairs(_descriptions(spark, sf)).select(F.col("key_a").alias("app_id_a"), F.col("key_b").alias("app_id_b"))
+
+
+def p3_links(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.with_links(_descriptions(spark, sf)).withColumnRenamed("key", "app_id")
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_leaks(spark, sf).select("item_id", "doc_id")
 
@@ -48,4 +71,4 @@ def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
     return abuse.rates(_scored(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_leaks, p7_leaked_items, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p3_links, p7_found, p7_leaks, p7_leaked_items, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
