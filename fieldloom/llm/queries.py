@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import abuse, canonical, leakage, mixing, neardup
+from fieldloom.llm import abuse, canonical, leakage, mixing, neardup, truncation
 from fieldloom.llm.sql import SQL  # noqa: F401
 from fieldloom.runtime import table
 
@@ -33,6 +33,22 @@ def p3_links(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.with_links(_descriptions(spark, sf)).withColumnRenamed("key", "app_id")
 
 
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.measured(table(spark, sf, "developments"), "app_id", "authority", "description")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.found(_texts(spark, sf)).select(F.col("key").alias("app_id"))
+
+
+def p5_spikes(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.spikes(_texts(spark, sf))
+
+
+def p5_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.rates(_texts(spark, sf))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_leaks(spark, sf).select("item_id", "doc_id")
 
@@ -71,4 +87,4 @@ def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
     return abuse.rates(_scored(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p3_links, p7_found, p7_leaks, p7_leaked_items, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p3_links, p5_found, p5_spikes, p5_rates, p7_found, p7_leaks, p7_leaked_items, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
