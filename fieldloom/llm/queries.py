@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import abuse, canonical, leakage, mixing, neardup, truncation
+from fieldloom.llm import abuse, addresses, canonical, leakage, mixing, neardup, truncation
 from fieldloom.llm.sql import SQL  # noqa: F401
 from fieldloom.runtime import table
 
@@ -49,6 +49,15 @@ def p5_rates(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.rates(_texts(spark, sf))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return addresses.pairs(table(spark, sf, "developments"))
+
+
+def p6_places(spark: SparkSession, sf: str) -> DataFrame:
+    """Each application with the place its address denotes; the place's id is its class."""
+    return addresses.resolved(table(spark, sf, "developments"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_leaks(spark, sf).select("item_id", "doc_id")
 
@@ -87,4 +96,4 @@ def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
     return abuse.rates(_scored(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p3_links, p5_found, p5_spikes, p5_rates, p7_found, p7_leaks, p7_leaked_items, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p3_links, p5_found, p5_spikes, p5_rates, p6_found, p6_places, p7_found, p7_leaks, p7_leaked_items, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}

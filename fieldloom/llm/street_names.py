@@ -10,7 +10,7 @@ from typing import NamedTuple
 TYPES = {
     "road": "rd", "street": "st str", "avenue": "av ave avn", "park": "pk", "drive": "dr drv", "lane": "ln la", "grove": "gve grv",
     "close": "cl", "court": "ct crt", "crescent": "cr cres cresc", "place": "pl", "gardens": "gdns gds gdn garden", "terrace": "ter terr tce",
-    "heights": "hts hgts", "square": "sq", "green": "grn", "view": "vw", "quay": "qy", "hill": "hl", "walk": "wlk", "parade": "pde", "mews": "mws",
+    "heights": "hts hgts", "square": "sq", "green": "grn", "view": "vw", "quay": "qy", "hill": "hl", "walk": "wlk", "parade": "pde prde", "mews": "mws",
 }
 QUALIFIERS = {"upper": "upr up", "lower": "lwr lr", "north": "nth n", "south": "sth s", "great": "gt grt", "little": "ltl lt"}
 SAINT = {"saint", "st", "snt"}
