@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -48,8 +49,19 @@ def _np(a) -> np.ndarray:
     return a.to_numpy(zero_copy_only=False)
 
 
+def _hash(words) -> np.ndarray:
+    return pd.util.hash_array(np.asarray(words, object), categorize=False) if len(words) else np.zeros(0, np.uint64)
+
+
+#: Hashes that stand for a name and for what precedes a text.
+NAME, EDGE = (int(h) for h in _hash(["\x00name", "\x00edge"]))
+
+
 class _Masked:
-    """Words of a batch of texts, flat: masked, lower-cased, and where sentences end and start."""
+    """Words of a batch of texts, flat, as hashes: names and figures masked, with where sentences end and start.
+
+    All string work is done once for each distinct word of the batch.
+    """
 
     def __init__(self, text: pa.Array):
         s = pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.fill_null(text.cast(pa.string()), ""), r"\s+", " "))
@@ -59,76 +71,103 @@ class _Masked:
         parts = pc.split_pattern(s, " ")
         self.n = _np(pc.list_value_length(parts)).astype(np.int64)
         self.last = np.cumsum(self.n) - 1
-        flat = pc.list_flatten(parts)
+        enc = pc.list_flatten(parts).dictionary_encode()
+        self.code, u = enc.indices.to_numpy(), enc.dictionary
+        raw = pc.utf8_lower(u)
+        self.words = pc.replace_substring_regex(raw, r"^[^\pL\pN]+|[^\pL\pN]+$", "")
         row = np.repeat(np.arange(len(self.n)), self.n)
-        low = pc.utf8_lower(flat)
-        self.low = pc.replace_substring_regex(low, r"^[^\pL\pN]+|[^\pL\pN]+$", "")
-        stop = _np(pc.match_substring_regex(flat, r"[.!?][\"')\]]*$")) & ~_np(pc.is_in(low, value_set=pa.array(ABBREVIATIONS)))
-        cap = _np(pc.match_substring_regex(flat, r"^[^\pL\pN]*\p{Lu}"))
-        opens = cap | _np(pc.match_substring_regex(flat, r"^[^\pL\pN]*\d"))
+        pick = lambda a: _np(a)[self.code]
+        self.stop = pick(pc.match_substring_regex(u, r"[.!?][\"')\]]*$")) & ~pick(pc.is_in(raw, value_set=pa.array(ABBREVIATIONS)))
+        cap = pick(pc.match_substring_regex(u, r"^[^\pL\pN]*\p{Lu}"))
+        opens = cap | pick(pc.match_substring_regex(u, r"^[^\pL\pN]*\d"))
         lower = _np(pc.match_substring_regex(s, r"\p{Ll}"))[row]
-        is_last = np.zeros(len(row), bool)
-        is_last[self.last] = True
+        self.is_last = np.zeros(len(row), bool)
+        self.is_last[self.last] = True
         nxt = np.ones(len(row), bool)
         nxt[:-1] = opens[1:]
-        self.ended = stop & (is_last | nxt)
-        self.first = np.zeros(len(row), bool)
-        self.first[np.cumsum(self.n) - self.n] = True
-        self.start = self.first.copy()
+        self.ended = self.stop & (self.is_last | nxt)
+        self.start = np.zeros(len(row), bool)
+        self.start[np.cumsum(self.n) - self.n] = True
         self.start[1:] |= self.ended[:-1]
-        mask = _np(pc.replace_substring_regex(self.low, r"\d+(?:[.,/]\d+)*", "#")).astype(object)
-        mask[cap & ~self.start & lower] = "N"
-        self.mask = mask
-        self.is_last = is_last
-        self.stop = stop
+        self.low = _hash(_np(self.words))[self.code]
+        self.mask = _hash(_np(pc.replace_substring_regex(self.words, r"\d+(?:[.,/]\d+)*", "#")))[self.code]
+        self.mask[cap & ~self.start & lower] = NAME
+        self.place = np.arange(len(row)) - np.repeat(self.last - self.n + 1, self.n)
 
     def back(self, k: int) -> np.ndarray:
-        """Each word's k-th predecessor, '^' before a text's first word."""
-        out = np.full(len(self.mask), "^", object)
-        pos = np.arange(len(self.mask)) - np.repeat(self.last - self.n + 1, self.n)
-        ok = pos >= k
-        out[ok] = self.mask[np.nonzero(ok)[0] - k]
+        """Each word's k-th predecessor."""
+        out = np.full(len(self.mask), EDGE, np.uint64)
+        ok = np.nonzero(self.place >= k)[0]
+        out[ok] = self.mask[ok - k]
         return out
 
 
-def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map-side counts of contexts: (ctx, n, n_end). What an unfinished text ends in says nothing and isn't counted."""
-    for b in batches:
-        m = _Masked(b.column("text"))
-        use = ~(m.is_last & ~m.ended)
-        run, ctx = m.mask, []
-        for k in range(1, DEPTH + 1):
-            ctx.append((f"{k} " + run)[use])
-            run = m.back(k) + " " + run
-        ctx.append(("s " + _np(m.low).astype(object))[use])
-        end = [m.ended[use]] * DEPTH + [m.start[use]]
-        enc = pa.array(np.concatenate(ctx), pa.string()).dictionary_encode()
-        code, size = enc.indices.to_numpy(), len(enc.dictionary)
-        n, e = np.bincount(code, minlength=size), np.bincount(code, np.concatenate(end), minlength=size)
-        yield pa.RecordBatch.from_arrays([enc.dictionary, pa.array(n.astype(np.int64)), pa.array(e.astype(np.int64))], ["ctx", "n", "n_end"])
+def _context(words: list[np.ndarray]) -> np.ndarray:
+    """One number for a run of words given from the last to the first."""
+    h = np.full(len(words[0]), len(words), np.uint64)
+    with np.errstate(over="ignore"):
+        for w in words:
+            h = (h ^ w) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return h
 
 
-_SUSPECT = "key string, source string, n_chars int, n_bytes int, marker boolean, after_stop boolean, c1 string, c2 string, c3 string, c4 string, c5 string, w2 string, w3 string, w4 string, s string, prev string, word string"
+def _merged(ctx, n, e, prev, word):
+    """Counts of equal contexts added up."""
+    u, at, inv = np.unique(ctx, return_index=True, return_inverse=True)
+    return u, np.bincount(inv, n, minlength=len(u)).astype(np.int64), np.bincount(inv, e, minlength=len(u)).astype(np.int64), prev[at], word[at]
+
+
+#: Contexts a partition holds before it adds up equal ones.
+HELD = 3_000_000
+_STATS = "ctx long, n long, n_end long, prev long, word string"
+
+
+def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Map-side counts of contexts, one row for each of a partition's. What an unfinished text ends in says nothing and isn't counted.
+
+    Contexts of two words carry the first's hash and the second's text, by which cut words are recognised.
+    """
+    held: list[tuple] = []
+    for whole in batches:
+        for s in range(0, whole.num_rows, 5000):
+            m = _Masked(whole.slice(s, 5000).column("text"))
+            use = np.nonzero(~(m.is_last & ~m.ended))[0]
+            end, run = m.ended[use].astype(float), []
+            strings = _np(m.words).astype(object)
+            for k in range(DEPTH):
+                run.append((m.mask if k == 0 else m.back(k))[use])
+                c, at, inv = np.unique(_context(run), return_index=True, return_inverse=True)
+                two = k == 1
+                held.append((c, np.bincount(inv).astype(float), np.bincount(inv, end), run[1][at] if two else np.zeros(len(c), np.uint64), strings[m.code[use[at]]] if two else np.full(len(c), None, object)))
+            c, inv = np.unique(_context([m.low[use], np.full(len(use), EDGE, np.uint64)]), return_inverse=True)
+            held.append((c, np.bincount(inv).astype(float), np.bincount(inv, m.start[use].astype(float)), np.zeros(len(c), np.uint64), np.full(len(c), None, object)))
+            if sum(len(h[0]) for h in held) > HELD:
+                held = [_merged(*(np.concatenate(x) for x in zip(*held)))]
+    if held:
+        c, n, e, prev, word = _merged(*(np.concatenate(x) for x in zip(*held)))
+        for s in range(0, len(c), 100_000):
+            t = slice(s, s + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(c[t].astype(np.int64)), pa.array(n[t]), pa.array(e[t]), pa.array(prev[t].astype(np.int64)), pa.array(word[t], pa.string())], ["ctx", "n", "n_end", "prev", "word"])
+
+
+_SUSPECT = "key string, source string, n_chars int, n_bytes int, marker boolean, after_stop boolean, c1 long, c2 long, c3 long, c4 long, c5 long, w2 long, w3 long, w4 long, s long, prev long, word string"
 
 
 def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts that don't end in terminal punctuation, or end in a mark of omission, with the contexts to look up."""
     for b in batches:
         m = _Masked(b.column("text"))
-        end = m.last
         # A stop counts at the text's end whatever follows; a marker overrides it.
-        at = np.nonzero(~m.blank & (~m.stop[end] | m.marker))[0]
-        e = end[at]
-        one, two, three, four, five = (m.mask if k == 0 else m.back(k) for k in range(5))
-        said = lambda *w: f"{len(w)} " + sum((" " + x[e] for x in w[1:]), w[0][e])
-        low = _np(m.low).astype(object)
+        at = np.nonzero(~m.blank & (~m.stop[m.last] | m.marker))[0]
+        e = m.last[at]
+        one, two, three, four, five = ((m.mask if k == 0 else m.back(k))[e] for k in range(DEPTH))
         after = (m.n[at] > 1) & m.ended[np.maximum(e - 1, 0)]
         take = pa.array(at)
+        asked = ([one], [one, two], [one, two, three], [one, two, three, four], [one, two, three, four, five], [two, one], [two, one, three], [two, one, three, four], [m.low[e], np.full(len(e), EDGE, np.uint64)])
         cols = [b.column(c).take(take) for c in ("key", "source", "n_chars", "n_bytes")] + [
-            pa.array(m.marker[at]), pa.array(after),
-            *(pa.array(v, pa.string()) for v in (
-                said(one), said(two, one), said(three, two, one), said(four, three, two, one), said(five, four, three, two, one),
-                said(one, two), said(three, one, two), said(four, three, one, two), "s " + low[e], two[e], low[e])),
+            pa.array(m.marker[at]), pa.array(after), *(pa.array(_context(w).astype(np.int64)) for w in asked),
+            pa.array(two.astype(np.int64)), m.words.take(pa.array(m.code[e])),
         ]
         yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in _SUSPECT.split(", ")])
 
@@ -137,18 +176,23 @@ def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def measured(df: DataFrame, key: str, source: str, column: str) -> DataFrame:
-    """Distinct (key, source, text, n_chars, n_bytes) with a key and a text that isn't blank."""
-    t = df.select(F.col(key).cast("string").alias("key"), source_name(F.col(source)).alias("source"), F.col(column).alias("text")).where("key IS NOT NULL AND trim(text) <> ''").distinct()
+    """(key, source, text, n_chars, n_bytes) of rows with a key and a text that isn't blank; rows that repeat one stay, as texts aren't shuffled."""
+    t = df.select(F.col(key).cast("string").alias("key"), source_name(F.col(source)).alias("source"), F.col(column).alias("text")).where("key IS NOT NULL AND trim(text) <> ''")
     return t.withColumn("n_chars", F.char_length("text")).withColumn("n_bytes", F.octet_length("text"))
 
 
+def lengths(texts: DataFrame) -> DataFrame:
+    """The distinct (key, source, n_chars, n_bytes): a text delivered again counts once."""
+    return texts.select("key", "source", "n_chars", "n_bytes").distinct()
+
+
 def spikes(texts: DataFrame) -> DataFrame:
     """(source, measure, length, n_at, n_near, at_top): lengths that values of a source pile up at. measure is chars or bytes.
 
     A limit shows at the maximum; one that was raised since shows below it, where
     more is asked of a spike. n_near counts the values up to BELOW shorter or longer.
     """
-    hist = texts.select("source", F.explode(F.array(F.struct(F.lit("chars").alias("measure"), F.col("n_chars").alias("length")), F.struct(F.lit("bytes").alias("measure"), F.col("n_bytes").alias("length")))).alias("h"))
+    hist = lengths(texts).select("source", F.explode(F.array(F.struct(F.lit("chars").alias("measure"), F.col("n_chars").alias("length")), F.struct(F.lit("bytes").alias("measure"), F.col("n_bytes").alias("length")))).alias("h"))
     hist = hist.groupBy("source", "h.measure", "h.length").agg(F.count("*").alias("n_at"))
     # The histogram has a row for each length a source's values have, so its windows are small.
     near = Window.partitionBy("source", "measure").orderBy("length").rangeBetween(-BELOW, BELOW)
@@ -165,17 +209,17 @@ def _rate(slot: str) -> Column:
 def judged(texts: DataFrame) -> DataFrame:
     """(key, source, at_spike, marker, truncated) of all suspects; texts that end in terminal punctuation aren't listed."""
     cols = texts.select("key", "source", "text", "n_chars", "n_bytes")
-    stats = materialise(cols.mapInArrow(_stats, "ctx string, n long, n_end long").groupBy("ctx").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end")), "contexts")
+    stats = materialise(cols.mapInArrow(_stats, _STATS).groupBy("ctx").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"), F.max("prev").alias("prev"), F.max("word").alias("word")), "contexts")
     suspects = materialise(cols.mapInArrow(_suspects, _SUSPECT), "suspects")
     slots = ["c1", "c2", "c3", "c4", "c5", "w2", "w3", "w4", "s"]
     asked = suspects.select(F.explode(F.array(*slots)).alias("ctx")).distinct()
-    known = stats.join(asked, "ctx", "left_semi")
+    known = stats.select("ctx", "n", "n_end").join(asked, "ctx", "left_semi")
     ways = suspects.select("key", "source", "word", F.explode(F.array(*(F.struct(F.lit(k).alias("slot"), F.col(k).alias("ctx")) for k in slots))).alias("q")).select("key", "source", "word", "q.slot", "q.ctx")
     got = ways.join(known, "ctx").groupBy("key", "source", "word").agg(*(F.max(F.when(F.col("slot") == k, F.struct(F.col("n").alias("n"), F.col("n_end").alias("e")))).alias(k) for k in slots))
     x = suspects.select("key", "source", "n_chars", "n_bytes", "marker", "after_stop", "prev", "word").join(got, ["key", "source", "word"], "left")
     # A last word the corpus doesn't have: cut if it begins a word that follows the same predecessor, else misspelt.
     odd = x.where("c1 IS NULL OR c1.n < 2").select("prev", "word").distinct()
-    follow = stats.where("ctx LIKE '2 %' AND n >= 2").select(F.split("ctx", " ").alias("p")).select(F.col("p")[1].alias("prev"), F.col("p")[2].alias("next"))
+    follow = stats.where("word IS NOT NULL AND n >= 2").select("prev", F.col("word").alias("next"))
     cut = odd.join(follow, "prev").where(F.expr("length(next) > length(word) AND startswith(next, word)")).select("prev", "word").distinct().withColumn("begins", F.lit(True))
     x = x.join(cut, ["prev", "word"], "left")
     sp = spikes(texts)
@@ -196,7 +240,7 @@ def judged(texts: DataFrame) -> DataFrame:
         .when(seen("c1") | seen("c2"), F.coalesce(plain, F.lit(False)))
         .otherwise(~F.coalesce(F.col("begins"), F.lit(False)) & ~spike)
     )
-    return x.select("key", "source", spike.alias("at_spike"), "marker", (~whole).alias("truncated"))
+    return x.select("key", "source", spike.alias("at_spike"), "marker", (~whole).alias("truncated")).distinct()
 
 
 def found(texts: DataFrame) -> DataFrame:
@@ -208,6 +252,6 @@ def rates(texts: DataFrame) -> DataFrame:
     """(source, n_texts, n_truncated, n_at_spike, limit_chars, rate) by source; limit_chars is the shortest length with a spike."""
     bad = judged(texts).groupBy("source").agg(F.sum(F.col("truncated").cast("long")).alias("n_truncated"), F.sum((F.col("truncated") & F.col("at_spike")).cast("long")).alias("n_at_spike"))
     limit = spikes(texts).where("measure = 'chars'").groupBy("source").agg(F.min("length").alias("limit_chars"))
-    out = texts.groupBy("source").agg(F.count("*").alias("n_texts")).join(bad, "source", "left").join(limit, "source", "left")
+    out = lengths(texts).groupBy("source").agg(F.count("*").alias("n_texts")).join(bad, "source", "left").join(limit, "source", "left")
     z = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select("source", "n_texts", z("n_truncated"), z("n_at_spike"), "limit_chars", F.round(F.coalesce(F.col("n_truncated"), F.lit(0)) / F.col("n_texts"), 6).alias("rate"))
