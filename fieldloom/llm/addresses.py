@@ -101,7 +101,9 @@ class Places:
 
 
 def learn(addresses: DataFrame) -> Places:
-    got = addresses.select("address").mapInPandas(_learn, "kind string, name string, other string, n long").groupBy("kind", "name", "other").agg(F.sum("n").alias("n"))
+    # Only addresses with two separators that name a county teach anything.
+    telling = addresses.select("address").where(F.col("address").rlike(r"(?is)[,;\n].*[,;\n]") & F.col("address").rlike(r"(?i)\bco(unty)?\b"))
+    got = telling.mapInPandas(_learn, "kind string, name string, other string, n long").groupBy("kind", "name", "other").agg(F.sum("n").alias("n"))
     got = materialise(got, "places")
     sums = {r.kind: r.n for r in got.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     rows: dict[str, list] = {"county": [], "town": [], "key": []}
@@ -132,12 +134,20 @@ def _slack(t: str) -> int:
     return 0 if len(t) < 4 else 1 if len(t) < 7 else 2
 
 
+def _shortened(t: str) -> list[str]:
+    """A name, and it without each of its letters: names one edit or one swap apart have one of these in common."""
+    return [t, *(t[:i] + t[i + 1 :] for i in range(len(t)))] if len(t) >= 4 else [t]
+
+
 class TownNamer:
     """Localities by their names as written, with what was found before remembered."""
 
     def __init__(self, places: Places):
         self.towns = set(places.towns)
-        self.tree = BKTree(places.towns)
+        self.short: dict[str, set[str]] = {}
+        for t in places.towns:
+            for v in _shortened(t):
+                self.short.setdefault(v, set()).add(t)
         self.known: dict[str, str | None] = {}
 
     def exact_or_near(self, phrase: str) -> str | None:
@@ -146,9 +156,8 @@ class TownNamer:
         if phrase not in self.known:
             if len(self.known) > 200_000:
                 self.known.clear()
-            hits = self.tree.search([phrase], np.array([_slack(phrase)]))[0]
-            best = [t for d, t in hits if d == hits[0][0]]
-            self.known[phrase] = best[0] if len(best) == 1 else None
+            hits = {t for v in _shortened(phrase) for t in self.short.get(v, ())}
+            self.known[phrase] = hits.pop() if len(hits) == 1 else None
         return self.known[phrase]
 
 
@@ -288,13 +297,19 @@ def readings(addresses: DataFrame, places: Places) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         namer = TownNamer(places)
         for b in batches:
-            out, done = [], {}
+            out, done, read_as = [], {}, {}
             for app, a in zip(b.app_id, b.address):
                 if a not in done:
                     p = parts(a)
                     town, segs = locate(p, places, namer)
                     number, house, kind, words = premises(segs)
-                    done[a] = [(town, p.unit, number, house, kind, k, base, form) for k, (base, form) in enumerate(beam(words))] if number or house else []
+                    if not number and not house:
+                        done[a] = []
+                        continue
+                    street = " ".join(words)
+                    if street not in read_as:
+                        read_as[street] = beam(words)
+                    done[a] = [(town, p.unit, number, house, kind, k, base, form) for k, (base, form) in enumerate(read_as[street])]
                 out += [(app, *r) for r in done[a]]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _READ.split(", ")]).astype({"rank": "int32"})
 
@@ -318,7 +333,7 @@ def clusters(spellings: DataFrame, group: list[str], word: str) -> DataFrame:
     up = posts.join(other, [*group, "short"]).where((F.col("to") != F.col(word)) & better & joins)
     up = up.groupBy(*group, word).agg(F.max_by("to", F.struct("to_n", F.length("to"), "to")).alias("up"))
     link = materialise(s.join(up, [*group, word], "left").select(*group, word, "n", F.coalesce("up", F.col(word)).alias("root")), "links")
-    for _ in range(3):
+    for _ in range(2):
         step = link.select(*group, F.col(word).alias("root"), F.col("root").alias("next"))
         link = link.join(step, [*group, "root"]).select(*group, word, "n", F.col("next").alias("root"))
     size = link.groupBy(*group, "root").agg(F.sum("n").alias("root_n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 from typing import NamedTuple
 
 # Street types and qualifiers with their usual abbreviations.
@@ -32,6 +33,8 @@ class Street(NamedTuple):
 
 def fold(s: str) -> str:
     """Lower case without accents and apostrophes; long s and other compatibility forms are resolved."""
+    if s.isascii():
+        return s.replace("'", "").replace("`", "").lower()
     if "Ã" in s or "Â" in s:  # UTF-8 read as Latin-1
         try:
             s = s.encode("latin-1").decode("utf-8")
@@ -41,6 +44,7 @@ def fold(s: str) -> str:
     return re.sub(r"['’‘`´ʼ]", "", "".join(c for c in s if not unicodedata.combining(c)).lower())
 
 
+@lru_cache(maxsize=100_000)
 def near_type(w: str) -> frozenset:
     """The types a misspelt or cut word may stand for."""
     if w in TYPE_OF:
