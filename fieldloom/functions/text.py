@@ -71,7 +71,7 @@ def any_match(s: Column, patterns: list[str]) -> Column:
 
 def split_list(s: Column, sep: str = "[;,]") -> Column:
     """Trimmed distinct non-empty parts, sorted."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.coalesce(s, F.lit("")), sep), F.trim), lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.coalesce(s, F.lit("")), sep), lambda x: F.trim(x)), lambda x: x != "")))
 
 
 def hash01(s: Column) -> Column:

@@ -80,7 +80,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, group: DataFrame | None
     e = parallel_min(edges)
     comp = group if group is not None else components(e)
     e = e.join(comp.withColumnRenamed("node", "u"), "u")
-    s = sources.select("node").where("node IS NOT NULL").distinct().join(comp, "node")
+    s = sources.select("node").where("node IS NOT NULL").distinct().join(comp, "node").select("node", F.col("component").alias("home"))
     kind = dict(e.dtypes)["u"]
 
     def run(_key, es: pd.DataFrame, ss: pd.DataFrame) -> pd.DataFrame:
@@ -101,7 +101,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, group: DataFrame | None
                     heapq.heappush(heap, (d + w, root, v, n))
         return pd.DataFrame([(n, d, r, p) for n, (d, r, p) in best.items()], columns=["node", "dist", "root", "pred"]).astype({"pred": "Int64"} if kind in ("bigint", "int") else {})
 
-    return e.groupBy("component").cogroup(s.groupBy("component")).applyInPandas(run, f"node {kind}, dist double, root {kind}, pred {kind}")
+    return e.groupBy("component").cogroup(s.groupBy("home")).applyInPandas(run, f"node {kind}, dist double, root {kind}, pred {kind}")
 
 
 def relaxed_paths(edges: DataFrame, sources: DataFrame, rounds: int) -> DataFrame:
