@@ -56,8 +56,14 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return roots.join(out, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def bfs(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
-    """(node, depth, parent): hops from the nearest source; of several parents the least. One round for each hop."""
+def bfs(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, depth, parent): hops from the nearest source; parents lie on ways to the least of equally near sources, the least of several."""
+    out = shortest_paths(edges.select("u", "v", F.lit(1.0).alias("length")), sources)
+    return out.select("node", F.col("dist").cast("int").alias("depth"), F.col("pred").alias("parent"))
+
+
+def bfs_rounds(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, depth, parent) within `most` hops, one join a hop: for shallow searches in graphs too large for a task. Of several parents the least."""
     step = both_ways(edges.select("u", "v", F.lit(1.0).alias("length"))).select("u", "v").distinct()
     front = materialise(sources.select("node").where("node IS NOT NULL").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(dict(sources.dtypes)["node"]).alias("parent")), "front")
     seen, depth = front, 0

@@ -60,17 +60,17 @@ def pruned_stop_times(spark: SparkSession, sf: str) -> DataFrame:
     return st.join(stops, "stop_id", "left_semi").join(trips, "trip_id", "left_semi").groupBy("stop_id").agg(F.count("*").alias("n"))
 
 
-@query(ctes("b_service") + """SELECT service_id, day FROM (SELECT service_id, day FROM b_service WHERE exception_type IN (0, 1) UNION SELECT service_id, day FROM b_service WHERE exception_type = 1)
+@query(ctes("b_service") + """SELECT service_id, CAST(day AS VARCHAR) AS day FROM (SELECT service_id, day FROM b_service WHERE exception_type IN (0, 1) UNION SELECT service_id, day FROM b_service WHERE exception_type = 1)
 EXCEPT SELECT service_id, day FROM b_service WHERE exception_type = 2""")
 def service_calendar(spark: SparkSession, sf: str) -> DataFrame:
     s = view(spark, sf, "b_service")
     part = lambda k: s.where(F.col("exception_type") == k).select("service_id", "day")
-    return keyed.active(part(0), part(1), part(2))
+    return keyed.active(part(0), part(1), part(2)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
-@query("SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + CAST((2 - isodow(o_orderdate) + 7) % 7 AS INTEGER) AS DATE) AS tuesday FROM orders")
+@query("SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + CAST((2 - isodow(o_orderdate) + 7) % 7 AS INTEGER) AS VARCHAR) AS tuesday FROM orders")
 def first_tuesday(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").select("o_orderkey", keyed.weekday_on_or_after(F.to_date("o_orderdate"), 1).alias("tuesday"))
+    return table(spark, sf, "orders").select("o_orderkey", F.date_format(keyed.weekday_on_or_after(F.to_date("o_orderdate"), 1), "yyyy-MM-dd").alias("tuesday"))
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
@@ -212,17 +212,17 @@ def fuzzy_tier_join(spark: SparkSession, sf: str) -> DataFrame:
     return keyed.tiered_join(table(spark, sf, "network").select("street_name"), table(spark, sf, "streets").select(F.col("street_name").alias("listed_name")), "street_name", "listed_name")
 
 
-@query("SELECT app_id, ingested_at, (regexp_matches(coalesce(description, ''), '(?i)\\b\\d+\\s+(no\\.?\\s+)?[a-z-]*\\s*(houses?|dwellings?|apartments?|units?)\\b') OR regexp_matches(coalesce(description, ''), '(?i)residential')) AS candidate FROM developments")
+@query("SELECT app_id, CAST(ingested_at AS VARCHAR) AS ingested_at, (regexp_matches(coalesce(description, ''), '(?i)\\b\\d+\\s+(no\\.?\\s+)?[a-z-]*\\s*(houses?|dwellings?|apartments?|units?)\\b') OR regexp_matches(coalesce(description, ''), '(?i)residential')) AS candidate FROM developments")
 def candidate_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Whether a description names dwellings in number."""
     p = [r"\b\d+\s+(no\.?\s+)?[a-z-]*\s*(houses?|dwellings?|apartments?|units?)\b", "residential"]
-    return table(spark, sf, "developments").select("app_id", "ingested_at", text.any_match(F.col("description"), p).alias("candidate"))
+    return table(spark, sf, "developments").select("app_id", F.col("ingested_at").cast("string").alias("ingested_at"), text.any_match(F.col("description"), p).alias("candidate"))
 
 
-@query("SELECT app_id, ingested_at, upper(array_to_string(list_transform(string_split_regex(trim(authority), '\\s+'), lambda w: w[1]), '')) || '-' || trim(application_number) AS made FROM developments WHERE authority IS NOT NULL AND application_number IS NOT NULL AND trim(authority) <> ''")
+@query("SELECT app_id, CAST(ingested_at AS VARCHAR) AS ingested_at, upper(array_to_string(list_transform(string_split_regex(trim(authority), '\\s+'), lambda w: w[1]), '')) || '-' || trim(application_number) AS made FROM developments WHERE authority IS NOT NULL AND application_number IS NOT NULL AND trim(authority) <> ''")
 def initials_id(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "developments").where("authority IS NOT NULL AND application_number IS NOT NULL AND trim(authority) <> ''")
-    return d.select("app_id", "ingested_at", text.initials_id(F.col("authority"), F.col("application_number")).alias("made"))
+    return d.select("app_id", F.col("ingested_at").cast("string").alias("ingested_at"), text.initials_id(F.col("authority"), F.col("application_number")).alias("made"))
 
 
 @query("SELECT n_nationkey, 'A' || CAST(n_nationkey AS VARCHAR) AS code, n_name AS name FROM nation")
@@ -260,7 +260,7 @@ def weighted_score(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("c_custkey", F.round(measures.weighted(parts), 6).alias("overall"))
 
 
-@query("SELECT key, max_by(v, at) AS v FROM (SELECT user_id AS key, event_type AS v, event_id AS at FROM events) GROUP BY key")
+@query("SELECT user_id AS key, max_by(event_type, event_id) AS v FROM events GROUP BY user_id")
 def ledger_upsert(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("v"), F.col("event_id").alias("at"))
     return keyed.upsert(e.where("at % 2 = 0"), e.where("at % 2 = 1"), "key", "at").select("key", "v")

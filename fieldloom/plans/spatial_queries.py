@@ -162,10 +162,10 @@ def clipped_lines(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("school_id", F.round("c.x1", 6).alias("x1"), F.round("c.x2", 6).alias("x2"), F.col("c.y1").alias("y1"))
 
 
-@query("SELECT app_id, ingested_at, round(centroid[1], 6) AS lng, round(centroid[2], 6) AS lat FROM developments WHERE centroid[1] < 0 AND centroid[2] > 0")
+@query("SELECT app_id, CAST(ingested_at AS VARCHAR) AS ingested_at, round(centroid[1], 6) AS lng, round(centroid[2], 6) AS lat FROM developments WHERE centroid[1] < 0 AND centroid[2] > 0")
 def itm_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Degrees to metres and back."""
-    d = table(spark, sf, "developments").where("centroid[0] < 0 AND centroid[1] > 0").select("app_id", "ingested_at", geo.to_itm(F.col("centroid")[0], F.col("centroid")[1]).alias("m"))
+    d = table(spark, sf, "developments").where("get(centroid, 0) < 0 AND get(centroid, 1) > 0").select("app_id", F.col("ingested_at").cast("string").alias("ingested_at"), geo.to_itm(F.get("centroid", F.lit(0)), F.get("centroid", F.lit(1))).alias("m"))
     back = d.select("app_id", "ingested_at", geo.from_itm(F.col("m.x"), F.col("m.y")).alias("g"))
     return back.select("app_id", "ingested_at", F.round("g.x", 6).alias("lng"), F.round("g.y", 6).alias("lat"))
 
@@ -199,7 +199,8 @@ def graph_components(spark: SparkSession, sf: str) -> DataFrame:
     return graph.components(_cut(spark, sf))
 
 
-@query(None)
+@query("""SELECT node, CAST(node % 50 + floor((node % 400) / 50) AS INTEGER) AS depth, CASE WHEN node % 400 >= 50 THEN node - 50 WHEN node % 50 > 0 THEN node - 1 END AS parent
+FROM (SELECT p_partkey AS node FROM part) WHERE (SELECT count(*) FROM part) % 400 <> 1 OR node + 1 < (SELECT count(*) FROM part)""")
 def bfs_depth(spark: SparkSession, sf: str) -> DataFrame:
     """Hops from the corner of each block of the grid."""
     e = _cut(spark, sf)

@@ -88,7 +88,10 @@ def test_paths(spark):
 
 def test_bfs_and_loads(spark):
     e = [(0, 1, 1.0), (0, 2, 1.0), (1, 3, 1.0), (2, 3, 1.0), (3, 4, 1.0), (8, 9, 1.0)]
-    b = {r.node: (r.depth, r.parent) for r in G.bfs(spark.createDataFrame(e, E), spark.createDataFrame([(0,)], "node long")).collect()}
+    g, s = spark.createDataFrame(e, E), spark.createDataFrame([(0,)], "node long")
+    b = {r.node: (r.depth, r.parent) for r in G.bfs(g, s).collect()}
+    assert {r.node: (r.depth, r.parent) for r in G.bfs_rounds(g, s).collect()} == b
+    assert {r.node for r in G.bfs_rounds(g, s, 1).collect()} == {0, 1, 2}
     assert b == {0: (0, None), 1: (1, 0), 2: (1, 0), 3: (2, 1), 4: (3, 3)}
     t = spark.createDataFrame([(n, p) for n, (_, p) in b.items()], "node long, parent long")
     w = spark.createDataFrame([(4, "a"), (2, "b"), (4, "a")], "node long, app_id string")
