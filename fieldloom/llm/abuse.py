@@ -31,7 +31,7 @@ MEMBERS = 2
 #: Shorter sentences are scraps of layout and score 0.
 LEAST_WORDS = 4
 #: Labelled pages used for training and calibration, at most; those with the least hashes are taken.
-MOST_LABELS = 2500
+MOST_LABELS = 6000
 #: Gradient steps of a training round, at least, and passes over the positives, at least.
 STEPS = 700
 EPOCHS = 4
