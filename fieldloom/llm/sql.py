@@ -1,3 +1,18 @@
 """SQL of those text queries that DuckDB can state over whole tables."""
 
-SQL: dict[str, str] = {}
+_PAIRS = r"""
+WITH d AS (SELECT DISTINCT app_id, description FROM developments WHERE app_id IS NOT NULL AND description IS NOT NULL),
+w AS (SELECT app_id, word, row_number() OVER (PARTITION BY app_id, word) AS k FROM (SELECT app_id, unnest(regexp_extract_all(lower(description), '[\pL\pN]+')) AS word FROM d)),
+n AS (SELECT app_id, count(*) AS n FROM w GROUP BY app_id),
+met AS (SELECT a.app_id AS x, b.app_id AS y, count(*) AS s FROM w a JOIN w b ON a.word = b.word AND a.k = b.k AND a.app_id < b.app_id GROUP BY 1, 2)
+SELECT x AS app_id_a, y AS app_id_b FROM met JOIN n nx ON nx.app_id = x JOIN n ny ON ny.app_id = y WHERE 2.0 * s / (nx.n + ny.n) >= 0.88 - 1e-12
+"""
+_SPIKES = r"""
+WITH t AS (SELECT DISTINCT app_id, lower(trim(coalesce(authority, ''))) AS source, length(description) AS c, strlen(description) AS b FROM developments WHERE app_id IS NOT NULL AND trim(description) <> ''),
+h AS (SELECT source, 'chars' AS measure, c AS length, count(*) AS n_at FROM t GROUP BY 1, 3 UNION ALL SELECT source, 'bytes', b, count(*) FROM t GROUP BY 1, 3),
+g AS (SELECT *, CAST(sum(n_at) OVER (PARTITION BY source, measure ORDER BY length RANGE BETWEEN 25 PRECEDING AND 25 FOLLOWING) - n_at AS BIGINT) AS n_near, length = max(length) OVER (PARTITION BY source, measure) AS at_top FROM h)
+SELECT source, measure, CAST(length AS INTEGER) AS length, n_at, n_near, at_top FROM g
+WHERE n_at >= 4.0 * n_near / CASE WHEN at_top THEN 25 ELSE 50 END AND n_at >= CASE WHEN at_top THEN 3 ELSE 10 END
+"""
+
+SQL: dict[str, str] = {"p3_found": _PAIRS, "p5_spikes": _SPIKES}
