@@ -184,3 +184,30 @@ def near_segments(lines: DataFrame, others: DataFrame, radius: float, line_id: s
     cross = (side("x1", "y1", "x2", "y2", "ox1", "oy1") * side("x1", "y1", "x2", "y2", "ox2", "oy2") < 0) & (side("ox1", "oy1", "ox2", "oy2", "x1", "y1") * side("ox1", "oy1", "ox2", "oy2", "x2", "y2") < 0)
     ends = [geo.segment_d2(*(c[k] for k in ks)) for ks in (("x1", "y1", "ox1", "oy1", "ox2", "oy2"), ("x2", "y2", "ox1", "oy1", "ox2", "oy2"), ("ox1", "oy1", "x1", "y1", "x2", "y2"), ("ox2", "oy2", "x1", "y1", "x2", "y2"))]
     return ga.join(gb, ["gx", "gy"]).where(cross | (F.least(*ends) <= r * r)).select(line_id, other_id).distinct()
+
+
+def meets_box(ring: Column, box: tuple[float, float, float, float]) -> Column:
+    """Whether a closed ring and a box have a point in common: a side enters the box, or the box lies within the ring."""
+    enters = F.exists(geo.steps(ring), lambda s: geo.clip_step(s.a.x, s.a.y, s.b.x, s.b.y, box).isNotNull())
+    return enters | geo.contains(ring, F.lit(float(box[0])), F.lit(float(box[1])))
+
+
+def lines_in_regions(lines: DataFrame, regions: DataFrame, line_id: str, region_id: str, cell: float, ring: str = "ring") -> DataFrame:
+    """(line_id, region_id) of lines (as segments) that touch a region: a side crossed, or an end inside."""
+    sides = segments(regions, region_id, ring)
+    crossed = near_segments(lines, sides, cell, line_id, region_id)
+    a = lines.select(line_id, F.col("x1").alias("x"), F.col("y1").alias("y")).unionByName(lines.select(line_id, F.col("x2").alias("x"), F.col("y2").alias("y")))
+    inside = in_regions(a, regions, line_id, region_id, cell, ring)
+    near = crossed.join(lines, line_id).join(sides.select(F.col(region_id), F.col("x1").alias("ox1"), F.col("y1").alias("oy1"), F.col("x2").alias("ox2"), F.col("y2").alias("oy2")), region_id)
+    c = {k: F.col(k) for k in ("x1", "y1", "x2", "y2", "ox1", "oy1", "ox2", "oy2")}
+    side = lambda px, py, qx, qy, sx, sy: (c[qx] - c[px]) * (c[sy] - c[py]) - (c[qy] - c[py]) * (c[sx] - c[px])
+    cross = (side("x1", "y1", "x2", "y2", "ox1", "oy1") * side("x1", "y1", "x2", "y2", "ox2", "oy2") <= 0) & (side("ox1", "oy1", "ox2", "oy2", "x1", "y1") * side("ox1", "oy1", "ox2", "oy2", "x2", "y2") <= 0)
+    boxes = (F.greatest("x1", "x2") >= F.least("ox1", "ox2")) & (F.greatest("ox1", "ox2") >= F.least("x1", "x2")) & (F.greatest("y1", "y2") >= F.least("oy1", "oy2")) & (F.greatest("oy1", "oy2") >= F.least("y1", "y2"))
+    return near.where(cross & boxes).select(line_id, region_id).union(inside.select(line_id, region_id)).distinct()
+
+
+def extents(points: DataFrame, key: str, most: float | None = None) -> DataFrame:
+    """(key, n, x0, y0, x1, y1, diagonal) of each key's points; with `most`, keys spread wider are left out."""
+    out = points.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    out = out.withColumn("diagonal", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
+    return out if most is None else out.where(F.col("diagonal") <= most)

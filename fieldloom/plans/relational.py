@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.functions import measures, text
+from fieldloom.functions import measures, rules, text
 from fieldloom.operators import keyed
 from fieldloom.plans.bridge import ctes, view
 from fieldloom.runtime import table
@@ -278,3 +278,25 @@ def top_union(spark: SparkSession, sf: str) -> DataFrame:
     """Two top lists put together; the limits are the lists."""
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal", "c_nationkey")
     return c.orderBy(F.desc("c_acctbal"), "id").limit(40).select("id").union(c.orderBy(F.desc("c_nationkey"), "id").limit(15).select("id")).distinct()
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size > 40 THEN 'large' WHEN p_type LIKE '%BRASS' THEN 'brass' WHEN p_retailprice < 1000 THEN 'cheap' END AS kind,
+CASE WHEN p_size > 40 THEN 'high' WHEN p_type LIKE '%BRASS' THEN 'medium' WHEN p_retailprice < 1000 THEN 'low' END AS level FROM part""")
+def ordered_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The first rule that holds gives kind and level."""
+    r = rules.first_rule([(F.col("p_size") > 40, {"kind": "large", "level": "high"}), (F.col("p_type").endswith("BRASS"), {"kind": "brass", "level": "medium"}), (F.col("p_retailprice") < 1000, {"kind": "cheap", "level": "low"})])
+    return table(spark, sf, "part").select("p_partkey", r.alias("r")).select("p_partkey", "r.kind", "r.level")
+
+
+@query("""SELECT app_id, CAST(ingested_at AS VARCHAR) AS ingested_at, CASE WHEN n BETWEEN 80 AND 1200 AND NOT regexp_matches(t, 'pre-\\d{4}') THEN n END AS dwellings FROM (
+SELECT app_id, ingested_at, lower(coalesce(description, '')) AS t, TRY_CAST(regexp_extract(lower(coalesce(description, '')), '(\\d{1,4})\\s+(?:no\\.?\\s+)?(?:[a-z-]+\\s+){0,2}(?:houses?|homes|dwellings?|apartments?|flats|units|bungalows?|cottages|townhouses|maisonettes)\\b', 1) AS INTEGER) AS n FROM developments)""")
+def dwelling_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The number of dwellings a description names."""
+    return table(spark, sf, "developments").select("app_id", F.col("ingested_at").cast("string").alias("ingested_at"), rules.dwelling_count(F.col("description")).alias("dwellings"))
+
+
+@query("SELECT edge_id, CAST(ingested_at AS VARCHAR) AS ingested_at, array_to_string(list_transform(coalesce(evidence, []), lambda e: CASE WHEN e LIKE '% (%' THEN split_part(e, ' (', 1) WHEN e LIKE '%:%' THEN trim(list_last(string_split(e, ':'))) ELSE e END), ' | ') AS notes FROM network")
+def short_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence notes without their details."""
+    n = table(spark, sf, "network")
+    return n.select("edge_id", F.col("ingested_at").cast("string").alias("ingested_at"), F.array_join(F.transform(F.coalesce("evidence", F.array().cast("array<string>")), rules.short_evidence), " | ").alias("notes"))

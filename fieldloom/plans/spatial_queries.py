@@ -235,3 +235,22 @@ def dbscan_clusters(spark: SparkSession, sf: str) -> DataFrame:
 def greedy_tour(spark: SparkSession, sf: str) -> DataFrame:
     s = view(spark, sf, "b_school").select("school_id", "x", "y", F.floor(F.col("x") / 5000).alias("strip"))
     return cluster.greedy_tours(s, "strip", "school_id")
+
+
+@query(ctes("b_area") + "SELECT area_id FROM b_area WHERE x1 >= 712000.0 AND x0 <= 731000.0 AND y1 >= 729000.0 AND y0 <= 741000.0")
+def areas_in_box(spark: SparkSession, sf: str) -> DataFrame:
+    return _rings(spark, sf).where(spatial.meets_box(F.col("ring"), (712000.0, 729000.0, 731000.0, 741000.0))).select("area_id")
+
+
+@query(ctes("b_school", "b_area") + """SELECT DISTINCT school_id, area_id FROM (SELECT school_id, x AS sx0, y AS sy0, x + 800.0 AS sx1, y AS sy1 FROM b_school UNION ALL SELECT school_id, x + 800.0, y, x + 800.0, y + 600.0 FROM b_school) s
+JOIN b_area ON sx1 >= x0 AND sx0 <= x1 AND sy1 >= y0 AND sy0 <= y1""")
+def lines_in_areas(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines against polygons they cross or lie in, touching included."""
+    return spatial.lines_in_regions(spatial.segments(_lines(spark, sf), "school_id"), _rings(spark, sf), "school_id", "area_id", 2000.0)
+
+
+@query(ctes("b_stop") + "SELECT split_part(stop_name, ' ', 1) AS word, count(*) AS n, max(x) - min(x) AS width FROM b_stop GROUP BY 1 HAVING sqrt((max(x)-min(x))*(max(x)-min(x)) + (max(y)-min(y))*(max(y)-min(y))) <= 64000.0")
+def name_extents(spark: SparkSession, sf: str) -> DataFrame:
+    """Names whose places lie close enough together to be one."""
+    s = view(spark, sf, "b_stop").withColumn("word", F.split_part("stop_name", F.lit(" "), F.lit(1)))
+    return spatial.extents(s, "word", 64000.0).select("word", "n", (F.col("x1") - F.col("x0")).alias("width"))

@@ -138,3 +138,28 @@ def test_ask(spark):
     assert ask.answer("how many are pending", d, r).ids == ["CD-99/11"]
     assert "2 developments" in ask.answer("hello", d, r).text
     assert ask.known_only(["zz", "CD-99/11", "CD-99/11"], d) == ["CD-99/11"]
+
+
+def test_settings(spark):
+    from fieldloom.plans import settings as S
+
+    r = S.Registry()
+    assert r.add("rate", 2.7, "Household", "persons", "census") == 2.7
+    r.add("map", {"a": 1})
+    assert {(x.key, x.value) for x in r.table(spark).collect()} == {("rate", "2.7"), ("map", '{"a": 1}')}
+    p = {"x": (0.0, 0.0, 1.0, 1.0)}
+    assert S.area(None, p, None, "x") == p["x"] and S.area("x", p, (0, 0, 9, 9), "x") == p["x"] and S.area(None, p, (0, 0, 9, 9), "x") == (0, 0, 9, 9)
+    df, err = S.guarded(spark, "s", "a int", lambda: spark.read.parquet("/nowhere"))
+    assert df.count() == 0 and err
+    t = {}
+    with S.timed("stage", t):
+        pass
+    assert t["stage"] >= 0
+
+
+def test_rules(spark):
+    from fieldloom.functions import rules
+
+    d = spark.createDataFrame([("Erection of 120 No. two-storey houses",), ("79 houses",), ("pre-1963 house in 100 units",), (None,)], "t string")
+    assert [r.v for r in d.select(rules.dwelling_count(F.col("t")).alias("v")).collect()] == [120, None, None, None]
+    assert [r.v for r in d.select(rules.prompt("<%s>", rules.cut(F.col("t"), 4)).alias("v")).collect()] == ["<Erec>", "<79 h>", "<pre->", "<>"]
