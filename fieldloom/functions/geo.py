@@ -131,8 +131,9 @@ def interpolate(line: Column, fraction: Column) -> Column:
 
 
 def area(ring: Column) -> Column:
-    """Of a closed ring, by the shoelace sum; orientation doesn't matter."""
-    return F.abs(F.aggregate(steps(ring), F.lit(0.0), lambda s, p: s + p.a.x * p.b.y - p.b.x * p.a.y)) / 2
+    """Of a closed ring, by the shoelace sum about its first point (large coordinates cost no digits); orientation doesn't matter."""
+    o = F.get(ring, F.lit(0))
+    return F.abs(F.aggregate(steps(ring), F.lit(0.0), lambda s, p: s + (p.a.x - o.x) * (p.b.y - o.y) - (p.b.x - o.x) * (p.a.y - o.y))) / 2
 
 
 def contains(ring: Column, x: Column, y: Column) -> Column:

@@ -239,8 +239,8 @@ def epoch_date(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", text.epoch_date(F.col("o_orderkey") * 86400000).alias("day"))
 
 
-@query(ctes("b_dev") + """SELECT dev_id, CASE WHEN num_units <= 5 THEN 50.0 WHEN num_units <= 40 THEN 80.0 WHEN num_units <= 100 THEN 100.0 WHEN num_units <= 300 THEN 150.0 ELSE 400.0 END AS band,
-round(num_units * 0.02, 6) AS flow FROM b_dev""")
+@query(ctes("b_dev") + """SELECT dev_id, CAST(CASE WHEN num_units <= 5 THEN 50.0 WHEN num_units <= 40 THEN 80.0 WHEN num_units <= 100 THEN 100.0 WHEN num_units <= 300 THEN 150.0 ELSE 400.0 END AS DOUBLE) AS band,
+round(num_units * CAST(0.02 AS DOUBLE), 6) AS flow FROM b_dev""")
 def step_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """A step function over bands, and a rate per unit."""
     u = F.col("num_units")

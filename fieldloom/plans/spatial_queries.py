@@ -139,7 +139,7 @@ def lines_near_lines(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.near_segments(a, a.withColumnRenamed("school_id", "other_id"), 1500.0, "school_id", "other_id").where("school_id < other_id")
 
 
-@query(ctes("b_school") + "SELECT school_id, 1400.0 AS metres, round(x + 700.0, 6) AS x, round(y, 6) AS y, round(x + 800.0, 6) AS tx, round(y + 250.0, 6) AS ty FROM b_school")
+@query(ctes("b_school") + "SELECT school_id, CAST(1400.0 AS DOUBLE) AS metres, round(x + 700.0, 6) AS x, round(y, 6) AS y, round(x + 800.0, 6) AS tx, round(y + 250.0, 6) AS ty FROM b_school")
 def line_measures(spark: SparkSession, sf: str) -> DataFrame:
     """Length and points along a line."""
     at = lambda f: geo.interpolate(F.col("line"), F.lit(f))
@@ -148,7 +148,7 @@ def line_measures(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("school_id", "metres", r("m.x", "x"), r("m.y", "y"), r("t.x", "tx"), r("t.y", "ty"))
 
 
-@query(ctes("b_area") + "SELECT area_id, 80000000.0 AS area, round((x0+x1)/2, 6) AS cx, round((y0+y1)/2, 6) AS cy FROM b_area")
+@query(ctes("b_area") + "SELECT area_id, CAST(80000000.0 AS DOUBLE) AS area, round((x0+x1)/2, 6) AS cx, round((y0+y1)/2, 6) AS cy FROM b_area")
 def ring_measures(spark: SparkSession, sf: str) -> DataFrame:
     r = _rings(spark, sf).select("area_id", geo.area(F.col("ring")).alias("area"), geo.inner_point(F.col("ring")).alias("p"))
     return r.select("area_id", "area", F.round("p.x", 6).alias("cx"), F.round("p.y", 6).alias("cy"))
@@ -170,13 +170,13 @@ def itm_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("app_id", "ingested_at", F.round("g.x", 6).alias("lng"), F.round("g.y", 6).alias("lat"))
 
 
-@query(ctes("b_area") + "SELECT area_id, 5 AS corners, 80000000.0 AS area FROM b_area")
+@query(ctes("b_area") + "SELECT area_id, 5 AS corners, CAST(80000000.0 AS DOUBLE) AS area FROM b_area")
 def wkt_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     r = _rings(spark, sf).select("area_id", geo.from_wkt(geo.to_wkt(F.col("ring"))).alias("r"))
     return r.select("area_id", F.size("r").alias("corners"), geo.area(F.col("r")).alias("area"))
 
 
-@query(ctes("b_dev") + "SELECT dev_id, 1600.0 AS area, CAST(num_units * 2 AS DOUBLE) AS turned FROM b_dev")
+@query(ctes("b_dev") + "SELECT dev_id, CAST(1600.0 AS DOUBLE) AS area, CAST(num_units * 2 AS DOUBLE) AS turned FROM b_dev")
 def footprints(spark: SparkSession, sf: str) -> DataFrame:
     """Squares and turned rectangles around points."""
     x, y, u = F.col("x"), F.col("y"), F.col("num_units")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -42,6 +43,19 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+_HOMES: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete what a session wrote, when its driver ends; results may be read until then."""
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may be gone already; the folder is then left to the cluster's own cleaning
+        pass
+
+
 def materialise(df: DataFrame, name: str = "part") -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
@@ -49,7 +63,11 @@ def materialise(df: DataFrame, name: str = "part") -> DataFrame:
     are pruned by the Parquet scan, which a checkpointed RDD can't do.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/fieldloom/{name}-{uuid.uuid4().hex}"
+    home = f"{shared_dir(spark)}/fieldloom/{spark.sparkContext.applicationId}"
+    if home not in _HOMES:
+        _HOMES.add(home)
+        atexit.register(_remove, spark, home)
+    path = f"{home}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

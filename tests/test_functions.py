@@ -55,7 +55,7 @@ def test_parts_and_box(spark):
     assert math.isclose(s, 53 - 1000 / 111320) and w < -8.01
 
 
-@pytest.mark.parametrize("a,n,want", [("South Dublin County Council", " 12/3 ", "SDCC-12/3"), (None, "9", "X-9"), ("  ", "9", "X-9"), ("4th Élan", "1", "É-1")])
+@pytest.mark.parametrize("a,n,want", [("North Vale County Council", " 12/3 ", "NVCC-12/3"), (None, "9", "X-9"), ("  ", "9", "X-9"), ("4th Élan", "1", "É-1")])
 def test_initials(spark, a, n, want):
     d = spark.createDataFrame([(a, n)], "a string, n string")
     assert d.select(text.initials_id(F.col("a"), F.col("n")).alias("v")).first().v == want
@@ -68,7 +68,7 @@ def test_street_text(spark):
     k = d.where("s = 'Main St Upr'").select(text.street_keys(F.col("s")).alias("v")).first().v
     assert k == ["MAIN STREET UPPER", "MAIN STREET UPPER", "MAIN STREET", "MAIN STREET"]
     assert one(spark, text.label(F.array(F.lit("b"), F.lit(""), F.lit(None), F.lit("a"), F.lit("b")))) == "b / a"
-    assert one(spark, text.leading_capitals(F.lit("MAIN STREET Dublin 2"))) == "MAIN STREET"
+    assert one(spark, text.leading_capitals(F.lit("MAIN STREET Oldtown 2"))) == "MAIN STREET"
     assert one(spark, text.split_list(F.lit("7; 4,7 ,"))) == ["4", "7"]
     assert one(spark, text.any_match(F.lit("4 ÉTAGE units"), [r"\b\w+ units"])) and not one(spark, text.any_match(F.lit(None).cast("string"), ["x"]))
 
