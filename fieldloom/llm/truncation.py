@@ -28,8 +28,11 @@ LEAST = 3
 LEAST_INSIDE = 10
 TIMES = 4.0
 BELOW = 25
-#: A context (the last words, as many of DEPTH as the corpus has met twice) closes a sentence if it does so at least this often.
+#: A context (the last words, as many of DEPTH as the corpus has met twice) closes a sentence if it does so at least this often,
+#: and with punctuation at least so often against every time it ends a text without: cut words may now and then be
+#: followed by a stop, but far more often they are the text's bare end.
 CLOSES = 0.2
+STOPPED = 0.5
 DEPTH = 5
 #: Abbreviations whose full stop ends no sentence.
 ABBREVIATIONS = ["no.", "nos.", "approx.", "incl.", "ref.", "st.", "co.", "dr.", "mr.", "mrs."]
@@ -112,19 +115,20 @@ def _context(words: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-def _merged(ctx, n, e, prev, word):
+def _merged(ctx, n, e, cut, prev, word):
     """Counts of equal contexts added up."""
     u, at, inv = np.unique(ctx, return_index=True, return_inverse=True)
-    return u, np.bincount(inv, n, minlength=len(u)).astype(np.int64), np.bincount(inv, e, minlength=len(u)).astype(np.int64), prev[at], word[at]
+    return u, *(np.bincount(inv, v, minlength=len(u)).astype(np.int64) for v in (n, e, cut)), prev[at], word[at]
 
 
 #: Contexts a partition holds before it adds up equal ones.
 HELD = 3_000_000
-_STATS = "ctx long, n long, n_end long, prev long, word string"
+_STATS = "ctx long, n long, n_end long, n_bare long, prev long, word string"
 
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map-side counts of contexts, one row for each of a partition's. What an unfinished text ends in says nothing and isn't counted.
+    """Map-side counts of contexts, one row for each of a partition's: n times in all, n_end of them closing a sentence, and n_bare
+    times more as the end of a text without a stop, which says nothing by itself.
 
     Contexts of two words carry the first's hash and the second's text, by which cut words are recognised.
     """
@@ -132,23 +136,23 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for s in range(0, whole.num_rows, 5000):
             m = _Masked(whole.slice(s, 5000).column("text"))
-            use = np.nonzero(~(m.is_last & ~m.ended))[0]
-            end, run = m.ended[use].astype(float), []
+            bare = (m.is_last & ~m.ended).astype(float)
+            end, run = m.ended.astype(float), []
             strings = _np(m.words).astype(object)
             for k in range(DEPTH):
-                run.append((m.mask if k == 0 else m.back(k))[use])
+                run.append(m.mask if k == 0 else m.back(k))
                 c, at, inv = np.unique(_context(run), return_index=True, return_inverse=True)
                 two = k == 1
-                held.append((c, np.bincount(inv).astype(float), np.bincount(inv, end), run[1][at] if two else np.zeros(len(c), np.uint64), strings[m.code[use[at]]] if two else np.full(len(c), None, object)))
-            c, inv = np.unique(_context([m.low[use], np.full(len(use), EDGE, np.uint64)]), return_inverse=True)
-            held.append((c, np.bincount(inv).astype(float), np.bincount(inv, m.start[use].astype(float)), np.zeros(len(c), np.uint64), np.full(len(c), None, object)))
+                held.append((c, np.bincount(inv, 1 - bare), np.bincount(inv, end), np.bincount(inv, bare), run[1][at] if two else np.zeros(len(c), np.uint64), strings[m.code[at]] if two else np.full(len(c), None, object)))
+            c, inv = np.unique(_context([m.low, np.full(len(m.low), EDGE, np.uint64)]), return_inverse=True)
+            held.append((c, np.bincount(inv, 1 - bare), np.bincount(inv, m.start * (1 - bare)), np.zeros(len(c)), np.zeros(len(c), np.uint64), np.full(len(c), None, object)))
             if sum(len(h[0]) for h in held) > HELD:
                 held = [_merged(*(np.concatenate(x) for x in zip(*held)))]
     if held:
-        c, n, e, prev, word = _merged(*(np.concatenate(x) for x in zip(*held)))
+        c, n, e, cut, prev, word = _merged(*(np.concatenate(x) for x in zip(*held)))
         for s in range(0, len(c), 100_000):
             t = slice(s, s + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(c[t].astype(np.int64)), pa.array(n[t]), pa.array(e[t]), pa.array(prev[t].astype(np.int64)), pa.array(word[t], pa.string())], ["ctx", "n", "n_end", "prev", "word"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[t].astype(np.int64)), pa.array(n[t]), pa.array(e[t]), pa.array(cut[t]), pa.array(prev[t].astype(np.int64)), pa.array(word[t], pa.string())], ["ctx", "n", "n_end", "n_bare", "prev", "word"])
 
 
 _SUSPECT = "key string, source string, n_chars int, n_bytes int, marker boolean, after_stop boolean, c1 long, c2 long, c3 long, c4 long, c5 long, w2 long, w3 long, w4 long, s long, prev long, word string"
@@ -203,19 +207,19 @@ def spikes(texts: DataFrame) -> DataFrame:
 
 
 def _rate(slot: str) -> Column:
-    return F.col(f"{slot}.e") / F.col(f"{slot}.n")
+    return F.try_divide(F.col(f"{slot}.e"), F.col(f"{slot}.n"))
 
 
 def judged(texts: DataFrame) -> DataFrame:
     """(key, source, at_spike, marker, truncated) of all suspects; texts that end in terminal punctuation aren't listed."""
     cols = texts.select("key", "source", "text", "n_chars", "n_bytes")
-    stats = materialise(cols.mapInArrow(_stats, _STATS).groupBy("ctx").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"), F.max("prev").alias("prev"), F.max("word").alias("word")), "contexts")
+    stats = materialise(cols.mapInArrow(_stats, _STATS).groupBy("ctx").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"), F.sum("n_bare").alias("n_bare"), F.max("prev").alias("prev"), F.max("word").alias("word")), "contexts")
     suspects = materialise(cols.mapInArrow(_suspects, _SUSPECT), "suspects")
     slots = ["c1", "c2", "c3", "c4", "c5", "w2", "w3", "w4", "s"]
     asked = suspects.select(F.explode(F.array(*slots)).alias("ctx")).distinct()
-    known = stats.select("ctx", "n", "n_end").join(asked, "ctx", "left_semi")
+    known = stats.select("ctx", "n", "n_end", "n_bare").join(asked, "ctx", "left_semi")
     ways = suspects.select("key", "source", "word", F.explode(F.array(*(F.struct(F.lit(k).alias("slot"), F.col(k).alias("ctx")) for k in slots))).alias("q")).select("key", "source", "word", "q.slot", "q.ctx")
-    got = ways.join(known, "ctx").groupBy("key", "source", "word").agg(*(F.max(F.when(F.col("slot") == k, F.struct(F.col("n").alias("n"), F.col("n_end").alias("e")))).alias(k) for k in slots))
+    got = ways.join(known, "ctx").groupBy("key", "source", "word").agg(*(F.max(F.when(F.col("slot") == k, F.struct(F.col("n").alias("n"), F.col("n_end").alias("e"), F.col("n_bare").alias("bare")))).alias(k) for k in slots))
     x = suspects.select("key", "source", "n_chars", "n_bytes", "marker", "after_stop", "prev", "word").join(got, ["key", "source", "word"], "left")
     # A last word the corpus doesn't have: cut if it begins a word that follows the same predecessor, else misspelt.
     odd = x.where("c1 IS NULL OR c1.n < 2").select("prev", "word").distinct()
@@ -228,7 +232,7 @@ def judged(texts: DataFrame) -> DataFrame:
         x = x.join(at, ["source", f"n_{m}"], "left")
     spike = F.coalesce("spike_chars", F.lit(False)) | F.coalesce("spike_bytes", F.lit(False))
     seen = lambda k: F.coalesce(F.col(f"{k}.n") >= 2, F.lit(False))
-    closes = lambda k: seen(k) & F.coalesce(_rate(k) >= CLOSES, F.lit(False))
+    closes = lambda k: seen(k) & F.coalesce((_rate(k) >= CLOSES) & (F.col(f"{k}.e") >= STOPPED * F.col(f"{k}.bare")), F.lit(False))
     longest = lambda *ks: reduce(lambda w, k: w.when(seen(k), closes(k)), ks[1:], F.when(seen(ks[0]), closes(ks[0])))
     swapped = F.coalesce(longest("w4", "w3", "w2"), F.lit(False))
     plain = longest("c5", "c4", "c3", "c2", "c1")
