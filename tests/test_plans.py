@@ -163,3 +163,35 @@ def test_rules(spark):
     d = spark.createDataFrame([("Erection of 120 No. two-storey houses",), ("79 houses",), ("pre-1963 house in 100 units",), (None,)], "t string")
     assert [r.v for r in d.select(rules.dwelling_count(F.col("t")).alias("v")).collect()] == [120, None, None, None]
     assert [r.v for r in d.select(rules.prompt("<%s>", rules.cut(F.col("t"), 4)).alias("v")).collect()] == ["<Erec>", "<79 h>", "<pre->", "<>"]
+
+
+def test_schools(spark):
+    from fieldloom.plans import schools as S
+
+    d = spark.createDataFrame([("a", 0.0, 0.0, 10), ("b", 9000.0, 0.0, 10)], "app_id string, x double, y double, units int")
+    raw = spark.createDataFrame([("12345A", "100", "0"), ("12346B", "200", "x"), ("12347C", "300", "0"), ("bad", "0", "0")], "school_id string, x string, y string")
+    n = spark.createDataFrame([("12345A", "100"), ("12347C", "n/a"), ("12345A", "100")], "school_id string, enrolment string")
+    p = S.schools_of(raw, n, "primary")
+    q = S.schools_of(raw.where("school_id = '12347C'").withColumn("school_id", F.lit("99999Z")), spark.createDataFrame([("99999Z", "50")], "school_id string, enrolment string"), "post")
+    dev, sch = S.pressure(d, p.unionByName(q), {"primary": 500.0, "post": 500.0}, {"primary": 2.0, "post": 1.0})
+    got = {r.app_id: (r.pressure_ratio, r.pressure_flag, dict(r.schools)) for r in dev.collect()}
+    assert got["a"] == (0.2, True, {"primary": ["12345A", "12347C"], "post": ["99999Z"]}) and got["b"] == (None, True, {"primary": [], "post": []})
+    assert {r.school_id: (r.projected_pupils, r.pressure_ratio) for r in sch.collect()} == {"12345A": (10.0, 0.1), "12346B": (0.0, None), "12347C": (10.0, None), "99999Z": (10.0, 0.2)}
+    assert {r.school_id for r in S.worth_showing(sch, (150.0, -1.0, 160.0, 1.0)).collect()} == {"12345A", "12347C", "99999Z"}
+
+
+def test_summary(spark):
+    from fieldloom.plans import summary as S
+
+    d = spark.createDataFrame([("a", 5, 12.0, True, "n", None, 1.0), ("b", 7, None, False, "n", 0.0, 2.0), ("c", None, 3.0, False, "s", 2.0, 4.0)], "app_id string, units int, residents double, connected boolean, area string, weight double, route_m double")
+    e = spark.createDataFrame([("e", 1000.0, ["b", "c"], 100), ("e", 1000.0, ["b", "c"], 100), ("f", 500.0, [], 80)], "edge_id string, length double, serves_app_ids array<string>, bore int")
+    t = S.totals(d, e).first()
+    assert (t.developments, t.units, t.residents, t.unconnected_units, t.new_km) == (3, 12, 15.0, 7, 1.5)
+    assert {r.area: r.new_km for r in S.by_area(d, e.dropDuplicates(["edge_id"])).collect()} == {"n": 0.5, "s": 0.5}
+    b = S.by_bore(e.dropDuplicates(["edge_id"])).first()
+    assert dict(b.lengths) == {80: 0.5, 100: 1.0} and b.widest == 100
+    s = S.scenario(d).first()
+    assert (s.developments, s.units, s.route_m) == (2, 5.0, 9.0)
+    k = spark.createDataFrame([("e", ["hydrant (3 m)", "hydrant: x", "cover"])], "edge_id string, evidence array<string>")
+    assert dict(S.evidence_kinds(k).first().counts) == {"cover": 1, "hydrant": 2}
+    assert [tuple(r) for r in S.kinds(spark.createDataFrame([("b",), ("a",), ("b",), ("c",)], "kind string")).collect()] == [("b", 2), ("a", 1), ("c", 1)]
