@@ -187,8 +187,9 @@ def locate(p: Parts, places: Places, namer: TownNamer) -> tuple[str, list[str]]:
                 continue
             break
         else:
-            if w and w[0].strip(".") in ("co", "county") and len(w) > 2 and " ".join(w[1:3]) in places.counties:
-                w = w[3:]
+            for k in (2, 1):
+                if len(w) > k + 1 and w[0].strip(".") in ("co", "county") and " ".join(w[1 : k + 1]) in places.counties:
+                    w = w[k + 1 :]
         if w and w[0].strip(".") in ("co", "county") and len(w) > 1:
             w = w[1:]
         if w:
