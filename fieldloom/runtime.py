@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
         return known
     known = sc.getCheckpointDir()
     if not known:
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="fieldloom-"))
         known = sc.getCheckpointDir()
