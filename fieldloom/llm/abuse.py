@@ -132,6 +132,12 @@ def score(table: np.ndarray, net: Net, tok: np.ndarray, off: np.ndarray) -> np.n
     return p
 
 
+def score_all(net: Net, tok: np.ndarray, off: np.ndarray, step: int = 4000) -> np.ndarray:
+    """As `score`, so many sentences at a time: memory doesn't grow with their number."""
+    table = net.table()
+    return np.concatenate([np.zeros(0), *(score(table, net, tok, off[k : k + step + 1]) for k in range(0, len(off) - 1, step))])
+
+
 def _step(net: Net, tok, off, y, w, state, lr):
     """One Adam step on a batch of sentences; only the windows that won a maximum carry gradient."""
     pad, real, first = padded(tok, off)
@@ -259,7 +265,7 @@ def train(tok: np.ndarray, off: np.ndarray, page: np.ndarray, label: np.ndarray,
         if not len(pos):
             break
         net = _fit(Net.fresh(seed + r), tok, off, pos, neg, hard, epochs, seed + r)
-        s = score(net.table(), net, tok, off)
+        s = score_all(net, tok, off)
     return net
 
 
@@ -302,7 +308,7 @@ def fit(pages: pa.Table) -> Model:
     held = np.arange(len(label)) % 5 == 4
     seen = _take(tok, off, page, ~held, label)
     nets = [train(*seen, seed=SEED + 100 * k) for k in range(MEMBERS)]
-    s = page_scores(np.mean([score(n.table(), n, tok, off) for n in nets], axis=0), page, len(label))
+    s = page_scores(np.mean([score_all(n, tok, off) for n in nets], axis=0), page, len(label))
     common = best_threshold(s[held], label[held]) if label[held].sum() >= 10 else FEW_LABELS_CUT
     by: dict[str, float] = {}
     langs = np.array([language(v) for v in pages.column("lang").to_pylist()], object)
