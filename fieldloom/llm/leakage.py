@@ -8,7 +8,10 @@
    postings (document, position) of the anchor terms in its documents and
    intersects them, adjusted by the anchors' offsets, with the items, so that no
    posting is ever shuffled. Pairs of item and document with enough agreement
-   are kept.
+   are kept. A stretch whose terms are too frequent to tell (its passage may be
+   reprinted on a third of all pages, or the pages be few) is also looked up by
+   the runs of RUN words around its TELLING rarest terms, which count the same
+   however many pages have them.
 4. Each kept pair is aligned word by word from its anchors: words equal, misread
    (small edit distance), broken in two, run together, or singly exchanged.
 
@@ -39,6 +42,11 @@ ANCHORS = 6
 COMMON = 2.5
 #: Weight of agreeing anchors that sends a pair on to alignment: two terms of one document in 250, or three of one in 60.
 LEAST_WEIGHT = 4.0
+#: A stretch whose anchors, any SPARED of them misread, fall short of LEAST_WEIGHT adds the runs of RUN words that hold one of
+#: its TELLING rarest terms; runs that hold two such terms suffice. Pages of one form share its other words, but not these.
+SPARED = 2
+RUN = 3
+TELLING = 3
 #: What an aligned word adds: one that at most RARE (or SOME) of the documents have, any other; and what one exchanged
 #: or an interruption takes. A run's core ends where its sum is greatest, so forms that share all but names and figures
 #: don't make one. Only a core of CORE words is a passage; its ends are then followed as far as words still match.
@@ -111,24 +119,35 @@ def frequencies(corpus: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def anchors(items: DataFrame, frequency: DataFrame, n_docs: int, window: int = WINDOW, most: int = ANCHORS) -> DataFrame:
-    """(item_id, ipos, term, weight): the rarest `most` positions of every stretch of `window` words. Terms that no document has are passed over."""
+    """(item_id, ipos, term, mark, weight): the rarest `most` positions of every stretch of `window` words. Terms that no document has are passed over.
+
+    Where those weigh too little, the runs around its rarest too, as a term with blanks. Each mark, the position told by, counts once.
+    """
     ranked = items.select("item_id", F.posexplode("words").alias("ipos", "term")).join(frequency, "term")
     per_item = ranked.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("ipos", "n", "term"))).alias("all"))
 
     def pick(batches):
-        for b in batches:
+        for batch in batches:
             out = []
-            for item, rows in zip(b.item_id, b["all"]):
+            for item, rows in zip(batch.item_id, batch["all"]):
                 pos, n = np.array([r["ipos"] for r in rows]), np.array([r["n"] for r in rows])
+                weight = np.maximum(0.0, np.log(max(1, n_docs) / n) - COMMON)
                 chosen: set[int] = set()
+                weak: set[int] = set()
                 for s in range(0, max(1, int(pos.max()) - window + 2)):
                     m = np.nonzero((pos >= s) & (pos < s + window))[0]
-                    chosen.update(m[np.lexsort((pos[m], n[m]))[:most]].tolist())
-                weight = np.maximum(0.0, np.log(max(1, n_docs) / n) - COMMON) + 1e-3 * (n_docs < 100)
-                out += [(item, int(pos[k]), rows[k]["term"], float(weight[k])) for k in sorted(chosen) if weight[k] > 0]
-            yield pd.DataFrame(out, columns=["item_id", "ipos", "term", "weight"])
+                    best = m[np.lexsort((pos[m], n[m]))[:most]]
+                    chosen.update(best.tolist())
+                    if weight[best][SPARED:].sum() < LEAST_WEIGHT:
+                        weak.update(best[:TELLING].tolist())
+                out += [(item, int(pos[k]), rows[k]["term"], int(pos[k]), float(weight[k])) for k in sorted(chosen) if weight[k] > 0]
+                for k in sorted(weak):
+                    for b in range(max(0, k - RUN + 1), min(k, len(pos) - RUN) + 1):
+                        if pos[b + RUN - 1] - pos[b] == RUN - 1:
+                            out.append((item, int(pos[b]), " ".join(rows[b + x]["term"] for x in range(RUN)), int(pos[k]), LEAST_WEIGHT / 2))
+            yield pd.DataFrame(out, columns=["item_id", "ipos", "term", "mark", "weight"])
 
-    return per_item.mapInPandas(pick, "item_id long, ipos int, term string, weight double")
+    return per_item.mapInPandas(pick, "item_id long, ipos int, term string, mark int, weight double")
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -213,13 +232,37 @@ def longest_run(item: list[str], gain: list[float], doc: list[str], hits: list[t
     return best
 
 
+def _run_hash(words_: list[np.ndarray]) -> np.ndarray:
+    """A hash of the words' numbers, in order."""
+    h = np.zeros(len(words_[0]), np.uint64)
+    with np.errstate(over="ignore"):
+        for w in words_:
+            h = (h ^ w.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return h
+
+
 def _intersect(item_ids: list[int], item_lists: list[list[str]], gains: list[list[float]], anchor: pa.Table, least: int):
-    """Over batches of (doc_id, words): the postings of anchor terms, intersected with the items, and the pairs aligned."""
+    """Over batches of (doc_id, words): the postings of anchor terms and runs, intersected with the items, and the pairs aligned."""
     number = {k: i for i, k in enumerate(item_ids)}
     enc = anchor.column("term").combine_chunks().dictionary_encode()
+    parts = pc.split_pattern(enc.dictionary, " ")
+    known = pc.unique(pc.list_flatten(parts))
+    long = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
+    ids = pc.index_in(pc.list_flatten(parts), value_set=known).to_numpy(zero_copy_only=False).astype(np.int64)
+    head = np.cumsum(long) - long
+    # Of each known word its place among the terms, if it is one by itself; of each run its hash (equal hashes are told apart by the alignment).
+    alone = np.full(len(known), -1, np.int64)
+    alone[ids[head[long == 1]]] = np.nonzero(long == 1)[0]
+    runs = np.nonzero(long == RUN)[0]
+    hashes = _run_hash([ids[head[runs] + x] for x in range(RUN)])
+    by_hash = np.argsort(hashes, kind="stable")
+    runs, hashes = runs[by_hash], hashes[by_hash]
     order = np.argsort(enc.indices.to_numpy(), kind="stable")
     item = np.array([number[k] for k in anchor.column("item_id").to_pylist()], np.int64)[order]
     ipos = anchor.column("ipos").to_numpy().astype(np.int64)[order]
+    in_run = (long == RUN).astype(int)[enc.indices.to_numpy()][order]
+    mark = anchor.column("mark").to_numpy()[order]
     weight = anchor.column("weight").to_numpy()[order]
     size = np.bincount(enc.indices.to_numpy(), minlength=len(enc.dictionary))
     begin = np.cumsum(size) - size
@@ -233,9 +276,16 @@ def _intersect(item_ids: list[int], item_lists: list[list[str]], gains: list[lis
                 flat, parent = pc.list_flatten(w), pc.list_parent_indices(w).to_numpy()
                 n = pc.list_value_length(w).to_numpy(zero_copy_only=False).astype(np.int64)
                 start = np.cumsum(n) - n
-                term = pc.index_in(flat, value_set=enc.dictionary)
-                at = np.nonzero(pc.is_valid(term).to_numpy(zero_copy_only=False))[0]
-                term = term.take(pa.array(at)).to_numpy()
+                word = pc.fill_null(pc.index_in(flat, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                term = np.where(word >= 0, alone[word], -1)
+                at = np.nonzero(term >= 0)[0]
+                term = term[at]
+                if len(runs) and len(word) >= RUN:
+                    some = np.nonzero((parent[: len(word) - RUN + 1] == parent[RUN - 1 :]) & np.logical_and.reduce([word[x : len(word) - RUN + 1 + x] >= 0 for x in range(RUN)]))[0]
+                    h = _run_hash([word[some + x] for x in range(RUN)])
+                    place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                    same = hashes[place] == h
+                    at, term = np.concatenate([at, some[same]]), np.concatenate([term, runs[place[same]]])
                 # Each posting meets the anchors of its term.
                 k = size[term]
                 row = np.repeat(np.arange(len(at)), k)
@@ -246,26 +296,28 @@ def _intersect(item_ids: list[int], item_lists: list[list[str]], gains: list[lis
                 # Offsets that differ by up to DRIFT share at least one of two overlapping bins.
                 both = np.concatenate([2 * (off // wide), 2 * ((off + DRIFT) // wide) + 1])
                 doc, pos, a = np.tile(doc, 2), np.tile(pos, 2), np.tile(a, 2)
-                o = np.lexsort((ipos[a], both, item[a], doc))
+                o = np.lexsort((-weight[a], mark[a], both, item[a], doc))
                 doc, pos, a, both = doc[o], pos[o], a[o], both[o]
                 if not len(doc):
                     continue
                 new = np.ones(len(doc), bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (item[a[1:]] != item[a[:-1]]) | (both[1:] != both[:-1])
                 once = new.copy()
-                once[1:] |= ipos[a[1:]] != ipos[a[:-1]]
+                once[1:] |= mark[a[1:]] != mark[a[:-1]]
                 first = np.nonzero(new)[0]
                 total = np.add.reduceat(np.where(once, weight[a], 0.0), first)
                 ends = np.append(first[1:], len(doc))
-                hits: dict[tuple[int, int], list[tuple[int, int]]] = {}
+                hits: dict[tuple[int, int], tuple[list[tuple[int, int]], list[tuple[int, int]]]] = {}
                 for g in np.nonzero(total >= LEAST_WEIGHT)[0]:
                     m = slice(first[g], ends[g])
-                    hits.setdefault((int(doc[first[g]]), int(item[a[first[g]]])), []).extend(zip(ipos[a[m]].tolist(), pos[m].tolist()))
+                    both_kinds = hits.setdefault((int(doc[first[g]]), int(item[a[first[g]]])), ([], []))
+                    for i, j, k in zip(ipos[a[m]].tolist(), pos[m].tolist(), in_run[a[m]].tolist()):
+                        both_kinds[k].append((i, j))
                 out, last, text = [], -1, []
                 for (d, i), h in sorted(hits.items()):
                     if d != last:
                         last, text = d, flat.slice(start[d], n[d]).to_pylist()
-                    words_ = longest_run(item_lists[i], gains[i], text, h)
+                    words_ = max(longest_run(item_lists[i], gains[i], text, x) for x in h)
                     if words_ >= least:
                         out.append((item_ids[i], b.column("doc_id")[d].as_py(), words_))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int32())], ["item_id", "doc_id", "n_words"])

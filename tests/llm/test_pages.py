@@ -53,3 +53,25 @@ def test_more_passes_agree(spark, monkeypatch):
     one = {tuple(r) for r in L.matches(d, items).collect()}
     monkeypatch.setattr(L, "ITEMS", 2)
     assert {tuple(r) for r in L.matches(d, items).collect()} == one and {(i, i) for i in range(6)} <= {r[:2] for r in one}
+
+
+def test_passages_on_a_third_of_the_pages_and_few_pages(spark):
+    g = random.Random(6)
+    names = ["".join(g.choice("bcdfgklmnprst") + g.choice("aeiou") for _ in range(4)) for _ in range(9000)]
+    common = "the of to and at for by in was were".split()
+    say = lambda n: [g.choice(names) if k % 3 == 0 else g.choice(common) for k in range(n)]
+    item, other = say(60), say(60)
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(other))], "item_id long, text string")
+
+    def leak():
+        a = g.randrange(0, 38)
+        part = item[a : a + 22]
+        part[g.randrange(5, 17)] = "zzzz"
+        return say(50) + part + say(50)
+
+    for n in (3, 12, 300):
+        docs = [(i, " ".join(leak() if i % 3 == 0 else say(120)), None, 0) for i in range(n)] + [(n, " ".join(say(9) + other[5:45]), None, 0)]
+        got = {(r.item_id, r.doc_id) for r in L.matches(spark.createDataFrame(docs, DOC), items).collect()}
+        assert got == {(1, i) for i in range(0, n, 3)} | {(2, n)}
+    docs = [(i, " ".join(say(9) + item + say(9)), None, 0) for i in range(200)]
+    assert L.matches(spark.createDataFrame(docs, DOC), items).count() == 200
