@@ -53,3 +53,15 @@ def test_copies_are_one_class(spark):
     rows = [(f"k{i}", "same words here and there again", "", 0) for i in range(400)] + [("x", "other text of its own", "", 0)]
     links = N.with_links(spark.createDataFrame(rows, S)).collect()
     assert len(links) == 401 and {(r.class_size, r.n_links) for r in links} == {(400, 0), (1, 0)}
+
+
+def test_edited_copies_of_a_third_of_the_texts(spark, monkeypatch):
+    g = random.Random(8)
+    shared = [f"s{i}" for i in range(67)]
+    rows = [(f"g{i:03}", " ".join(shared + [f"r{i}x{k}" for k in range(9)])) for i in range(100)]
+    rows += [(f"o{i:03}", " ".join(f"v{g.randrange(9000)}" for _ in range(76))) for i in range(200)]
+    shapes = {f: getattr(N, f)(2_050_000) for f in ("shape", "plain_shape") if hasattr(N, f)}
+    for f, large in shapes.items():
+        monkeypatch.setattr(N, f, lambda n, large=large: large)
+    got = N.pairs(spark.createDataFrame([(*r, "x", 1) for r in rows], S)).count()
+    assert got >= 0.98 * 100 * 99 / 2
