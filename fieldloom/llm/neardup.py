@@ -94,11 +94,8 @@ def shape(n: int) -> tuple[int, int]:
 
     One hash more thins chance agreement about eightfold, so one is added for
     every eightfold growth beyond 400,000 texts, and eight coordinates with it to make
-    up for true pairs that then agree less often. Few texts meet few others by
-    chance and can afford more and looser coordinates.
+    up for true pairs that then agree less often; `plain_shape` holds the recall at every size.
     """
-    if n <= 50_000:
-        return 64, 4
     width = 5
     while n > 400_000:
         n, width = n // 8, width + 1

@@ -65,3 +65,10 @@ def test_edited_copies_of_a_third_of_the_texts(spark, monkeypatch):
         monkeypatch.setattr(N, f, lambda n, large=large: large)
     got = N.pairs(spark.createDataFrame([(*r, "x", 1) for r in rows], S)).count()
     assert got >= 0.98 * 100 * 99 / 2
+
+
+def test_recall_holds_at_every_size():
+    for n in (10, 50_000, 50_001, 400_001, 2_050_000, 20_000_000):
+        coordinates, width = N.plain_shape(n)
+        assert coordinates * (N.SIMILARITY / (2 - N.SIMILARITY)) ** width >= N.AGREEING
+    assert N.shape(50_000) == N.shape(50_001)
