@@ -334,9 +334,13 @@ def clusters(spellings: DataFrame, group: list[str], word: str) -> DataFrame:
     up = posts.join(other, [*group, "short"]).where((F.col("to") != F.col(word)) & better & joins)
     up = up.groupBy(*group, word).agg(F.max_by("to", F.struct("to_n", F.length("to"), "to")).alias("up"))
     link = materialise(s.join(up, [*group, word], "left").select(*group, word, "n", F.coalesce("up", F.col(word)).alias("root")), "links")
-    for _ in range(2):
+    # Each round doubles what is followed; a link always leads to a better spelling, so there is no circle.
+    while True:
         step = link.select(*group, F.col(word).alias("root"), F.col("root").alias("next"))
-        link = link.join(step, [*group, "root"]).select(*group, word, "n", F.col("next").alias("root"))
+        moved = materialise(link.join(step, [*group, "root"]).select(*group, word, "n", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "links")
+        link = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            break
     size = link.groupBy(*group, "root").agg(F.sum("n").alias("root_n"))
     return link.join(size, [*group, "root"]).select(*group, word, "root", "root_n")
 

@@ -51,3 +51,11 @@ def test_clusters_follow_the_frequent(spark):
     rows = [("g", "kelloon", 50), ("g", "kellon", 2), ("g", "keloon", 1), ("g", "valche", 30), ("g", "valchi", 29), ("h", "kellon", 2)]
     got = {(r.g, r.w): r.root for r in A.clusters(spark.createDataFrame(rows, "g string, w string, n long"), ["g"], "w").collect()}
     assert got == {("g", "kelloon"): "kelloon", ("g", "kellon"): "kelloon", ("g", "keloon"): "kelloon", ("g", "valche"): "valche", ("g", "valchi"): "valchi", ("h", "kellon"): "kellon"}
+
+
+def test_long_chains_of_spellings_have_one_root(spark):
+    from fieldloom.llm.addresses import clusters
+
+    rows = [("t", "b" * k + "a" * (12 - k), 1) for k in range(13)]
+    got = clusters(spark.createDataFrame(rows, "town string, base string, n long"), ["town"], "base").collect()
+    assert len(got) == 13 and {(r.root, r.root_n) for r in got} == {("a" * 12, 13)}
