@@ -60,15 +60,41 @@ def test_edited_copies_of_a_third_of_the_texts(spark, monkeypatch):
     shared = [f"s{i}" for i in range(67)]
     rows = [(f"g{i:03}", " ".join(shared + [f"r{i}x{k}" for k in range(9)])) for i in range(100)]
     rows += [(f"o{i:03}", " ".join(f"v{g.randrange(9000)}" for _ in range(76))) for i in range(200)]
-    shapes = {f: getattr(N, f)(2_050_000) for f in ("shape", "plain_shape") if hasattr(N, f)}
-    for f, large in shapes.items():
-        monkeypatch.setattr(N, f, lambda n, large=large: large)
+    large = N.shape(2_050_000)
+    monkeypatch.setattr(N, "shape", lambda n, similarity=N.SIMILARITY: large)
     got = N.pairs(spark.createDataFrame([(*r, "x", 1) for r in rows], S)).count()
     assert got >= 0.98 * 100 * 99 / 2
 
 
 def test_recall_holds_at_every_size():
-    for n in (10, 50_000, 50_001, 400_001, 2_050_000, 20_000_000):
-        coordinates, width = N.plain_shape(n)
+    for n in (10, 50_000, 400_000, 400_001, 2_050_000, 20_000_000, 10**9):
+        coordinates, width = N.shape(n)
         assert coordinates * (N.SIMILARITY / (2 - N.SIMILARITY)) ** width >= N.AGREEING
-    assert N.shape(50_000) == N.shape(50_001)
+    assert N.shape(10) == N.shape(50_000) == N.shape(400_000)
+
+
+def test_long_posting_lists_are_cut_into_blocks(spark, monkeypatch):
+    rows = corpus()
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], S)
+    whole = {tuple(r) for r in N.pairs(df).collect()}
+    monkeypatch.setattr(N, "SAMPLED", 1)
+    monkeypatch.setattr(N, "LONG", 2)
+    assert {tuple(r) for r in N.pairs(df).collect()} == whole
+
+
+def test_very_long_and_many_distinct_words(spark, monkeypatch):
+    monkeypatch.setattr(N, "SLICE", 500)
+    monkeypatch.setattr(N, "DISTINCT", 50)
+    rows = corpus()
+    want = {tuple(sorted((a, b))) for i, (a, t) in enumerate(rows) for b, u in rows[i + 1 :] if dice(t, u) >= 0.88}
+    got = {tuple(r) for r in N.pairs(spark.createDataFrame([(*r, "x", 1) for r in rows], S)).collect()}
+    assert got <= want and len(got) >= 0.97 * len(want)
+
+
+def test_what_the_sizes_and_parities_rule_out_is_not_alike(spark):
+    rows = corpus()
+    signs = N.signed(N.keyed(spark.createDataFrame([(*r, "x", 1) for r in rows], S))).select("key", "words")
+    a, b = (signs.select(signs.key.alias(f"key_{x}"), signs.words.alias(f"words_{x}")) for x in "ab")
+    ruled = a.crossJoin(b).where("key_a < key_b").where(~N._may_share(a.words_a, b.words_b, N.SIMILARITY)).collect()
+    text = dict(rows)
+    assert len(ruled) > 1000 and all(dice(text[r.key_a], text[r.key_b]) < N.SIMILARITY for r in ruled)
