@@ -1,7 +1,8 @@
 """Graphs as edge tables (u, v, length): reduction, components, paths, trees.
 
 Loops over rounds keep their state in the shared folder (`materialise`), so plans
-stay short and lost executors cost one round at most.
+stay short and lost executors cost one round at most. No task holds more than a
+part of a graph, however large its components are.
 """
 
 from __future__ import annotations
@@ -56,18 +57,31 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return roots.join(out, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def bfs(edges: DataFrame, sources: DataFrame) -> DataFrame:
+#: Nodes of a part that one task searches at a time.
+PART = 20_000
+
+
+def parts(nodes: DataFrame, size: int = PART) -> DataFrame:
+    """(node, part): the distinct nodes in ranges of their order, about `size` in each. Ids near each other are taken to lie near each other; others only cost rounds."""
+    n = materialise(nodes.select("node").where("node IS NOT NULL").distinct(), "nodes")
+    k = -(-n.count() // size)
+    if k <= 1:
+        return n.withColumn("part", F.lit(0))
+    return materialise(n.repartitionByRange(int(k), "node").withColumn("part", F.spark_partition_id()), "parts")
+
+
+def bfs(edges: DataFrame, sources: DataFrame, size: int = PART) -> DataFrame:
     """(node, depth, parent): hops from the nearest source; parents lie on ways to the least of equally near sources, the least of several."""
-    out = shortest_paths(edges.select("u", "v", F.lit(1.0).alias("length")), sources)
+    out = shortest_paths(edges.select("u", "v", F.lit(1.0).alias("length")), sources, size)
     return out.select("node", F.col("dist").cast("int").alias("depth"), F.col("pred").alias("parent"))
 
 
-def bfs_rounds(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
-    """(node, depth, parent) within `most` hops, one join a hop: for shallow searches in graphs too large for a task. Of several parents the least."""
+def bfs_rounds(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
+    """(node, depth, parent) within `most` hops, one join a hop: for shallow searches. Of several parents the least."""
     step = both_ways(edges.select("u", "v", F.lit(1.0).alias("length"))).select("u", "v").distinct()
     front = materialise(sources.select("node").where("node IS NOT NULL").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(dict(sources.dtypes)["node"]).alias("parent")), "front")
     seen, depth = front, 0
-    while most is None or depth < most:
+    while depth < most:
         depth += 1
         new = front.join(step, F.col("node") == F.col("u")).groupBy("v").agg(F.min("u").alias("parent")).join(seen.select(F.col("node").alias("v")), "v", "left_anti")
         front = materialise(new.select(F.col("v").alias("node"), F.lit(depth).alias("depth"), "parent"), "front")
@@ -77,72 +91,154 @@ def bfs_rounds(edges: DataFrame, sources: DataFrame, most: int | None = None) ->
     return seen
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, group: DataFrame | None = None) -> DataFrame:
-    """(node, dist, root, pred): the nearest source of every node it can be reached from, by total length.
-
-    Each connected component is one task's heap search, which suits street graphs
-    (a component is a town). Ties go to the smaller root, then the smaller predecessor.
-    """
-    e = parallel_min(edges)
-    comp = group if group is not None else components(e)
-    e = e.join(comp.withColumnRenamed("node", "u"), "u")
-    s = sources.select("node").where("node IS NOT NULL").distinct().join(comp, "node").select("node", F.col("component").alias("home"))
-    kind = dict(e.dtypes)["u"]
+def _local_paths():
+    """One part's search: labels that reach it are followed as far as they improve what its nodes have. A root is its own predecessor."""
 
-    def run(_key, es: pd.DataFrame, ss: pd.DataFrame) -> pd.DataFrame:
+    def run(_key, labels: pd.DataFrame, es: pd.DataFrame) -> pd.DataFrame:
         near = defaultdict(list)
         for u, v, w in zip(es.u.tolist(), es.v.tolist(), es.length.tolist()):
             near[u].append((v, w))
             near[v].append((u, w))
         best: dict = {}
-        heap = [(0.0, n, n, n) for n in sorted(ss.node.tolist())]
+        heap = []
+        # A label is (distance, root, edges, predecessor); the least is best. Counting edges keeps those without length from leading in circles.
+        for d, r, h, p, n, new in zip(*(labels[c].tolist() for c in ("dist", "root", "hops", "pred", "node", "new"))):
+            if new:
+                heap.append((d, r, h, p, n))
+            else:
+                best[n] = (d, r, h, p)
         heapq.heapify(heap)
+        moved = set()
         while heap:
-            d, root, n, pred = heapq.heappop(heap)
-            if n in best:
+            d, r, h, p, n = heapq.heappop(heap)
+            if n in best and best[n] <= (d, r, h, p):
                 continue
-            best[n] = (d, root, None if pred == n else pred)
+            best[n] = (d, r, h, p)
+            moved.add(n)
             for v, w in near[n]:
-                if v not in best:
-                    heapq.heappush(heap, (d + w, root, v, n))
-        return pd.DataFrame([(n, d, r, p) for n, (d, r, p) in best.items()], columns=["node", "dist", "root", "pred"]).astype({"pred": "Int64"} if kind in ("bigint", "int") else {})
-
-    return e.groupBy("component").cogroup(s.groupBy("home")).applyInPandas(run, f"node {kind}, dist double, root {kind}, pred {kind}")
-
-
-def relaxed_paths(edges: DataFrame, sources: DataFrame, rounds: int) -> DataFrame:
-    """(node, dist, root): as `shortest_paths` by at most `rounds` hops, one join a round; for graphs too large for a task."""
-    step = materialise(both_ways(parallel_min(edges)), "steps")
-    state = materialise(sources.select("node").distinct().select("node", F.lit(0.0).alias("dist"), F.col("node").alias("root")), "paths")
-    for _ in range(rounds):
-        on = state.join(step, F.col("node") == F.col("u")).select(F.col("v").alias("node"), (F.col("dist") + F.col("length")).alias("dist"), "root")
-        new = materialise(state.unionByName(on).groupBy("node").agg(F.min(F.struct("dist", "root")).alias("m")).select("node", "m.dist", "m.root"), "paths")
-        same = new.join(state.select("node", F.col("dist").alias("was")), "node", "left").where("was IS NULL OR was > dist").isEmpty()
-        state = new
-        if same:
-            break
-    return state
+                label = (d + w, r, h + 1, n)
+                if v not in best or label < best[v]:
+                    heapq.heappush(heap, (*label, v))
+        return pd.DataFrame([(n, *x, n in moved) for n, x in best.items()], columns=["node", "dist", "root", "hops", "pred", "new"])
 
+    return run
 
-def path_accumulate(tree: DataFrame, loads: DataFrame) -> DataFrame:
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, size: int = PART) -> DataFrame:
+    """(node, dist, root, pred): the nearest source of every node it can be reached from, by total length.
+
+    The graph is cut into parts of about `size` nodes. In each round the labels that
+    reached a part are followed within it by a heap search, then over the edges between
+    parts, until none improves: as many rounds as a way crosses parts, and no
+    task holds more than a part. Ties go to the smaller root, then
+    fewer edges, then the smaller predecessor.
+    """
+    e = materialise(parallel_min(edges), "edges")
+    kind = dict(e.dtypes)["u"]
+    ends = e.select(F.col("u").alias("node")).unionByName(e.select(F.col("v").alias("node")))
+    part = parts(ends, size)
+    pu, pv = part.select(F.col("node").alias("u"), F.col("part").alias("pu")), part.select(F.col("node").alias("v"), F.col("part").alias("pv"))
+    e = materialise(e.join(pu, "u").join(pv, "v"), "parted")
+    inner = e.where("pu = pv").select(F.col("pu").alias("part"), "u", "v", "length")
+    across = e.where("pu <> pv")
+    across = materialise(across.select("u", "v", "length", F.col("pv").alias("part")).unionByName(across.select(F.col("v").alias("u"), F.col("u").alias("v"), "length", F.col("pu").alias("part"))), "across")
+    news = sources.select("node").where("node IS NOT NULL").distinct().join(part, "node").select("part", "node", F.lit(0.0).alias("dist"), F.col("node").alias("root"), F.lit(0).alias("hops"), F.col("node").alias("pred"))
+    news = materialise(news, "labels")
+    state = news.where("false")
+    label = ["dist", "root", "hops", "pred"]
+    run = _local_paths()
+    while not news.isEmpty():
+        # Only parts that something reaches are searched; the others keep what they have.
+        live = F.broadcast(news.select("part").distinct())
+        rows = state.join(live, "part", "left_semi").withColumn("new", F.lit(False)).unionByName(news.withColumn("new", F.lit(True)))
+        es = inner.join(live, "part", "left_semi")
+        got = rows.groupBy("part").cogroup(es.groupBy("part")).applyInPandas(lambda k, a, b: run(k, a, b).assign(part=k[0]), f"node {kind}, dist double, root {kind}, hops int, pred {kind}, new boolean, part int")
+        got = materialise(got.select("part", "node", *label, "new"), "labels")
+        state = materialise(state.join(live, "part", "left_anti").unionByName(got.drop("new")), "state")
+        on = got.where("new").select(F.col("node").alias("u"), "dist", "root", "hops").join(across, "u").select("part", F.col("v").alias("node"), (F.col("dist") + F.col("length")).alias("dist"), "root", (F.col("hops") + 1).alias("hops"), F.col("u").alias("pred"))
+        best = on.groupBy("part", "node").agg(F.min(F.struct(*label)).alias("m")).select("part", "node", "m.*")
+        have = state.select("node", *(F.col(c).alias(f"h_{c}") for c in label))
+        worse = F.struct(*label) < F.struct(*(F.col(f"h_{c}") for c in label))
+        news = materialise(best.join(have, "node", "left").where(F.col("h_dist").isNull() | worse).select("part", "node", *label), "labels")
+    return state.select("node", "dist", "root", F.nullif("pred", "node").alias("pred"))
+
+
+def _climb(sums: bool):
+    """One part's loads carried up its tree: a row for each node passed, and those that leave for another part."""
+
+    def run(_key, loads: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+        up = dict(zip(tree.node.tolist(), tree.parent.tolist()))
+        out = []
+        if sums:
+            total: dict = defaultdict(float)
+            depth: dict = {}
+            for n, x in zip(loads.node.tolist(), loads.load.tolist()):
+                total[n] += x
+            # Nodes are taken from the deepest up, so each is passed on once.
+            for n in list(total):
+                path = []
+                while n not in depth and n in up:
+                    path.append(n)
+                    n = up[n]
+                d = depth.get(n, 0)
+                for m in reversed(path):
+                    d += 1
+                    depth[m] = d
+            for n in sorted(depth, key=depth.get, reverse=True):
+                total[up[n]] += total[n]
+            out = [(n, x, n not in up) for n, x in total.items()]
+        else:
+            seen = set()
+            for n, x in zip(loads.node.tolist(), loads.load.tolist()):
+                while (n, x) not in seen:
+                    seen.add((n, x))
+                    out.append((n, x, n not in up))
+                    if n not in up:
+                        break
+                    n = up[n]
+        return pd.DataFrame(out, columns=["node", "load", "left"])
+
+    return run
+
+
+def _carried(tree: DataFrame, loads: DataFrame, sums: bool, size: int) -> DataFrame:
+    """(node, load): loads with every node on their way to the root, or their sums; part by part, in as many rounds as a way crosses parts."""
+    t = materialise(tree.select("node", "parent"), "tree")
+    part = parts(t.select("node").unionByName(t.select(F.col("parent").alias("node"))), size)
+    up = t.where("parent IS NOT NULL").join(part, "node").join(part.select(F.col("node").alias("parent"), F.col("part").alias("parent_part")), "parent")
+    up = materialise(up.select("node", "parent", "part", "parent_part"), "up")
+    inner, over = up.where("part = parent_part").select("part", "node", "parent"), up.where("part <> parent_part").select("node", "parent", "parent_part")
+    kind, app = dict(t.dtypes)["node"], "double" if sums else dict(loads.dtypes)["load"]
+    run = _climb(sums)
+    # Loads of nodes the tree doesn't have stay where they are.
+    outside = loads.join(part, "node", "left_anti").select("node", "load")
+    news, done = materialise(loads.join(part, "node").select("part", "node", "load"), "loads"), []
+    while not news.isEmpty():
+        live = F.broadcast(news.select("part").distinct())
+        got = news.groupBy("part").cogroup(inner.join(live, "part", "left_semi").groupBy("part")).applyInPandas(run, f"node {kind}, load {app}, left boolean")
+        got = materialise(got, "carried")
+        done.append(got.select("node", "load"))
+        on = got.where("left").join(over, "node").select(F.col("parent_part").alias("part"), F.col("parent").alias("node"), "load")
+        news = materialise(on.groupBy("part", "node").agg(F.sum("load").alias("load")) if sums else on.distinct(), "loads")
+    out = outside
+    for d in done:
+        out = out.unionByName(d)
+    return out.groupBy("node").agg(F.sum("load").alias("load")) if sums else out.distinct()
+
+
+def path_accumulate(tree: DataFrame, loads: DataFrame, size: int = PART) -> DataFrame:
     """(node, app_id): each load of a node with every node on its way to the root, itself included.
 
-    tree: (node, parent), null parent at roots; loads: (node, app_id). Doubles the
-    ancestor table each round, so rounds are the logarithm of the depth.
+    tree: (node, parent), null parent at roots; loads: (node, app_id). The result has as
+    many rows as the loaded ways have nodes, and nothing larger is made; where only sums are wanted, `path_sums` needs no such rows.
     """
-    up = materialise(tree.where("parent IS NOT NULL").select("node", F.col("parent").alias("above")), "above")
-    reach = up
-    n = -1
-    while True:
-        more = reach.unionByName(reach.join(up.select(F.col("node").alias("above"), F.col("above").alias("next")), "above").select("node", F.col("next").alias("above"))).distinct()
-        reach = materialise(more, "above")
-        up = reach
-        k = reach.count()
-        if k == n:
-            break
-        n = k
-    own = loads.select("node", "app_id")
-    return own.unionByName(own.join(reach, "node").select(F.col("above").alias("node"), "app_id")).distinct()
+    return _carried(tree, loads.select("node", F.col("app_id").alias("load")).dropna(), False, size).withColumnRenamed("load", "app_id")
+
+
+def path_sums(tree: DataFrame, loads: DataFrame, size: int = PART) -> DataFrame:
+    """(node, load): the sum of the loads whose way to the root passes each node. loads: (node, load); null loads count 0."""
+    own = loads.where("node IS NOT NULL").groupBy("node").agg(F.sum(F.coalesce(F.col("load").cast("double"), F.lit(0.0))).alias("load"))
+    return _carried(tree, own, True, size)
 
 
 def kruskal(edges: pd.DataFrame) -> pd.DataFrame:
@@ -164,36 +260,60 @@ def kruskal(edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(keep, columns=edges.columns)
 
 
-def steiner(edges: DataFrame, terminals: DataFrame) -> DataFrame:
+#: Edges of a graph of terminals that one task spans; larger ones are spanned by rounds, with the same result.
+SPANNED = 200_000
+
+
+def spanning_forest(edges: DataFrame, most: int = SPANNED) -> DataFrame:
+    """The rows of `edges` (u, v, length, ...) that make a minimum spanning forest, ties by ends.
+
+    Up to `most` edges in one task; beyond, each tree takes its least edge to another
+    tree in rounds that at least halve the number of trees.
+    """
+    e = materialise(edges, "bridges")
+    cols = e.columns
+    if e.limit(most + 1).count() <= most:
+        return e.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda x: kruskal(x.drop(columns="_all")), e.schema)
+    tree = None
+    kept: list[DataFrame] = []
+    left = e
+    while True:
+        if tree is not None:
+            ru, rv = tree.select(F.col("node").alias("u"), F.col("component").alias("tu")), tree.select(F.col("node").alias("v"), F.col("component").alias("tv"))
+            left = materialise(left.drop("tu", "tv").join(ru, "u").join(rv, "v").where("tu <> tv"), "between")
+        else:
+            left = left.withColumn("tu", F.col("u")).withColumn("tv", F.col("v")).where("u <> v")
+        row = F.struct("length", "u", "v", *(c for c in cols if c not in ("length", "u", "v")))
+        least = left.select(F.explode(F.array("tu", "tv")).alias("t"), row.alias("r")).groupBy("t").agg(F.min("r").alias("r"))
+        new = materialise(least.select("r.*").distinct().select(cols), "least")
+        if new.isEmpty():
+            break
+        kept.append(new)
+        all_kept = kept[0]
+        for k in kept[1:]:
+            all_kept = all_kept.unionByName(k)
+        nodes = e.select(F.col("u").alias("node")).unionByName(e.select(F.col("v").alias("node")))
+        tree = materialise(components(all_kept.select("u", "v"), nodes), "trees")
+    if not kept:
+        return e.where("false")
+    return all_kept
+
+
+def steiner(edges: DataFrame, terminals: DataFrame, size: int = PART, most: int = SPANNED) -> DataFrame:
     """(u, v, length): a tree over the terminals of each component, at most twice the shortest (Mehlhorn's construction).
 
     Every node goes to its nearest terminal; edges between two terminals' regions
-    give the terminal graph, whose spanning tree is expanded along the shortest
-    paths; ends that are no terminals are pruned.
+    give the terminal graph, whose spanning forest is expanded along the shortest
+    paths. All ends are terminals, as every bridge is led to a terminal on both sides.
     """
     e = materialise(parallel_min(edges), "reduced")
-    comp = materialise(components(e), "components")
-    near = materialise(shortest_paths(e, terminals, comp), "regions")
+    near = materialise(shortest_paths(e, terminals, size), "regions")
     a = near.select(F.col("node").alias("u"), F.col("dist").alias("du"), F.col("root").alias("ru"))
     b = near.select(F.col("node").alias("v"), F.col("dist").alias("dv"), F.col("root").alias("rv"))
     cross = e.join(a, "u").join(b, "v").where("ru <> rv").select(F.least("ru", "rv").alias("a"), F.greatest("ru", "rv").alias("b"), "u", "v", "length", (F.col("du") + F.col("length") + F.col("dv")).alias("cost"))
-    bridge = cross.groupBy("a", "b").agg(F.min(F.struct("cost", "u", "v", "length")).alias("m")).select("a", "b", "m.*").join(comp.withColumnRenamed("node", "a"), "a")
-    kind = dict(e.dtypes)["u"]
-
-    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = pd.DataFrame({"u": pdf.a, "v": pdf.b, "length": pdf.cost, "x": pdf.u, "y": pdf.v, "w": pdf.length})
-        k = kruskal(g)
-        return pd.DataFrame({"u": k.x, "v": k.y, "length": k.w})
-
-    spans = materialise(bridge.groupBy("component").applyInPandas(forest, f"u {kind}, v {kind}, length double"), "bridges")
-    ends = spans.select(F.col("u").alias("node"), F.lit(1).alias("app_id")).unionByName(spans.select(F.col("v").alias("node"), F.lit(1).alias("app_id"))).distinct()
-    on_way = path_accumulate(near.select("node", F.col("pred").alias("parent")), ends).select("node").distinct()
+    bridge = cross.groupBy("a", "b").agg(F.min(F.struct("cost", "u", "v", "length")).alias("m")).select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("m.cost").alias("length"), F.col("m.u").alias("x"), F.col("m.v").alias("y"), F.col("m.length").alias("w"))
+    spans = materialise(spanning_forest(bridge, most).select(F.col("x").alias("u"), F.col("y").alias("v"), F.col("w").alias("length")), "spans")
+    ends = spans.select(F.col("u").alias("node"), F.lit(0.0).alias("load")).unionByName(spans.select(F.col("v").alias("node"), F.lit(0.0).alias("load")))
+    on_way = path_sums(near.select("node", F.col("pred").alias("parent")), ends, size).select("node")
     legs = near.join(on_way, "node", "left_semi").where("pred IS NOT NULL").select(F.least("node", "pred").alias("u"), F.greatest("node", "pred").alias("v")).distinct().join(e, ["u", "v"])
-    tree = materialise(spans.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "length").unionByName(legs.select("u", "v", "length")).distinct(), "tree")
-    keep = terminals.select("node").distinct()
-    while True:
-        degree = tree.select(F.col("u").alias("node")).unionByName(tree.select(F.col("v").alias("node"))).groupBy("node").agg(F.count("*").alias("k"))
-        bare = materialise(degree.where("k = 1").join(keep, "node", "left_anti").select("node"), "bare")
-        if bare.isEmpty():
-            return tree
-        tree = materialise(tree.join(bare.withColumnRenamed("node", "u"), "u", "left_anti").join(bare.withColumnRenamed("node", "v"), "v", "left_anti").select("u", "v", "length"), "tree")
+    return materialise(spans.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "length").unionByName(legs.select("u", "v", "length")).distinct(), "tree")

@@ -1,8 +1,10 @@
 """References to records that don't exist (yet, or any more), split by key skew.
 
-References are first reduced to distinct (owner, key, moment). Keys holding more
-than 1/HEAVY_SHARE of these are at most HEAVY_SHARE in number whatever the data,
-so their facts are broadcast; all other keys go through a shuffled anti join.
+References are first reduced to distinct (owner, key, moment); counts are first
+added up per key and period, and only periods in which a key came or went are looked
+at reference by reference. Keys holding more than 1/HEAVY_SHARE of all references are
+at most HEAVY_SHARE in number whatever the data, so their facts are broadcast; all
+other keys go through a shuffled join.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.runtime import materialise
+
 #: A key is heavy beyond this fraction of all references; the number of heavy keys can't exceed it.
 HEAVY_SHARE = 512
 #: Fewer references than this in all make no key heavy.
@@ -48,15 +52,19 @@ def _lives(prefix: str = "") -> Column:
     return F.coalesce(f <= F.col("at"), F.lit(True)) & F.coalesce(g > F.col("at"), F.lit(True))
 
 
+def _heavy(counts: DataFrame) -> DataFrame:
+    """(app_id): the keys with more than 1/HEAVY_SHARE of all references, from their counts (app_id, n)."""
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.where((F.col("n") * HEAVY_SHARE > total) & (total > HEAVY_LEAST)).select("app_id")
+
+
 def orphans(refs: DataFrame, owners: DataFrame) -> DataFrame:
     """The rows of `refs` (as made by `references`) with no living owner in `owners` (as made by `facts`).
 
     A reference or an owner without a moment is only an orphan if the key has no
     owner at all. Empty tables give empty results; extra columns play no part.
     """
-    counts = refs.groupBy("app_id").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    heavy = counts.where((F.col("n") * HEAVY_SHARE > total) & (total > HEAVY_LEAST)).select("app_id")
+    heavy = _heavy(refs.groupBy("app_id").agg(F.count("*").alias("n")))
     flagged = heavy.join(owners.withColumn("owned", F.lit(True)), "app_id", "left")
     hot = refs.join(F.broadcast(flagged), "app_id").where(F.col("owned").isNull() | ~_lives())
     rest = refs.join(F.broadcast(heavy), "app_id", "left_anti")
@@ -67,11 +75,27 @@ def orphans(refs: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 def orphans_by_period(refs: DataFrame, owners: DataFrame, period: str = "month") -> DataFrame:
-    """(ref_table, period, n_references, n_orphans), counted over distinct references; period is null where the moment is."""
-    p = F.date_format(F.date_trunc(period, "at"), "yyyy-MM-dd").alias("period")
-    a = refs.groupBy("ref_table", p).agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("m"))
-    b = orphans(refs, owners).groupBy("ref_table", p).agg(F.lit(0).cast("long").alias("n"), F.count("*").alias("m"))
-    return a.unionByName(b).groupBy("ref_table", "period").agg(F.sum("n").alias("n_references"), F.sum("m").alias("n_orphans"))
+    """(ref_table, period, n_references, n_orphans), counted over distinct references; period is null where the moment is.
+
+    References are added up per table, key and period first. What is known of the key
+    settles most of these groups whole; those in whose period the key came or went, two for each
+    table and key at most, are counted by their references.
+    """
+    dated = refs.withColumn("period", F.date_format(F.date_trunc(period, "at"), "yyyy-MM-dd"))
+    by = ["ref_table", "app_id", "period"]
+    groups = materialise(dated.groupBy(*by).agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi")), "groups")
+    heavy = materialise(_heavy(groups.groupBy("app_id").agg(F.sum("n").alias("n"))), "heavy")
+    facts_of = owners.withColumn("owned", F.lit(True))
+    hot = groups.join(F.broadcast(heavy.join(facts_of, "app_id", "left")), "app_id").withColumn("heavy", F.lit(True))
+    cold = groups.join(F.broadcast(heavy), "app_id", "left_anti").join(facts_of, "app_id", "left").withColumn("heavy", F.lit(False))
+    lost = F.col("owned").isNull() | F.coalesce(F.col("hi") < F.col("first_seen"), F.lit(False)) | F.coalesce(F.col("lo") >= F.col("gone_at"), F.lit(False))
+    kept = F.coalesce(F.col("lo") >= F.col("first_seen"), F.lit(True)) & F.coalesce(F.col("hi") < F.col("gone_at"), F.lit(True))
+    known = materialise(hot.unionByName(cold).withColumn("fate", F.when(lost, "lost").when(kept, "kept").otherwise("mixed")), "fates")
+    sums = known.groupBy("ref_table", "period").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("fate") == "lost", F.col("n")).otherwise(0)).alias("m"))
+    mixed = known.where("fate = 'mixed'").select(*by, "first_seen", "gone_at", "heavy")
+    one = [dated.join(f(mixed.where(c).drop("heavy")), by).where(~_lives()) for c, f in (("heavy", F.broadcast), ("NOT heavy", lambda d: d))]
+    more = one[0].unionByName(one[1]).groupBy("ref_table", "period").agg(F.lit(0).cast("long").alias("n"), F.count("*").alias("m"))
+    return sums.unionByName(more).groupBy("ref_table", "period").agg(F.sum("n").alias("n_references"), F.sum("m").alias("n_orphans"))
 
 
 def all_references(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:

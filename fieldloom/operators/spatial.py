@@ -8,12 +8,11 @@ neighbouring cells is the one with fewer rows by the caller's choice (the right)
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions import geo
+from fieldloom.operators import boxtree
 from fieldloom.runtime import materialise
 
 
@@ -35,31 +34,18 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, left_id: str,
     return a.join(b, ["gx", "gy"]).select(left_id, right_id, d.alias("d2")).where(F.col("d2") <= float(radius) * float(radius))
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, first: float, most: float | None = None, grow: float = 4.0) -> DataFrame:
-    """(left_id, right_id, d2): for each left row the nearest right row, the smallest id of equals; null if none is within `most`.
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, most: float | None = None) -> DataFrame:
+    """(left_id, right_id, d2): for each left row the nearest right row, the smallest id of equals; nulls if it has no position or none is within `most`.
 
-    Searches within `first` metres, then wider for rows without a hit: a hit
-    within the reach of a round is final. Rounds end when the reach covers both
-    sides' extent, so every row with a position is answered.
+    By trees of boxes over blocks of the right side, whatever the distances are; see `boxtree`.
     """
-    lt = left.select(left_id, "x", "y")
-    rt = right.where("x IS NOT NULL AND y IS NOT NULL").select(right_id, "x", "y")
-    box = lt.select("x", "y").unionByName(rt.select("x", "y")).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    span = 1.0 + (((box[1] - box[0]) ** 2 + (box[3] - box[2]) ** 2) ** 0.5 if box[0] is not None else 0.0)
-    limit = min(span, most) if most is not None else span
-    todo, done, reach = lt.where("x IS NOT NULL AND y IS NOT NULL"), [], min(first, limit)
-    while True:
-        hit = radius_join(todo, rt, reach, left_id, right_id).groupBy(left_id).agg(F.min(F.struct("d2", right_id)).alias("m")).select(left_id, f"m.{right_id}", "m.d2")
-        hit = materialise(hit, "nearest")
-        done.append(hit)
-        if reach >= limit:
-            break
-        todo = materialise(todo.join(hit, left_id, "left_anti"), "todo")
-        if todo.isEmpty():
-            break
-        reach = min(limit, reach * grow)
-    found = reduce(DataFrame.unionByName, done)
-    return lt.select(left_id).join(found, left_id, "left")
+    items = right.select(right_id, F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    return left.select(left_id).join(boxtree.nearest(left, items, left_id, right_id, most), left_id, "left")
+
+
+def nearest_line(points: DataFrame, segs: DataFrame, point_id: str, line_id: str, most: float | None = None) -> DataFrame:
+    """(point_id, line_id, d2): as `nearest`, for lines given as segments: the nearest line however far, with its distance."""
+    return points.select(point_id).join(boxtree.nearest(points, segs.select(line_id, "x1", "y1", "x2", "y2"), point_id, line_id, most), point_id, "left")
 
 
 def within_of_any(left: DataFrame, right: DataFrame, radius: float, left_id: str) -> DataFrame:
@@ -74,12 +60,33 @@ def segments(lines: DataFrame, line_id: str, line: str = "line") -> DataFrame:
     return lines.select(line_id, F.posexplode(geo.steps(F.col(line))).alias("k", "s")).select(line_id, "k", F.col("s.a.x").alias("x1"), F.col("s.a.y").alias("y1"), F.col("s.b.x").alias("x2"), F.col("s.b.y").alias("y2"))
 
 
+def _along(x1: Column, y1: Column, x2: Column, y2: Column, grow: float, size: float) -> Column:
+    """The cells (gx, gy) within `grow` of a segment, each once. The segment is followed in steps of a cell, so their number is in proportion to its length."""
+    n = F.greatest(F.ceil(F.hypot(x2 - x1, y2 - y1) / size), F.lit(1)).cast("int")
+
+    def step(i: Column) -> Column:
+        u, v = i / n, (i + 1) / n
+        ax, bx, ay, by = x1 + (x2 - x1) * u, x1 + (x2 - x1) * v, y1 + (y2 - y1) * u, y1 + (y2 - y1) * v
+        # A millionth of a cell more covers what rounding of the steps' ends may lose.
+        g = grow + size * 1e-6
+        gx = F.sequence(_cell(F.least(ax, bx) - g, size), _cell(F.greatest(ax, bx) + g, size))
+        gy = F.sequence(_cell(F.least(ay, by) - g, size), _cell(F.greatest(ay, by) + g, size))
+        return F.flatten(F.transform(gx, lambda p: F.transform(gy, lambda q: F.struct(p.alias("gx"), q.alias("gy")))))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), step)))
+
+
+def _in_cells(segs: DataFrame, names: tuple[str, str, str, str], grow: float, size: float) -> DataFrame:
+    """The segments with a row for each of their cells; those with a null end have none."""
+    ends = [F.col(c) for c in names]
+    some = segs.where(" AND ".join(f"{c} IS NOT NULL" for c in names))
+    return some.select("*", F.explode(_along(*ends, grow, size)).alias("_g")).select("*", "_g.gx", "_g.gy").drop("_g")
+
+
 def points_near_segments(points: DataFrame, segs: DataFrame, radius: float, point_id: str, line_id: str) -> DataFrame:
     """(point_id, line_id, d2): points at most `radius` from a line, with the least distance over the line's segments."""
     r = float(radius)
-    lo = lambda a, b: F.floor((F.least(a, b) - r) / r).cast("long")
-    hi = lambda a, b: F.floor((F.greatest(a, b) + r) / r).cast("long")
-    s = segs.select("*", F.explode(F.sequence(lo(F.col("x1"), F.col("x2")), hi(F.col("x1"), F.col("x2")))).alias("gx")).select("*", F.explode(F.sequence(lo(F.col("y1"), F.col("y2")), hi(F.col("y1"), F.col("y2")))).alias("gy"))
+    s = _in_cells(segs, ("x1", "y1", "x2", "y2"), r, r)
     p = points.where("x IS NOT NULL AND y IS NOT NULL").select(point_id, F.col("x").alias("px"), F.col("y").alias("py"), _cell(F.col("x"), r).alias("gx"), _cell(F.col("y"), r).alias("gy"))
     d = geo.segment_d2(*(F.col(c) for c in ("px", "py", "x1", "y1", "x2", "y2")))
     return p.join(s, ["gx", "gy"]).withColumn("d2", d).where(F.col("d2") <= r * r).groupBy(point_id, line_id).agg(F.min("d2").alias("d2"))
@@ -87,7 +94,7 @@ def points_near_segments(points: DataFrame, segs: DataFrame, radius: float, poin
 
 def snap(points: DataFrame, segs: DataFrame, radius: float, point_id: str, line_id: str) -> DataFrame:
     """(point_id, line_id, d2): the nearest line within `radius`, the smallest id of equals; points without one are left out."""
-    return points_near_segments(points, segs, radius, point_id, line_id).groupBy(point_id).agg(F.min(F.struct("d2", line_id)).alias("m")).select(point_id, f"m.{line_id}", "m.d2")
+    return boxtree.nearest(points, segs.select(line_id, "x1", "y1", "x2", "y2"), point_id, line_id, radius)
 
 
 def in_regions(points: DataFrame, regions: DataFrame, point_id: str, region_id: str, cell: float, ring: str = "ring") -> DataFrame:
@@ -105,18 +112,8 @@ def nearest_region(points: DataFrame, regions: DataFrame, point_id: str, region_
     inside = in_regions(points, regions, point_id, region_id, cell, ring).groupBy(point_id).agg(F.min(region_id).alias(region_id)).withColumn("d2", F.lit(0.0))
     inside = materialise(inside, "inside")
     todo = materialise(points.where("x IS NOT NULL AND y IS NOT NULL").join(inside, point_id, "left_anti").select(point_id, "x", "y"), "outside")
-    segs = segments(regions, region_id, ring)
-    box = points.select("x", "y").unionByName(segs.select(F.col("x1").alias("x"), F.col("y1").alias("y"))).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    limit = 1.0 + ((box[1] - box[0]) ** 2 + (box[3] - box[2]) ** 2) ** 0.5 if box[0] is not None else 1.0
-    done, reach = [inside], min(cell, limit)
-    while not todo.isEmpty():
-        hit = materialise(snap(todo, segs, reach, point_id, region_id), "sides")
-        done.append(hit.select(inside.columns))
-        if reach >= limit:
-            break
-        todo = materialise(todo.join(hit, point_id, "left_anti"), "outside")
-        reach = min(limit, reach * 4)
-    return reduce(DataFrame.unionByName, done)
+    sides = boxtree.nearest(todo, segments(regions, region_id, ring), point_id, region_id)
+    return inside.unionByName(sides.select(inside.columns))
 
 
 def overlap_share(lines: DataFrame, others: DataFrame, radius: float, line_id: str, other_id: str) -> DataFrame:
@@ -128,11 +125,10 @@ def overlap_share(lines: DataFrame, others: DataFrame, radius: float, line_id: s
     the two end circles. Overlapping stretches are merged before they are summed.
     """
     r = float(radius)
-    span = lambda a, b, g: F.explode(F.sequence(F.floor((F.least(a, b) - g) / r).cast("long"), F.floor((F.greatest(a, b) + g) / r).cast("long")))
     a = lines.select(F.col(line_id), F.col("k").alias("k"), *(F.col(c).alias(c) for c in ("x1", "y1", "x2", "y2")))
     b = others.select(F.col(other_id), F.col("k").alias("ok"), *(F.col(c).alias("o" + c) for c in ("x1", "y1", "x2", "y2")))
-    ga = a.select("*", span(F.col("x1"), F.col("x2"), 0.0).alias("gx")).select("*", span(F.col("y1"), F.col("y2"), 0.0).alias("gy"))
-    gb = b.select("*", span(F.col("ox1"), F.col("ox2"), r).alias("gx")).select("*", span(F.col("oy1"), F.col("oy2"), r).alias("gy"))
+    ga = _in_cells(a, ("x1", "y1", "x2", "y2"), 0.0, r)
+    gb = _in_cells(b, ("ox1", "oy1", "ox2", "oy2"), r, r)
     met = ga.join(gb, ["gx", "gy"]).drop("gx", "gy").distinct()
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     ex, ey = F.col("ox2") - F.col("ox1"), F.col("oy2") - F.col("oy1")
@@ -174,11 +170,10 @@ def overlap_share(lines: DataFrame, others: DataFrame, radius: float, line_id: s
 def near_segments(lines: DataFrame, others: DataFrame, radius: float, line_id: str, other_id: str) -> DataFrame:
     """(line_id, other_id) of lines (as segments) that come within `radius` of each other, crossings included."""
     r = float(radius)
-    span = lambda a, b, g: F.explode(F.sequence(F.floor((F.least(a, b) - g) / r).cast("long"), F.floor((F.greatest(a, b) + g) / r).cast("long")))
     a = lines.select(F.col(line_id), *(F.col(c).alias(c) for c in ("x1", "y1", "x2", "y2")))
     b = others.select(F.col(other_id), *(F.col(c).alias("o" + c) for c in ("x1", "y1", "x2", "y2")))
-    ga = a.select("*", span(F.col("x1"), F.col("x2"), 0.0).alias("gx")).select("*", span(F.col("y1"), F.col("y2"), 0.0).alias("gy"))
-    gb = b.select("*", span(F.col("ox1"), F.col("ox2"), r).alias("gx")).select("*", span(F.col("oy1"), F.col("oy2"), r).alias("gy"))
+    ga = _in_cells(a, ("x1", "y1", "x2", "y2"), 0.0, r)
+    gb = _in_cells(b, ("ox1", "oy1", "ox2", "oy2"), r, r)
     c = {k: F.col(k) for k in ("x1", "y1", "x2", "y2", "ox1", "oy1", "ox2", "oy2")}
     side = lambda px, py, qx, qy, sx, sy: (c[qx] - c[px]) * (c[sy] - c[py]) - (c[qy] - c[py]) * (c[sx] - c[px])
     cross = (side("x1", "y1", "x2", "y2", "ox1", "oy1") * side("x1", "y1", "x2", "y2", "ox2", "oy2") < 0) & (side("ox1", "oy1", "ox2", "oy2", "x1", "y1") * side("ox1", "oy1", "ox2", "oy2", "x2", "y2") < 0)
@@ -194,16 +189,16 @@ def meets_box(ring: Column, box: tuple[float, float, float, float]) -> Column:
 
 def lines_in_regions(lines: DataFrame, regions: DataFrame, line_id: str, region_id: str, cell: float, ring: str = "ring") -> DataFrame:
     """(line_id, region_id) of lines (as segments) that touch a region: a side crossed, or an end inside."""
-    sides = segments(regions, region_id, ring)
-    crossed = near_segments(lines, sides, cell, line_id, region_id)
-    a = lines.select(line_id, F.col("x1").alias("x"), F.col("y1").alias("y")).unionByName(lines.select(line_id, F.col("x2").alias("x"), F.col("y2").alias("y")))
-    inside = in_regions(a, regions, line_id, region_id, cell, ring)
-    near = crossed.join(lines, line_id).join(sides.select(F.col(region_id), F.col("x1").alias("ox1"), F.col("y1").alias("oy1"), F.col("x2").alias("ox2"), F.col("y2").alias("oy2")), region_id)
+    sides = segments(regions, region_id, ring).select(F.col(region_id), *(F.col(c).alias("o" + c) for c in ("x1", "y1", "x2", "y2")))
+    ga = _in_cells(lines.select(line_id, "x1", "y1", "x2", "y2"), ("x1", "y1", "x2", "y2"), 0.0, float(cell))
+    gb = _in_cells(sides, ("ox1", "oy1", "ox2", "oy2"), 0.0, float(cell))
     c = {k: F.col(k) for k in ("x1", "y1", "x2", "y2", "ox1", "oy1", "ox2", "oy2")}
     side = lambda px, py, qx, qy, sx, sy: (c[qx] - c[px]) * (c[sy] - c[py]) - (c[qy] - c[py]) * (c[sx] - c[px])
     cross = (side("x1", "y1", "x2", "y2", "ox1", "oy1") * side("x1", "y1", "x2", "y2", "ox2", "oy2") <= 0) & (side("ox1", "oy1", "ox2", "oy2", "x1", "y1") * side("ox1", "oy1", "ox2", "oy2", "x2", "y2") <= 0)
     boxes = (F.greatest("x1", "x2") >= F.least("ox1", "ox2")) & (F.greatest("ox1", "ox2") >= F.least("x1", "x2")) & (F.greatest("y1", "y2") >= F.least("oy1", "oy2")) & (F.greatest("oy1", "oy2") >= F.least("y1", "y2"))
-    return near.where(cross & boxes).select(line_id, region_id).union(inside.select(line_id, region_id)).distinct()
+    crossed = ga.join(gb, ["gx", "gy"]).where(cross & boxes).select(line_id, region_id)
+    a = lines.select(line_id, F.col("x1").alias("x"), F.col("y1").alias("y")).unionByName(lines.select(line_id, F.col("x2").alias("x"), F.col("y2").alias("y")))
+    return crossed.union(in_regions(a, regions, line_id, region_id, cell, ring).select(line_id, region_id)).distinct()
 
 
 def extents(points: DataFrame, key: str, most: float | None = None) -> DataFrame:

@@ -35,7 +35,7 @@ def extend(developments: DataFrame, nodes: DataFrame, edges: DataFrame, segs: Da
     at = spatial.snap(developments, segs.join(served.select("edge_id"), "edge_id", "left_semi"), near, "app_id", "edge_id")
     near_by = materialise(developments.select("app_id").join(at.select("app_id", F.col("edge_id").alias("attached_to"), F.sqrt("d2").alias("distance_m")), "app_id", "left").withColumn("connected", F.col("attached_to").isNotNull()), "connected")
     todo = developments.join(near_by.where("NOT connected"), "app_id", "left_semi")
-    terminal = materialise(spatial.nearest(todo, nodes, "app_id", "node", first=200.0).where("node IS NOT NULL").select("app_id", "node"), "terminals")
+    terminal = materialise(spatial.nearest(todo, nodes, "app_id", "node").where("node IS NOT NULL").select("app_id", "node"), "terminals")
     short = materialise(graph.parallel_min(edges, ("edge_id", "confidence")), "short")
     on = short.where("confidence <> 'none'")
     kind = dict(short.dtypes)["u"]

@@ -28,7 +28,7 @@ def access(spark: SparkSession, sf: str) -> DataFrame:
     d = view(spark, sf, "b_dev")
     busy = view(spark, sf, "b_stop_time").where("departure_time >= '07:00:00' AND departure_time < '10:00:00'").groupBy("stop_id").agg(F.count("*").alias("n")).where("n >= 6")
     stops = view(spark, sf, "b_stop").select("stop_id", "x", "y").join(busy, "stop_id", "left_semi")
-    n = spatial.nearest(d, stops, "dev_id", "stop_id", first=1500.0)
+    n = spatial.nearest(d, stops, "dev_id", "stop_id")
     m = F.sqrt("d2")
     kind = F.when(m <= 400, "served").when(m <= 1000, "weak").otherwise("unserved")
     return n.select("dev_id", "stop_id", F.round(m, 6).alias("metres"), kind.alias("access"), measures.clipped(m / 10.0).alias("score"))
@@ -65,14 +65,14 @@ def school_pressure(spark: SparkSession, sf: str) -> DataFrame:
 @query(ctes("b_dev", "b_school") + """SELECT dev_id, school_id, d2 FROM (SELECT dev_id, school_id, (d.x-s.x)*(d.x-s.x)+(d.y-s.y)*(d.y-s.y) AS d2,
 row_number() OVER (PARTITION BY dev_id ORDER BY (d.x-s.x)*(d.x-s.x)+(d.y-s.y)*(d.y-s.y), school_id) AS k FROM b_dev d, b_school s) WHERE k = 1""")
 def nearest_school(spark: SparkSession, sf: str) -> DataFrame:
-    return spatial.nearest(view(spark, sf, "b_dev"), view(spark, sf, "b_school"), "dev_id", "school_id", first=3000.0)
+    return spatial.nearest(view(spark, sf, "b_dev"), view(spark, sf, "b_school"), "dev_id", "school_id")
 
 
 @query(ctes("b_dev", "b_school") + """, m AS (SELECT dev_id, school_id, (d.x-s.x)*(d.x-s.x)+(d.y-s.y)*(d.y-s.y) AS d2 FROM b_dev d, b_school s WHERE (d.x-s.x)*(d.x-s.x)+(d.y-s.y)*(d.y-s.y) <= 1000000.0),
 b AS (SELECT dev_id, school_id, d2, row_number() OVER (PARTITION BY dev_id ORDER BY d2, school_id) AS k FROM m) SELECT d.dev_id, b.school_id, b.d2 FROM b_dev d LEFT JOIN b ON b.dev_id = d.dev_id AND b.k = 1""")
 def nearest_within(spark: SparkSession, sf: str) -> DataFrame:
     """With a largest distance; without a hit the row stays, with nulls."""
-    return spatial.nearest(view(spark, sf, "b_dev"), view(spark, sf, "b_school"), "dev_id", "school_id", first=1000.0, most=1000.0)
+    return spatial.nearest(view(spark, sf, "b_dev"), view(spark, sf, "b_school"), "dev_id", "school_id", most=1000.0)
 
 
 @query(ctes("b_stop", "b_dev") + "SELECT stop_id FROM b_stop s WHERE EXISTS (SELECT 1 FROM b_dev d WHERE (d.x-s.x)*(d.x-s.x)+(d.y-s.y)*(d.y-s.y) <= 250000.0)")

@@ -44,7 +44,7 @@ def access(developments: DataFrame, stops: DataFrame, frequent: float = 6.0, ser
     """(app_id, any_m, frequent_m, rail_m, access): distances to the nearest stop, frequent stop and station."""
     out = developments.select("app_id")
     for name, some in (("any_m", stops), ("frequent_m", stops.where(F.col("peak_per_hr") >= frequent)), ("rail_m", stops.where("rail_any > 0"))):
-        d = spatial.nearest(developments, some, "app_id", "stop_id", first=1000.0).select("app_id", F.sqrt("d2").alias(name))
+        d = spatial.nearest(developments, some, "app_id", "stop_id").select("app_id", F.sqrt("d2").alias(name))
         out = out.join(d, "app_id", "left")
     return out.withColumn("access", F.when(F.col("frequent_m") <= served, "served").when(F.col("any_m") <= served, "weak").otherwise("unserved"))
 
@@ -59,11 +59,11 @@ def routes_for(developments: DataFrame, targets: DataFrame, nodes: DataFrame, ed
     sums = d.groupBy("cluster").agg(F.sum("units").alias("units"), F.sum("demand").alias("demand"), F.count("*").alias("size"), F.avg("x").alias("x"), F.avg("y").alias("y")).where(F.col("units") >= least_units)
     # As many rows as routes, which the window orders in one task.
     num = materialise(sums.withColumn("n", F.row_number().over(Window.orderBy(F.desc("units"), "cluster"))), "numbered")
-    goal = spatial.nearest(num, targets, "cluster", "stop_id", first=2000.0).join(targets.select("stop_id", "x", "y"), "stop_id")
+    goal = spatial.nearest(num, targets, "cluster", "stop_id").join(targets.select("stop_id", "x", "y"), "stop_id")
     tour = cluster.greedy_tours(d.join(num.select("cluster"), "cluster", "left_semi"), "cluster", "app_id").join(d.select("app_id", "x", "y"), "app_id")
     calls = tour.select("cluster", "stop", "x", "y").unionByName(num.select("cluster", F.lit(-1).alias("stop"), "x", "y")).unionByName(goal.select("cluster", F.lit(1 << 30).alias("stop"), "x", "y"))
     calls = calls.withColumn("call", F.concat_ws("/", "cluster", "stop"))
-    at = materialise(spatial.nearest(calls, nodes, "call", "node", first=500.0).join(calls, "call").select("cluster", "stop", "node"), "calls")
+    at = materialise(spatial.nearest(calls, nodes, "call", "node").join(calls, "call").select("cluster", "stop", "node"), "calls")
     legs = at.withColumn("to", F.lead("node").over(Window.partitionBy("cluster").orderBy("stop"))).where("to IS NOT NULL AND node <> to")
     length = leg_lengths(edges, legs.select("node", "to").distinct())
     total = legs.join(length, ["node", "to"], "left").groupBy("cluster").agg(F.sum("dist").alias("m"), F.count_if(F.col("dist").isNull()).alias("gaps")).where("gaps = 0")

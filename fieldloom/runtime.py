@@ -72,11 +72,11 @@ def materialise(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def within_bytes(df: DataFrame, limit_rows: int) -> bool:
-    """Whether `df` has at most `limit_rows` rows; the check a broadcast needs. Reads no more than that."""
-    return len(df.limit(limit_rows + 1).select(F.lit(1)).collect()) <= limit_rows
+def within_rows(df: DataFrame, limit_rows: int) -> bool:
+    """Whether `df`, best a materialised one, has at most `limit_rows` rows; counted on the executors, reading no more than that."""
+    return df.limit(limit_rows + 1).count() <= limit_rows
 
 
 def checked_broadcast(df: DataFrame, limit_rows: int) -> DataFrame:
     """`df`, with a broadcast hint only if it has at most `limit_rows` rows."""
-    return F.broadcast(df) if within_bytes(df, limit_rows) else df
+    return F.broadcast(df) if within_rows(df, limit_rows) else df

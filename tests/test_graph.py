@@ -1,6 +1,7 @@
 import heapq
 import random
 from collections import defaultdict
+from functools import lru_cache
 
 import pytest
 
@@ -82,15 +83,58 @@ def test_paths(spark):
     connected = {n: x for n, x in want.items() if n in got or n in have}
     assert {n: x[0] for n, x in got.items()} == {n: x[0] for n, x in connected.items() if n in got}
     assert set(got) == {n for n in want if any(u != v and n in (u, v) for u, v, _ in e)}
-    slow = {r.node: r.dist for r in G.relaxed_paths(d, s, 40).collect()}
-    assert all(slow[n] == x[0] for n, x in got.items())
+    small = {tuple(r) for r in G.shortest_paths(d, s, size=7).collect()}
+    assert small == {tuple(r) for r in G.shortest_paths(d, s).collect()}
+
+
+def test_parts_agree_with_one(spark):
+    # A connected grid cut into parts that ways cross again and again, with ties everywhere.
+    e = [(i, i + 1, 1.0) for i in range(119) if i % 10 != 9] + [(i, i + 10, 1.0 + i % 2) for i in range(110)]
+    d, s = spark.createDataFrame(e, E), spark.createDataFrame([(5,), (114,)], "node long")
+    want = dijkstra(e, [5, 114])
+    rows = {r.node: r for r in G.shortest_paths(d, s, size=9).collect()}
+    assert {n: (r.dist, r.root) for n, r in rows.items()} == want
+    length = {frozenset((u, v)): w for u, v, w in e}
+
+    @lru_cache(None)
+    def hops(n):
+        return 0 if n in (5, 114) else 1 + min(hops(p) for p, w in adj(e)[n] if want[p][0] + w == want[n][0] and want[p][1] == want[n][1])
+
+    for n, r in rows.items():
+        before = [(hops(p), p) for p, w in adj(e)[n] if want[p][0] + w == r.dist and want[p][1] == r.root]
+        assert r.pred == (min(before)[1] if n not in (5, 114) else None)
+        assert r.pred is None or length[frozenset((n, r.pred))] > 0
+    tree = spark.createDataFrame([(n, r.pred) for n, r in rows.items()], "node long, parent long")
+    up = {n: r.pred for n, r in rows.items()}
+
+    def way(n):
+        while n is not None:
+            yield n
+            n = up[n]
+
+    loads = spark.createDataFrame([(n, float(n % 5)) for n in range(0, 120, 3)], "node long, load double")
+    sums = defaultdict(float)
+    for n in range(0, 120, 3):
+        for x in way(n):
+            sums[x] += n % 5
+    for size in (11, 10_000):
+        assert {r.node: r.load for r in G.path_sums(tree, loads, size).collect()} == sums
+        apps = spark.createDataFrame([(n, f"a{n}") for n in (0, 60, 119)], "node long, app_id string")
+        assert {tuple(r) for r in G.path_accumulate(tree, apps, size).collect()} == {(x, f"a{n}") for n in (0, 60, 119) for x in way(n)}
+
+
+def test_spanning_forest_by_rounds(spark):
+    e = [(min(u, v), max(u, v), w) for u, v, w in random_graph(9, 40, 90) if u != v]
+    d = G.parallel_min(spark.createDataFrame(e, E))
+    one, many = ({tuple(r) for r in G.spanning_forest(d, most).collect()} for most in (10_000, 5))
+    assert one == many and len(one) == len(find(e)) - len(set(find(e).values()))
 
 
 def test_bfs_and_loads(spark):
     e = [(0, 1, 1.0), (0, 2, 1.0), (1, 3, 1.0), (2, 3, 1.0), (3, 4, 1.0), (8, 9, 1.0)]
     g, s = spark.createDataFrame(e, E), spark.createDataFrame([(0,)], "node long")
     b = {r.node: (r.depth, r.parent) for r in G.bfs(g, s).collect()}
-    assert {r.node: (r.depth, r.parent) for r in G.bfs_rounds(g, s).collect()} == b
+    assert {r.node: (r.depth, r.parent) for r in G.bfs_rounds(g, s, 99).collect()} == b
     assert {r.node for r in G.bfs_rounds(g, s, 1).collect()} == {0, 1, 2}
     assert b == {0: (0, None), 1: (1, 0), 2: (1, 0), 3: (2, 1), 4: (3, 3)}
     t = spark.createDataFrame([(n, p) for n, (_, p) in b.items()], "node long, parent long")
@@ -103,7 +147,7 @@ def test_steiner(spark, seed):
     e = random_graph(seed, 40, 80)
     comp = find([x for x in e if x[0] != x[1]])
     terms = sorted(comp)[::5]
-    tree = [tuple(r) for r in G.steiner(spark.createDataFrame(e, E), spark.createDataFrame([(t,) for t in terms], "node long")).collect()]
+    tree = [tuple(r) for r in G.steiner(spark.createDataFrame(e, E), spark.createDataFrame([(t,) for t in terms], "node long"), *((7, 3) if seed == 4 else ())).collect()]
     assert all(any({u, v} == {a, b} and w == c for a, b, c in e) for u, v, w in tree)
     nodes = {n for u, v, _ in tree for n in (u, v)}
     tc = find(tree)

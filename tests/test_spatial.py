@@ -27,11 +27,11 @@ def test_nearest(spark):
     a, da = pts(spark, 60, 3, "a")
     b, db = pts(spark, 25, 4, "b")
     want = {i: min(((x - u) ** 2 + (y - v) ** 2, j) for j, u, v in b) for i, x, y in a}
-    got = {r.a: (r.d2, r.b) for r in spatial.nearest(da, db, "a", "b", first=10.0).collect()}
+    got = {r.a: (r.d2, r.b) for r in spatial.nearest(da, db, "a", "b").collect()}
     assert got.pop(61) == (None, None) and got == want
-    capped = {r.a: r.b for r in spatial.nearest(da, db, "a", "b", first=10.0, most=50.0).collect()}
+    capped = {r.a: r.b for r in spatial.nearest(da, db, "a", "b", most=50.0).collect()}
     assert all(capped[i] == (j if d <= 2500 else None) for i, (d, j) in want.items())
-    assert all(r.b is None for r in spatial.nearest(da, db.where("false"), "a", "b", first=10.0).collect())
+    assert all(r.b is None for r in spatial.nearest(da, db.where("false"), "a", "b").collect())
 
 
 def brute_seg(px, py, x1, y1, x2, y2):
