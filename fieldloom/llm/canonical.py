@@ -1,15 +1,17 @@
 """Mapping freely typed street names to a canonical list by BK-trees.
 
-Each name is read into its parts; the name proper is searched in a BK-tree over
-the list's names proper, which returns every one within the threshold; of the
-listed streets bearing one of them, those of the same type and qualifiers remain.
-A list up to SHARD rows is one tree sent to every executor; a longer one is cut
-into shards, each searched on its own, and the shards' winners are merged.
+Each distinct name is read into its parts once; the distinct names proper are
+searched in a BK-tree over the list's names proper, which returns every one within
+the threshold. Of the listed streets bearing one of them, those of the same type
+and qualifiers remain, and the nearest wins. A list up to SHARD names proper is one
+tree sent to every executor; a longer one is cut into shards, each searched on its
+own. Shards return all they hold within the threshold, and what a name denotes is
+decided once, from all shards' answers.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,15 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.bktree import BKTree
-from fieldloom.llm.street_names import Street, parse, unglued
-from fieldloom.runtime import within_bytes
+from fieldloom.llm.street_names import parse, unglued
+from fieldloom.runtime import checked_broadcast, materialise, within_rows
 
-#: Rows of the list that one tree holds (some 20 MB).
+#: Names proper that one tree holds (some 20 MB).
 SHARD = 200_000
-#: Distinct names searched at a time.
+#: Distinct names proper searched at a time.
 BLOCK = 4096
-#: Results a worker remembers; beyond, it forgets all.
-MEMORY = 200_000
+#: Names proper that meet a shard in one task.
+QUERIES = 100_000
 
 
 def threshold(base: str) -> int:
@@ -34,108 +36,128 @@ def threshold(base: str) -> int:
     return 0 if len(base) < 4 else 1 if len(base) < 6 else 2
 
 
-class Index:
-    """The search structure of one shard of the list."""
-
-    def __init__(self, ids, names):
-        self.by: dict[str, list] = defaultdict(list)
-        for i, n in zip(ids, names):
-            p = parse(n) if n else None
-            if p:
-                self.by[p.base].append((int(i), p))
-        self.tree = BKTree(list(self.by))
-
-    def candidates(self, names: list[str]) -> list[tuple[int, list[tuple[int, int]]]]:
-        """For each name (least distance of any listed name proper, [(distance, street_id)] of the streets it may denote)."""
-        parsed = [parse(n) for n in names]
-        out = self._fits(parsed)
-        # A name that comes near nothing may have its type glued on: its readings are searched too.
-        lost = [(k, r) for k, (p, (least, _)) in enumerate(zip(parsed, out)) if p and least == 99 for r in unglued(p)]
-        for (k, _), (least, fit) in zip(lost, self._fits([r for _, r in lost])):
-            if fit:
-                out[k] = (min(out[k][0], least), out[k][1] + fit)
-        return out
-
-    def _fits(self, parsed: list[Street | None]) -> list[tuple[int, list[tuple[int, int]]]]:
-        bases = sorted({p.base for p in parsed if p})
-        hits = dict(zip(bases, self.tree.search(bases, np.array([threshold(b) for b in bases], int))))
-        out = []
-        for p in parsed:
-            near = hits[p.base] if p else []
-            fit = []
-            for d, base in near:
-                streets = [(i, s) for i, s in self.by[base] if s.saint == p.saint]
-                if not p.types and not p.qualifiers:
-                    # Without its type a name denotes a street only if the list has one street of that name.
-                    fit += [(d, i) for i, _ in streets] if len(streets) == 1 else [(d, -1), (d, -2)] * bool(streets)
-                else:
-                    alone = sum(s.qualifiers == p.qualifiers for _, s in streets) == 1
-                    fit += [(d, i) for i, s in streets if s.qualifiers == p.qualifiers and (s.types & p.types if p.types else alone)]
-            out.append((near[0][0] if near else 99, fit))
-        return out
-
-
-def winner(least: int, fit: list[tuple[int, int]]) -> int:
-    """The one street among the nearest candidates, or -1 if there is none or more than one."""
-    if least == 0:
-        fit = [(d, i) for d, i in fit if d == 0]
-    if not fit:
-        return -1
-    best = min(d for d, _ in fit)
-    ids = {i for d, i in fit if d == best}
-    return ids.pop() if len(ids) == 1 else -1
+_PARTS = "saint boolean, types array<string>, quals string"
 
 
-def matched(names: DataFrame, listed: DataFrame, shard: int = SHARD) -> DataFrame:
-    """`names` (edge_id, street_name) with the street_id each denotes, -1 for none. Null names are kept out by the caller."""
-    if within_bytes(listed, shard):
-        rows = sorted((r.street_id, r.street_name) for r in listed.select("street_id", "street_name").where("street_id IS NOT NULL AND street_name IS NOT NULL").collect())
+def _row(p) -> tuple:
+    return (p.base, p.saint, sorted(p.types), " ".join(sorted(p.qualifiers)))
+
+
+def listed_streets(streets: DataFrame) -> DataFrame:
+    """(street_id, word, saint, types, quals) of the list's rows with an id and a name; word is the name proper."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, *_row(p)) for i, p in zip(b.street_id, map(parse, b.street_name)) if p]
+            yield pd.DataFrame(rows, columns=["street_id", "word", "saint", "types", "quals"])
+
+    rows = streets.select(F.col("street_id").cast("long").alias("street_id"), "street_name").where("street_id IS NOT NULL AND street_name IS NOT NULL").distinct()
+    return materialise(rows.mapInPandas(run, f"street_id long, word string, {_PARTS}"), "listed")
+
+
+def readings(names: DataFrame) -> DataFrame:
+    """(street_name, reading, base, saint, types, quals) of distinct names: 0 as written, further ones with a glued type cut off."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(n, k, *_row(q)) for n, p in zip(b.street_name, map(parse, b.street_name)) if p for k, q in enumerate([p, *unglued(p)])]
+            yield pd.DataFrame(rows, columns=["street_name", "reading", "base", "saint", "types", "quals"]).astype({"reading": "int32"})
+
+    return materialise(names.mapInPandas(run, f"street_name string, reading int, base string, {_PARTS}"), "readings")
+
+
+#: The tree a Python worker has built last, with the search it is for.
+_BUILT: dict[str, BKTree] = {}
+
+
+def _hits(tree: BKTree, bases: list[str]) -> pd.DataFrame:
+    """(base, d, word) of all the tree holds within the bases' thresholds, BLOCK of them searched at a time."""
+    out = []
+    for s in range(0, len(bases), BLOCK):
+        part = bases[s : s + BLOCK]
+        found = tree.search(part, np.array([threshold(x) for x in part], int))
+        out += [(x, d, w) for x, hits in zip(part, found) for d, w in hits]
+    return pd.DataFrame(out, columns=["base", "d", "word"]).astype({"d": "int32"})
+
+
+def near_words(bases: DataFrame, words: DataFrame, shard: int = SHARD) -> DataFrame:
+    """(base, d, word): of the distinct `words` every one within each distinct base's threshold; a base that is a word has only itself."""
+    same = bases.join(words.withColumnRenamed("word", "base"), "base", "left_semi").select("base", F.lit(0).alias("d"), F.col("base").alias("word"))
+    rest = bases.join(words.withColumnRenamed("word", "base"), "base", "left_anti")
+    if within_rows(words, shard):
+        held, name = sorted(r.word for r in words.collect()), uuid.uuid4().hex
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index = Index(*zip(*rows)) if rows else Index([], [])
-            known: dict[str, int] = {}
+            if name not in _BUILT:
+                _BUILT.clear()
+                _BUILT[name] = BKTree(held)
             for b in batches:
-                new = sorted(set(b.street_name) - known.keys())
-                if len(known) > MEMORY:
-                    known.clear()
-                    new = sorted(set(b.street_name))
-                for s in range(0, len(new), BLOCK):
-                    part = new[s : s + BLOCK]
-                    known.update(zip(part, (winner(*c) for c in index.candidates(part))))
-                yield pd.DataFrame({"edge_id": b.edge_id, "street_id": b.street_name.map(known).astype("int64")})
-
-        return names.select("edge_id", "street_name").mapInPandas(run, "edge_id string, street_id long")
-    n = listed.count()
-    shards = -(-n // shard)
-    distinct = names.select("street_name").distinct()
-    blocks = max(1, distinct.count() // 100_000)
-    q = distinct.withColumn("block", F.pmod(F.xxhash64("street_name"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    r = listed.select("street_id", F.col("street_name").alias("listed_name")).withColumn("shard", F.pmod(F.xxhash64("street_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-
-    def local(_key, qs: pd.DataFrame, rs: pd.DataFrame) -> pd.DataFrame:
-        index, out = Index(rs.street_id, rs.listed_name), []
-        for s in range(0, len(qs), BLOCK):
-            part = qs.street_name.tolist()[s : s + BLOCK]
-            for name, (least, fit) in zip(part, index.candidates(part)):
-                out += [(name, least, d, i) for d, i in fit] or [(name, least, 99, -1)]
-        return pd.DataFrame(out, columns=["street_name", "least", "d", "street_id"])
-
-    found = q.groupBy("shard", "block").cogroup(r.groupBy("shard", "block")).applyInPandas(local, "street_name string, least int, d int, street_id long")
-    merged = found.groupBy("street_name").agg(F.min("least").alias("least"), F.collect_set(F.struct("d", "street_id")).alias("fit"))
-    fit = F.filter("fit", lambda c: (c.d < 99) & ((F.col("least") > 0) | (c.d == 0)))
+                yield _hits(_BUILT[name], b.base.tolist())
+
+        found = rest.mapInPandas(run, "base string, d int, word string")
+    else:
+        shards, blocks = -(-words.count() // shard), max(1, -(-rest.count() // QUERIES))
+        q = rest.withColumn("block", F.pmod(F.xxhash64("base"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+        w = words.withColumn("shard", F.pmod(F.xxhash64("word"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+        def local(_key, qs: pd.DataFrame, ws: pd.DataFrame) -> pd.DataFrame:
+            return _hits(BKTree(ws.word.tolist()), qs.base.tolist())
+
+        found = q.groupBy("shard", "block").cogroup(w.groupBy("shard", "block")).applyInPandas(local, "base string, d int, word string")
+    return materialise(same.unionByName(found), "near")
+
+
+def fits(read: DataFrame, near: DataFrame, listed: DataFrame) -> DataFrame:
+    """(street_name, reading, least, fit): the least distance of any name proper, and the (d, street_id) of streets the reading may denote.
+
+    Ids below 0 stand for several streets that one reading can't tell apart.
+    """
+    met = read.join(near, "base")
+    least = met.groupBy("street_name", "reading").agg(F.min("d").alias("least"))
+    l = listed.select("street_id", "word", "saint", F.col("types").alias("l_types"), F.col("quals").alias("l_quals"))
+    cand = met.join(l, ["word", "saint"])
+    same = (F.col("quals") == F.col("l_quals")).cast("int")
+    by = cand.groupBy("street_name", "reading", "word", "d", "types", "quals").agg(F.count("*").alias("n"), F.sum(same).alias("n_same"), F.min("street_id").alias("only"), F.collect_list(F.when(F.col("quals") == F.col("l_quals"), F.struct("street_id", "l_types"))).alias("same"))
+    hit = lambda i: F.struct("d", i.cast("long").alias("street_id"))
+    # Without its type a name denotes a street only if the list has one street of that name.
+    bare = F.when(F.col("n") == 1, F.array(hit(F.col("only")))).otherwise(F.array(hit(F.lit(-1)), hit(F.lit(-2))))
+    typed = F.filter("same", lambda s: F.arrays_overlap(s.l_types, F.col("types")))
+    chosen = F.when(F.size("types") > 0, typed).when(F.col("n_same") == 1, F.col("same")).otherwise(F.filter("same", lambda s: F.lit(False)))
+    fit = F.when((F.size("types") == 0) & (F.col("quals") == ""), bare).otherwise(F.transform(chosen, lambda s: hit(s.street_id)))
+    got = by.select("street_name", "reading", fit.alias("f")).groupBy("street_name", "reading").agg(F.flatten(F.collect_list("f")).alias("fit"))
+    return least.join(got, ["street_name", "reading"], "left")
+
+
+def winners(names: DataFrame, streets: DataFrame, shard: int = SHARD) -> DataFrame:
+    """(street_name, street_id): the one nearest street each distinct name denotes; names that denote none, or several equally, are left out."""
+    listed = listed_streets(streets)
+    words = materialise(listed.select("word").distinct(), "words")
+    read = readings(names)
+    plain = read.where("reading = 0")
+    first = materialise(fits(plain, near_words(plain.select("base").distinct(), words, shard), listed), "fits")
+    # A name that comes near nothing may have its type glued on: its other readings are searched too.
+    lost = materialise(read.where("reading > 0").join(first.select("street_name"), "street_name", "left_anti"), "lost")
+    again = fits(lost, near_words(lost.select("base").distinct(), words, shard), listed)
+    both = first.unionByName(again).where("size(fit) > 0").groupBy("street_name").agg(F.min("least").alias("least"), F.array_distinct(F.flatten(F.collect_list("fit"))).alias("fit"))
+    fit = F.filter("fit", lambda c: (F.col("least") > 0) | (c.d == 0))
     best = F.array_min(F.transform(fit, lambda c: c.d))
     ids = F.array_distinct(F.transform(F.filter(fit, lambda c: c.d == best), lambda c: c.street_id))
-    won = merged.select("street_name", F.when(F.size(ids) == 1, F.greatest(F.get(ids, F.lit(0)), F.lit(-1).cast("long"))).otherwise(F.lit(-1).cast("long")).alias("street_id"))
-    return names.join(won, "street_name").select("edge_id", "street_id")
+    return both.select("street_name", ids.alias("ids")).where("size(ids) = 1 AND ids[0] >= 0").select("street_name", F.element_at("ids", 1).alias("street_id"))
+
+
+def matched(names: DataFrame, listed: DataFrame, shard: int = SHARD) -> DataFrame:
+    """`names` (edge_id, street_name) with the street_id each denotes, -1 for none. Null names are kept out by the caller."""
+    won = materialise(winners(names.select("street_name").distinct(), listed, shard), "won")
+    return names.join(checked_broadcast(won, SHARD), "street_name", "left").select("edge_id", F.coalesce("street_id", F.lit(-1).cast("long")).alias("street_id"))
 
 
-def denoted_streets(network: DataFrame, streets: DataFrame) -> DataFrame:
+def denoted_streets(network: DataFrame, streets: DataFrame, shard: int = SHARD) -> DataFrame:
     """(edge_id, street_id): edges whose name isn't letter for letter in the list, with the street it denotes or -1.
 
     Null names and edges without an id take no part; blank names denote nothing.
     Rows that repeat an edge and its result are one row; extra columns play no part.
     """
     named = network.select("edge_id", "street_name").where("edge_id IS NOT NULL AND street_name IS NOT NULL")
-    exact = streets.select("street_name").where("street_name IS NOT NULL").distinct()
-    rest = named.join(F.broadcast(exact) if within_bytes(exact, SHARD) else exact, "street_name", "left_anti")
-    return matched(rest, streets).distinct()
+    exact = materialise(streets.select("street_name").where("street_name IS NOT NULL").distinct(), "exact")
+    rest = named.join(checked_broadcast(exact, SHARD), "street_name", "left_anti")
+    return matched(rest, streets, shard).distinct()
