@@ -1,22 +1,22 @@
 """Evaluation passages inside corpus documents, by a distributed positional inverted index.
 
-1. Every document is put into reading order and cut into words; its words are
-   written once to the shared folder.
-2. Document frequencies of all test terms are counted over all documents.
+1. Every document is put into reading order and cut into words. The postings of all
+   its words are stored: the index is written once to the shared folder, in segments of
+   SEGMENT documents, each with its terms in order and, for every term, the documents and
+   places it stands at.
+2. Document frequencies of the test terms are read from the index.
 3. In each stretch of WINDOW words of a test item the ANCHORS rarest terms become
-   anchors. The index is partitioned by document: each partition lists the
-   postings (document, position) of the anchor terms in its documents and
-   intersects them, adjusted by the anchors' offsets, with the items, so that no
-   posting is ever shuffled. Pairs of item and document with enough agreement
-   are kept. A stretch whose terms are too frequent to tell (its passage may be
-   reprinted on a third of all pages, or the pages be few) is also looked up by
+   anchors. In every segment the anchors' postings, adjusted by the anchors' offsets,
+   are intersected by item and document; no posting is ever shuffled. Pairs with enough
+   agreement are kept. A stretch whose terms are too frequent to tell (its passage may be
+   reprinted on a third of all pages, or the pages be few) is also looked up as a phrase: by
    the runs of RUN words around its TELLING rarest terms, which count the same
    however many pages have them.
-4. Each kept pair is aligned word by word from its anchors: words equal, misread
-   (small edit distance), broken in two, run together, or singly exchanged.
+4. The kept pairs' documents are read again and aligned word by word from their anchors:
+   words equal, misread (small edit distance), broken in two, run together, or singly exchanged.
 
-Test items go to the partitions ITEMS at a time, so what is sent is bounded; a
-larger test set takes more passes over the stored words.
+Test items go to the segments ITEMS at a time, so what is sent is bounded; a
+larger test set takes more passes over the index.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.llm.pages import joined, reading_order, words
-from fieldloom.runtime import materialise, within_bytes
+from fieldloom.runtime import checked_broadcast, materialise, within_rows
 
 #: Consecutive words of an item that make a leak.
 WINDOW = 20
@@ -59,77 +59,125 @@ INTERRUPTED = -2.0
 DRIFT = 48
 #: Words of other matter (a headline, an advert) that a passage may be interrupted by.
 GAP = 40
-#: Test items sent to the index's partitions at a time (some 20 MB).
+#: Test items sent to the index's segments at a time (some 20 MB).
 ITEMS = 20_000
+#: Documents of an index segment.
+SEGMENT = 1000
+#: Candidate pages are sent to the pages by broadcast up to this number, beyond by a shuffled join.
+MOST_PAGES = 100_000
 #: Test terms are matched on the map side up to this number (about 100 MB), beyond by a shuffled join.
 MOST_TERMS = 4_000_000
 
 
-def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in (x.slice(s, 2000) for x in batches for s in range(0, x.num_rows, 2000)):
-        boxes = b.column("line_boxes") if "line_boxes" in b.schema.names else None
-        flat, off = words(joined(reading_order(b.column("text"), boxes)))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), flat)], ["doc_id", "words"])
+def _page_words(b: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+    return words(joined(reading_order(b.column("text"), b.column("line_boxes") if "line_boxes" in b.schema.names else None)))
 
 
-def corpus_words(documents: DataFrame) -> DataFrame:
-    """(doc_id, words) in reading order, written once. A null text has no words."""
-    cols = [c for c in ("doc_id", "text", "line_boxes") if c in documents.columns]
-    return materialise(documents.select(cols).where("doc_id IS NOT NULL").mapInArrow(_tokenise, "doc_id long, words array<string>"), "words")
+def _hashes(flat: pa.Array) -> np.ndarray:
+    """64-bit hashes of words; equal hashes of unlike words are told apart by the alignment."""
+    enc = flat.dictionary_encode()
+    if not len(enc.dictionary):
+        return np.zeros(0, np.int64)
+    return pd.util.hash_array(enc.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False).view(np.int64)[enc.indices.to_numpy()]
+
+
+_SEGMENT = "doc_ids array<long>, terms array<long>, n_docs array<int>, starts array<int>, docs array<int>, places array<int>"
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each SEGMENT documents: terms ascending; term k has n_docs[k] documents and the postings starts[k] to starts[k + 1]."""
+    one = lambda a, kind: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a, kind))
+    for b in (x.slice(s, SEGMENT) for x in batches for s in range(0, x.num_rows, SEGMENT)):
+        flat, off = _page_words(b)
+        h = _hashes(flat)
+        doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+        place = np.arange(len(h)) - off[doc]
+        order = np.argsort(h, kind="stable")
+        h, doc, place = h[order], doc[order], place[order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        start = np.nonzero(new)[0]
+        other = new.copy()
+        other[1:] |= doc[1:] != doc[:-1]
+        n_docs = np.add.reduceat(other.astype(np.int32), start) if len(start) else start
+        ids = b.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
+        cols = [one(ids, pa.int64()), one(h[start], pa.int64()), *(one(x.astype(np.int32), pa.int32()) for x in (n_docs, np.append(start, len(h)), doc, place))]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_ids", "terms", "n_docs", "starts", "docs", "places"])
+
+
+def _pages(documents: DataFrame) -> DataFrame:
+    return documents.select([c for c in ("doc_id", "text", "line_boxes") if c in documents.columns]).where("doc_id IS NOT NULL")
+
+
+def positional_index(documents: DataFrame) -> DataFrame:
+    """The postings of all words of all documents with an id, written once. A null text has no words."""
+    return materialise(_pages(documents).mapInArrow(_segments, _SEGMENT), "index")
 
 
 def item_words(items: DataFrame) -> DataFrame:
-    """(item_id, words) of the items; items of under WINDOW words can't leak and are left out."""
+    """(key, item_id, words, terms) of the items, terms being the words' hashes; items of under WINDOW words can't leak and are left out.
+
+    An item with several texts leaks if any of them does; key tells them apart.
+    """
 
     def run(batches):
         for b in batches:
             flat, off = words(joined(pc.fill_null(b.column("text").cast(pa.string()), "")))
-            yield pa.RecordBatch.from_arrays([b.column("item_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), flat)], ["item_id", "words"])
+            o = pa.array(off.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("item_id"), pa.ListArray.from_arrays(o, flat), pa.ListArray.from_arrays(o, pa.array(_hashes(flat)))], ["key", "item_id", "words", "terms"])
+
+    some = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL").distinct().withColumn("key", F.xxhash64("item_id", "text"))
+    return some.mapInArrow(run, "key long, item_id long, words array<string>, terms array<long>").where(F.size("words") >= WINDOW)
+
+
+def _place_of(known: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """Where each of the ascending `known` stands among the ascending `terms`, or -1."""
+    at = np.minimum(np.searchsorted(terms, known), max(0, len(terms) - 1))
+    return np.where(terms[at] == known, at, -1) if len(terms) else np.full(len(known), -1)
 
-    return items.select("item_id", "text").where("item_id IS NOT NULL").distinct().mapInArrow(run, "item_id long, words array<string>").where(F.size("words") >= WINDOW)
 
+def _rows(b: pa.RecordBatch) -> Iterator[dict[str, np.ndarray]]:
+    for k in range(b.num_rows):
+        yield {c: b.column(c)[k].values.to_numpy(zero_copy_only=False) for c in b.schema.names}
 
-def _count_terms(terms: pa.Array):
-    """Map-side document frequencies: one row for each term and partition."""
+
+def _count_terms(known: np.ndarray):
+    """Document frequencies by segment: one row for each term and partition."""
 
     def run(batches):
-        df = np.zeros(len(terms), np.int64)
+        df = np.zeros(len(known), np.int64)
         for b in batches:
-            w = b.column("words")
-            at = pc.index_in(pc.list_flatten(w), value_set=terms)
-            doc = pc.list_parent_indices(w)
-            ok = pc.is_valid(at)
-            a, d = at.filter(ok).to_numpy(), doc.filter(ok).to_numpy()
-            key = np.unique(d.astype(np.int64) * len(terms) + a)
-            df += np.bincount(key % max(1, len(terms)), minlength=len(terms))
+            for r in _rows(b):
+                at = _place_of(known, r["terms"])
+                df[at >= 0] += r["n_docs"][at[at >= 0]]
         hit = np.nonzero(df)[0]
-        yield pa.RecordBatch.from_arrays([terms.take(pa.array(hit)), pa.array(df[hit])], ["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(known[hit]), pa.array(df[hit])], ["term", "n"])
 
     return run
 
 
-def frequencies(corpus: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): in how many documents each of the distinct `terms` occurs."""
-    if within_bytes(terms, MOST_TERMS):
-        known = pa.array(sorted(r.term for r in terms.collect()), pa.string())
-        if not len(known):
-            return terms.select("term", F.lit(0).cast("long").alias("n"))
-        return corpus.select("words").mapInArrow(_count_terms(known), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return corpus.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("n")).join(terms, "term", "left_semi")
+def frequencies(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, n): in how many documents each of the distinct `terms` (a materialised table) occurs; those of none are left out."""
+    if within_rows(terms, MOST_TERMS):
+        known = np.sort(terms.toArrow().column("term").to_numpy())
+        found = index.select("terms", "n_docs").mapInArrow(_count_terms(known), "term long, n long")
+    else:
+        found = index.select(F.explode(F.arrays_zip("terms", "n_docs")).alias("t")).select(F.col("t.terms").alias("term"), F.col("t.n_docs").cast("long").alias("n")).join(terms, "term", "left_semi")
+    return found.groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def anchors(items: DataFrame, frequency: DataFrame, n_docs: int, window: int = WINDOW, most: int = ANCHORS) -> DataFrame:
-    """(item_id, ipos, term, mark, weight): the rarest `most` positions of every stretch of `window` words. Terms that no document has are passed over.
+    """(key, ipos, term, mark, weight): the rarest `most` positions of every stretch of `window` words. Terms that no document has are passed over.
 
     Where those weigh too little, the runs around its rarest too, as a term with blanks. Each mark, the position told by, counts once.
     """
-    ranked = items.select("item_id", F.posexplode("words").alias("ipos", "term")).join(frequency, "term")
-    per_item = ranked.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("ipos", "n", "term"))).alias("all"))
+    ranked = items.select("key", F.posexplode(F.arrays_zip("words", "terms")).alias("ipos", "w")).select("key", "ipos", F.col("w.words").alias("word"), F.col("w.terms").alias("term")).join(frequency, "term").drop("term").withColumnRenamed("word", "term")
+    per_item = ranked.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("ipos", "n", "term"))).alias("all"))
 
     def pick(batches):
         for batch in batches:
             out = []
-            for item, rows in zip(batch.item_id, batch["all"]):
+            for item, rows in zip(batch.key, batch["all"]):
                 pos, n = np.array([r["ipos"] for r in rows]), np.array([r["n"] for r in rows])
                 weight = np.maximum(0.0, np.log(max(1, n_docs) / n) - COMMON)
                 chosen: set[int] = set()
@@ -145,9 +193,9 @@ def anchors(items: DataFrame, frequency: DataFrame, n_docs: int, window: int = W
                     for b in range(max(0, k - RUN + 1), min(k, len(pos) - RUN) + 1):
                         if pos[b + RUN - 1] - pos[b] == RUN - 1:
                             out.append((item, int(pos[b]), " ".join(rows[b + x]["term"] for x in range(RUN)), int(pos[k]), LEAST_WEIGHT / 2))
-            yield pd.DataFrame(out, columns=["item_id", "ipos", "term", "mark", "weight"])
+            yield pd.DataFrame(out, columns=["key", "ipos", "term", "mark", "weight"])
 
-    return per_item.mapInPandas(pick, "item_id long, ipos int, term string, mark int, weight double")
+    return per_item.mapInPandas(pick, "key long, ipos int, term string, mark int, weight double")
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -224,7 +272,7 @@ def longest_run(item: list[str], gain: list[float], doc: list[str], hits: list[t
     best = 0
     done: set[tuple[int, int]] = set()
     for i, j in sorted(set(hits)):
-        if (j - i, i // WINDOW) in done:
+        if (j - i, i // WINDOW) in done or j >= len(doc) or doc[j] != item[i]:
             continue
         done.add((j - i, i // WINDOW))
         (a, b), (c, d) = _walk(item, gain, doc, i, j, 1, gap), _walk(item, gain, doc, i, j, -1, gap)
@@ -242,16 +290,17 @@ def _run_hash(words_: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-def _intersect(item_ids: list[int], item_lists: list[list[str]], gains: list[list[float]], anchor: pa.Table, least: int):
-    """Over batches of (doc_id, words): the postings of anchor terms and runs, intersected with the items, and the pairs aligned."""
-    number = {k: i for i, k in enumerate(item_ids)}
+_CANDIDATE = "doc_id long, item long, ipos array<int>, place array<int>, in_run array<boolean>"
+
+
+def _intersect(anchor: pa.Table, numbers: dict[int, int]):
+    """Over the index's segments: the postings of anchor terms and runs, intersected with the items. Items come out by number."""
     enc = anchor.column("term").combine_chunks().dictionary_encode()
     parts = pc.split_pattern(enc.dictionary, " ")
-    known = pc.unique(pc.list_flatten(parts))
     long = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
-    ids = pc.index_in(pc.list_flatten(parts), value_set=known).to_numpy(zero_copy_only=False).astype(np.int64)
+    known, ids = np.unique(_hashes(pc.list_flatten(parts)), return_inverse=True)
     head = np.cumsum(long) - long
-    # Of each known word its place among the terms, if it is one by itself; of each run its hash (equal hashes are told apart by the alignment).
+    # Of each known word its place among the terms, if it is one by itself; of each run its hash.
     alone = np.full(len(known), -1, np.int64)
     alone[ids[head[long == 1]]] = np.nonzero(long == 1)[0]
     runs = np.nonzero(long == RUN)[0]
@@ -259,68 +308,90 @@ def _intersect(item_ids: list[int], item_lists: list[list[str]], gains: list[lis
     by_hash = np.argsort(hashes, kind="stable")
     runs, hashes = runs[by_hash], hashes[by_hash]
     order = np.argsort(enc.indices.to_numpy(), kind="stable")
-    item = np.array([number[k] for k in anchor.column("item_id").to_pylist()], np.int64)[order]
+    item = np.array([numbers[k] for k in anchor.column("key").to_pylist()], np.int64)[order]
     ipos = anchor.column("ipos").to_numpy().astype(np.int64)[order]
-    in_run = (long == RUN).astype(int)[enc.indices.to_numpy()][order]
+    in_run = (long == RUN)[enc.indices.to_numpy()][order]
     mark = anchor.column("mark").to_numpy()[order]
     weight = anchor.column("weight").to_numpy()[order]
     size = np.bincount(enc.indices.to_numpy(), minlength=len(enc.dictionary))
     begin = np.cumsum(size) - size
     wide = 2 * DRIFT
 
+    def segment(r: dict[str, np.ndarray]) -> pa.RecordBatch | None:
+        at = _place_of(known, r["terms"])
+        word = np.nonzero(at >= 0)[0]
+        lo, hi = r["starts"][at[word]].astype(np.int64), r["starts"][at[word] + 1].astype(np.int64)
+        n = hi - lo
+        take = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        word = np.repeat(word, n)
+        where = (r["docs"][take].astype(np.int64) << 32) | r["places"][take]
+        term, at = alone[word], where
+        if len(runs) and len(word) >= RUN:
+            # Phrases: places of known words that follow one another in a document.
+            o = np.argsort(where, kind="stable")
+            w, p = word[o], where[o]
+            some = np.nonzero(np.logical_and.reduce([p[x : len(p) - RUN + 1 + x] == p[: len(p) - RUN + 1] + x for x in range(1, RUN)]))[0]
+            h = _run_hash([w[some + x] for x in range(RUN)])
+            k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            same = hashes[k] == h
+            at, term = np.concatenate([at, p[some[same]]]), np.concatenate([term, runs[k[same]]])
+        at, term = at[term >= 0], term[term >= 0]
+        # Each posting meets the anchors of its term.
+        k = size[term]
+        row = np.repeat(np.arange(len(at)), k)
+        a = begin[term][row] + (np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k))
+        doc, pos = at[row] >> 32, at[row] & 0xFFFFFFFF
+        off = pos - ipos[a]
+        # Offsets that differ by up to DRIFT share at least one of two overlapping bins.
+        both = np.concatenate([2 * (off // wide), 2 * ((off + DRIFT) // wide) + 1])
+        doc, pos, a = np.tile(doc, 2), np.tile(pos, 2), np.tile(a, 2)
+        o = np.lexsort((-weight[a], mark[a], both, item[a], doc))
+        doc, pos, a, both = doc[o], pos[o], a[o], both[o]
+        if not len(doc):
+            return None
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (item[a[1:]] != item[a[:-1]]) | (both[1:] != both[:-1])
+        once = new.copy()
+        once[1:] |= mark[a[1:]] != mark[a[:-1]]
+        first = np.nonzero(new)[0]
+        enough = np.add.reduceat(np.where(once, weight[a], 0.0), first) >= LEAST_WEIGHT
+        keep = np.repeat(enough, np.diff(np.append(first, len(doc))))
+        doc, pos, a = doc[keep], pos[keep], a[keep]
+        if not len(doc):
+            return None
+        pair = np.ones(len(doc), bool)
+        pair[1:] = (doc[1:] != doc[:-1]) | (item[a[1:]] != item[a[:-1]])
+        first = np.nonzero(pair)[0]
+        offs = pa.array(np.append(first, len(doc)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offs, pa.array(x)) for x in (ipos[a].astype(np.int32), pos.astype(np.int32), in_run[a])]
+        return pa.RecordBatch.from_arrays([pa.array(r["doc_ids"][doc[first]]), pa.array(item[a[first]]), *lists], ["doc_id", "item", "ipos", "place", "in_run"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for s in range(0, whole.num_rows, 1000):
-                b = whole.slice(s, 1000)
-                w = b.column("words")
-                flat, parent = pc.list_flatten(w), pc.list_parent_indices(w).to_numpy()
-                n = pc.list_value_length(w).to_numpy(zero_copy_only=False).astype(np.int64)
-                start = np.cumsum(n) - n
-                word = pc.fill_null(pc.index_in(flat, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-                term = np.where(word >= 0, alone[word], -1)
-                at = np.nonzero(term >= 0)[0]
-                term = term[at]
-                if len(runs) and len(word) >= RUN:
-                    some = np.nonzero((parent[: len(word) - RUN + 1] == parent[RUN - 1 :]) & np.logical_and.reduce([word[x : len(word) - RUN + 1 + x] >= 0 for x in range(RUN)]))[0]
-                    h = _run_hash([word[some + x] for x in range(RUN)])
-                    place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                    same = hashes[place] == h
-                    at, term = np.concatenate([at, some[same]]), np.concatenate([term, runs[place[same]]])
-                # Each posting meets the anchors of its term.
-                k = size[term]
-                row = np.repeat(np.arange(len(at)), k)
-                a = begin[term][row] + (np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k))
-                doc = parent[at][row]
-                pos = at[row] - start[doc]
-                off = pos - ipos[a]
-                # Offsets that differ by up to DRIFT share at least one of two overlapping bins.
-                both = np.concatenate([2 * (off // wide), 2 * ((off + DRIFT) // wide) + 1])
-                doc, pos, a = np.tile(doc, 2), np.tile(pos, 2), np.tile(a, 2)
-                o = np.lexsort((-weight[a], mark[a], both, item[a], doc))
-                doc, pos, a, both = doc[o], pos[o], a[o], both[o]
-                if not len(doc):
-                    continue
-                new = np.ones(len(doc), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (item[a[1:]] != item[a[:-1]]) | (both[1:] != both[:-1])
-                once = new.copy()
-                once[1:] |= mark[a[1:]] != mark[a[:-1]]
-                first = np.nonzero(new)[0]
-                total = np.add.reduceat(np.where(once, weight[a], 0.0), first)
-                ends = np.append(first[1:], len(doc))
-                hits: dict[tuple[int, int], tuple[list[tuple[int, int]], list[tuple[int, int]]]] = {}
-                for g in np.nonzero(total >= LEAST_WEIGHT)[0]:
-                    m = slice(first[g], ends[g])
-                    both_kinds = hits.setdefault((int(doc[first[g]]), int(item[a[first[g]]])), ([], []))
-                    for i, j, k in zip(ipos[a[m]].tolist(), pos[m].tolist(), in_run[a[m]].tolist()):
-                        both_kinds[k].append((i, j))
-                out, last, text = [], -1, []
-                for (d, i), h in sorted(hits.items()):
-                    if d != last:
-                        last, text = d, flat.slice(start[d], n[d]).to_pylist()
-                    words_ = max(longest_run(item_lists[i], gains[i], text, x) for x in h)
-                    if words_ >= least:
-                        out.append((item_ids[i], b.column("doc_id")[d].as_py(), words_))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int32())], ["item_id", "doc_id", "n_words"])
+        for b in batches:
+            for r in _rows(b):
+                if (out := segment(r)) is not None:
+                    yield out
+
+    return run
+
+
+def _align(item_ids: list[int], item_lists: list[list[str]], gains: list[list[float]], least: int):
+    """Over pages joined with their candidates: the words each carries of its items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(s, SEGMENT) for x in batches for s in range(0, x.num_rows, SEGMENT)):
+            flat, off = _page_words(b)
+            out = []
+            for k, found in enumerate(b.column("found").to_pylist()):
+                text = flat.slice(off[k], off[k + 1] - off[k]).to_pylist()
+                for f in found:
+                    hits: tuple[list, list] = ([], [])
+                    for i, j, r in zip(f["ipos"], f["place"], f["in_run"]):
+                        hits[r].append((i, j))
+                    n = max(longest_run(item_lists[f["item"]], gains[f["item"]], text, x) for x in hits)
+                    if n >= least:
+                        out.append((item_ids[f["item"]], b.column("doc_id")[k].as_py(), n))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int32())], ["item_id", "doc_id", "n_words"])
 
     return run
 
@@ -330,22 +401,29 @@ def matches(documents: DataFrame, items: DataFrame, window: int = WINDOW, least:
 
     Null and empty texts match nothing; repeated items and pages give equal rows, which are returned once.
     """
-    corpus = corpus_words(documents)
+    pages = _pages(documents)
+    index = positional_index(documents)
     its = materialise(item_words(items), "items")
-    terms = its.select(F.explode("words").alias("term")).distinct()
-    frequency = materialise(frequencies(corpus, terms), "frequencies")
-    n_docs = corpus.count()
+    terms = materialise(its.select(F.explode("terms").alias("term")).distinct(), "terms")
+    frequency = materialise(frequencies(index, terms), "frequencies")
+    n_docs = index.agg(F.coalesce(F.sum(F.size("doc_ids")), F.lit(0))).first()[0]
     passes = max(1, -(-its.count() // ITEMS))
     found = []
     for k in range(passes):
-        some = its.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)
-        held = some.select("item_id", "words").collect()
+        some = its.where(F.pmod("key", F.lit(passes)) == k)
+        held = some.select("key", "item_id", "words", "terms").toArrow().to_pylist()
         picked = anchors(some, frequency, n_docs, window).toArrow()
-        if picked.num_rows:
-            share = {r.term: r.n / n_docs for r in frequency.join(some.select(F.explode("words").alias("term")).distinct(), "term", "left_semi").collect()}
-            gains = [[GAINS[0] if share.get(w, 0.0) <= RARE else GAINS[1] if share[w] <= SOME else GAINS[2] for w in r.words] for r in held]
-            step = _intersect([r.item_id for r in held], [list(r.words) for r in held], gains, picked, least or window)
-            found.append(corpus.mapInArrow(step, "item_id long, doc_id long, n_words int"))
+        if not picked.num_rows:
+            continue
+        share = frequency.join(some.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi").toArrow()
+        share = dict(zip(share.column("term").to_pylist(), (x / n_docs for x in share.column("n").to_pylist())))
+        gains = [[GAINS[0] if share.get(t, 0.0) <= RARE else GAINS[1] if share[t] <= SOME else GAINS[2] for t in r["terms"]] for r in held]
+        numbers = {r["key"]: i for i, r in enumerate(held)}
+        met = materialise(index.mapInArrow(_intersect(picked, numbers), _CANDIDATE), "candidates")
+        per = materialise(met.groupBy("doc_id").agg(F.collect_list(F.struct("item", "ipos", "place", "in_run")).alias("found")), "found")
+        # Pages without a candidate aren't read any further.
+        with_found = pages.join(checked_broadcast(per, MOST_PAGES), "doc_id")
+        found.append(with_found.mapInArrow(_align([r["item_id"] for r in held], [r["words"] for r in held], gains, least or window), "item_id long, doc_id long, n_words int"))
     if not found:
-        return corpus.select(F.col("doc_id").alias("item_id"), "doc_id", F.lit(0).alias("n_words")).where("false")
+        return pages.select(F.col("doc_id").alias("item_id"), "doc_id", F.lit(0).alias("n_words")).where("false")
     return reduce(DataFrame.unionByName, found).groupBy("item_id", "doc_id").agg(F.max("n_words").alias("n_words"))
