@@ -30,8 +30,8 @@ from fieldloom.runtime import checked_broadcast, materialise
 
 SIMILARITY = 0.88
 MATCHES = 2
-#: Coordinates that a pair just at the required similarity is expected to agree in: 98.3 % of such pairs have MATCHES = 2.
-AGREEING = 6.0
+#: Coordinates that a pair just at the required similarity is expected to agree in: 99.3 % of such pairs have MATCHES = 2.
+AGREEING = 7.0
 SEED = 11
 #: Texts of candidate pairs are picked out by a broadcast of their keys up to this number (some 20 MB), beyond by a shuffled join.
 MOST_KEYS = 150_000

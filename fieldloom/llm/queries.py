@@ -45,6 +45,15 @@ def p5_spikes(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.spikes(_texts(spark, sf))
 
 
+def p5_limit_suspects(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts at a spike of their source's length histograms that end without terminal punctuation."""
+    return truncation.judged(_texts(spark, sf)).where("at_spike").select(F.col("key").alias("app_id"), "source").distinct()
+
+
+def p5_stages(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.stages(_texts(spark, sf))
+
+
 def p5_rates(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.rates(_texts(spark, sf))
 
@@ -96,4 +105,4 @@ def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
     return abuse.rates(_scored(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p3_links, p5_found, p5_spikes, p5_rates, p6_found, p6_places, p7_found, p7_leaks, p7_leaked_items, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unmatched, p3_found, p3_links, p5_found, p5_spikes, p5_limit_suspects, p5_stages, p5_rates, p6_found, p6_places, p7_found, p7_leaks, p7_leaked_items, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}

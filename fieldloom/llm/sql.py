@@ -15,4 +15,19 @@ SELECT source, measure, CAST(length AS INTEGER) AS length, n_at, n_near, at_top
 WHERE n_at >= 4.0 * n_near / CASE WHEN at_top THEN 25 ELSE 50 END AND n_at >= CASE WHEN at_top THEN 3 ELSE 10 END
 """
 
-SQL: dict[str, str] = {"p3_found": _PAIRS, "p5_spikes": _SPIKES}
+_SPIKE_CTES, _SPIKE_ROWS = _SPIKES.strip().split("\nSELECT ", 1)
+# What ends without a stop: white space, dashes and marks of omission at the end are passed over, and abbreviations' stops don't count.
+_LIMIT_SUSPECTS = (
+    _SPIKE_CTES
+    + ",\nspike AS (SELECT "
+    + _SPIKE_ROWS
+    + r"""),
+v AS (SELECT DISTINCT app_id, lower(trim(coalesce(authority, ''))) AS source, length(description) AS c, strlen(description) AS b, trim(regexp_replace(description, '\s+', ' ', 'g')) AS s FROM developments WHERE app_id IS NOT NULL AND trim(description) <> ''),
+e AS (SELECT *, regexp_matches(s, '(?:…|\.\.\.|\[|\x{FFFD}|[\pL\pN][-–—])$') AS marker, regexp_replace(s, '[\s…\[\x{FFFD}–—-]+$', '') AS z FROM v),
+w AS (SELECT *, list_last(string_split(z, ' ')) AS last FROM e WHERE z <> '')
+SELECT DISTINCT app_id, w.source FROM w JOIN spike k ON k.source = w.source AND k.length = CASE k.measure WHEN 'chars' THEN w.c ELSE w.b END
+WHERE marker OR NOT regexp_matches(last, '[.!?]["\x27)\]]*$') OR lower(last) IN ('no.', 'nos.', 'approx.', 'incl.', 'ref.', 'st.', 'co.', 'dr.', 'mr.', 'mrs.')
+"""
+)
+
+SQL: dict[str, str] = {"p3_found": _PAIRS, "p5_spikes": _SPIKES, "p5_limit_suspects": _LIMIT_SUSPECTS}

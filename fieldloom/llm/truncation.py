@@ -1,12 +1,14 @@
 """Texts cut off by field limits or in transfer.
 
-Per source and column, histograms of lengths in characters and in bytes are
-searched for a spike at the maximum: a field limit. Values at a spike's length
-without terminal punctuation are suspects; so are all others without it, as
-transfers also break off at any length, and those ending in a mark of omission.
-A suspect is acquitted if texts of the whole corpus end their sentences the way
-it ends: the last words, names and figures masked, are looked up in counts of
-how often that context closes a sentence and how often one goes on.
+1. Limits. Per source and column, histograms of lengths in characters and in bytes are
+   searched for a spike at the maximum (and, for limits raised since, below it). Values at a
+   spike's length without terminal punctuation are suspects.
+2. Transfers break off at any length: values elsewhere without terminal punctuation, and
+   those ending in a mark of omission, are suspects of the second stage.
+3. Suspects of either stage are checked: a text is acquitted if texts of the whole corpus
+   end their sentences the way it ends. The last words, names and figures masked, are
+   looked up in counts of how often that context closes a sentence and how often one goes on.
+   An ending the corpus doesn't know convicts at a spike, and elsewhere if its last word is cut.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldloom.runtime import materialise
+from fieldloom.runtime import checked_broadcast, materialise
 
 #: A spike: at least LEAST values of the greatest length, and TIMES as many as a length just below it has on average.
 LEAST = 3
@@ -34,6 +36,10 @@ BELOW = 25
 CLOSES = 0.2
 STOPPED = 0.5
 DEPTH = 5
+#: A context that more than 1/HOT of the suspects' questions ask for is looked up by broadcast; there can't be more than HOT of them.
+HOT = 512
+#: Cut words are looked up by broadcast up to so many (some 10 MB), beyond by a shuffled join.
+MOST_ODD = 100_000
 #: Abbreviations whose full stop ends no sentence.
 ABBREVIATIONS = ["no.", "nos.", "approx.", "incl.", "ref.", "st.", "co.", "dr.", "mr.", "mrs."]
 #: What stands for an omitted rest.
@@ -210,21 +216,37 @@ def _rate(slot: str) -> Column:
     return F.try_divide(F.col(f"{slot}.e"), F.col(f"{slot}.n"))
 
 
+def _answers(suspects: DataFrame, stats: DataFrame, slots: list[str]) -> DataFrame:
+    """(key, source, word, *slots): what the corpus knows of each suspect's contexts, as struct(n, e, bare).
+
+    Suspects that end alike ask for the same contexts; those many ask for are split off and broadcast.
+    """
+    asked = suspects.select(F.explode(F.array(*slots)).alias("ctx")).groupBy("ctx").agg(F.count("*").alias("asked"))
+    known = materialise(stats.select("ctx", "n", "n_end", "n_bare").join(asked, "ctx"), "known")
+    total = F.lit(len(slots)) * suspects.count()
+    hot, rest = F.broadcast(known.where(F.col("asked") * HOT > total)), known.where(F.col("asked") * HOT <= total)
+    ways = suspects.select("key", "source", "word", F.explode(F.array(*(F.struct(F.lit(k).alias("slot"), F.col(k).alias("ctx")) for k in slots))).alias("q")).select("key", "source", "word", "q.slot", "q.ctx")
+    met = ways.join(hot, "ctx").unionByName(ways.join(hot.select("ctx"), "ctx", "left_anti").join(rest, "ctx"))
+    return met.groupBy("key", "source", "word").agg(*(F.max(F.when(F.col("slot") == k, F.struct(F.col("n").alias("n"), F.col("n_end").alias("e"), F.col("n_bare").alias("bare")))).alias(k) for k in slots))
+
+
 def judged(texts: DataFrame) -> DataFrame:
-    """(key, source, at_spike, marker, truncated) of all suspects; texts that end in terminal punctuation aren't listed."""
+    """(key, source, at_spike, marker, truncated) of all suspects; texts that end in terminal punctuation aren't listed.
+
+    at_spike tells the suspects of the length histograms from those of the second stage.
+    """
     cols = texts.select("key", "source", "text", "n_chars", "n_bytes")
     stats = materialise(cols.mapInArrow(_stats, _STATS).groupBy("ctx").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"), F.sum("n_bare").alias("n_bare"), F.max("prev").alias("prev"), F.max("word").alias("word")), "contexts")
     suspects = materialise(cols.mapInArrow(_suspects, _SUSPECT), "suspects")
-    slots = ["c1", "c2", "c3", "c4", "c5", "w2", "w3", "w4", "s"]
-    asked = suspects.select(F.explode(F.array(*slots)).alias("ctx")).distinct()
-    known = stats.select("ctx", "n", "n_end", "n_bare").join(asked, "ctx", "left_semi")
-    ways = suspects.select("key", "source", "word", F.explode(F.array(*(F.struct(F.lit(k).alias("slot"), F.col(k).alias("ctx")) for k in slots))).alias("q")).select("key", "source", "word", "q.slot", "q.ctx")
-    got = ways.join(known, "ctx").groupBy("key", "source", "word").agg(*(F.max(F.when(F.col("slot") == k, F.struct(F.col("n").alias("n"), F.col("n_end").alias("e"), F.col("n_bare").alias("bare")))).alias(k) for k in slots))
+    got = _answers(suspects, stats, ["c1", "c2", "c3", "c4", "c5", "w2", "w3", "w4", "s"])
     x = suspects.select("key", "source", "n_chars", "n_bytes", "marker", "after_stop", "prev", "word").join(got, ["key", "source", "word"], "left")
     # A last word the corpus doesn't have: cut if it begins a word that follows the same predecessor, else misspelt.
-    odd = x.where("c1 IS NULL OR c1.n < 2").select("prev", "word").distinct()
-    follow = stats.where("word IS NOT NULL AND n >= 2").select("prev", F.col("word").alias("next"))
-    cut = odd.join(follow, "prev").where(F.expr("length(next) > length(word) AND startswith(next, word)")).select("prev", "word").distinct().withColumn("begins", F.lit(True))
+    # Words that follow meet it under their beginnings, so no pair is made that doesn't agree.
+    odd = materialise(x.where("c1 IS NULL OR c1.n < 2").select("prev", "word").distinct(), "odd")
+    begins = F.transform(F.sequence(F.lit(0), F.length("word") - 1), lambda k: F.substring(F.col("word"), F.lit(1), k))
+    follow = stats.where("word IS NOT NULL AND n >= 2 AND length(word) > 0").select("prev", F.explode(begins).alias("word"))
+    cut = checked_broadcast(odd, MOST_ODD)
+    cut = (follow.join(cut, ["prev", "word"], "left_semi")).distinct().withColumn("begins", F.lit(True))
     x = x.join(cut, ["prev", "word"], "left")
     sp = spikes(texts)
     for m in ("chars", "bytes"):
@@ -247,6 +269,12 @@ def judged(texts: DataFrame) -> DataFrame:
     return x.select("key", "source", spike.alias("at_spike"), "marker", (~whole).alias("truncated")).distinct()
 
 
+def stages(texts: DataFrame) -> DataFrame:
+    """(source, stage, n_suspects, n_truncated): what the length histograms ("limit") and the second stage ("transfer") suspect and, after the check, find."""
+    stage = F.when(F.col("at_spike"), "limit").otherwise("transfer").alias("stage")
+    return judged(texts).groupBy("source", stage).agg(F.count("*").alias("n_suspects"), F.sum(F.col("truncated").cast("long")).alias("n_truncated"))
+
+
 def found(texts: DataFrame) -> DataFrame:
     """Keys of the truncated texts. Null, empty and blank texts are no case; a key with several texts is one if any is."""
     return judged(texts).where("truncated").select("key").distinct()
