@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Abbreviations of street words in municipal records.
-STREET_WORDS = {"ST": "STREET", "RD": "ROAD", "AVE": "AVENUE", "AV": "AVENUE", "DR": "DRIVE", "LN": "LANE", "PK": "PARK", "SQ": "SQUARE", "PL": "PLACE", "TCE": "TERRACE", "TERR": "TERRACE", "CRES": "CRESCENT", "CT": "COURT", "GDNS": "GARDENS", "GRN": "GREEN", "GRV": "GROVE", "HTS": "HEIGHTS", "UPR": "UPPER", "LWR": "LOWER", "NTH": "NORTH", "STH": "SOUTH"}
-QUALIFIERS = ["UPPER", "LOWER", "NORTH", "SOUTH", "EAST", "WEST", "GREAT", "LITTLE"]
+# Abbreviations, qualifiers and types of street names in municipal records.
+STREET_WORDS = {
+    "RD": "ROAD", "AVE": "AVENUE", "AV": "AVENUE", "SQ": "SQUARE", "PL": "PLACE", "TCE": "TERRACE", "TER": "TERRACE", "UPR": "UPPER", "LR": "LOWER", "LWR": "LOWER",
+    "NTH": "NORTH", "STH": "SOUTH", "PDE": "PARADE", "CRES": "CRESCENT", "GDNS": "GARDENS", "PK": "PARK", "LN": "LANE", "QY": "QUAY", "DR": "DRIVE", "CT": "COURT",
+    "GRV": "GROVE", "BR": "BRIDGE", "STR": "STREET", "HSE": "HOUSE", "MT": "MOUNT",
+}
+QUALIFIERS = ["UPPER", "LOWER", "MIDDLE", "NORTH", "SOUTH", "EAST", "WEST", "LITTLE", "GREAT"]
+STREET_TYPES = ["STREET", "ROAD", "AVENUE", "QUAY", "LANE", "PLACE", "SQUARE", "TERRACE", "PARADE", "CRESCENT", "GARDENS", "PARK", "DRIVE", "COURT", "GROVE", "WALK", "ROW"]
 
 
 def initials_id(owner: Column, number: Column) -> Column:
@@ -23,14 +28,16 @@ def epoch_date(ms: Column) -> Column:
 
 
 def tokens(name: Column) -> Column:
-    """Upper-case words without other signs; an empty array for null and blank."""
-    return F.filter(F.split(F.trim(F.regexp_replace(F.upper(F.coalesce(name, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")
+    """Upper-case words of Latin letters and figures; full stops part words, other signs fall out. Empty for null and blank."""
+    t = F.replace(F.replace(F.upper(F.coalesce(name, F.lit(""))), F.lit("'"), F.lit("")), F.lit("."), F.lit(" "))
+    return F.filter(F.split(F.regexp_replace(t, "[^A-Z0-9 ]", ""), " "), lambda w: w != "")
 
 
 def street_tokens(name: Column) -> Column:
-    """Words with abbreviations written out; ST opens a saint's name and is a street elsewhere."""
+    """Words with abbreviations written out; ST and SAINT open a saint's name, and are a street elsewhere."""
     known = F.create_map(*(F.lit(v) for kv in STREET_WORDS.items() for v in kv))
-    return F.transform(tokens(name), lambda w, i: F.when(w.isin("ST", "SAINT") & (i == 0), F.lit("SAINT")).otherwise(F.coalesce(F.try_element_at(known, w), w)))
+    saint = lambda i: F.when(i == 0, F.lit("SAINT")).otherwise(F.lit("STREET"))
+    return F.transform(tokens(name), lambda w, i: F.when(w.isin("ST", "SAINT"), saint(i)).otherwise(F.coalesce(F.try_element_at(known, w), w)))
 
 
 def norm_street(name: Column) -> Column:
@@ -38,10 +45,14 @@ def norm_street(name: Column) -> Column:
 
 
 def street_keys(name: Column) -> Column:
-    """Four keys, each less strict than the one before: as written, sorted words, without qualifiers, and that sorted."""
+    """Four keys, each less strict than the one before: as written, its words sorted, those without qualifiers, and without the type at their end too.
+
+    The last is empty where the name doesn't end in a type or is nothing else.
+    """
     w = street_tokens(name)
-    plain = F.filter(w, lambda t: ~t.isin(QUALIFIERS))
-    return F.array(F.array_join(w, " "), F.array_join(F.array_sort(w), " "), F.array_join(plain, " "), F.array_join(F.array_sort(plain), " "))
+    core = F.filter(w, lambda t: ~t.isin(QUALIFIERS))
+    bare = F.when((F.size(core) > 1) & F.get(core, F.size(core) - 1).isin(STREET_TYPES), F.array_join(F.array_sort(F.slice(core, F.lit(1), F.greatest(F.size(core) - 1, F.lit(0)))), " "))
+    return F.array(F.array_join(w, " "), F.array_join(F.array_sort(w), " "), F.array_join(F.array_sort(core), " "), F.coalesce(bare, F.lit("")))
 
 
 def qualified(name: Column) -> Column:
@@ -114,3 +125,25 @@ def number(s: Column) -> Column:
 def whole(s: Column) -> Column:
     """An integer, 0 for what is none."""
     return F.coalesce(s.try_cast("int"), F.lit(0))
+
+
+def edge_id(u: Column, v: Column, key: Column) -> Column:
+    """One id for both directions: the smaller end, the larger (compared as what they are), and the key."""
+    return F.concat_ws("-", F.least(u, v).cast("string"), F.greatest(u, v).cast("string"), key.cast("string"))
+
+
+def tag_details(tags: Column, wanted: list[str]) -> Column:
+    """Of a map of tags the wanted ones that aren't null; an empty map for null."""
+    return F.coalesce(F.map_filter(tags, lambda k, v: k.isin(wanted) & v.isNotNull()), F.create_map().cast("map<string,string>"))
+
+
+def evidence_note(kind: Column, asset: Column, details: Column) -> Column:
+    """"kind:asset", and in parentheses the details as "key=value", if there are any, in the order of keys."""
+    parts = F.transform(F.array_sort(F.map_entries(details)), lambda e: F.concat(e.key, F.lit("="), e.value))
+    return F.concat(kind, F.lit(":"), asset, F.when(F.size(parts) > 0, F.concat(F.lit(" ("), F.array_join(parts, ", "), F.lit(")"))).otherwise(F.lit("")))
+
+
+def own_tags(tags: Column, taken: list[str]) -> Column:
+    """A JSON object's tags as a map, without those that are columns already; an empty map where it can't be read."""
+    m = F.from_json(F.coalesce(tags, F.lit("{}")), "map<string,string>")
+    return F.coalesce(F.map_filter(m, lambda k, v: ~k.isin(taken or [""]) & v.isNotNull()), F.create_map().cast("map<string,string>"))

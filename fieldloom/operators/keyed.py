@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.functions import text
+from fieldloom.runtime import materialise
 
 
 def last_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -23,10 +24,18 @@ def first_per(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFra
 
 
 def dense_order(df: DataFrame, column: str, group: str | None = None) -> DataFrame:
-    """`column` renumbered 0, 1, 2 ... in its order. Ranks are taken over distinct values only."""
+    """`column` renumbered 0, 1, 2 ... in its order. Ranks are taken over distinct values only, range by range."""
     by = [group] if group else []
-    ranks = df.select(*by, column).distinct().withColumn("_r", F.dense_rank().over(Window.partitionBy(*by).orderBy(column)) - 1)
-    return df.join(ranks, [*by, column]).withColumn(column, F.col("_r")).drop("_r")
+    d = df.select(*by, column).where(F.col(column).isNotNull()).distinct()
+    if group:
+        ranks = d.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(column)) - 1)
+    else:
+        # Sorted ranges are numbered each on their own; what comes before a range is added.
+        d = materialise(d.repartitionByRange(column).withColumn("_p", F.spark_partition_id()), "ranges")
+        before = F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        first = d.groupBy("_p").agg(F.count("*").alias("n")).select("_p", before.alias("first"))  # a row for each range
+        ranks = d.join(F.broadcast(first), "_p").withColumn("_r", F.col("first") + F.row_number().over(Window.partitionBy("_p").orderBy(column)) - 1).select(column, "_r")
+    return df.join(ranks, [*by, column], "left").withColumn(column, F.col("_r")).drop("_r")
 
 
 def unordered(a: Column, b: Column) -> Column:
@@ -37,14 +46,18 @@ def unordered(a: Column, b: Column) -> Column:
 def tiered_join(left: DataFrame, right: DataFrame, left_name: str, right_name: str) -> DataFrame:
     """(left_name, right_name, tier): for each left name the right names of its first tier with a hit.
 
-    Tiers are the keys of `text.street_keys`; the two without qualifiers only find
-    right names that have none. Null and blank names match nothing.
+    A left name's keys are `text.street_keys`; right names stand under their words as
+    written (tier 0), sorted (1), and, where they have no qualifier, sorted again for
+    the looser keys (2, 3). Null and blank names match nothing.
     """
     lk = left.select(left_name).where(F.size(text.tokens(F.col(left_name))) > 0).distinct()
     rk = right.select(right_name).where(F.size(text.tokens(F.col(right_name))) > 0).distinct()
     a = lk.select(left_name, F.posexplode(text.street_keys(F.col(left_name))).alias("tier", "k"))
-    b = rk.select(right_name, text.qualified(F.col(right_name)).alias("q"), F.posexplode(text.street_keys(F.col(right_name))).alias("tier", "k")).where("tier < 2 OR NOT q").drop("q")
-    hit = a.join(b, ["tier", "k"]).where("k <> ''")
+    w = text.street_tokens(F.col(right_name))
+    plain = F.array_join(F.array_sort(w), " ")
+    loose = F.when(~text.qualified(F.col(right_name)), plain)
+    b = rk.select(right_name, F.posexplode(F.array(F.array_join(w, " "), plain, loose, loose)).alias("tier", "k"))
+    hit = a.where("k <> ''").join(b.where("k IS NOT NULL"), ["tier", "k"])
     best = hit.groupBy(left_name).agg(F.min("tier").alias("tier"))
     return hit.join(best, [left_name, "tier"]).select(left_name, right_name, "tier").distinct()
 
@@ -89,3 +102,52 @@ def dangling(df: DataFrame, name: str, key: str, column: str, owners: DataFrame,
 def upsert(ledger: DataFrame, news: DataFrame, key: str, at: str) -> DataFrame:
     """The latest row of each key."""
     return last_per(ledger.unionByName(news, allowMissingColumns=True), [key], [F.col(at)])
+
+
+def mapped(df: DataFrame, column: str, mapping: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(rows whose value is mapped, with what it maps to; one row: how many were excluded). Null and unknown values are excluded."""
+    to = F.try_element_at(F.create_map(*(F.lit(v) for kv in mapping.items() for v in kv)), F.col(column))
+    return df.withColumn(column, to).where(F.col(column).isNotNull()), df.agg(F.count_if(to.isNull()).alias("excluded"))
+
+
+def or_default(left: DataFrame, right: DataFrame, on: list[str], defaults: dict[str, Column]) -> DataFrame:
+    """Left join; where no row meets, all of the right's columns take their defaults together (a null that was joined stays null)."""
+    r = right.withColumn("_met", F.lit(True))
+    out = left.join(r, on, "left")
+    return out.withColumns({c: F.when(F.col("_met").isNull(), defaults.get(c, F.lit(None))).otherwise(F.col(c)) for c in right.columns if c not in on}).drop("_met")
+
+
+def row_fallback(left: DataFrame, right: DataFrame, on: str, columns: list[str]) -> DataFrame:
+    """`columns` from the right's row where it has one, all nulls of it included, else from the left's own."""
+    r = right.select(on, F.struct(*columns).alias("_r")).groupBy(on).agg(F.min("_r").alias("_r"))
+    out = left.join(r, on, "left")
+    return out.withColumns({c: F.when(F.col("_r").isNotNull(), F.col(f"_r.{c}")).otherwise(F.col(c)) for c in columns}).drop("_r")
+
+
+def surviving(df: DataFrame, array: str, owners: DataFrame, owner: str, row: str) -> DataFrame:
+    """`df` (unique by `row`) with the array's elements that an owner has; rows that keep none fall out. The array comes out sorted."""
+    ids = df.select(row, F.explode(array).alias("_id")).join(owners.select(F.col(owner).alias("_id")).distinct(), "_id", "left_semi")
+    return df.drop(array).join(ids.groupBy(row).agg(F.array_sort(F.collect_set("_id")).alias(array)), row)
+
+
+def contract(df: DataFrame, name: str, key: str, required: list[str], finite: list[str] = (), one_of: dict[str, list[str]] | None = None, boxes: dict[str, tuple[float, float, float, float]] | None = None, kinds: dict[str, list[str]] | None = None) -> DataFrame:
+    """(table, key, rule) of what a table breaks: required values, finite numbers, enumerations, geometry kinds, coordinates within a box.
+
+    A column that is missing breaks its rule in every row. Boxes are checked over points and arrays of points; kinds over a column that names the geometry's kind.
+    """
+    have = set(df.columns)
+    rules: dict[str, Column] = {}
+    for c in required:
+        rules[f"{c} is required"] = F.col(c).isNotNull() if c in have else F.lit(False)
+    for c in finite:
+        v = F.col(c).try_cast("double") if c in have else F.lit(None).cast("double")
+        rules[f"{c} is finite"] = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+    for c, values in {**(one_of or {}), **(kinds or {})}.items():
+        rules[f"{c} is one of {len(values)}"] = F.col(c).isin(values) if c in have else F.lit(False)
+    for c, (w, s, e, n) in (boxes or {}).items():
+        if c not in have:
+            rules[f"{c} within its box"] = F.lit(False)
+            continue
+        points = F.col(c) if dict(df.dtypes)[c].startswith("array") else F.array(F.col(c))
+        rules[f"{c} within its box"] = F.forall(points, lambda p, w=w, s=s, e=e, n=n: p.x.between(w, e) & p.y.between(s, n))
+    return violations(df, name, key, rules)

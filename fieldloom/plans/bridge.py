@@ -21,7 +21,7 @@ VIEWS = {
         UNION ALL SELECT p_partkey AS u, p_partkey+50 AS v, CAST(50+(p_partkey*29)%100 AS DOUBLE) AS length FROM part WHERE p_partkey+50<(SELECT COUNT(*) FROM part)""",
     "b_area": """SELECT n_nationkey AS area_id, CAST(700000+(n_nationkey%5)*10000 AS DOUBLE) AS x0, CAST(720000+FLOOR(n_nationkey/5)*8000 AS DOUBLE) AS y0,
         CAST(700000+(n_nationkey%5)*10000+10000 AS DOUBLE) AS x1, CAST(720000+FLOOR(n_nationkey/5)*8000+8000 AS DOUBLE) AS y1, 100+n_nationkey*10 AS households FROM nation""",
-    "b_ext": """SELECT l_orderkey AS edge_id, CAST(l_linenumber*2 AS INT) AS ord, CAST(10+(l_partkey*7)%300 AS DOUBLE) AS length_m, l_suppkey AS dev_id FROM lineitem WHERE l_orderkey<2000""",
+    "b_ext": """SELECT l_orderkey AS edge_id, CAST(l_linenumber*2 AS INT) AS ord, CAST(10+(l_partkey*7)%300 AS DOUBLE) AS length_m, l_suppkey AS dev_id FROM lineitem""",
     "b_service": """SELECT DISTINCT o_custkey AS service_id, CAST(o_orderdate AS DATE) AS day, CASE WHEN o_orderstatus='F' THEN 2 WHEN o_orderstatus='O' THEN 1 ELSE 0 END AS exception_type FROM orders""",
 }
 TABLES = ("customer", "supplier", "part", "orders", "lineitem", "nation", "region", "events")

@@ -101,11 +101,11 @@ def unordered_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("k.col1").alias("a"), F.col("k.col2").alias("b"), "first_order", "n")
 
 
-@query(ctes("b_ext") + "SELECT edge_id, CAST(dense_rank() OVER (ORDER BY ord) - 1 AS INTEGER) AS ord, dev_id FROM b_ext WHERE dev_id % 3 = 0")
+@query(ctes("b_ext", "b_dev") + "SELECT edge_id, CAST(dense_rank() OVER (ORDER BY ord) - 1 AS INTEGER) AS ord, dev_id FROM b_ext WHERE dev_id IN (SELECT dev_id FROM b_dev WHERE status = 'granted')")
 def extension_rerank(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders renumbered without gaps after rows fell out."""
-    kept = view(spark, sf, "b_ext").where("dev_id % 3 = 0")
-    return keyed.dense_order(kept, "ord").select("edge_id", F.col("ord").cast("int").alias("ord"), "dev_id")
+    """Orders renumbered without gaps after rows fell out: what serves no granted development."""
+    granted = view(spark, sf, "b_dev").where("status = 'granted'").select("dev_id")
+    return keyed.dense_order(view(spark, sf, "b_ext").join(granted, "dev_id", "left_semi"), "ord").select("edge_id", F.col("ord").cast("int").alias("ord"), "dev_id")
 
 
 @query(ctes("b_ext") + "SELECT dev_id, round(sum(length_m / 1000.0 / n), 6) AS share_km FROM b_ext JOIN (SELECT edge_id, count(DISTINCT dev_id) AS n FROM b_ext GROUP BY 1) USING (edge_id) GROUP BY dev_id")
@@ -199,14 +199,31 @@ def name_words(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", F.array_join(F.array_sort(F.array_distinct(text.tokens(F.col("p_name")))), " ").alias("words"))
 
 
-@query(None)
+# Words of a street name, and its match keys, as DuckDB lists.
+_WORDS = "list_filter(string_split(regexp_replace(replace(replace(upper(coalesce({c}, '')), chr(39), ''), '.', ' '), '[^A-Z0-9 ]', '', 'g'), ' '), lambda t: t <> '')"
+_KNOWN = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in text.STREET_WORDS.items()) + "}"
+_NORM = "list_transform(" + _WORDS + ", lambda t, i: CASE WHEN t IN ('ST', 'SAINT') THEN CASE WHEN i = 1 THEN 'SAINT' ELSE 'STREET' END ELSE coalesce(" + _KNOWN.replace("{", "{{").replace("}", "}}") + "[t], t) END)"
+_QUAL = "[" + ", ".join(f"'{q}'" for q in text.QUALIFIERS) + "]"
+_TYPE = "[" + ", ".join(f"'{t}'" for t in text.STREET_TYPES) + "]"
+_KEYS = f"""core AS (SELECT *, list_filter(w, lambda t: NOT list_contains({_QUAL}, t)) AS core FROM n),
+keyed AS (SELECT *, array_to_string(w, ' ') AS k0, array_to_string(list_sort(w), ' ') AS k1, array_to_string(list_sort(core), ' ') AS k2,
+  CASE WHEN len(core) > 1 AND list_contains({_TYPE}, core[len(core)]) THEN array_to_string(list_sort(core[1:len(core) - 1]), ' ') ELSE '' END AS k3 FROM core)"""
+
+
+@query(f"WITH n AS (SELECT DISTINCT street_name, {_NORM.format(c='street_name')} AS w FROM network WHERE street_name IS NOT NULL), {_KEYS} SELECT street_name, nullif(k0, '') AS norm, k0 || ' | ' || k1 || ' | ' || k2 || ' | ' || k3 AS keys FROM keyed")
 def street_norm(spark: SparkSession, sf: str) -> DataFrame:
     """All typed street names with their normal form and match keys."""
     n = table(spark, sf, "network").select("street_name").where("street_name IS NOT NULL").distinct()
     return n.select("street_name", text.norm_street(F.col("street_name")).alias("norm"), F.array_join(text.street_keys(F.col("street_name")), " | ").alias("keys"))
 
 
-@query(None)
+@query(f"""WITH n AS (SELECT DISTINCT street_name, {_NORM.format(c='street_name')} AS w FROM network WHERE street_name IS NOT NULL), {_KEYS},
+lft AS (SELECT street_name, unnest([0, 1, 2, 3]) AS tier, unnest([k0, k1, k2, k3]) AS k FROM keyed),
+l AS (SELECT DISTINCT street_name AS listed_name, {_NORM.format(c='street_name')} AS w FROM streets),
+rgt AS (SELECT listed_name, 0 AS tier, array_to_string(w, ' ') AS k FROM l UNION ALL SELECT listed_name, 1, array_to_string(list_sort(w), ' ') FROM l
+  UNION ALL SELECT listed_name, t, array_to_string(list_sort(w), ' ') FROM l, (VALUES (2), (3)) v(t) WHERE NOT list_has_any(w, {_QUAL})),
+hit AS (SELECT street_name, listed_name, tier FROM lft JOIN rgt USING (tier, k) WHERE k <> '')
+SELECT DISTINCT street_name, listed_name, tier FROM hit WHERE tier = (SELECT min(h.tier) FROM hit h WHERE h.street_name = hit.street_name)""")
 def fuzzy_tier_join(spark: SparkSession, sf: str) -> DataFrame:
     """Typed street names against the list, first tier with a hit."""
     return keyed.tiered_join(table(spark, sf, "network").select("street_name"), table(spark, sf, "streets").select(F.col("street_name").alias("listed_name")), "street_name", "listed_name")

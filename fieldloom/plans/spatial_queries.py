@@ -119,6 +119,13 @@ def snap_to_line(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.snap(view(spark, sf, "b_dev"), spatial.segments(_lines(spark, sf), "school_id"), 800.0, "dev_id", "school_id").select("dev_id", "school_id", F.round("d2", 6).alias("d2"))
 
 
+@query(ctes("b_dev", "b_school") + _SEG + "SELECT dev_id, school_id, round(sqrt(d2), 6) AS metres FROM (SELECT *, row_number() OVER (PARTITION BY dev_id ORDER BY d2, school_id) AS k FROM dd) WHERE k = 1")
+def nearest_line(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest line of each point, however far, with its distance."""
+    out = spatial.nearest_line(view(spark, sf, "b_dev"), spatial.segments(_lines(spark, sf), "school_id"), "dev_id", "school_id")
+    return out.select("dev_id", "school_id", F.round(F.sqrt("d2"), 6).alias("metres"))
+
+
 @query(ctes("b_dev", "b_school") + _SEG + "SELECT school_id, count(*) AS n FROM dd WHERE d2 <= 360000.0 GROUP BY school_id")
 def near_line_counts(spark: SparkSession, sf: str) -> DataFrame:
     hit = spatial.points_near_segments(view(spark, sf, "b_dev"), spatial.segments(_lines(spark, sf), "school_id"), 600.0, "dev_id", "school_id")
@@ -133,7 +140,9 @@ def overlap_shares(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.overlap_share(a, b, 15.0, "school_id", "other_id").select("school_id", "other_id", F.round("share", 6).alias("share"))
 
 
-@query(None)
+@query(ctes("b_school") + """, seg AS (SELECT school_id, x AS x1, y AS y1, x + 800.0 AS x2, y AS y2 FROM b_school UNION ALL SELECT school_id, x + 800.0, y, x + 800.0, y + 600.0 FROM b_school)
+SELECT DISTINCT a.school_id, b.school_id AS other_id FROM seg a JOIN seg b ON a.school_id < b.school_id
+WHERE pow(greatest(a.x1 - b.x2, b.x1 - a.x2, 0.0), 2) + pow(greatest(a.y1 - b.y2, b.y1 - a.y2, 0.0), 2) <= 2250000.0""")
 def lines_near_lines(spark: SparkSession, sf: str) -> DataFrame:
     a = spatial.segments(_lines(spark, sf), "school_id")
     return spatial.near_segments(a, a.withColumnRenamed("school_id", "other_id"), 1500.0, "school_id", "other_id").where("school_id < other_id")
@@ -189,46 +198,82 @@ def parallel_edge_min(spark: SparkSession, sf: str) -> DataFrame:
     return graph.parallel_min(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), (F.col("length") - F.col("u") % 3).alias("length"))))
 
 
-def _cut(spark: SparkSession, sf: str) -> DataFrame:
-    """The street grid without what crosses from one block of 400 nodes to the next."""
-    return view(spark, sf, "b_edge").where("floor(u / 400) = floor(v / 400)")
+_NODES = "nodes AS (SELECT u AS node FROM b_edge UNION SELECT v FROM b_edge), "
+_BOTH = "e AS (SELECT u, v, length FROM b_edge UNION ALL SELECT v, u, length FROM b_edge), "
 
 
-@query("SELECT p_partkey AS node, CAST(floor(p_partkey / 400) * 400 AS BIGINT) AS component FROM part WHERE (SELECT count(*) FROM part) % 400 <> 1 OR p_partkey + 1 < (SELECT count(*) FROM part)")
+def _marked(spark: SparkSession, sf: str, which: str) -> DataFrame:
+    """Nodes of the street grid whose part has the wanted size."""
+    e = view(spark, sf, "b_edge")
+    nodes = e.select(F.col("u").alias("node")).unionByName(e.select(F.col("v").alias("node"))).distinct()
+    return nodes.join(table(spark, sf, "part").where(which).select(F.col("p_partkey").alias("node")), "node", "left_semi")
+
+
+@query(ctes("b_edge").replace("WITH", "WITH RECURSIVE", 1) + """, e AS (SELECT u, v FROM b_edge WHERE length <= 90 UNION SELECT v, u FROM b_edge WHERE length <= 90),
+reach(node, seen) AS (SELECT u, u FROM e UNION SELECT r.node, e.v FROM reach r JOIN e ON e.u = r.seen) SELECT node, min(seen) AS component FROM reach GROUP BY node""")
 def graph_components(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.components(_cut(spark, sf))
+    """Components of the streets of at most 90 metres."""
+    return graph.components(view(spark, sf, "b_edge").where("length <= 90"))
+
+
+# On the whole grid of 50 columns hops are differences of rows and columns.
+_HOPS = ctes("b_edge") + ", " + _NODES + """src AS (SELECT node AS s FROM nodes JOIN part ON p_partkey = node WHERE p_size = 1),
+hop AS (SELECT node, s, abs(node % 50 - s % 50) + abs(floor(node / 50) - floor(s / 50)) AS d FROM nodes, src),
+best AS (SELECT node, min(struct_pack(d := d, s := s)) AS m FROM hop GROUP BY node),
+lab AS (SELECT node, CAST(m.d AS INTEGER) AS depth, m.s AS root FROM best),
+ways AS (SELECT u, v FROM b_edge UNION SELECT v, u FROM b_edge),
+up1 AS (SELECT a.node, min(b.node) AS parent FROM lab a JOIN ways w ON w.u = a.node JOIN lab b ON b.node = w.v AND b.depth = a.depth - 1 AND b.root = a.root GROUP BY a.node),
+tree AS (SELECT a.node, a.depth, p.parent FROM lab a LEFT JOIN up1 p ON p.node = a.node)
+"""
 
 
-@query("""SELECT node, CAST(node % 50 + floor((node % 400) / 50) AS INTEGER) AS depth, CASE WHEN node % 400 >= 50 THEN node - 50 WHEN node % 50 > 0 THEN node - 1 END AS parent
-FROM (SELECT p_partkey AS node FROM part) WHERE (SELECT count(*) FROM part) % 400 <> 1 OR node + 1 < (SELECT count(*) FROM part)""")
+@query(_HOPS + "SELECT node, depth, parent FROM tree")
 def bfs_depth(spark: SparkSession, sf: str) -> DataFrame:
-    """Hops from the corner of each block of the grid."""
-    e = _cut(spark, sf)
-    return graph.bfs(e, e.select(F.col("u").alias("node")).where("node % 400 = 0").distinct())
+    """Hops over the whole grid from the marked nodes."""
+    return graph.bfs(view(spark, sf, "b_edge"), _marked(spark, sf, "p_size = 1"))
 
 
-@query(None)
+@query(ctes("b_edge").replace("WITH", "WITH RECURSIVE", 1) + ", " + _NODES + _BOTH + """way(k, node, dist, root) AS (SELECT 0, node, 0.0::DOUBLE, node FROM nodes JOIN part ON p_partkey = node WHERE p_size = 1
+UNION ALL SELECT k + 1, node, dist, root FROM (SELECT k, node, dist, root, row_number() OVER (PARTITION BY node ORDER BY dist, root) AS n FROM
+  (SELECT k, node, dist, root FROM way UNION ALL SELECT k, e.v, dist + length, root FROM way JOIN e ON e.u = way.node)) WHERE n = 1 AND k < 120)
+SELECT node, round(dist, 6) AS dist, root FROM way WHERE k = 120""")
 def sssp(spark: SparkSession, sf: str) -> DataFrame:
-    e = _cut(spark, sf)
-    return graph.shortest_paths(e, e.select(F.col("u").alias("node")).where("node % 400 = 0").distinct()).select("node", F.round("dist", 6).alias("dist"), "root", "pred")
+    """The nearest marked node of every node, over the whole grid."""
+    return graph.shortest_paths(view(spark, sf, "b_edge"), _marked(spark, sf, "p_size = 1")).select("node", F.round("dist", 6).alias("dist"), "root")
 
 
-@query(None)
+@query(_HOPS.replace("WITH", "WITH RECURSIVE", 1).rstrip() + """,
+climb(node, load) AS (SELECT node, 1 FROM nodes JOIN part ON p_partkey = node WHERE p_size <= 8 UNION ALL SELECT t.parent, c.load FROM climb c JOIN tree t ON t.node = c.node WHERE t.parent IS NOT NULL)
+SELECT node, CAST(sum(load) AS BIGINT) AS n_loads FROM climb GROUP BY node""")
 def path_loads(spark: SparkSession, sf: str) -> DataFrame:
     """How many loads pass each node on their way to the root."""
     t = materialise(bfs_depth(spark, sf), "tree")
-    return graph.path_accumulate(t.select("node", "parent"), t.where("node % 7 = 0").select("node", F.col("node").alias("app_id"))).groupBy("node").agg(F.count("*").alias("n_loads"))
+    loads = _marked(spark, sf, "p_size <= 8").withColumn("load", F.lit(1.0))
+    return graph.path_sums(t.select("node", "parent"), loads).select("node", F.col("load").cast("long").alias("n_loads"))
+
+
+@query(_HOPS.replace("WITH", "WITH RECURSIVE", 1).rstrip() + """,
+climb(node, app_id) AS (SELECT node, node FROM nodes JOIN part ON p_partkey = node WHERE p_size = 2 UNION ALL SELECT t.parent, c.app_id FROM climb c JOIN tree t ON t.node = c.node WHERE t.parent IS NOT NULL)
+SELECT DISTINCT node, app_id FROM climb""")
+def path_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Which loads pass each node."""
+    t = materialise(bfs_depth(spark, sf), "tree")
+    return graph.path_accumulate(t.select("node", "parent"), _marked(spark, sf, "p_size = 2").withColumn("app_id", F.col("node")))
 
 
 @query(None)
 def steiner_tree(spark: SparkSession, sf: str) -> DataFrame:
-    e = _cut(spark, sf)
-    return graph.steiner(e, e.select(F.col("u").alias("node")).where("node % 37 = 0").distinct())
+    return graph.steiner(view(spark, sf, "b_edge"), _marked(spark, sf, "p_size = 1"))
 
 
-@query(None)
+@query(ctes("b_site").replace("WITH", "WITH RECURSIVE", 1) + """, near AS (SELECT a.dev_id AS u, b.dev_id AS v FROM b_site a JOIN b_site b ON (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 160000.0),
+core AS (SELECT u AS c FROM near GROUP BY u HAVING count(*) >= 3), dense AS (SELECT u, v FROM near WHERE u IN (SELECT c FROM core) AND v IN (SELECT c FROM core)),
+reach(node, seen) AS (SELECT c, c FROM core UNION SELECT r.node, d.v FROM reach r JOIN dense d ON d.u = r.seen), lab AS (SELECT node, min(seen) AS cluster FROM reach GROUP BY node),
+side AS (SELECT u, min(v) AS w FROM near WHERE v IN (SELECT c FROM core) GROUP BY u)
+SELECT s.dev_id, coalesce(l.cluster, b.cluster) AS cluster FROM b_site s LEFT JOIN lab l ON l.node = s.dev_id LEFT JOIN side ON side.u = s.dev_id LEFT JOIN lab b ON b.node = side.w""")
 def dbscan_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return cluster.dbscan(view(spark, sf, "b_site"), 600.0, 2, "dev_id")
+    """Clusters of sites with three within 400 metres, with their border sites; others are noise."""
+    return cluster.dbscan(view(spark, sf, "b_site"), 400.0, 3, "dev_id")
 
 
 @query(None)
