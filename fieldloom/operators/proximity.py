@@ -4,7 +4,8 @@ Every location goes to the cell of its nearest pivot. A query of radius r also
 goes to each other cell whose pivot is at most 2 r farther away than its own:
 by the triangle inequality no cell beyond can hold a location within r. In each
 cell a vantage-point tree over the cell's locations answers the cell's queries.
-Cells with many locations or queries are cut into blocks, so no task grows with
+A crowded cell has pivots of its own, by which its locations and queries are parted
+again in the same way; what is still crowded is cut into blocks, so no task grows with
 the most crowded spot. Pivots are fitted on a bounded sample; they only affect
 balance, never the result.
 """
@@ -19,11 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.operators.vptree import EARTH_M, VantageTree, haversine_m, unit
+from fieldloom.runtime import materialise
 
 #: At most so many pivots, whatever the data: what is sent to the executors is at most 96 KB.
 MAX_PIVOTS = 4096
 #: Locations a cell should hold, while the number of pivots allows.
 CELL = 1500
+#: A cell of more than CROWDED times CELL locations has pivots of its own, at most so many: all cells' together take 25 MB.
+CROWDED = 4
+MAX_INNER = 256
 #: A cell's block of locations, or of queries, holds about so many.
 BLOCK = 20_000
 #: Metres added wherever rounding could lose a cell.
@@ -77,10 +82,37 @@ def _cells(pivots: np.ndarray, xyz: np.ndarray, reach: np.ndarray | None) -> tup
     return np.concatenate(rows), np.concatenate(cells)
 
 
-def _assign(pivots: np.ndarray, with_reach: bool):
+def inner_pivots(places: DataFrame, pivots: np.ndarray, cell: int = CELL) -> dict[int, np.ndarray]:
+    """Pivots of the crowded cells by cell. Which places become one is drawn by their hashes, at a rate that bounds their number."""
+    at = places.select("lng", "lat").mapInPandas(_assign(pivots, False), "lng double, lat double, cell int")
+    # A row for each of at most MAX_PIVOTS cells.
+    n = at.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED * cell)
+    rate = n.select("cell", (F.least(F.col("n") / cell, F.lit(float(MAX_INNER))) / F.col("n")).alias("rate"))
+    draw = F.pmod(F.xxhash64(F.lit(1), "lng", "lat"), F.lit(1 << 30)) / float(1 << 30)
+    rows = at.join(F.broadcast(rate), "cell").where(draw < F.col("rate")).select("cell", "lng", "lat").toPandas()
+    return {int(c): unit(g.lng.to_numpy(), g.lat.to_numpy()) for c, g in rows.groupby("cell") if len(g) > 1}
+
+
+def _assign(pivots: np.ndarray, with_reach: bool, inner: dict[int, np.ndarray] | None = None):
+    """Rows with their cell; with `inner`, cells are numbered by (cell, place of the inner pivot)."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            row, cell = _cells(pivots, unit(b.lng.to_numpy(), b.lat.to_numpy()), b.radius_m.to_numpy(float) if with_reach else None)
+            xyz, reach = unit(b.lng.to_numpy(), b.lat.to_numpy()), b.radius_m.to_numpy(float) if with_reach else None
+            row, cell = _cells(pivots, xyz, reach)
+            if inner is not None:
+                sub = np.zeros(len(row), int)
+                rows, cells, subs = [row], [cell], [sub]
+                for c in np.intersect1d(cell, list(inner)):
+                    m = cell == c
+                    # The same rule holds within a cell: a location within r is with a pivot at most 2 r farther than the nearest.
+                    i, k = _cells(inner[int(c)], xyz[row[m]], None if reach is None else reach[row[m]])
+                    rows.append(row[m][i])
+                    cells.append(np.full(len(i), c))
+                    subs.append(k)
+                plain = ~np.isin(cell, list(inner))
+                rows[0], cells[0], subs[0] = row[plain], cell[plain], sub[plain]
+                row, cell = np.concatenate(rows), np.concatenate(cells) * MAX_INNER * 4 + np.concatenate(subs)
             yield b.iloc[row].assign(cell=cell.astype("int32"))
 
     return run
@@ -112,16 +144,17 @@ def _local(_key, places: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
     rings = queries.ring.to_numpy()
     region = np.array([r is not None for r in rings])
     keep = region[qi] | (d <= rad[qi])
-    for q in np.unique(qi[region[qi]]):
-        m = np.nonzero(qi == q)[0]
-        ring = rings[q]
+    in_ring = np.nonzero(region[qi])[0]
+    in_ring = in_ring[np.argsort(qi[in_ring], kind="stable")]
+    for m in np.split(in_ring, np.nonzero(np.diff(qi[in_ring]))[0] + 1) if len(in_ring) else []:
+        ring = rings[qi[m[0]]]
         x, y = np.array([v["lng"] for v in ring], float), np.array([v["lat"] for v in ring], float)
         keep[m] = inside(plng[pi[m]], plat[pi[m]], x, y)
     qi, pi, d = qi[keep], pi[keep], d[keep]
     return pd.DataFrame({"kind": queries.kind.to_numpy()[qi], "qid": queries.qid.to_numpy()[qi], "q_lng": qlng[qi], "q_lat": qlat[qi], "lng": plng[pi], "lat": plat[pi], "distance_m": d})[cols]
 
 
-def near(places: DataFrame, queries: DataFrame, pivots: np.ndarray | None = None, block: int = BLOCK) -> DataFrame:
+def near(places: DataFrame, queries: DataFrame, pivots: np.ndarray | None = None, block: int = BLOCK, cell: int | None = None, most: int | None = None) -> DataFrame:
     """(kind, qid, q_lng, q_lat, lng, lat, distance_m) for each query and each place it reaches.
 
     places: distinct (lng, lat) without nulls. queries: columns of QUERY; a row
@@ -129,13 +162,16 @@ def near(places: DataFrame, queries: DataFrame, pivots: np.ndarray | None = None
     bound the ring, see `regions`), any other the places at most radius_m away.
     Ties, repeated queries and queries at one spot are all answered.
     """
+    cell, most = cell or CELL, most or MAX_PIVOTS
     if pivots is None:
-        pivots = fit_pivots(places)
+        pivots = fit_pivots(places, cell, most)
     if not len(pivots):
         return queries.where("false").select("kind", "qid", F.col("lng").alias("q_lng"), F.col("lat").alias("q_lat"), "lng", "lat", F.col("radius_m").alias("distance_m"))
-    p = places.select("lng", "lat").mapInPandas(_assign(pivots, False), "lng double, lat double, cell int")
-    q = queries.select("kind", "qid", "lng", "lat", "radius_m", "ring").mapInPandas(_assign(pivots, True), QUERY + ", cell int")
-    # At most MAX_PIVOTS rows: the number of blocks a cell is cut into, on either side.
+    # Fewer places than MAX_PIVOTS cells hold crowd no cell.
+    inner = inner_pivots(places, pivots, cell) if places.count() > most * cell else {}
+    p = places.select("lng", "lat").mapInPandas(_assign(pivots, False, inner), "lng double, lat double, cell int")
+    q = queries.select("kind", "qid", "lng", "lat", "radius_m", "ring").mapInPandas(_assign(pivots, True, inner), QUERY + ", cell int")
+    # A row for each cell, inner ones told apart (a million at most): the number of blocks it is cut into, on either side.
     size = (
         p.select("cell", F.lit(1).alias("a"), F.lit(0).alias("b"))
         .unionByName(q.select("cell", F.lit(0).alias("a"), F.lit(1).alias("b")))
@@ -171,26 +207,30 @@ def regions(df: DataFrame, kind: str) -> DataFrame:
                     continue
                 x, y = np.array([v["lng"] for v in pts]), np.array([v["lat"] for v in pts])
                 cx, cy = (x.min() + x.max()) / 2, (y.min() + y.max()) / 2
-                # Twice the farthest corner also bounds what straight lines in degrees add to an arc at this size.
+                # A hundredth more than the farthest corner also bounds what straight lines in degrees add to an arc at this size.
                 out.append((kind, qid, cx, cy, float(haversine_m(cx, cy, x, y).max()) * 1.01 + 1.0, [{"lng": float(u), "lat": float(v)} for u, v in zip(x, y)]))
             yield pd.DataFrame(out, columns=["kind", "qid", "lng", "lat", "radius_m", "ring"])
 
     return df.select(F.col("qid").cast("string").alias("qid"), "ring").where("ring IS NOT NULL").mapInPandas(run, QUERY)
 
 
-def development_surroundings(developments: DataFrame, areas: DataFrame, schools: DataFrame, school_m: float = 250.0, pair_m: float = 40.0, block: int = BLOCK) -> DataFrame:
-    """(relation, app_id, other_id): the area holding each development, schools and other developments close by.
-
-    Developments without a position, and null ids, take no part; repeated rows count once.
-    """
-    from fieldloom.runtime import materialise
-
+def _met(developments: DataFrame, areas: DataFrame, schools: DataFrame, school_m: float, pair_m: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """(developments with their place, what each place meets): developments at one spot are one place."""
     apps = materialise(developments.select("app_id", position(F.col("centroid")).alias("p")).where("p IS NOT NULL AND app_id IS NOT NULL").select("app_id", "p.lng", "p.lat").distinct(), "apps")
     places = materialise(apps.select("lng", "lat").distinct(), "places")
     s = schools.select(F.col("school_id").alias("qid"), lng_lat(F.col("lng"), F.col("lat")).alias("p")).where("p IS NOT NULL AND qid IS NOT NULL").select("qid", "p.lng", "p.lat").distinct()
     a = areas.where("small_area_id IS NOT NULL").select(F.col("small_area_id").alias("qid"), "ring")
     own = places.select(F.lit(None).cast("string").alias("qid"), "lng", "lat")
-    hits = materialise(near(places, circles(own, "development", pair_m).unionByName(circles(s, "school", school_m)).unionByName(regions(a, "area")), block=block), "near")
+    hits = near(places, circles(own, "development", pair_m).unionByName(circles(s, "school", school_m)).unionByName(regions(a, "area")), block=block)
+    return apps, materialise(hits, "near")
+
+
+def development_surroundings(developments: DataFrame, areas: DataFrame, schools: DataFrame, school_m: float = 250.0, pair_m: float = 40.0, block: int = BLOCK) -> DataFrame:
+    """(relation, app_id, other_id): the area holding each development, schools and other developments close by.
+
+    Developments without a position, and null ids, take no part; repeated rows count once.
+    """
+    apps, hits = _met(developments, areas, schools, school_m, pair_m, block)
     one = hits.where("kind <> 'development'").join(apps, ["lng", "lat"]).select(F.col("kind").alias("relation"), "app_id", F.col("qid").alias("other_id"))
     # Each pair of places is met from both ends; one is kept. A place met with itself pairs its own applications.
     two = hits.where("kind = 'development' AND (q_lng < lng OR (q_lng = lng AND q_lat <= lat))").select("q_lng", "q_lat", "lng", "lat")
@@ -201,3 +241,17 @@ def development_surroundings(developments: DataFrame, areas: DataFrame, schools:
     pair = pair.where((F.col("a") < F.col("b")) | (~same & (F.col("a") > F.col("b"))))
     pair = pair.select(F.lit("development").alias("relation"), F.least("a", "b").alias("app_id"), F.greatest("a", "b").alias("other_id"))
     return one.unionByName(pair).distinct()
+
+
+def surroundings_count(developments: DataFrame, areas: DataFrame, schools: DataFrame, school_m: float = 250.0, pair_m: float = 40.0, block: int = BLOCK) -> DataFrame:
+    """(app_id, place_id, n_area, n_school, n_development): one row for each development and position: its place, which those at the same spot share, and how much is about it.
+
+    Places are counted first, with how many developments each has, so no pair of developments is made.
+    """
+    apps, hits = _met(developments, areas, schools, school_m, pair_m, block)
+    size = apps.groupBy("lng", "lat").agg(F.count_distinct("app_id").alias("n"))
+    fixed = hits.where("kind <> 'development'").groupBy("lng", "lat").agg(F.count_distinct(F.when(F.col("kind") == "area", F.col("qid"))).alias("n_area"), F.count_distinct(F.when(F.col("kind") == "school", F.col("qid"))).alias("n_school"))
+    close = hits.where("kind = 'development'").select("q_lng", "q_lat", "lng", "lat").distinct().join(size, ["lng", "lat"]).groupBy(F.col("q_lng").alias("lng"), F.col("q_lat").alias("lat")).agg((F.sum("n") - 1).alias("n_development"))
+    per = size.select("lng", "lat").join(fixed, ["lng", "lat"], "left").join(close, ["lng", "lat"], "left")
+    z = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return apps.join(per, ["lng", "lat"]).select("app_id", F.xxhash64("lng", "lat").alias("place_id"), z("n_area"), z("n_school"), z("n_development"))

@@ -14,8 +14,8 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_surroundings_count(spark: SparkSession, sf: str) -> DataFrame:
-    """How many areas, schools and developments each development has about it."""
-    return p2_found(spark, sf).groupBy("relation", "app_id").agg(F.count("*").alias("n_found"))
+    """How many areas, schools and other developments each development has about it."""
+    return proximity.surroundings_count(table(spark, sf, "developments"), table(spark, sf, "areas"), table(spark, sf, "schools")).drop("place_id")
 
 
 def _refs(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,7 +60,10 @@ judged AS (SELECT r.*, (o.app_id IS NULL OR coalesce(o.first_seen > r.moment, fa
 QUERIES = {"p2_found": p2_found, "p2_surroundings_count": p2_surroundings_count, "p4_found": p4_found, "p4_orphans_by_period": p4_orphans_by_period}
 SQL = {
     "p2_found": _P2 + "SELECT relation, app_id, other_id FROM found",
-    "p2_surroundings_count": _P2 + "SELECT relation, app_id, count(*) AS n_found FROM found GROUP BY relation, app_id",
+    "p2_surroundings_count": _P2
+    + """, ways AS (SELECT relation, app_id, other_id FROM found UNION ALL SELECT relation, other_id, app_id FROM found WHERE relation = 'development')
+SELECT d.id AS app_id, count(CASE WHEN relation = 'area' THEN 1 END) AS n_area, count(CASE WHEN relation = 'school' THEN 1 END) AS n_school, count(CASE WHEN relation = 'development' THEN 1 END) AS n_development
+FROM dev d LEFT JOIN ways w ON w.app_id = d.id GROUP BY d.id, d.lng, d.lat""",
     "p4_found": _P4 + "SELECT DISTINCT ref_table, ref_id, app_id FROM judged WHERE orphan",
     "p4_orphans_by_period": _P4 + "SELECT ref_table, strftime(date_trunc('month', moment), '%Y-%m-%d') AS period, count(*) AS n_references, CAST(sum(CASE WHEN orphan THEN 1 ELSE 0 END) AS BIGINT) AS n_orphans FROM judged GROUP BY 1, 2",
 }

@@ -59,9 +59,12 @@ def _brute(devs, areas, schools):
     return out
 
 
-@pytest.mark.parametrize("block", [7, 20_000])
-def test_against_brute_force(spark, block, monkeypatch):
+@pytest.mark.parametrize("block,most", [(7, 4096), (20_000, 4096), (20_000, 3)])
+def test_against_brute_force(spark, block, most, monkeypatch):
+    # With three pivots every cell is crowded and has its own.
     monkeypatch.setattr(P, "CELL", 20)
+    monkeypatch.setattr(P, "MAX_PIVOTS", most)
+    monkeypatch.setattr(P, "CROWDED", 1)
     g = np.random.default_rng(1)
     devs = [(f"a{i}", [float(-8 + g.normal(0, 0.003)), float(53 + g.normal(0, 0.003))], 1.0, "r") for i in range(300)]
     devs += [(f"s{i}", [-8.0, 53.0], None, None) for i in range(12)] + [("w", [53.0, -8.0001], None, None), ("z", [0.0, 0.0], None, None), ("e", [], None, None), ("n", None, None, None), ("h", [None, 53.0], None, None), (None, [-8.0, 53.0], None, None), ("nan", [float("nan"), 53.0], None, None)]
@@ -76,6 +79,14 @@ def test_against_brute_force(spark, block, monkeypatch):
     assert set(rows) == _brute(devs, [a for a in areas if a[0] and a[1] and len(a[1]) > 3], schools)
 
 
+def test_counts_by_place(spark):
+    devs = [("a", [-8.0, 53.0], None, None), ("b", [-8.0, 53.0], None, None), ("c", [-8.0001, 53.0], None, None), ("d", [-8.1, 53.0], None, None), ("a", [-8.0, 53.0], None, None)]
+    ring = [(-8.01, 52.99), (-7.99, 52.99), (-7.99, 53.01), (-8.01, 53.01), (-8.01, 52.99)]
+    got = P.surroundings_count(_dev(spark, devs), spark.createDataFrame([("t", ring), ("t", ring[::-1])], AREAS), spark.createDataFrame([("s", -8.0, 53.0, None)], SCHOOLS)).collect()
+    assert {r.app_id: (r.n_area, r.n_school, r.n_development) for r in got} == {"a": (1, 1, 2), "b": (1, 1, 2), "c": (1, 1, 2), "d": (0, 0, 0)}
+    assert len(got) == 4 and len({r.place_id for r in got}) == 3
+
+
 def test_no_places(spark):
     got = P.development_surroundings(_dev(spark, [("a", None, None, None)]), spark.createDataFrame([], AREAS), spark.createDataFrame([("s", -8.0, 53.0, None)], SCHOOLS))
     assert got.count() == 0
