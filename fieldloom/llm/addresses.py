@@ -4,10 +4,14 @@
    names, the counties, and the locality each postal routing key stands for.
 2. Every address is read into unit, number or house name, street and locality,
    whatever their order; where a reading is open (a type left out, cut or glued
-   on) several are kept, the beam.
-3. Street spellings are clustered within each locality: a rare one joins the most
-   frequent spelling one edit away. The clusters are the gazetteer's streets.
-4. Each address takes the reading of its beam that the gazetteer supports best.
+   on, several runs of words) all are kept: the beam, whose first is the likeliest.
+3. The gazetteer: street spellings are clustered within each locality, a rare one joining the
+   most frequent spelling one edit away. Each cluster is a street with an identifier; a
+   spelling without a type stands for the only street of that name, if there is just one.
+4. The beam is searched over the gazetteer's entries: every reading is led to the entry
+   of its locality and spelling, to one an edit away where it has none, or, without a
+   locality, to the only one so named; what it costs is weighed against how well the street is
+   known, and the best reading gives the address its street identifier.
 5. Addresses with the same street identifier, number or house, and unit are at one place.
 """
 
@@ -27,12 +31,13 @@ from fieldloom.llm.bktree import BKTree
 from fieldloom.llm.street_names import TYPE_OF, fold, near_type, read, unglued, unread
 from fieldloom.runtime import materialise
 
-#: A phrase is a locality or county if it has at least this share of what is learnt from, and LEAST cases. So there are
-#: never more than 1/SHARE, which bounds what the driver and the executors hold; rarer names stand for themselves.
-SHARE = 1e-5
+#: A phrase is a locality or county if so many telling addresses name it.
 LEAST = 2
-#: Readings of an address, at most; a reading beyond the first only counts if the gazetteer has its street.
-BEAM = 6
+#: Localities, misspellings of others folded, that the executors hold (some 100 MB); of more, the rarest stand for themselves.
+MOST_TOWNS = 1_000_000
+#: What a reading loses for each that is likelier, and for a spelling the gazetteer only has an edit away; a street gains the logarithm (base 2) of its addresses.
+LESS_LIKELY = 2.0
+EDITED = 3.0
 #: A spelling joins another one edit away if it has at most RARE cases or the other TIMES as many.
 RARE = 2
 TIMES = 5
@@ -101,15 +106,15 @@ class Places:
 
 
 def learn(addresses: DataFrame) -> Places:
+    """Counties, localities and what routing keys stand for. Misspellings are folded where the data lie; names proper come to the driver."""
     # Only addresses with two separators that name a county teach anything.
     telling = addresses.select("address").where(F.col("address").rlike(r"(?is)[,;\n].*[,;\n]") & F.col("address").rlike(r"(?i)\bco(unty)?\b"))
     got = telling.mapInPandas(_learn, "kind string, name string, other string, n long").groupBy("kind", "name", "other").agg(F.sum("n").alias("n"))
     got = materialise(got, "places")
-    sums = {r.kind: r.n for r in got.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    rows: dict[str, list] = {"county": [], "town": [], "key": []}
-    for kind in rows:
-        rows[kind] = got.where((F.col("kind") == kind) & (F.col("n") >= max(LEAST, SHARE * sums.get(kind, 0)))).collect()
-    counts = {r.name: r.n for r in rows["town"]}
+    spelt = got.where("kind = 'town'").select(F.lit("").alias("all"), "name", "n")
+    roots = materialise(clusters(spelt, ["all"], "name"), "towns")
+    known = roots.where("name = root").join(spelt.select("name", "n"), "name").where(F.col("root_n") >= LEAST)
+    counts = {r["name"]: r["n"] for r in known.orderBy(F.desc("root_n"), "name").limit(MOST_TOWNS).select("name", "n").toArrow().to_pylist()}
     tree, towns = BKTree(list(counts)), []
     names = sorted(counts, key=lambda t: (-counts[t], t))
     near = tree.search(names, np.array([_slack(t) for t in names], int))
@@ -117,16 +122,15 @@ def learn(addresses: DataFrame) -> Places:
         # A spelling that a far more frequent one lies next to is a misspelling of it.
         if not any(o != t and counts[o] >= TIMES * counts[t] for _, o in hits):
             towns.append(t)
-    places = Places({r.name for r in rows["county"]}, towns, {})
-    best: dict[str, Counter] = {}
+    counties = got.where((F.col("kind") == "county") & (F.col("n") >= LEAST)).select("name").toArrow().column("name").to_pylist()
+    places = Places(set(counties), towns, {})
+    # There are some 16,000 routing keys at most, by their form.
+    keys = got.where((F.col("kind") == "key") & (F.col("n") >= LEAST)).withColumnRenamed("name", "key").join(roots.select(F.col("name").alias("other"), "root"), "other")
+    keys = keys.groupBy("key", "root").agg(F.sum("n").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("town"), F.max("n").alias("n"), F.sum("n").alias("all"))
     namer = TownNamer(places)
-    for r in rows["key"]:
-        if t := namer.exact_or_near(r.other):
-            best.setdefault(r.name, Counter())[t] += r.n
-    for k, c in best.items():
-        t, n = c.most_common(1)[0]
-        if n >= 0.7 * sum(c.values()):
-            places.of_key[k] = t
+    for r in keys.where(F.col("n") >= 0.7 * F.col("all")).select("key", "town").toArrow().to_pylist():
+        if t := namer.exact_or_near(r["town"]):
+            places.of_key[r["key"]] = t
     return places
 
 
@@ -274,22 +278,22 @@ def _close(a: str, b: str) -> bool:
     return x[1:] == y or x == y[1:] or x[1:] == y[1:] or (x[:2] == y[:2][::-1] and x[2:] == y[2:])
 
 
-def beam(words: list[str]) -> list[tuple[str, str]]:
-    """Readings of a street as (name proper, saint/type/qualifiers), likeliest first, BEAM at most."""
+def beam(words: list[str]) -> list[tuple[str, str, str]]:
+    """All readings of a street as (name proper, type, saint/qualifiers), likeliest first."""
     runs = [r.split() for r in " ".join(words).split("|")]
     runs = sorted((r for r in runs if r), key=lambda r: (not any(x in TYPE_OF for x in r[1:]), -len(r)))
-    out: list[tuple[str, str]] = []
-    for r in runs[:2]:
+    out: list[tuple[str, str, str]] = []
+    for r in runs:
         p = read([unread(x) for x in r if x not in ("no", "#")])
         if not p or len(p.base) < 3:
             continue
         for q in [p, *unglued(p)]:
             for t in sorted(q.types) or [""]:
-                out.append((q.base, f"{'saint' * q.saint}/{t}/{' '.join(sorted(q.qualifiers))}"))
-    return list(dict.fromkeys(out))[:BEAM]
+                out.append((q.base, t, f"{'saint' * q.saint}/{' '.join(sorted(q.qualifiers))}"))
+    return list(dict.fromkeys(out))
 
 
-_READ = "app_id string, town string, unit string, number string, house string, house_kind string, rank int, base string, form string"
+_READ = "app_id string, town string, unit string, number string, house string, house_kind string, rank int, base string, kind string, rest string"
 
 
 def readings(addresses: DataFrame, places: Places) -> DataFrame:
@@ -310,13 +314,19 @@ def readings(addresses: DataFrame, places: Places) -> DataFrame:
                     street = " ".join(words)
                     if street not in read_as:
                         read_as[street] = beam(words)
-                    done[a] = [(town, p.unit, number, house, kind, k, base, form) for k, (base, form) in enumerate(read_as[street])]
+                    done[a] = [(town, p.unit, number, house, kind, k, *reading) for k, reading in enumerate(read_as[street])]
                 out += [(app, *r) for r in done[a]]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _READ.split(", ")]).astype({"rank": "int32"})
 
     return addresses.mapInPandas(run, _READ)
 
 
+def _short_forms(word: str):
+    """A spelling and it without each of its letters, as a column; spellings one edit or swap apart have one in common."""
+    without = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(F.col(word), F.lit(1), i - 1), F.substring(F.col(word), i + 1, F.length(word))))
+    return F.array_distinct(F.concat(F.array(word), F.when(F.length(word) >= 4, without).otherwise(F.array().cast("array<string>"))))
+
+
 def clusters(spellings: DataFrame, group: list[str], word: str) -> DataFrame:
     """(*group, word, root, root_n): each spelling with the one its cluster is named by.
 
@@ -325,9 +335,7 @@ def clusters(spellings: DataFrame, group: list[str], word: str) -> DataFrame:
     no group is ever gathered in one task.
     """
     s = spellings.select(*group, word, "n")
-    without = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(F.col(word), F.lit(1), i - 1), F.substring(F.col(word), i + 1, F.length(word))))
-    short = F.array_distinct(F.concat(F.array(word), F.when(F.length(word) >= 4, without).otherwise(F.array().cast("array<string>"))))
-    posts = s.withColumn("short", F.explode(short))
+    posts = s.withColumn("short", F.explode(_short_forms(word)))
     other = posts.select(*group, "short", F.col(word).alias("to"), F.col("n").alias("to_n"))
     better = (F.col("to_n") > F.col("n")) | ((F.col("to_n") == F.col("n")) & (F.col("to") < F.col(word)))
     joins = (F.col("n") <= RARE) | (F.col("to_n") >= TIMES * F.col("n"))
@@ -345,26 +353,56 @@ def clusters(spellings: DataFrame, group: list[str], word: str) -> DataFrame:
     return link.join(size, [*group, "root"]).select(*group, word, "root", "root_n")
 
 
+_STREET = ["town", "kind", "rest"]
+
+
+def gazetteer(readings_: DataFrame) -> DataFrame:
+    """(town, kind, rest, base, street_id, street, n): every spelling met as a likeliest reading, with its street, written once.
+
+    kind is the street's type, rest its saint and qualifiers, n the addresses on the street.
+    """
+    spelt = readings_.where("rank = 0 AND town <> ''").groupBy(*_STREET, "base").agg(F.count("*").alias("n"))
+    g = clusters(spelt, _STREET, "base").withColumn("street_id", F.xxhash64(*_STREET, "root"))
+    g = materialise(g.select(*_STREET, "base", "street_id", "root", F.concat_ws(" ", "root", "kind", "rest").alias("street"), F.col("root_n").alias("n")), "clusters")
+    # A spelling without a type: the only street of that name with one, if there is just one.
+    typed = g.where("kind <> ''").groupBy("town", "rest", F.col("base").alias("root")).agg(F.min("street_id").alias("t_id"), F.max("street_id").alias("t_other"), F.min("street").alias("t_street"), F.max("n").alias("t_n")).where("t_id = t_other")
+    bare = g.where("kind = ''").join(typed, ["town", "rest", "root"], "left")
+    bare = bare.select(*_STREET, "base", F.coalesce("t_id", "street_id").alias("street_id"), F.coalesce("t_street", "street").alias("street"), F.coalesce("t_n", "n").alias("n"))
+    return materialise(g.where("kind <> ''").select(bare.columns).unionByName(bare), "gazetteer")
+
+
+def searched(readings_: DataFrame, gaz: DataFrame) -> DataFrame:
+    """(app_id, unit, number, house, house_kind, town, street_id, street): the best reading of each address over the gazetteer's entries."""
+    here = readings_.where("town <> ''")
+    entry = ["street_id", "street", "n"]
+    exact = here.join(gaz, [*_STREET, "base"]).withColumn("cost", F.lit(0.0))
+    # Less likely readings may be spelt in ways the gazetteer doesn't have: entries an edit away, the best known of several.
+    asked = here.where("rank > 0").select(*_STREET, "base").distinct().join(gaz, [*_STREET, "base"], "left_anti")
+    posts = asked.withColumn("short", F.explode(_short_forms("base")))
+    near = posts.join(gaz.select(*_STREET, F.explode(_short_forms("base")).alias("short"), *entry), [*_STREET, "short"])
+    near = near.groupBy(*_STREET, "base").agg(F.max(F.struct("n", "street_id", "street")).alias("e")).select(*_STREET, "base", "e.street_id", "e.street", "e.n")
+    edited = here.where("rank > 0").join(near, [*_STREET, "base"]).withColumn("cost", F.lit(EDITED))
+    # Without a locality: the one that has a street so named, if there is only one.
+    only = gaz.groupBy("kind", "rest", "base").agg(F.min("town").alias("t"), F.max("town").alias("u"), *(F.min_by(c, F.struct("town", "street_id")).alias(c) for c in entry)).where("t = u").drop("u")
+    lost = readings_.where("town = ''").join(only, ["kind", "rest", "base"]).withColumn("town", F.col("t")).withColumn("cost", F.lit(0.0))
+    both = exact.unionByName(edited.select(exact.columns)).unionByName(lost.select(exact.columns))
+    score = F.log2(F.col("n").cast("double")) - LESS_LIKELY * F.col("rank") - F.col("cost")
+    best = both.groupBy("app_id", "unit", "number", "house", "house_kind").agg(F.max_by(F.struct("town", "street_id", "street"), F.struct(score, -F.col("rank"), "town", "street_id")).alias("b"))
+    return best.select("app_id", "unit", "number", "house", "house_kind", "b.town", "b.street_id", "b.street")
+
+
 def resolved(developments: DataFrame) -> DataFrame:
-    """(app_id, place_id, town, street, number, house, unit): each address that denotes a single place, written once."""
+    """(app_id, place_id, town, street_id, street, number, house, unit): each address that denotes a single place, written once."""
     a = developments.select(F.col("app_id").cast("string").alias("app_id"), "address").where("app_id IS NOT NULL AND trim(address) <> ''").distinct()
     places = learn(a)
     r = materialise(readings(a, places), "readings")
-    spelt = r.where("rank = 0 AND town <> ''").groupBy("town", "form", "base").agg(F.count("*").alias("n"))
-    gaz = materialise(clusters(spelt, ["town", "form"], "base"), "gazetteer")
-    known = r.where("town <> ''").join(gaz, ["town", "form", "base"])
-    # Without a locality: the one that has a street so named, if there is only one.
-    only = gaz.groupBy("form", "base").agg(F.count_distinct("town").alias("k"), F.first("town").alias("t"), F.first("root").alias("root"), F.first("root_n").alias("root_n")).where("k = 1")
-    lost = r.where("town = ''").join(only, ["form", "base"]).withColumn("town", F.col("t")).drop("k", "t")
-    both = known.unionByName(lost.select(known.columns))
-    best = both.groupBy("app_id", "unit", "number", "house", "house_kind").agg(F.max_by(F.struct("town", "form", "root"), F.struct((F.log2(F.col("root_n").cast("double")) - 2.0 * F.col("rank")), -F.col("rank"), "town", "form", "root")).alias("b"))
-    best = best.select("app_id", "unit", "number", "house", "house_kind", "b.town", "b.form", F.col("b.root").alias("street"))
+    best = materialise(searched(r, gazetteer(r)), "searched")
     named = best.where("number = ''")
-    group = ["town", "form", "street", "house_kind"]
+    group = ["street_id", "house_kind"]
     houses = clusters(named.groupBy(*group, "house").agg(F.count("*").alias("n")), group, "house").select(*group, "house", F.col("root").alias("house_root"))
     out = best.where("number <> ''").withColumn("house_root", F.lit("")).unionByName(named.join(houses, [*group, "house"]).select(*best.columns, "house_root"))
-    place = F.xxhash64("town", "form", "street", "number", "house_root", F.when(F.col("number") == "", F.col("house_kind")).otherwise(""), "unit")
-    return materialise(out.select("app_id", place.alias("place_id"), "town", F.concat_ws(" ", "street", "form").alias("street"), "number", F.col("house_root").alias("house"), "unit").distinct(), "resolved")
+    place = F.xxhash64("street_id", "number", "house_root", F.when(F.col("number") == "", F.col("house_kind")).otherwise(""), "unit")
+    return materialise(out.select("app_id", place.alias("place_id"), "town", "street_id", "street", "number", F.col("house_root").alias("house"), "unit").distinct(), "resolved")
 
 
 def pairs(developments: DataFrame) -> DataFrame:

@@ -9,15 +9,15 @@ PLACES = A.Places({"belgarrow", "lough skerra"}, ["megron", "fentaagh"], {"me6":
 @pytest.mark.parametrize(
     "text,want",
     [
-        ("95 Kelloon Drive,Megron", ("megron", "", "95", "", [("kelloon", "/drive/")])),
-        ("no.193 Flonde Avenue,Apt. 40,Megrn,Co. Belgarrow", ("megron", "40", "193", "", [("flonde", "/avenue/")])),
-        ("SITE: Apt 23; 134 Rilduibbra Lane; Megron; Belgarrow; me6 v8vp", ("megron", "23", "134", "", [("rilduibbra", "/lane/")])),
-        ("Co Belgarrow Megron 194, Flaibiin Hill Apartment 18", ("megron", "18", "194", "", [("flaibiin", "/hill/")])),
-        ("ME6 74EV\nLough Skerra\nFentaagh\nGreat Such Pk.\nVeffe House", ("fentaagh", "", "", "veffe/house", [("such", "/park/great")])),
-        ("113, Valche Pk, ME6 4T5A", ("megron", "", "113", "", [("valche", "/park/")])),
-        ("At Ten Bubbui Vw, Fentaagh, Co Lough Skerra", ("fentaagh", "", "10", "", [("bubbui", "/view/")])),
-        ("# 170 Little Rood Rd,\nFentaagh", ("fentaagh", "", "170", "", [("rood", "/road/little")])),
-        ("Puimi Cottage Saint Hirmu's Rd Megron County Belgarrow", ("megron", "", "", "puimi/cottage", [("hirmus", "saint/road/")])),
+        ("95 Kelloon Drive,Megron", ("megron", "", "95", "", [("kelloon", "drive", "/")])),
+        ("no.193 Flonde Avenue,Apt. 40,Megrn,Co. Belgarrow", ("megron", "40", "193", "", [("flonde", "avenue", "/")])),
+        ("SITE: Apt 23; 134 Rilduibbra Lane; Megron; Belgarrow; me6 v8vp", ("megron", "23", "134", "", [("rilduibbra", "lane", "/")])),
+        ("Co Belgarrow Megron 194, Flaibiin Hill Apartment 18", ("megron", "18", "194", "", [("flaibiin", "hill", "/")])),
+        ("ME6 74EV\nLough Skerra\nFentaagh\nGreat Such Pk.\nVeffe House", ("fentaagh", "", "", "veffe/house", [("such", "park", "/great")])),
+        ("113, Valche Pk, ME6 4T5A", ("megron", "", "113", "", [("valche", "park", "/")])),
+        ("At Ten Bubbui Vw, Fentaagh, Co Lough Skerra", ("fentaagh", "", "10", "", [("bubbui", "view", "/")])),
+        ("# 170 Little Rood Rd,\nFentaagh", ("fentaagh", "", "170", "", [("rood", "road", "/little")])),
+        ("Puimi Cottage Saint Hirmu's Rd Megron County Belgarrow", ("megron", "", "", "puimi/cottage", [("hirmus", "road", "saint/")])),
     ],
 )
 def test_reading(text, want):
@@ -59,3 +59,19 @@ def test_long_chains_of_spellings_have_one_root(spark):
     rows = [("t", "b" * k + "a" * (12 - k), 1) for k in range(13)]
     got = clusters(spark.createDataFrame(rows, "town string, base string, n long"), ["town"], "base").collect()
     assert len(got) == 13 and {(r.root, r.root_n) for r in got} == {("a" * 12, 13)}
+
+
+def test_a_street_without_its_type(spark):
+    rows = [(f"a{i}", f"{i + 1} Kelloon Drive, Megron, Co. Belgarrow") for i in range(20)] + [(f"b{i}", f"{i + 1} Valche Park, Megron, Co. Belgarrow") for i in range(9)]
+    rows += [(f"v{i}", f"{i + 1} Valche Road, Megron, Co. Belgarrow") for i in range(9)]
+    rows += [("t1", "3 Kelloon, Megron, Co. Belgarrow"), ("t2", "3 Valche, Megron, Co. Belgarrow"), ("t3", "3, Valche, Megron")]
+    got = {tuple(r) for r in A.pairs(spark.createDataFrame([(*r, "t", 1) for r in rows], S)).collect()}
+    # The only Kelloon street is meant; which Valche street is, can't be told.
+    assert got == {("a2", "t1"), ("t2", "t3")}
+
+
+def test_rare_localities_are_learnt_at_any_size(spark):
+    rows = [(f"a{i}", f"{i + 1} Kelloon Drive, Megron, Co. Belgarrow") for i in range(300)] + [("x", "7 Nabbe Lane, Oddwick, Co. Belgarrow"), ("y", "7 Nabbe Lane, Oddwick, Co. Belgarrow"), ("z", "Co Belgarrow Oddwick 7 Nabbe Lane")]
+    df = spark.createDataFrame([(*r, "t", 1) for r in rows], S)
+    assert {("x", "y"), ("x", "z"), ("y", "z")} <= {tuple(r) for r in A.pairs(df).collect()}
+    assert "oddwick" in A.learn(df.select("app_id", "address")).towns
