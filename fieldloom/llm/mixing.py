@@ -1,10 +1,12 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
 Every page is measured in tokens of a public tokenizer. Each source's pages are
-put into a seeded order and cut into blocks of equal tokens; seats are then given
-to sources by highest quotients (target share over 2 k + 1), which gives whole
-quotas for every output shard, and each source fills its seats with blocks in an
-order that starts at a seeded place. A block is used again only after all others.
+put into a seeded order and cut into blocks of equal tokens, a whole number of them, so
+that every page is in one; a source's blocks are at most so much larger than the common size
+as its rest asks for. Seats are then given to sources by highest quotients (target share
+over the source's block size and 2 k + 1), which gives whole quotas for every output
+shard, and each source fills its seats with blocks in an order that starts at a seeded
+place. A block is used again only after all others.
 """
 
 from __future__ import annotations
@@ -37,12 +39,14 @@ SEED = 20
 
 def measured(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, seed: int = SEED) -> DataFrame:
     """(doc_id, source, n_tokens, place), written once. Pages without text, source or id are left out; place is the seeded order."""
-    path = f"{folder}/{vocabulary}"
+    # The vocabulary goes to the executors with the job.
+    documents.sparkSession.sparkContext.addFile(f"{folder}/{vocabulary}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(path, "rb") as f:
+        with open(SparkFiles.get(vocabulary), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         count = tiktoken.Encoding("blocks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         for b in batches:
@@ -89,11 +93,13 @@ def plan(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total: in
     goal = min(room, total) if total else room
     block = max(1, min(max(least, -(-int(goal) // most)), max(1, min(sizes[s] for s in live) // 8)))
     block = max(block, -(-int(goal) // most))
-    # A block starts at each multiple of its size; the rest behind the last whole one stays unused.
     blocks = {s: max(1, sizes[s] // block) for s in live}
-    n = int(min([goal / block, *(blocks[s] * r * norm / w for s, (w, r) in live.items())]))
+    # What a block of each source holds; seats are worth that much, so they are weighed by it.
+    held = {s: sizes[s] / blocks[s] for s in live}
+    weight = {s: w / norm / held[s] for s, (w, _) in live.items()}
+    n = int(min([goal * sum(weight.values()), *(blocks[s] * live[s][1] * sum(weight.values()) / weight[s] for s in live)]))
     while True:
-        order = apportion({s: w for s, (w, _) in live.items()}, n)
+        order = apportion(weight, n)
         quota = {s: order.count(s) for s in live}
         over = [s for s in live if quota[s] > blocks[s] * live[s][1]]
         if not over:
@@ -104,7 +110,7 @@ def plan(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total: in
     for i, s in enumerate(order):
         seats.append((s, nth[s], i * shards // max(1, n)))
         nth[s] += 1
-    return Plan(block, n * block, blocks, quota, seats)
+    return Plan(block, round(sum(quota[s] * held[s] for s in live)), blocks, quota, seats)
 
 
 def _starts(tokens: DataFrame, buckets: int) -> DataFrame:
@@ -133,9 +139,9 @@ def mix(tokens: DataFrame, targets: DataFrame, total: int | None = None, shards:
     known = {r.source: (int(r.s), int(r.n)) for r in tokens.where(F.col("source").isin(list(wanted))).groupBy("source").agg(F.sum("n_tokens").alias("s"), F.count("*").alias("n")).collect()}
     p = plan({s: v[0] for s, v in known.items()}, wanted, total, shards)
     seats = spark.createDataFrame(p.seats or [("", 0, 0)], "source string, nth int, shard int").where("source <> ''")
-    sources = spark.createDataFrame([(s, p.blocks[s], p.quota[s], wanted[s][1], hash_place(s, seed) % p.blocks[s]) for s in p.blocks] or [("", 1, 0, 0, 0)], "source string, blocks int, quota int, repeats int, first int")
-    starts = _starts(tokens.join(F.broadcast(sources.select("source")), "source", "left_semi"), max(16, min(4096, sum(v[1] for v in known.values()) // 5000)))
-    placed = starts.join(F.broadcast(sources), "source").withColumn("b", F.floor(F.col("start") / F.lit(p.block)).cast("int")).where("b < blocks")
+    sources = spark.createDataFrame([(s, known[s][0], p.blocks[s], p.quota[s], wanted[s][1], hash_place(s, seed) % p.blocks[s]) for s in p.blocks] or [("", 1, 1, 0, 0, 0)], "source string, size long, blocks int, quota int, repeats int, first int")
+    starts = _starts(tokens.join(F.broadcast(sources.select("source")), "source", "left_semi"), max(16, sum(v[1] for v in known.values()) // 5000))
+    placed = starts.join(F.broadcast(sources), "source").withColumn("b", F.expr("cast((start * blocks) div size as int)"))
     placed = placed.withColumn("round", F.explode(F.sequence(F.lit(0), F.greatest(F.col("repeats") - 1, F.lit(0)))))
     placed = placed.withColumn("nth", (F.col("round") * F.col("blocks") + F.pmod(F.col("b") - F.col("first"), F.col("blocks"))).cast("int")).where("nth < quota")
     # At most MOST_BLOCKS seats.
