@@ -38,10 +38,10 @@ EPOCHS = 4
 ROUNDS = 3
 BATCH = 64
 SEED = 7
-#: Labelled pages of a language that a threshold of its own needs; others share the common one.
-LEAST_OF_LANGUAGE = 200
-#: The threshold where too few abusive pages are held out to calibrate one.
-FEW_LABELS_CUT = 0.9
+#: A threshold calibrated on k held-out abusive pages is drawn towards what holds without them as if by so many more pages:
+#: that of a language towards that of all, and that of all towards UNSURE_CUT.
+DRAWN = 10
+UNSURE_CUT = 0.9
 
 
 # ---- sentences -------------------------------------------------------------
@@ -287,6 +287,12 @@ def best_threshold(s: np.ndarray, label: np.ndarray) -> float:
     return float(np.clip((s[order[k]] + low) / 2, 0.05, 0.95))
 
 
+def drawn(s: np.ndarray, label: np.ndarray, towards: float) -> float:
+    """The best threshold of some pages, the fewer abusive among them the nearer to `towards`."""
+    k = int(label.sum())
+    return towards if not k else (k * best_threshold(s, label) + DRAWN * towards) / (k + DRAWN)
+
+
 @dataclass
 class Model:
     nets: list[Net]
@@ -309,13 +315,9 @@ def fit(pages: pa.Table) -> Model:
     seen = _take(tok, off, page, ~held, label)
     nets = [train(*seen, seed=SEED + 100 * k) for k in range(MEMBERS)]
     s = page_scores(np.mean([score_all(n, tok, off) for n in nets], axis=0), page, len(label))
-    common = best_threshold(s[held], label[held]) if label[held].sum() >= 10 else FEW_LABELS_CUT
-    by: dict[str, float] = {}
+    common = drawn(s[held], label[held], UNSURE_CUT)
     langs = np.array([language(v) for v in pages.column("lang").to_pylist()], object)
-    for k, n in pd.Series(langs).value_counts().items():
-        m = held & (langs == k)
-        if n >= LEAST_OF_LANGUAGE and label[m].sum() >= 10:
-            by[k] = best_threshold(s[m], label[m])
+    by = {k: drawn(s[held & (langs == k)], label[held & (langs == k)], common) for k in sorted(set(langs))}
     return Model(nets, common, by)
 
 
