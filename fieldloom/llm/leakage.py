@@ -63,8 +63,8 @@ GAP = 40
 ITEMS = 20_000
 #: Documents of an index segment.
 SEGMENT = 1000
-#: Candidate pages are sent to the pages by broadcast up to this number, beyond by a shuffled join.
-MOST_PAGES = 100_000
+#: Ids of candidate pages are sent to the pages by broadcast up to this number (some 20 MB), beyond by a shuffled join.
+MOST_PAGES = 1_000_000
 #: Test terms are matched on the map side up to this number (about 100 MB), beyond by a shuffled join.
 MOST_TERMS = 4_000_000
 
@@ -421,8 +421,8 @@ def matches(documents: DataFrame, items: DataFrame, window: int = WINDOW, least:
         numbers = {r["key"]: i for i, r in enumerate(held)}
         met = materialise(index.mapInArrow(_intersect(picked, numbers), _CANDIDATE), "candidates")
         per = materialise(met.groupBy("doc_id").agg(F.collect_list(F.struct("item", "ipos", "place", "in_run")).alias("found")), "found")
-        # Pages without a candidate aren't read any further.
-        with_found = pages.join(checked_broadcast(per, MOST_PAGES), "doc_id")
+        # Pages without a candidate are left behind before any is sent on.
+        with_found = pages.join(checked_broadcast(per.select("doc_id"), MOST_PAGES), "doc_id", "left_semi").join(per, "doc_id")
         found.append(with_found.mapInArrow(_align([r["item_id"] for r in held], [r["words"] for r in held], gains, least or window), "item_id long, doc_id long, n_words int"))
     if not found:
         return pages.select(F.col("doc_id").alias("item_id"), "doc_id", F.lit(0).alias("n_words")).where("false")
