@@ -97,7 +97,7 @@ def plan(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total: in
     # What a block of each source holds; seats are worth that much, so they are weighed by it.
     held = {s: sizes[s] / blocks[s] for s in live}
     weight = {s: w / norm / held[s] for s, (w, _) in live.items()}
-    n = int(min([goal * sum(weight.values()), *(blocks[s] * live[s][1] * sum(weight.values()) / weight[s] for s in live)]))
+    n = int(min([goal * sum(weight.values()), *(blocks[s] * live[s][1] * sum(weight.values()) / weight[s] for s in live)]) + 1e-6)
     while True:
         order = apportion(weight, n)
         quota = {s: order.count(s) for s in live}

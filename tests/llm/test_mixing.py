@@ -42,6 +42,20 @@ def test_mix(spark):
     assert {tuple(r) for r in M.mix(t, g, shards=4).collect()} == {tuple(r) for r in rows}
 
 
+def test_every_page_can_be_used(spark):
+    rows = [(i, "a" if i % 7 else "b", 50 + i % 97, i * 40503 % 65521 * (1 << 40)) for i in range(3001)]
+    t = spark.createDataFrame(rows, TOK)
+    size = {s: sum(r[2] for r in rows if r[1] == s) for s in "ab"}
+    share = size["a"] / (size["a"] + size["b"])
+    for tgt, want in (([("a", 1.0, 1, 0)], {"a": 1}), ([("a", share, 2, 0), ("b", 1 - share, 2, 0)], {"a": 2, "b": 2})):
+        m = M.mix(t, spark.createDataFrame(tgt, TGT)).groupBy("source", "doc_id").count().collect()
+        for s, n in want.items():
+            uses = [r["count"] for r in m if r.source == s]
+            assert len(uses) >= 0.99 * sum(r[1] == s for r in rows) and max(uses) <= n
+    only = M.mix(t, spark.createDataFrame([("a", 1.0, 1, 0)], TGT))
+    assert only.count() == sum(r[1] == "a" for r in rows)
+
+
 def test_empty(spark):
     g = spark.createDataFrame([("a", 1.0, 1, 0)], TGT)
     e = spark.createDataFrame([], TOK)
