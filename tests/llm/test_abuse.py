@@ -55,7 +55,16 @@ def test_table_equals_convolution():
 
 def test_no_labels():
     m = A.fit(pa.table({"text": pa.array([], pa.string()), "lang": pa.array([], pa.string()), "label": pa.array([], pa.int64())}))
-    assert m.threshold == A.FEW_LABELS_CUT
+    assert m.threshold == A.UNSURE_CUT
+
+
+def test_thresholds_are_drawn_by_their_cases():
+    s, y = np.array([0.1, 0.2, 0.6, 0.8]), np.array([0, 0, 1, 1])
+    best = A.best_threshold(s, y)
+    assert A.drawn(s[:2], y[:2], 0.9) == 0.9
+    assert best < A.drawn(s, y, 0.9) < A.drawn(s[[0, 1, 3]], y[[0, 1, 3]], 0.95) < 0.95
+    many = A.drawn(np.tile(s, 500), np.tile(y, 500), 0.9)
+    assert abs(many - best) < 0.01
 
 
 def test_one_sentence_over_lines():
