@@ -63,6 +63,7 @@ def readings(names: DataFrame) -> DataFrame:
             rows = [(n, k, *_row(q)) for n, p in zip(b.street_name, map(parse, b.street_name)) if p for k, q in enumerate([p, *unglued(p)])]
             yield pd.DataFrame(rows, columns=["street_name", "reading", "base", "saint", "types", "quals"]).astype({"reading": "int32"})
 
+    names = names.repartition(names.sparkSession.sparkContext.defaultParallelism, "street_name")
     return materialise(names.mapInPandas(run, f"street_name string, reading int, base string, {_PARTS}"), "readings")
 
 
@@ -94,7 +95,8 @@ def near_words(bases: DataFrame, words: DataFrame, shard: int = SHARD) -> DataFr
             for b in batches:
                 yield _hits(_BUILT[name], b.base.tolist())
 
-        found = rest.mapInPandas(run, "base string, d int, word string")
+        # Few bytes, but much to do with them: spread over all cores.
+        found = rest.repartition(rest.sparkSession.sparkContext.defaultParallelism, "base").mapInPandas(run, "base string, d int, word string")
     else:
         shards, blocks = -(-words.count() // shard), max(1, -(-rest.count() // QUERIES))
         q = rest.withColumn("block", F.pmod(F.xxhash64("base"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
