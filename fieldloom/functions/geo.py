@@ -1,7 +1,7 @@
 """Geometry as Column expressions: projection, distances, lines, rings, text forms.
 
 A point is struct(x, y); a line or ring an array of points. All functions are
-null in, null out, and stay in the JVM except `simplify` and `inner_point`.
+null in, null out, and stay in the JVM except `simplify`.
 """
 
 from __future__ import annotations
@@ -167,8 +167,41 @@ def clip_step(x1: Column, y1: Column, x2: Column, y2: Column, box: tuple[float,
     return F.when(ok & (lo <= hi), part)
 
 
+def clip_line(line: Column, box: tuple[float, float, float, float]) -> Column:
+    """The runs of a line inside a box, as an array of lines: stretches that follow one another are one run."""
+    start = F.array().cast(f"array<{LINE}>")
+
+    def add(runs: Column, p: Column) -> Column:
+        c = clip_step(p.a.x, p.a.y, p.b.x, p.b.y, box)
+        one, two = F.struct(c.x1.alias("x"), c.y1.alias("y")), F.struct(c.x2.alias("x"), c.y2.alias("y"))
+        last = F.get(runs, F.size(runs) - 1)
+        # A run goes on where the next stretch begins at its end.
+        goes_on = F.coalesce(F.get(last, F.size(last) - 1) == one, F.lit(False))
+        on = F.concat(F.slice(runs, F.lit(1), F.greatest(F.size(runs) - 1, F.lit(0))), F.array(F.concat(last, F.array(two))))
+        return F.when(c.isNull() | (one == two), runs).when(goes_on, on).otherwise(F.concat(runs, F.array(F.array(one, two))))
+
+    return F.aggregate(steps(line), start, add)
+
+
+def published(line: Column, tolerance: float, digits: int = 5) -> Column:
+    """A line in metres as it is put out: simplified, turned to degrees, rounded."""
+    return rounded(F.transform(simplify(line, tolerance), lambda p: from_itm(p.x, p.y)), digits)
+
+
+def valid_ring(ring: Column) -> Column:
+    """Whether a ring is closed, has four corners or more, and holds an area; null is none."""
+    n = F.size(ring)
+    return F.coalesce((n >= 4) & (F.get(ring, F.lit(0)) == F.get(ring, n - 1)) & (area(ring) > 0), F.lit(False))
+
+
+def straight_if_missing(line: Column, u: Column, v: Column) -> Column:
+    """A line, or where it is null or has no stretch the straight one between its ends."""
+    return F.when(F.size(line) >= 2, line).otherwise(F.array(u, v))
+
+
 def rounded(line: Column, digits: int = 5) -> Column:
-    return F.transform(line, lambda p: F.struct(F.round(p.x, digits).alias("x"), F.round(p.y, digits).alias("y")))
+    """Half-even."""
+    return F.transform(line, lambda p: F.struct(F.bround(p.x, digits).alias("x"), F.bround(p.y, digits).alias("y")))
 
 
 def square(x: Column, y: Column, half: float = 20.0) -> Column:
@@ -239,24 +272,15 @@ def peucker(pts: list[tuple[float, float]], tolerance: float) -> list[tuple[floa
 
 
 def inner_point(ring: Column) -> Column:
-    """A point surely inside a ring: the middle of the widest stretch of the line half-way up its box."""
-
-    @F.pandas_udf(POINT)
-    def run(rings: pd.Series) -> pd.DataFrame:
-        out = []
-        for r in rings:
-            pts = [(p["x"], p["y"]) for p in r] if r is not None else []
-            ys = sorted({y for _, y in pts})
-            if len(pts) < 4 or len(ys) < 2:
-                out.append((None, None))
-                continue
-            mid = (ys[0] + ys[-1]) / 2
-            # Off every corner, or a crossing would count twice.
-            k = max(i for i, y in enumerate(ys) if y <= mid) if mid > ys[0] else 0
-            y = (ys[k] + ys[min(k + 1, len(ys) - 1)]) / 2
-            xs = sorted(x1 + (y - y1) * (x2 - x1) / (y2 - y1) for (x1, y1), (x2, y2) in zip(pts, pts[1:]) if (y1 <= y < y2) or (y2 <= y < y1))
-            spans = [(b - a, (a + b) / 2) for a, b in zip(xs[::2], xs[1::2])]
-            out.append((max(spans)[1], y) if spans else (None, None))
-        return pd.DataFrame(out, columns=["x", "y"])
-
-    return run(ring)
+    """A point surely inside a closed ring: the middle of the widest stretch of a line half-way up its box; null for what holds no area."""
+    ys = F.array_sort(F.array_distinct(F.transform(ring, lambda p: p.y)))
+    n = F.size(ys)
+    mid = (F.get(ys, F.lit(0)) + F.get(ys, n - 1)) / 2
+    # Off every corner, or a crossing would count twice.
+    k = F.size(F.filter(ys, lambda v: v <= mid))
+    y = (F.get(ys, F.greatest(k - 1, F.lit(0))) + F.get(ys, F.least(k, n - 1))) / 2
+    cut = lambda s: F.when(((s.a.y <= y) & (y < s.b.y)) | ((s.b.y <= y) & (y < s.a.y)), s.a.x + F.try_divide((y - s.a.y) * (s.b.x - s.a.x), s.b.y - s.a.y))
+    xs = F.array_sort(F.filter(F.transform(steps(ring), cut), lambda x: x.isNotNull()))
+    pairs = F.floor(F.size(xs) / 2).cast("int")
+    spans = F.transform(F.sequence(F.lit(0), F.greatest(pairs - 1, F.lit(0))), lambda i: F.struct((F.get(xs, 2 * i + 1) - F.get(xs, 2 * i)).alias("w"), ((F.get(xs, 2 * i) + F.get(xs, 2 * i + 1)) / 2).alias("x")))
+    return F.when((F.size(ring) >= 4) & (n >= 2) & (pairs > 0), F.struct(F.array_max(spans).x.alias("x"), y.alias("y")))

@@ -65,3 +65,8 @@ def blended(parts: list[Column], top: float = 0.6) -> Column:
 def growth(added: Column, before: Column) -> Column:
     """Percent, null where nothing was before."""
     return F.when(before > 0, F.try_divide(added * 100.0, before))
+
+
+def household_size(people: Column, households: Column) -> Column:
+    """People to a household, to two decimals; null where there are no households."""
+    return F.when(households > 0, F.round(F.try_divide(people, households), 2))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words for dwellings in descriptions.
-DWELLINGS = r"(?:houses?|homes|dwellings?|apartments?|flats|units|bungalows?|cottages|townhouses|maisonettes)"
+# How descriptions number dwellings.
+UNITS = r"(?i)(?<![\d-])(\d{2,4})\s*(?:no\.?\s*)?(?:new\s+)?(?:residential\s+)?(?:apartments?|dwellings?|units|houses|homes|bedspaces)"
 
 
 def first_rule(rules: list[tuple[Column, dict[str, str]]]) -> Column:
@@ -20,15 +20,17 @@ def first_rule(rules: list[tuple[Column, dict[str, str]]]) -> Column:
 
 
 def dwelling_count(text: Column, least: int = 80, most: int = 1200) -> Column:
-    """The first number of dwellings a description names, if it lies within bounds; years ("pre-1963 units") don't count."""
-    got = F.regexp_extract(F.lower(F.coalesce(text, F.lit(""))), rf"(\d{{1,4}})\s+(?:no\.?\s+)?(?:[a-z-]+\s+){{0,2}}{DWELLINGS}\b", 1).try_cast("int")
-    year = F.lower(F.coalesce(text, F.lit(""))).rlike(r"pre-\d{4}")
-    return F.when(got.between(least, most) & ~year, got)
+    """The first number of dwellings a description names, if it lies within bounds; none where the same number is a year behind "pre-"."""
+    t = F.coalesce(text, F.lit(""))
+    digits = F.regexp_extract(t, UNITS, 1)
+    year = F.regexp_like(t, F.concat(F.lit(r"(?i)pre-?\s*"), digits))
+    return F.when(digits.try_cast("int").between(least, most) & ~year, digits.try_cast("int"))
 
 
-def short_evidence(note: Column) -> Column:
-    """A note without its detail in parentheses, or only what follows its last colon."""
-    return F.when(note.contains(" ("), F.substring_index(note, " (", 1)).when(note.contains(":"), F.trim(F.substring_index(note, ":", -1))).otherwise(note)
+def short_evidence(note: Column, counts: tuple[str, str] = ("osm_buildings_within_", "osm_buildings:"), bare: str = "dcc_gullies") -> Column:
+    """A note without its detail in parentheses; a count's note keeps its number under a shorter name, a `bare` kind only its name."""
+    head = F.substring_index(note, " (", 1)
+    return F.when(head.startswith(counts[0]), F.concat(F.lit(counts[1]), F.substring_index(head, ":", -1))).when(head.startswith(f"{bare}:"), F.lit(bare)).otherwise(head)
 
 
 def cut(text: Column, n: int) -> Column:

@@ -57,6 +57,22 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return roots.join(out, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """(u, v, length, n): chains of edges through nodes with just two neighbours as one edge each, of n edges; rings of such nodes come out as a loop at their least node."""
+    e = materialise(parallel_min(edges), "edges")
+    ends = e.select(F.col("u").alias("node")).unionByName(e.select(F.col("v").alias("node")))
+    mid = materialise(ends.groupBy("node").agg(F.count("*").alias("k")).where("k = 2").select("node"), "middle")
+    mu, mv = mid.select(F.col("node").alias("u"), F.lit(True).alias("mu")), mid.select(F.col("node").alias("v"), F.lit(True).alias("mv"))
+    e = e.join(mu, "u", "left").join(mv, "v", "left")
+    chain = components(e.where("mu AND mv").select("u", "v"), mid)
+    cu, cv = (chain.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "uv")
+    e = materialise(e.join(cu, "u", "left").join(cv, "v", "left").withColumn("chain", F.coalesce("cu", "cv")), "chains")
+    plain = e.where("chain IS NULL").select("u", "v", "length", F.lit(1).cast("long").alias("n"))
+    out = F.array_sort(F.flatten(F.collect_list(F.filter(F.array(F.when(F.col("mu").isNull(), F.col("u")), F.when(F.col("mv").isNull(), F.col("v"))), lambda x: x.isNotNull()))))
+    one = e.where("chain IS NOT NULL").groupBy("chain").agg(out.alias("o"), F.sum("length").alias("length"), F.count("*").alias("n"))
+    return plain.unionByName(one.select(F.coalesce(F.get("o", F.lit(0)), "chain").alias("u"), F.coalesce(F.get("o", F.lit(1)), F.get("o", F.lit(0)), "chain").alias("v"), "length", "n"))
+
+
 #: Nodes of a part that one task searches at a time.
 PART = 20_000
 
@@ -163,6 +179,61 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, size: int = PART) -> Da
     return state.select("node", "dist", "root", F.nullif("pred", "node").alias("pred"))
 
 
+#: Starts whose searches meet a part in one task.
+STARTS = 2_000
+
+
+def pair_paths(edges: DataFrame, legs: DataFrame, size: int = PART, starts: int = STARTS) -> DataFrame:
+    """(node, to, dist, path): the shortest way from `node` to `to` for each distinct leg, with the nodes it passes; legs without a way are left out.
+
+    Searches go from part to part as in `shortest_paths`, each start's on its own; once all of
+    a start's goals are reached, labels beyond the farthest are dropped. Ties go to fewer edges, then the smaller predecessor.
+    """
+    e = materialise(parallel_min(edges), "edges")
+    kind = dict(e.dtypes)["u"]
+    part = parts(e.select(F.col("u").alias("node")).unionByName(e.select(F.col("v").alias("node"))), size)
+    pu, pv = part.select(F.col("node").alias("u"), F.col("part").alias("pu")), part.select(F.col("node").alias("v"), F.col("part").alias("pv"))
+    e = materialise(e.join(pu, "u").join(pv, "v"), "parted")
+    inner = e.where("pu = pv").select(F.col("pu").alias("part"), "u", "v", "length")
+    across = e.where("pu <> pv")
+    across = materialise(across.select("u", "v", "length", F.col("pv").alias("part")).unionByName(across.select(F.col("v").alias("u"), F.col("u").alias("v"), "length", F.col("pu").alias("part"))), "across")
+    want = materialise(legs.select("node", "to").dropna().distinct(), "legs")
+    roots = want.select("node").distinct().join(part, "node")
+    chunks = max(1, -(-roots.count() // starts))
+    goals = want.groupBy(F.col("node").alias("root")).agg(F.count("*").alias("goals"))
+    news = materialise(roots.select("part", F.pmod(F.xxhash64("node"), F.lit(chunks)).alias("chunk"), "node", F.lit(0.0).alias("dist"), F.col("node").alias("root"), F.lit(0).alias("hops"), F.col("node").alias("pred")), "labels")
+    keys, label = ["part", "chunk"], ["dist", "hops", "pred"]
+    cols = [*keys, "root", "node", *label]
+    state = news.where("false").select(cols)
+    one = _local_paths()
+
+    def run(key, labels: pd.DataFrame, es: pd.DataFrame) -> pd.DataFrame:
+        done = [one(None, some, es) for _, some in labels.groupby("root", sort=True)]
+        return pd.concat(done, ignore_index=True).assign(part=key[0], chunk=key[1])
+
+    while not news.isEmpty():
+        live = materialise(news.select(*keys).distinct(), "live")
+        rows = state.join(live, keys, "left_semi").withColumn("new", F.lit(False)).unionByName(news.select(cols).withColumn("new", F.lit(True)))
+        es = inner.join(live, "part")
+        got = rows.groupBy(*keys).cogroup(es.groupBy(*keys)).applyInPandas(run, f"node {kind}, dist double, root {kind}, hops int, pred {kind}, new boolean, part int, chunk long")
+        got = materialise(got.select(*cols, "new"), "labels")
+        state = materialise(state.join(live, keys, "left_anti").unionByName(got.drop("new")), "state")
+        met = state.join(want.select(F.col("node").alias("root"), F.col("to").alias("node")), ["root", "node"]).groupBy("root").agg(F.count("*").alias("n"), F.max("dist").alias("far"))
+        bound = goals.join(met, "root").where("n = goals").select("root", "far")
+        on = got.where("new").select(F.col("node").alias("u"), "dist", "root", "hops", "chunk").join(across, "u").select("part", "chunk", "root", F.col("v").alias("node"), (F.col("dist") + F.col("length")).alias("dist"), (F.col("hops") + 1).alias("hops"), F.col("u").alias("pred"))
+        best = on.groupBy(*keys, "root", "node").agg(F.min(F.struct(*label)).alias("m")).select(*keys, "root", "node", "m.*").join(bound, "root", "left").where("far IS NULL OR dist <= far").drop("far")
+        have = state.select("root", "node", *(F.col(c).alias(f"h_{c}") for c in label))
+        news = materialise(best.join(have, ["root", "node"], "left").where(F.col("h_dist").isNull() | (F.struct(*label) < F.struct(*(F.col(f"h_{c}") for c in label)))).select(cols), "labels")
+    # Each start has its own tree, its nodes told apart by it; the ways are climbed from the goals.
+    at = lambda n: F.concat_ws(" ", F.col("root").cast("string"), F.col(n).cast("string"))
+    tree = state.select(at("node").alias("key"), F.when(F.col("pred") != F.col("node"), at("pred")).alias("parent"), "root", "node", "dist", "hops")
+    ends = want.select(F.col("node").alias("root"), F.col("to").alias("node")).join(state.select("root", "node"), ["root", "node"]).select(at("node").alias("node"), at("node").alias("app_id"))
+    passed = path_accumulate(tree.select(F.col("key").alias("node"), "parent"), ends, size)
+    way = passed.withColumnRenamed("node", "key").join(tree.select("key", "root", "node", "dist", "hops"), "key")
+    way = way.groupBy("app_id").agg(F.array_sort(F.collect_list(F.struct("hops", "node"))).alias("w"), F.max("dist").alias("dist"), F.first("root").alias("node"))
+    return way.select("node", F.element_at("w", -1).node.alias("to"), "dist", F.transform("w", lambda x: x.node).alias("path"))
+
+
 def _climb(sums: bool):
     """One part's loads carried up its tree: a row for each node passed, and those that leave for another part."""
 

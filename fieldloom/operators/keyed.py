@@ -130,6 +130,11 @@ def surviving(df: DataFrame, array: str, owners: DataFrame, owner: str, row: str
     return df.drop(array).join(ids.groupBy(row).agg(F.array_sort(F.collect_set("_id")).alias(array)), row)
 
 
+def _all_within(c: Column, kind: str, box: tuple[float, float, float, float]) -> Column:
+    w, s, e, n = box
+    return F.forall(c if kind.startswith("array") else F.array(c), lambda p: p.x.between(w, e) & p.y.between(s, n))
+
+
 def contract(df: DataFrame, name: str, key: str, required: list[str], finite: list[str] = (), one_of: dict[str, list[str]] | None = None, boxes: dict[str, tuple[float, float, float, float]] | None = None, kinds: dict[str, list[str]] | None = None) -> DataFrame:
     """(table, key, rule) of what a table breaks: required values, finite numbers, enumerations, geometry kinds, coordinates within a box.
 
@@ -144,10 +149,6 @@ def contract(df: DataFrame, name: str, key: str, required: list[str], finite: li
         rules[f"{c} is finite"] = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
     for c, values in {**(one_of or {}), **(kinds or {})}.items():
         rules[f"{c} is one of {len(values)}"] = F.col(c).isin(values) if c in have else F.lit(False)
-    for c, (w, s, e, n) in (boxes or {}).items():
-        if c not in have:
-            rules[f"{c} within its box"] = F.lit(False)
-            continue
-        points = F.col(c) if dict(df.dtypes)[c].startswith("array") else F.array(F.col(c))
-        rules[f"{c} within its box"] = F.forall(points, lambda p, w=w, s=s, e=e, n=n: p.x.between(w, e) & p.y.between(s, n))
+    for c, box in (boxes or {}).items():
+        rules[f"{c} within its box"] = _all_within(F.col(c), dict(df.dtypes)[c], box) if c in have else F.lit(False)
     return violations(df, name, key, rules)

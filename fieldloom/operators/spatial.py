@@ -201,6 +201,13 @@ def lines_in_regions(lines: DataFrame, regions: DataFrame, line_id: str, region_
     return crossed.union(in_regions(a, regions, line_id, region_id, cell, ring).select(line_id, region_id)).distinct()
 
 
+def lines_near_regions(lines: DataFrame, regions: DataFrame, radius: float, line_id: str, region_id: str, ring: str = "ring") -> DataFrame:
+    """(line_id, region_id) of lines (as segments) within `radius` of a region: of its side, or inside it."""
+    sides = near_segments(lines, segments(regions, region_id, ring), radius, line_id, region_id)
+    ends = lines.select(line_id, F.col("x1").alias("x"), F.col("y1").alias("y"))
+    return sides.union(in_regions(ends, regions, line_id, region_id, max(float(radius), 1.0), ring).select(line_id, region_id)).distinct()
+
+
 def extents(points: DataFrame, key: str, most: float | None = None) -> DataFrame:
     """(key, n, x0, y0, x1, y1, diagonal) of each key's points; with `most`, keys spread wider are left out."""
     out = points.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))

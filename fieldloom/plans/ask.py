@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -34,6 +36,10 @@ def answer(question: str, developments: DataFrame, routes: DataFrame) -> Answer:
         return Answer(f"{way[0].route_id}: {way[0].length_km} km", list(way[0].serves_app_ids or []))
     m = re.search(r"\b(?:top|worst)\s+(\d+)", q, re.I)
     n = max(1, min(100, int(m.group(1)))) if m else 5
+    for name in ("cost", "distance"):
+        if re.search(rf"\b{name}s?\b|\b{'expensive' if name == 'cost' else 'far(?:thest)?'}\b", q, re.I) and name in developments.columns:
+            top = developments.where(F.col(name).isNotNull()).orderBy(F.desc(name), "app_id").limit(n).collect()
+            return Answer(f"by {name}: " + ", ".join(f"{r.app_id} ({r[name]})" for r in top), [r.app_id for r in top])
     for name in ("water", "transport", "schools", "overall"):
         if re.search(rf"\b{name}\b", q, re.I) or (name == "overall" and m):
             top = developments.where(F.col(name).isNotNull()).orderBy(F.desc(name), "app_id").limit(n).collect()
@@ -41,6 +47,9 @@ def answer(question: str, developments: DataFrame, routes: DataFrame) -> Answer:
     if re.search(r"\b(route|bus)e?s?\b", q, re.I):
         s = routes.agg(F.count("*").alias("n"), F.sum("length_km").alias("km")).first()
         return Answer(f"{s.n} routes, {s.km or 0} km", [])
+    if re.search(r"\b(largest|biggest|most units|size)\b", q, re.I):
+        top = developments.orderBy(F.col("units").desc_nulls_last(), "app_id").limit(n).collect()
+        return Answer("largest: " + ", ".join(f"{r.app_id} ({r.units})" for r in top), [r.app_id for r in top])
     status = re.search(r"\b(granted|pending|refused|appealed|withdrawn)\b", q, re.I)
     if status:
         some = developments.where(F.col("status") == status.group(1).lower())
@@ -54,3 +63,15 @@ def known_only(ids: list[str], developments: DataFrame) -> list[str]:
     """The ids that exist, in the order given. `ids` is a short list."""
     have = {r.app_id for r in developments.where(F.col("app_id").isin(ids)).select("app_id").distinct().collect()}
     return [i for i in dict.fromkeys(ids) if i in have]
+
+
+def answer_with(model: Callable[[str, list[dict]], Answer] | None, question: str, developments: DataFrame, routes: DataFrame, context: int = 30) -> Answer:
+    """A model's answer from the question and the largest developments, with the ids that exist; the rules' answer where there is no model or it fails."""
+    if model is not None:
+        try:
+            top = developments.orderBy(F.col("units").desc_nulls_last(), "app_id").limit(context).toPandas().to_dict("records")
+            got = model(question, top)
+            return Answer(got.text, known_only(got.ids, developments))
+        except Exception:  # whatever a model raises, the rules answer
+            logging.getLogger(__name__).warning("model failed", exc_info=True)
+    return answer(question, developments, routes)

@@ -305,15 +305,15 @@ def ordered_rules(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", r.alias("r")).select("p_partkey", "r.kind", "r.level")
 
 
-@query("""SELECT app_id, CAST(ingested_at AS VARCHAR) AS ingested_at, CASE WHEN n BETWEEN 80 AND 1200 AND NOT regexp_matches(t, 'pre-\\d{4}') THEN n END AS dwellings FROM (
-SELECT app_id, ingested_at, lower(coalesce(description, '')) AS t, TRY_CAST(regexp_extract(lower(coalesce(description, '')), '(\\d{1,4})\\s+(?:no\\.?\\s+)?(?:[a-z-]+\\s+){0,2}(?:houses?|homes|dwellings?|apartments?|flats|units|bungalows?|cottages|townhouses|maisonettes)\\b', 1) AS INTEGER) AS n FROM developments)""")
+@query(r"""SELECT app_id, CAST(ingested_at AS VARCHAR) AS ingested_at, CASE WHEN TRY_CAST(n AS INTEGER) BETWEEN 80 AND 1200 AND NOT regexp_matches(t, '(?i)pre-?\s*' || n) THEN TRY_CAST(n AS INTEGER) END AS dwellings FROM (
+SELECT app_id, ingested_at, coalesce(description, '') AS t, regexp_extract(coalesce(description, ''), '(?i)(?:^|[^\d-])(\d{2,4})\s*(?:no\.?\s*)?(?:new\s+)?(?:residential\s+)?(?:apartments?|dwellings?|units|houses|homes|bedspaces)', 1) AS n FROM developments)""")
 def dwelling_counts(spark: SparkSession, sf: str) -> DataFrame:
     """The number of dwellings a description names."""
     return table(spark, sf, "developments").select("app_id", F.col("ingested_at").cast("string").alias("ingested_at"), rules.dwelling_count(F.col("description")).alias("dwellings"))
 
 
-@query("SELECT edge_id, CAST(ingested_at AS VARCHAR) AS ingested_at, array_to_string(list_transform(coalesce(evidence, []), lambda e: CASE WHEN e LIKE '% (%' THEN split_part(e, ' (', 1) WHEN e LIKE '%:%' THEN trim(list_last(string_split(e, ':'))) ELSE e END), ' | ') AS notes FROM network")
+@query("SELECT edge_id, CAST(ingested_at AS VARCHAR) AS ingested_at, array_to_string(list_transform(coalesce(evidence, []), lambda e: CASE WHEN starts_with(e, 'osm_buildings_within_') THEN 'osm_buildings:' || list_last(string_split(split_part(e, ' (', 1), ':')) WHEN starts_with(e, 'dcc_gullies:') THEN 'dcc_gullies' ELSE split_part(e, ' (', 1) END), ' | ') AS notes FROM network")
 def short_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """Evidence notes without their details."""
     n = table(spark, sf, "network")
-    return n.select("edge_id", F.col("ingested_at").cast("string").alias("ingested_at"), F.array_join(F.transform(F.coalesce("evidence", F.array().cast("array<string>")), rules.short_evidence), " | ").alias("notes"))
+    return n.select("edge_id", F.col("ingested_at").cast("string").alias("ingested_at"), F.array_join(F.transform(F.coalesce("evidence", F.array().cast("array<string>")), lambda e: rules.short_evidence(e)), " | ").alias("notes"))

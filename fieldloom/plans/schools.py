@@ -14,7 +14,8 @@ def schools_of(returns: DataFrame, enrolments: DataFrame, level: str, number: st
     Texts that are no numbers give null positions and enrolments, kept as such.
     """
     s = returns.where(F.col("school_id").rlike(number)).withColumns({c: F.col(c).try_cast("double") for c in ("x", "y")})
-    e = enrolments.select("school_id", F.col("enrolment").try_cast("int").alias("enrolment")).dropDuplicates(["school_id"])
+    # Of several returns of a school the one with most pupils holds.
+    e = enrolments.groupBy("school_id").agg(F.max(F.col("enrolment").try_cast("int")).alias("enrolment"))
     return s.join(e, "school_id", "left").withColumn("level", F.lit(level))
 
 
@@ -53,3 +54,9 @@ def worth_showing(schools: DataFrame, box: tuple[float, float, float, float]) ->
     """Schools in a box, and those beyond it that pupils fall on."""
     w, s, e, n = box
     return schools.where((F.col("x").between(w, e) & F.col("y").between(s, n)) | (F.col("projected_pupils") > 0))
+
+
+def state_of(rows: DataFrame) -> DataFrame:
+    """One row (located, status): rows with a position, and ok if every level has some, else partial."""
+    per = rows.groupBy("level").agg(F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("n"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("located"), F.when(F.coalesce(F.bool_and(F.col("n") > 0), F.lit(False)), "ok").otherwise("partial").alias("status"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+import os
 import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -11,6 +12,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldloom.runtime import materialise
+
 Box = tuple[float, float, float, float]
 
 
@@ -44,16 +47,30 @@ def area(given: Box | str | None, presets: dict[str, Box], last: Box | None, def
 
 
 def guarded(spark: SparkSession, name: str, schema: str, source: Callable[[], DataFrame]) -> tuple[DataFrame, str | None]:
-    """A source's table, or an empty one and the error if the source can't be read."""
+    """A source's table, read once, or an empty one and the error if it can't be read, be it while planned or while read."""
     try:
-        df = source()
-        df.schema  # an unreadable source fails here
-        return df, None
+        return materialise(source(), "source"), None
     except Exception as e:  # whatever a source raises, the run goes on without it
         logging.getLogger(__name__).warning("%s: %s", name, e)
         return spark.createDataFrame([], schema), str(e)
 
 
+def setting(name: str, default: str | None = None) -> str | None:
+    """An environment variable; unset and blank are the default."""
+    return (os.environ.get(name) or "").strip() or default
+
+
+def status(spark: SparkSession, paths: dict[str, str], ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(name, present) of the outputs, and the ledger's sources in order."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def there(path: str) -> bool:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return bool(p.getFileSystem(conf).exists(p))
+
+    return spark.createDataFrame([(k, there(v)) for k, v in sorted(paths.items())], "name string, present boolean"), ledger.orderBy("source")
+
+
 @contextmanager
 def timed(name: str, times: dict[str, float]) -> Iterator[None]:
     t = time.monotonic()

@@ -8,11 +8,36 @@ from pyspark.sql import functions as F
 from fieldloom.operators.keyed import counts_map
 
 
-def totals(developments: DataFrame, extensions: DataFrame) -> DataFrame:
-    """One row: developments, units, residents, those not connected, kilometres of new line (each edge once)."""
-    d = developments.agg(F.count("*").alias("developments"), F.coalesce(F.sum("units"), F.lit(0)).alias("units"), F.coalesce(F.sum("residents"), F.lit(0.0)).alias("residents"), F.coalesce(F.sum(F.when(~F.col("connected"), F.col("units"))), F.lit(0)).alias("unconnected_units"))
+def totals(developments: DataFrame, extensions: DataFrame, per_unit: float = 2.7) -> DataFrame:
+    """One row: developments, units, residents, those not connected, kilometres of new line (each edge once), metres of laterals.
+
+    Nulls count 0; where no residents are known they are units times `per_unit`. Laterals are
+    the ways of unconnected developments that no extension serves.
+    """
+    z = lambda c, v: F.coalesce(F.sum(c), F.lit(v))
+    units = z(F.col("units"), 0)
+    residents = F.coalesce(F.nullif(z(F.col("residents"), 0.0), F.lit(0.0)), F.round(units * per_unit))
+    d = developments.agg(F.count("*").alias("developments"), units.alias("units"), residents.alias("residents"), z(F.when(~F.col("connected"), F.col("units")), 0).alias("unconnected_units"))
     e = extensions.groupBy("edge_id").agg(F.max("length").alias("m")).agg(F.round(F.coalesce(F.sum("m"), F.lit(0.0)) / 1000.0, 3).alias("new_km"))
-    return d.join(F.broadcast(e), F.lit(True))  # one row each
+    on = extensions.select(F.explode("serves_app_ids").alias("app_id")).distinct()
+    l = developments.where("connected = false").join(on, "app_id", "left_anti").agg(F.coalesce(F.sum(F.coalesce(F.col("route_m").cast("double"), F.lit(0.0))), F.lit(0.0)).alias("laterals_m")) if "route_m" in developments.columns else e.select(F.lit(0.0).alias("laterals_m"))
+    return d.join(F.broadcast(e), F.lit(True)).join(F.broadcast(l), F.lit(True))  # one row each
+
+
+def largest(developments: DataFrame, n: int, by: str = "units") -> DataFrame:
+    """The n rows with the most of a measure, ties by id; nulls come last."""
+    return developments.orderBy(F.col(by).desc_nulls_last(), "app_id").limit(n)
+
+
+def in_order(extensions: DataFrame) -> DataFrame:
+    """Extensions in the order of building, ties by edge."""
+    return extensions.orderBy("ord", "edge_id")
+
+
+def apps_of_stops(stops: DataFrame, nearest: DataFrame) -> DataFrame:
+    """Stops with whether any development's nearest stop they are, and whose: nearest has (app_id, stop_id)."""
+    apps = nearest.where("stop_id IS NOT NULL").groupBy("stop_id").agg(F.array_sort(F.collect_set("app_id")).alias("app_ids"))
+    return stops.join(apps, "stop_id", "left").withColumn("app_ids", F.coalesce("app_ids", F.array().cast("array<string>"))).withColumn("used", F.size("app_ids") > 0)
 
 
 def by_area(developments: DataFrame, extensions: DataFrame) -> DataFrame:

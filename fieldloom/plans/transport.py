@@ -64,48 +64,27 @@ def routes_for(developments: DataFrame, targets: DataFrame, nodes: DataFrame, ed
     calls = tour.select("cluster", "stop", "x", "y").unionByName(num.select("cluster", F.lit(-1).alias("stop"), "x", "y")).unionByName(goal.select("cluster", F.lit(1 << 30).alias("stop"), "x", "y"))
     calls = calls.withColumn("call", F.concat_ws("/", "cluster", "stop"))
     at = materialise(spatial.nearest(calls, nodes, "call", "node").join(calls, "call").select("cluster", "stop", "node"), "calls")
-    legs = at.withColumn("to", F.lead("node").over(Window.partitionBy("cluster").orderBy("stop"))).where("to IS NOT NULL AND node <> to")
-    length = leg_lengths(edges, legs.select("node", "to").distinct())
-    total = legs.join(length, ["node", "to"], "left").groupBy("cluster").agg(F.sum("dist").alias("m"), F.count_if(F.col("dist").isNull()).alias("gaps")).where("gaps = 0")
+    legs = materialise(at.withColumn("to", F.lead("node").over(Window.partitionBy("cluster").orderBy("stop"))).where("to IS NOT NULL AND node <> to"), "legs")
+    ways = materialise(graph.pair_paths(edges, legs.select("node", "to")), "ways")
+    total = legs.join(ways, ["node", "to"], "left").groupBy("cluster").agg(F.sum("dist").alias("m"), F.count_if(F.col("dist").isNull()).alias("gaps"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("stop", "path"))), lambda x: x.path)).alias("path")).where("gaps = 0")
+    line = route_lines(total.select("cluster", "path"), nodes)
     serves = d.groupBy("cluster").agg(F.array_sort(F.collect_list("app_id")).alias("serves_app_ids"))
-    out = num.join(total, "cluster").join(serves, "cluster")
+    out = num.join(total, "cluster").join(serves, "cluster").join(line, "cluster")
     trip = 2 * F.col("m") / 1000.0 / 15.0 * 60.0 + 10.0
     wait = measures.headway(F.col("demand") / 3.0, capacity, 5.0, 20.0)
-    return out.select(F.format_string("R%03d", "n").alias("route_id"), (F.col("m") / 1000.0).alias("length_km"), trip.alias("round_trip_min"), wait.alias("headway_min"), F.ceil(trip / wait).cast("int").alias("buses_required"), F.col("demand").alias("peak_demand"), "serves_app_ids")
-
-
-def leg_lengths(edges: DataFrame, legs: DataFrame) -> DataFrame:
-    """(node, to, dist) of the pairs that a way joins: one search for each start, in the task of its graph's component."""
-    starts = materialise(legs.select("node").distinct(), "starts")
-    e = graph.parallel_min(edges)
-    comp = materialise(graph.components(e), "components")
-    from collections import defaultdict
-    import heapq
-
-    import pandas as pd
-
-    kind = dict(e.dtypes)["u"]
-    want = legs.join(starts, "node", "left_semi").join(comp, "node").select("node", "to", F.col("component").alias("home"))
-
-    def run(_key, es: pd.DataFrame, ws: pd.DataFrame) -> pd.DataFrame:
-        near = defaultdict(list)
-        for u, v, w in zip(es.u.tolist(), es.v.tolist(), es.length.tolist()):
-            near[u].append((v, w))
-            near[v].append((u, w))
-        out = []
-        for start, goals in ws.groupby("node")["to"]:
-            left, done, heap = set(goals.tolist()), set(), [(0.0, start)]
-            while heap and left:
-                d, n = heapq.heappop(heap)
-                if n in done:
-                    continue
-                done.add(n)
-                if n in left:
-                    left.discard(n)
-                    out.append((start, n, d))
-                for v, w in near[n]:
-                    if v not in done:
-                        heapq.heappush(heap, (d + w, v))
-        return pd.DataFrame(out, columns=["node", "to", "dist"])
-
-    return e.join(comp.withColumnRenamed("node", "u"), "u").groupBy("component").cogroup(want.groupBy("home")).applyInPandas(run, f"node {kind}, to {kind}, dist double")
+    return out.select(F.format_string("R%03d", "n").alias("route_id"), (F.col("m") / 1000.0).alias("length_km"), trip.alias("round_trip_min"), wait.alias("headway_min"), F.ceil(trip / wait).cast("int").alias("buses_required"), F.col("demand").alias("peak_demand"), "serves_app_ids", "line")
+
+
+def route_lines(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(cluster, line): paths of nodes as lines; a node met twice in a row, where two legs join, is one point."""
+    p = paths.select("cluster", F.posexplode("path").alias("k", "node")).join(nodes.select("node", "x", "y"), "node")
+    w = p.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("k", "node", "x", "y"))).alias("w"))
+    once = F.filter("w", lambda s, i: (i == 0) | (s.node != F.get(F.col("w"), i - 1).node))
+    return w.select("cluster", F.transform(once, lambda s: F.struct(s.x.alias("x"), s.y.alias("y"))).alias("line"))
+
+
+def straight_routes(lost: DataFrame, detour: float = 1.3, km_h: float = 15.0, layover: float = 10.0) -> DataFrame:
+    """(cluster, length_km, round_trip_min, line, path_source) where the graph has no way: the straight line between (x, y) and (to_x, to_y), lengthened by a factor."""
+    km = F.hypot(F.col("to_x") - F.col("x"), F.col("to_y") - F.col("y")) / 1000.0 * detour
+    line = F.array(F.struct(F.col("x").alias("x"), F.col("y").alias("y")), F.struct(F.col("to_x").alias("x"), F.col("to_y").alias("y")))
+    return lost.select("cluster", km.alias("length_km"), (2 * km / km_h * 60.0 + layover).alias("round_trip_min"), line.alias("line"), F.lit(f"straight-line x {detour}").alias("path_source"))

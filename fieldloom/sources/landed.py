@@ -57,20 +57,99 @@ def rings_of(kind, c):
 
 
 def csv_after(spark: SparkSession, path: str, starts: str, encoding: str = "ISO-8859-1") -> DataFrame:
-    """A CSV below a preamble: the header is the first line that starts with `starts`. All columns are strings.
+    """A CSV below a preamble: in each file the header is the first line that starts with `starts`, and all lines behind it are rows. All columns are strings.
 
-    The header is found by one small job; rows are then read in parallel, and
-    lines of the preamble are told by having come before it in their file.
+    A record is one line; empty fields are null and rows with any of them stay. Lines
+    are told by the place of their split and their place in it, so files are read in parallel.
+    Names come from any of the headers; files without one give no rows.
     """
-    lines = spark.read.option("encoding", encoding).text(path)
-    header = lines.where(F.col("value").startswith(starts)).limit(1).collect()
-    if not header:
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    # The CSV reader with a separator no line has, as the text reader knows no encodings.
+    lines = spark.read.schema("value string").options(encoding=encoding, sep="\u0001", quote="", escape="").csv(path).select("value", F.col("_metadata.file_path").alias("file"), at.alias("at"))
+    heads = lines.where(F.col("value").startswith(starts)).groupBy("file").agg(F.min("at").alias("head"), F.min_by("value", "at").alias("names"))
+    first = heads.limit(1).collect()
+    if not first:
         return spark.createDataFrame([], "value string").select()
-    names = [h.strip() for h in header[0].value.split(",")]
-    schema = ", ".join(f"`{n}` string" for n in names)
-    body = spark.read.schema(schema).option("encoding", encoding).csv(path)
-    # A row of the table fills more than its first columns; titles above it don't, and the header repeats itself.
-    return body.where(F.col(f"`{names[-1]}`").isNotNull() & (F.col(f"`{names[0]}`") != names[0]))
+    schema = ", ".join(f"`{n.strip()}` string" for n in first[0].names.split(","))
+    # A row for each file.
+    body = lines.join(F.broadcast(heads), "file").where((F.col("at") > F.col("head")) & (F.trim("value") != ""))
+    return body.select(F.from_csv("value", schema).alias("r")).select("r.*")
+
+
+def paged_features(spark: SparkSession, pattern: str, fields: str) -> DataFrame:
+    """Features of a paged service's landed answers, points or polygons, in its own form or as GeoJSON; pages are read in parallel.
+
+    pattern holds {offset}, where the pages' offsets stand. Pages count up to the first, by
+    offset, that is empty or doesn't say that there are more. An answer with an error
+    raises it. Columns: `fields`, x and y (points), rings (polygons, outer and inner, in the service's order), page.
+    """
+    prefix, suffix = pattern.split("{offset}")
+    ring = "array<array<array<double>>>"
+    geometry = f"struct<x:double, y:double, rings:{ring}, type:string, coordinates:string>"
+    more = "exceededTransferLimit:boolean"
+    schema = f"error string, {more.replace(':', ' ')}, properties struct<{more}>, features array<struct<attributes:struct<{fields.replace(' ', ':')}>, properties:struct<{fields.replace(' ', ':')}>, geometry:{geometry}>>"
+    import re
+
+    name = re.escape(prefix.rsplit("/", 1)[-1]) + r"(\d+)" + re.escape(suffix) + "$"
+    raw = spark.read.option("wholetext", True).text(f"{prefix}*{suffix}").select(F.regexp_extract("_metadata.file_path", name, 1).cast("long").alias("page"), F.from_json("value", schema).alias("a"))
+    a = raw.select("page", F.when(F.col("a.error").isNotNull(), F.raise_error(F.col("a.error"))).otherwise(F.col("a")).alias("a"))
+    on = F.coalesce("a.exceededTransferLimit", "a.properties.exceededTransferLimit", F.lit(False))
+    last = a.where((F.coalesce(F.size("a.features"), F.lit(0)) < 1) | ~on).agg(F.min("page").alias("last"))
+    f = a.join(F.broadcast(last), F.col("last").isNull() | (F.col("page") <= F.col("last"))).select("page", F.explode("a.features").alias("f"))  # `last` is one row
+    g = F.col("f.geometry")
+    point = F.from_json(F.when(g["type"] == "Point", g["coordinates"]), "array<double>")
+    whole = F.coalesce(g["rings"], F.from_json(F.when(g["type"] == "Polygon", g["coordinates"]), ring), F.flatten(F.from_json(F.when(g["type"] == "MultiPolygon", g["coordinates"]), f"array<{ring}>")))
+    rows = f.select(F.coalesce("f.attributes", "f.properties").alias("p"), F.coalesce(g["x"], F.get(point, F.lit(0))).alias("x"), F.coalesce(g["y"], F.get(point, F.lit(1))).alias("y"), F.transform(whole, _points).alias("rings"), "page")
+    return rows.select("p.*", "x", "y", "rings", "page")
+
+
+def xlsx_table(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
+    """A workbook's sheet as strings; its first row names the columns. Workbooks are small (a million rows by their form) and read on the driver."""
+    import re
+    import zipfile
+    from xml.etree import ElementTree
+
+    main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    with zipfile.ZipFile(path) as z:
+        shared = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            shared = ["".join(t.text or "" for t in si.iter(f"{main}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{main}si")]
+        rows = []
+        for row in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{sheet}.xml")).iter(f"{main}row"):
+            cells = {}
+            for c in row.iter(f"{main}c"):
+                col = 0
+                for ch in re.match(r"[A-Z]+", c.get("r")).group():
+                    col = col * 26 + ord(ch) - 64
+                v = c.find(f"{main}v")
+                text = "".join(t.text or "" for t in c.iter(f"{main}t")) if c.get("t") == "inlineStr" else v.text if v is not None else None
+                cells[col - 1] = shared[int(text)] if c.get("t") == "s" and text is not None else text
+            rows.append(cells)
+    if not rows:
+        return spark.createDataFrame([], "value string").select()
+    names = [rows[0].get(k) or f"column{k + 1}" for k in range(max(rows[0], default=-1) + 1)]
+    return spark.createDataFrame([tuple(r.get(k) for k in range(len(names))) for r in rows[1:]], ", ".join(f"`{n}` string" for n in names))
+
+
+def cut_to_box(nodes: DataFrame, ways: DataFrame, box: tuple[float, float, float, float]) -> tuple[DataFrame, DataFrame]:
+    """(nodes in the box, ways with any node in it). nodes: (node, x, y); ways: (way_id, refs, ...)."""
+    inside = nodes.where(geo.in_box(F.col("x"), F.col("y"), box))
+    hit = ways.select("way_id", F.explode("refs").alias("node")).join(inside.select("node"), "node", "left_semi").select("way_id").distinct()
+    return inside, ways.join(hit, "way_id", "left_semi")
+
+
+def since(df: DataFrame, column: str, today: str, years: int) -> DataFrame:
+    """Rows whose date (ISO text or a date) is at most so many years of 365 days before `today`; compared with a constant, so scans are pruned."""
+    from datetime import date, timedelta
+
+    day = (date.fromisoformat(today) - timedelta(days=365 * years)).isoformat()
+    return df.where(F.col(column) >= F.lit(day).cast(dict(df.dtypes)[column]))
+
+
+def by_shape(df: DataFrame, kind: str = "kind", level: str = "level") -> tuple[DataFrame, DataFrame]:
+    """(points, all other shapes) of the rows that have a level."""
+    some = df.where(F.col(level).isNotNull() & F.col(kind).isNotNull())
+    return some.where(F.col(kind) == "Point"), some.where(F.col(kind) != "Point")
 
 
 def transit(spark: SparkSession, folder: str, name: str, columns: list[str]) -> DataFrame:
@@ -105,9 +184,10 @@ class Page(InputPartition):
 class PagedAnswers(DataSource):
     """Landed answers of a paged feature service: a partition for each page, read until one says it is the last.
 
-    Options: path, a pattern with {offset}; page, rows of a page (1000); most, pages
-    at most. An answer with an error ends the read with that error. `spark.read.format
-    ("paged").schema(...)`: attributes by name, and _x, _y of point geometries.
+    Option: path, a pattern with {offset}; all pages there are, whatever their number.
+    An answer with an error ends the read with that error. `spark.read.format
+    ("paged").schema(...)`: attributes by name, and _x, _y of point geometries. For files on a
+    shared file system, polygons and last-page flags see `paged_features`.
     """
 
     @classmethod
@@ -126,15 +206,13 @@ class PagedReader(DataSourceReader):
         self.fields, self.options = schema.fieldNames(), options
 
     def partitions(self):
-        import os
+        import glob
+        import re
 
-        out, step = [], int(self.options.get("page", 1000))
-        for k in range(int(self.options.get("most", 100_000))):
-            p = self.options["path"].format(offset=k * step)
-            if not os.path.exists(p):
-                break
-            out.append(Page(p))
-        return out or [Page("")]
+        prefix, suffix = self.options["path"].split("{offset}")
+        offset = re.compile(re.escape(prefix) + r"(\d+)" + re.escape(suffix) + "$")
+        found = [(int(m.group(1)), p) for p in glob.glob(f"{glob.escape(prefix)}*{glob.escape(suffix)}") if (m := offset.match(p))]
+        return [Page(p) for _, p in sorted(found)] or [Page("")]
 
     def read(self, partition: Page) -> Iterator[tuple]:
         if not partition.path:
@@ -162,4 +240,4 @@ def smallest_cover(boxes: dict[str, tuple[float, float, float, float]], want: tu
     return min(fit)[1] if fit else None
 
 
-__all__ = ["PagedAnswers", "csv_after", "features", "geo", "json_table", "line_of", "located", "point_of", "ring_of", "rings_of", "smallest_cover", "tagged", "tiles", "transit"]
+__all__ = ["PagedAnswers", "by_shape", "csv_after", "cut_to_box", "features", "paged_features", "since", "xlsx_table", "geo", "json_table", "line_of", "located", "point_of", "ring_of", "rings_of", "smallest_cover", "tagged", "tiles", "transit"]

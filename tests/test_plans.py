@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -88,7 +90,7 @@ def test_sources(spark, tmp_path):
     assert landed.features(spark, str(tmp_path / "none.geojson"), "id string").count() == 0
     (tmp_path / "g.csv").write_bytes("Title\nmade, by\nDate,Street,N\n1/1,Caf\xe9 St,4\n2/1,Main St,\n".encode("latin-1"))
     rows = landed.csv_after(spark, str(tmp_path / "g.csv"), "Date,Street").collect()
-    assert [(r.Street, r.N) for r in rows] == [("Caf\xe9 St", "4")]
+    assert [(r.Street, r.N) for r in rows] == [("Caf\xe9 St", "4"), ("Main St", None)]
     spark.dataSource.register(landed.PagedAnswers)
     for k in (0, 2):
         (tmp_path / f"p{k}.json").write_text(json.dumps({"features": [{"attributes": {"id": f"a{k}", "n": k}, "geometry": {"x": 1.0 + k, "y": 2.0}}]}))
@@ -160,9 +162,9 @@ def test_settings(spark):
 def test_rules(spark):
     from fieldloom.functions import rules
 
-    d = spark.createDataFrame([("Erection of 120 No. two-storey houses",), ("79 houses",), ("pre-1963 house in 100 units",), (None,)], "t string")
-    assert [r.v for r in d.select(rules.dwelling_count(F.col("t")).alias("v")).collect()] == [120, None, None, None]
-    assert [r.v for r in d.select(rules.prompt("<%s>", rules.cut(F.col("t"), 4)).alias("v")).collect()] == ["<Erec>", "<79 h>", "<pre->", "<>"]
+    d = spark.createDataFrame([("Erection of 120 No. new residential units",), ("79 houses",), ("pre-1963 house in 100 units",), ("pre-100 units, then 100 units",), (None,)], "t string")
+    assert [r.v for r in d.select(rules.dwelling_count(F.col("t")).alias("v")).collect()] == [120, None, 100, None, None]
+    assert [r.v for r in d.select(rules.prompt("<%s>", rules.cut(F.col("t"), 4)).alias("v")).collect()] == ["<Erec>", "<79 h>", "<pre->", "<pre->", "<>"]
 
 
 def test_schools(spark):
@@ -195,3 +197,110 @@ def test_summary(spark):
     k = spark.createDataFrame([("e", ["hydrant (3 m)", "hydrant: x", "cover"])], "edge_id string, evidence array<string>")
     assert dict(S.evidence_kinds(k).first().counts) == {"cover": 1, "hydrant": 2}
     assert [tuple(r) for r in S.kinds(spark.createDataFrame([("b",), ("a",), ("b",), ("c",)], "kind string")).collect()] == [("b", 2), ("a", 1), ("c", 1)]
+
+
+def test_paged_features(spark, tmp_path):
+    ring = [[0, 0], [4, 0], [4, 4], [0, 0]]
+    pages = {
+        0: {"exceededTransferLimit": True, "features": [{"attributes": {"id": "a"}, "geometry": {"x": 1.5, "y": 2}}]},
+        1: {"properties": {"exceededTransferLimit": True}, "features": [{"properties": {"id": "b"}, "geometry": {"type": "Polygon", "coordinates": [ring]}}, {"attributes": {"id": "c"}, "geometry": {"rings": [ring, ring]}}]},
+        3: {"features": [{"attributes": {"id": "d"}, "geometry": None}]},
+        4: {"features": [{"attributes": {"id": "stale"}}]},
+    }
+    for k, v in pages.items():
+        (tmp_path / f"q{k}.json").write_text(json.dumps(v))
+    got = {r.id: (r.x, r.rings and len(r.rings)) for r in landed.paged_features(spark, str(tmp_path / "q{offset}.json"), "id string").collect()}
+    assert got == {"a": (1.5, None), "b": (None, 1), "c": (None, 2), "d": (None, None)}
+    (tmp_path / "e0.json").write_text(json.dumps({"error": {"code": 400}}))
+    with pytest.raises(Exception, match="400"):
+        landed.paged_features(spark, str(tmp_path / "e{offset}.json"), "id string").collect()
+    from fieldloom.plans import sites
+
+    f = landed.paged_features(spark, str(tmp_path / "q{offset}.json"), "id string").withColumn("n", F.lit("7"))
+    s = {r.app_id: (len(r.parts), r.area) for r in sites.polygons(f, "id", "n").collect()}
+    assert s == {"B-7": (1, 8.0), "C-7": (1, 8.0)}
+    d = spark.createDataFrame([("B-7", 9.0, 9.0), ("Z-1", 5.0, 5.0)], "app_id string, x double, y double")
+    g = {r.app_id: (r.footprint_source, r["at"].x) for r in sites.footprints(d, sites.polygons(f, "id", "n")).collect()}
+    assert g["Z-1"] == ("buffered_point", 5.0) and g["B-7"][0] == "polygon" and 0 < g["B-7"][1] < 4
+
+
+def test_workbook_box_and_dates(spark, tmp_path):
+    import zipfile
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>Roll</t></si><si><r><t>Na</t></r><r><t>me</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {main}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row><c r="A2"><v>12</v></c><c r="C2" t="inlineStr"><is><t>x</t></is></c></row></sheetData></worksheet>')
+    assert [tuple(r) for r in landed.xlsx_table(spark, str(tmp_path / "w.xlsx")).collect()] == [("12", None, "x")]
+    n = spark.createDataFrame([(1, 0.0, 0.0), (2, 9.0, 9.0), (3, 20.0, 0.0)], "node long, x double, y double")
+    w = spark.createDataFrame([("a", [1, 3]), ("b", [2, 3]), ("c", [])], "way_id string, refs array<long>")
+    inside, kept = landed.cut_to_box(n, w, (-1, -1, 1, 1))
+    assert [r.node for r in inside.collect()] == [1] and [r.way_id for r in kept.collect()] == ["a"]
+    d = spark.createDataFrame([("2024-01-01",), ("2020-01-01",), (None,)], "day string")
+    assert [r.day for r in landed.since(d, "day", "2024-06-01", 3).collect()] == ["2024-01-01"]
+    k = spark.createDataFrame([("Point", 1), ("LineString", 1), ("Point", None)], "kind string, level int")
+    assert [x.count() for x in landed.by_shape(k)] == [1, 1]
+
+
+def test_rows_that_do_not_meet(spark):
+    d = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", None)], "app_id string, status string")
+    rows, out = keyed.mapped(d, "status", {"x": "granted"})
+    assert [tuple(r) for r in rows.collect()] == [("a", "granted")] and out.first().excluded == 2
+    r = spark.createDataFrame([("a", None)], "app_id string, status string")
+    assert {x.app_id: x.status for x in keyed.row_fallback(d, r, "app_id", ["status"]).collect()} == {"a": None, "b": "y", "c": None}
+    w = spark.createDataFrame([("a", None)], "app_id string, metres double")
+    assert {x.app_id: x.metres for x in keyed.or_default(d, w, ["app_id"], {"metres": F.lit(0.0)}).collect()} == {"a": None, "b": 0.0, "c": 0.0}
+    e = spark.createDataFrame([("e", ["a", "z", "b"]), ("f", ["z"])], "edge_id string, ids array<string>")
+    assert [(x.edge_id, x.ids) for x in keyed.surviving(e, "ids", d, "app_id", "edge_id").collect()] == [("e", ["a", "b"])]
+    t = spark.createDataFrame([("k", 1.0, "on", [(1.0, 2.0)]), (None, float("nan"), "no", [(99.0, 2.0)])], "k string, v double, s string, p array<struct<x:double,y:double>>")
+    bad = keyed.contract(t, "t", "k", ["k", "gone"], ["v"], {"s": ["on"]}, {"p": (0, 0, 5, 5)}).collect()
+    assert sorted(x.rule for x in bad) == ["gone is required", "gone is required", "k is required", "p within its box", "s is one of 1", "v is finite"]
+
+
+def test_text_and_geometry_pieces(spark):
+    from fieldloom.functions import geo, text
+
+    d = spark.createDataFrame([(5, 12, '{"a": "1", "b": null, "c": "2"}', "hydrant", "osm:1")], "u long, v long, tags string, kind string, asset string")
+    r = d.select(text.edge_id(F.col("v"), F.col("u"), F.lit(0)).alias("id"), text.own_tags(F.col("tags"), ["c"]).alias("own"), text.evidence_note(F.col("kind"), F.col("asset"), text.tag_details(F.from_json("tags", "map<string,string>"), ["c", "b"])).alias("note")).first()
+    assert r.id == "5-12-0" and r.own == {"a": "1"} and r.note == "hydrant:osm:1 (c=2)"
+    line = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((-5, 1), (5, 1), (5, 20), (6, 20), (6, 1), (7, 1))))
+    runs = d.select(geo.clip_line(line, (0, 0, 10, 10)).alias("r")).first().r
+    assert [[(p.x, p.y) for p in q] for q in runs] == [[(0, 1), (5, 1), (5, 10)], [(6, 10), (6, 1), (7, 1)]]
+    bad = F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")))
+    assert d.select(geo.valid_ring(bad).alias("v")).first().v is False
+    far = geo.straight_if_missing(F.lit(None).cast(geo.LINE), F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), F.struct(F.lit(3.0).alias("x"), F.lit(4.0).alias("y")))
+    assert d.select(geo.length(far).alias("m")).first().m == 5.0
+
+
+def test_chains_and_ways(spark):
+    from fieldloom.operators import graph
+
+    e = [(1, 2, 1.0), (2, 3, 2.0), (3, 4, 3.0), (4, 5, 1.0), (4, 6, 1.0), (7, 8, 1.0), (8, 9, 1.0), (9, 7, 1.0)]
+    d = spark.createDataFrame(e, "u long, v long, length double")
+    got = {(r.u, r.v, r.length, r.n) for r in graph.contracted(d).collect()}
+    assert got == {(1, 4, 6.0, 3), (4, 5, 1.0, 1), (4, 6, 1.0, 1), (7, 7, 3.0, 3)}
+    legs = spark.createDataFrame([(1, 6), (5, 1), (1, 7), (1, 6), (9, 7)], "node long, to long")
+    for size in (2, 1000):
+        ways = {(r.node, r.to): (r.dist, r.path) for r in graph.pair_paths(d, legs, size, 1).collect()}
+        assert ways == {(1, 6): (7.0, [1, 2, 3, 4, 6]), (5, 1): (7.0, [5, 4, 3, 2, 1]), (9, 7): (1.0, [9, 7])}
+
+
+def test_loads_of_served_edges(spark):
+    e, s, n = grid(spark)
+    d = spark.createDataFrame([("a", 20.0, 10.0, 5, 12.0), ("b", 290.0, 5.0, 7, 20.0), ("c", 101.0, 70.0, 3, 9.0), ("far", 5049.0, 1.0, 1, 1.0)], "app_id string, x double, y double, units int, residents double")
+    out = network.extend(d, n, e, s)
+    near = {r.app_id: r for r in out["developments"].collect()}
+    assert near["far"].attached_to == "e0" and near["far"].distance_m > 4000 and near["b"].nearest_edge != near["b"].attached_to
+    loads = {r.edge_id: (r.new_units, r.new_app_ids) for r in out["loads"].collect()}
+    assert loads == {"e0": (15, ["a", "b", "c"])} and [r.app_id for r in out["served_already"].collect()] == ["c"]
+    assert {r.edge_id: r.units_served for r in out["extensions"].collect()} == {"e1": 7, "e2": 7}
+
+
+def test_sources_that_fail_while_read(spark):
+    from fieldloom.plans import settings
+
+    bad, err = settings.guarded(spark, "s", "a int", lambda: spark.range(3).select(F.raise_error(F.lit("boom")).cast("int").alias("a")))
+    assert bad.count() == 0 and "boom" in err
+    good, err = settings.guarded(spark, "s", "a int", lambda: spark.range(3).select(F.col("id").cast("int").alias("a")))
+    assert good.count() == 3 and err is None
+    assert settings.setting("FIELDLOOM_NO_SUCH", "x") == "x"
