@@ -157,10 +157,15 @@ def line_measures(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("school_id", "metres", r("m.x", "x"), r("m.y", "y"), r("t.x", "tx"), r("t.y", "ty"))
 
 
-@query(ctes("b_area") + "SELECT area_id, CAST(80000000.0 AS DOUBLE) AS area, round((x0+x1)/2, 6) AS cx, round((y0+y1)/2, 6) AS cy FROM b_area")
+@query(ctes("b_dev") + "SELECT dev_id, round(x + num_units * 5.0 / 12.0, 6) AS cx, round(y + num_units / 4.0, 6) AS cy, CAST(num_units * num_units / 4.0 AS DOUBLE) AS area FROM b_dev")
 def ring_measures(spark: SparkSession, sf: str) -> DataFrame:
-    r = _rings(spark, sf).select("area_id", geo.area(F.col("ring")).alias("area"), geo.inner_point(F.col("ring")).alias("p"))
-    return r.select("area_id", "area", F.round("p.x", 6).alias("cx"), F.round("p.y", 6).alias("cy"))
+    """Area of a triangle above each point as large as its units, and a point inside it."""
+    u = F.col("num_units").cast("double")
+    p = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+    ring = F.array(p(F.lit(0.0), F.lit(0.0)), p(u, F.lit(0.0)), p(u / 3.0, u / 2.0), p(F.lit(0.0), F.lit(0.0)))
+    r = view(spark, sf, "b_dev").select("dev_id", geo.area(ring).alias("area"), geo.inner_point(ring).alias("p"))
+    # Half-way up, the triangle reaches from a sixth to two thirds of its foot.
+    return r.select("dev_id", F.round(F.col("p.x"), 6).alias("cx"), F.round("p.y", 6).alias("cy"), F.round("area", 3).alias("area"))
 
 
 @query(ctes("b_school") + """SELECT school_id, greatest(x, 710000.0) AS x1, least(x + 800.0, 740000.0) AS x2, y AS y1 FROM b_school WHERE x + 800.0 >= 710000.0 AND x <= 740000.0 AND y BETWEEN 725000.0 AND 755000.0""")
@@ -171,25 +176,42 @@ def clipped_lines(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("school_id", F.round("c.x1", 6).alias("x1"), F.round("c.x2", 6).alias("x2"), F.col("c.y1").alias("y1"))
 
 
-@query("SELECT app_id, CAST(ingested_at AS VARCHAR) AS ingested_at, round(centroid[1], 6) AS lng, round(centroid[2], 6) AS lat FROM developments WHERE centroid[1] < 0 AND centroid[2] > 0")
+def _itm_sql() -> str:
+    """Krüger's series over a table g (lng, lat, ...), as DuckDB computes it."""
+    wave = lambda f, g: " + ".join(f"{a!r} * {f}({2 * j} * xi) * {g}({2 * j} * eta)" for j, a in enumerate(geo._ALPHA, 1))
+    return f"""t AS (SELECT *, sinh(atanh(sin(radians(lat))) - {geo._E!r} * atanh({geo._E!r} * sin(radians(lat)))) AS t, radians(lng) - ({geo._LNG0!r}) AS d FROM g),
+k AS (SELECT *, atan2(t, cos(d)) AS xi, atanh(sin(d) / sqrt(1 + t * t)) AS eta FROM t),
+m AS (SELECT *, {geo._FE!r} + {geo._K0 * geo._RADIUS!r} * (eta + {wave("cos", "sinh")}) AS x, {geo._FN!r} + {geo._K0 * geo._RADIUS!r} * (xi + {wave("sin", "cosh")} - ({geo._XI0!r})) AS y FROM k)"""
+
+
+@query("WITH g AS (SELECT app_id, CAST(ingested_at AS VARCHAR) AS ingested_at, centroid[1] AS lng, centroid[2] AS lat FROM developments WHERE centroid[1] < 0 AND centroid[2] > 0), " + _itm_sql() + " SELECT app_id, ingested_at, round(x, 4) AS x, round(y, 4) AS y, round(lng, 6) AS lng, round(lat, 6) AS lat FROM m")
 def itm_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """Degrees to metres and back."""
+    """Degrees to metres, and back."""
     d = table(spark, sf, "developments").where("get(centroid, 0) < 0 AND get(centroid, 1) > 0").select("app_id", F.col("ingested_at").cast("string").alias("ingested_at"), geo.to_itm(F.get("centroid", F.lit(0)), F.get("centroid", F.lit(1))).alias("m"))
-    back = d.select("app_id", "ingested_at", geo.from_itm(F.col("m.x"), F.col("m.y")).alias("g"))
-    return back.select("app_id", "ingested_at", F.round("g.x", 6).alias("lng"), F.round("g.y", 6).alias("lat"))
+    back = d.select("app_id", "ingested_at", "m", geo.from_itm(F.col("m.x"), F.col("m.y")).alias("g"))
+    return back.select("app_id", "ingested_at", F.round("m.x", 4).alias("x"), F.round("m.y", 4).alias("y"), F.round("g.x", 6).alias("lng"), F.round("g.y", 6).alias("lat"))
+
+
+_SUM = "list_sum(list_transform(range(1, len(ring)), lambda i: {}))"
+_SHOE = _SUM.format("(ring[i].lng - ring[1].lng) * (ring[i + 1].lat - ring[1].lat) - (ring[i + 1].lng - ring[1].lng) * (ring[i].lat - ring[1].lat)")
+_ROUND = _SUM.format("sqrt(pow(ring[i + 1].lng - ring[i].lng, 2) + pow(ring[i + 1].lat - ring[i].lat, 2))")
 
 
-@query(ctes("b_area") + "SELECT area_id, 5 AS corners, CAST(80000000.0 AS DOUBLE) AS area FROM b_area")
+@query(f"SELECT small_area_id, count(*) AS n, max(CAST(len(ring) AS INTEGER)) AS corners, max(round(abs({_SHOE}) / 2, 9)) AS area, max(round({_ROUND}, 7)) AS metres FROM areas WHERE ring IS NOT NULL GROUP BY small_area_id")
 def wkt_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    r = _rings(spark, sf).select("area_id", geo.from_wkt(geo.to_wkt(F.col("ring"))).alias("r"))
-    return r.select("area_id", F.size("r").alias("corners"), geo.area(F.col("r")).alias("area"))
+    """Rings written as text and read again: corners, area and length."""
+    ring = F.transform("ring", lambda p: F.struct(p.lng.alias("x"), p.lat.alias("y")))
+    r = table(spark, sf, "areas").where("ring IS NOT NULL").select("small_area_id", geo.from_wkt(geo.to_wkt(ring)).alias("r"))
+    return r.groupBy("small_area_id").agg(F.count("*").alias("n"), F.max(F.size("r")).alias("corners"), F.max(F.round(geo.area(F.col("r")), 9)).alias("area"), F.max(F.round(geo.length(F.col("r")), 7)).alias("metres"))
 
 
-@query(ctes("b_dev") + "SELECT dev_id, CAST(1600.0 AS DOUBLE) AS area, CAST(num_units * 2 AS DOUBLE) AS turned FROM b_dev")
+@query(ctes("b_dev") + "SELECT dev_id, round(x - 20, 6) AS west, CAST(1600.0 AS DOUBLE) AS area, CAST(num_units * 2 AS DOUBLE) AS turned, round(x - (abs(cos(num_units / 100.0)) * num_units / 2 + abs(sin(num_units / 100.0))), 6) AS turned_west FROM b_dev")
 def footprints(spark: SparkSession, sf: str) -> DataFrame:
     """Squares and turned rectangles around points."""
     x, y, u = F.col("x"), F.col("y"), F.col("num_units")
-    return view(spark, sf, "b_dev").select("dev_id", F.round(geo.area(geo.square(x, y)), 3).alias("area"), F.round(geo.area(geo.rectangle(x, y, u.cast("double"), F.lit(2.0), u / 100.0)), 3).alias("turned"))
+    turned = geo.rectangle(x, y, u.cast("double"), F.lit(2.0), u / 100.0)
+    west = lambda r: F.round(geo.box_of(r).x0, 6)
+    return view(spark, sf, "b_dev").select("dev_id", west(geo.square(x, y)).alias("west"), F.round(geo.area(geo.square(x, y)), 3).alias("area"), F.round(geo.area(turned), 3).alias("turned"), west(turned).alias("turned_west"))
 
 
 @query(ctes("b_edge") + "SELECT least(u, v) AS u, greatest(u, v) AS v, min(length) AS length FROM (SELECT * FROM b_edge UNION ALL SELECT v, u, length - (u % 3) FROM b_edge) GROUP BY 1, 2")
