@@ -242,11 +242,11 @@ def pairs(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def with_links(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(key, class_id, class_size, n_links): one row for each key and its text's class; links are other classes that are alike."""
+    """(key, class_id, class_size, n_links): one row for each key and its text's class, named by its least key; links are other classes that are alike."""
     texts = keyed(texts)
     signs = signed(texts, similarity=similarity)
-    members = signs.select("key", "class_id").distinct()
+    members = signs.select("key", F.col("class_id").alias("c")).distinct()
     links = class_links(texts, signs, similarity)
-    ends = links.select(F.col("class_a").alias("class_id")).unionByName(links.select(F.col("class_b").alias("class_id")))
-    per = members.groupBy("class_id").agg(F.count("*").alias("class_size")).join(ends.groupBy("class_id").agg(F.count("*").alias("n")), "class_id", "left")
-    return members.join(per, "class_id").select("key", "class_id", "class_size", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
+    ends = links.select(F.col("class_a").alias("c")).unionByName(links.select(F.col("class_b").alias("c")))
+    per = members.groupBy("c").agg(F.min("key").alias("class_id"), F.count("*").alias("class_size")).join(ends.groupBy("c").agg(F.count("*").alias("n")), "c", "left")
+    return members.join(per, "c").select("key", "class_id", "class_size", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))

@@ -7,6 +7,15 @@ n AS (SELECT app_id, count(*) AS n FROM w GROUP BY app_id),
 met AS (SELECT a.app_id AS x, b.app_id AS y, count(*) AS s FROM w a JOIN w b ON a.word = b.word AND a.k = b.k AND a.app_id < b.app_id GROUP BY 1, 2)
 SELECT x AS app_id_a, y AS app_id_b FROM met JOIN n nx ON nx.app_id = x JOIN n ny ON ny.app_id = y WHERE 2.0 * s / (nx.n + ny.n) >= 0.88 - 1e-12
 """
+_LINKS = r"""
+WITH d AS (SELECT DISTINCT app_id, list_sort(regexp_extract_all(lower(description), '[\pL\pN]+')) AS bag FROM developments WHERE app_id IS NOT NULL AND description IS NOT NULL),
+c AS (SELECT bag, min(app_id) AS class_id, count(*) AS class_size, row_number() OVER () AS c FROM d WHERE len(bag) > 0 GROUP BY bag),
+w AS (SELECT c, word, row_number() OVER (PARTITION BY c, word) AS k FROM (SELECT c, unnest(bag) AS word FROM c)),
+n AS (SELECT c, count(*) AS n FROM w GROUP BY c),
+met AS (SELECT a.c AS x, b.c AS y, count(*) AS s FROM w a JOIN w b ON a.word = b.word AND a.k = b.k AND a.c <> b.c GROUP BY 1, 2),
+links AS (SELECT x, count(*) AS n_links FROM met JOIN n nx ON nx.c = x JOIN n ny ON ny.c = y WHERE 2.0 * s / (nx.n + ny.n) >= 0.88 - 1e-12 GROUP BY x)
+SELECT d.app_id, c.class_id, c.class_size, coalesce(l.n_links, 0) AS n_links FROM d JOIN c ON c.bag = d.bag LEFT JOIN links l ON l.x = c.c
+"""
 _SPIKES = r"""
 WITH t AS (SELECT DISTINCT app_id, lower(trim(coalesce(authority, ''))) AS source, length(description) AS c, strlen(description) AS b FROM developments WHERE app_id IS NOT NULL AND trim(description) <> ''),
 h AS (SELECT source, 'chars' AS measure, c AS length, count(*) AS n_at FROM t GROUP BY 1, 3 UNION ALL SELECT source, 'bytes', b, count(*) FROM t GROUP BY 1, 3),
@@ -30,4 +39,4 @@ WHERE marker OR NOT regexp_matches(last, '[.!?]["\x27)\]]*$') OR lower(last) IN
 """
 )
 
-SQL: dict[str, str] = {"p3_found": _PAIRS, "p5_spikes": _SPIKES, "p5_limit_suspects": _LIMIT_SUSPECTS}
+SQL: dict[str, str] = {"p3_found": _PAIRS, "p3_links": _LINKS, "p5_spikes": _SPIKES, "p5_limit_suspects": _LIMIT_SUSPECTS}
