@@ -40,3 +40,13 @@ def cut(text: Column, n: int) -> Column:
 def prompt(template: str, *cols: Column) -> Column:
     """A printf template filled per row; nulls are empty."""
     return F.format_string(template, *(F.coalesce(c.cast("string"), F.lit("")) for c in cols))
+
+
+def valid_reading(r: Column, enums: dict[str, list[str]], counts: list[str]) -> Column:
+    """Whether a reading has the form it must: it is there, each enumerated field has one of its values, each count is null or not negative."""
+    ok = r.isNotNull()
+    for f, values in enums.items():
+        ok = ok & F.coalesce(r[f].isin(values), F.lit(False))
+    for f in counts:
+        ok = ok & F.coalesce(r[f] >= 0, F.lit(True))
+    return ok

@@ -19,17 +19,21 @@ def dbscan(points: DataFrame, eps: float, least: int, point_id: str) -> DataFram
     components of core points within eps of each other; a border point joins the
     cluster of its smallest core neighbour. Points without a position are noise.
     """
-    other = points.select(F.col(point_id).alias("_o"), "x", "y")
-    link = materialise(radius_join(points, other, eps, point_id, "_o").where(F.col(point_id) != F.col("_o")).select(F.col(point_id).alias("u"), F.col("_o").alias("v")), "near")
-    core = materialise(link.groupBy("u").agg((F.count("*") + 1).alias("k")).where(F.col("k") >= least).select(F.col("u").alias("node")), "core")
-    if least <= 1:
-        core = points.where("x IS NOT NULL").select(F.col(point_id).alias("node"))
+    # Points at one spot are one place, named by the least of them, so crowded spots make no pairs.
+    at = points.where("x IS NOT NULL AND y IS NOT NULL").select(point_id, "x", "y")
+    places = materialise(at.groupBy("x", "y").agg(F.min(point_id).alias("u"), F.count("*").alias("n")), "places")
+    other = places.select(F.col("u").alias("v"), "x", "y", F.col("n").alias("m"))
+    link = materialise(radius_join(places, other.select("v", "x", "y"), eps, "u", "v").where("u <> v").select("u", "v"), "near")
+    around = link.join(other.select("v", "m"), "v").groupBy("u").agg(F.sum("m").alias("m"))
+    core = materialise(places.join(around, "u", "left").where((F.col("n") + F.coalesce("m", F.lit(0))) >= least).select(F.col("u").alias("node")), "core")
     c1, c2 = core.withColumnRenamed("node", "u"), core.withColumnRenamed("node", "v")
     dense = link.join(c1, "u", "left_semi").join(c2, "v", "left_semi")
-    label = materialise(components(dense.withColumn("length", F.lit(1.0)), core).join(core, "node", "left_semi"), "labels")
-    border = link.join(c1.withColumnRenamed("u", "v"), "v", "left_semi").join(core.withColumnRenamed("node", "u"), "u", "left_anti").groupBy("u").agg(F.min("v").alias("v"))
+    label = materialise(components(dense, core).join(core, "node", "left_semi"), "labels")
+    border = link.join(c2, "v", "left_semi").join(c1, "u", "left_anti").groupBy("u").agg(F.min("v").alias("v"))
     border = border.join(label.withColumnRenamed("node", "v"), "v").select(F.col("u").alias("node"), "component")
-    return points.select(point_id).join(label.unionByName(border).select(F.col("node").alias(point_id), F.col("component").alias("cluster")), point_id, "left")
+    of = label.unionByName(border).select(F.col("node").alias("u"), F.col("component").alias("cluster"))
+    found = at.join(places.select("x", "y", "u"), ["x", "y"]).join(of, "u").select(point_id, "cluster")
+    return points.select(point_id).join(found, point_id, "left")
 
 
 def greedy_tours(points: DataFrame, group: str, point_id: str) -> DataFrame:

@@ -439,3 +439,10 @@ def area_rings(spark: SparkSession, sf: str) -> DataFrame:
     """Validity and area of the areas' rings, in square degrees."""
     ring = F.transform("ring", lambda p: F.struct(p.lng.alias("x"), p.lat.alias("y")))
     return table(spark, sf, "areas").groupBy("small_area_id").agg(F.bool_or(geo.valid_ring(ring)).alias("valid"), F.max(F.round(geo.area(ring), 9)).alias("area"))
+
+
+@query("SELECT app_id, count(*) AS n, count(CASE WHEN dev_type IN ('residential', 'mixed') AND coalesce(num_units >= 10, true) THEN 1 END) AS valid FROM developments GROUP BY app_id")
+def valid_readings(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings whose kind is known and whose units, less ten, aren't negative."""
+    r = F.struct("dev_type", (F.col("num_units") - 10).alias("units"))
+    return table(spark, sf, "developments").groupBy("app_id").agg(F.count("*").alias("n"), F.count_if(rules.valid_reading(r, {"dev_type": ["residential", "mixed"]}, ["units"])).alias("valid"))

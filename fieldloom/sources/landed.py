@@ -152,22 +152,35 @@ def by_shape(df: DataFrame, kind: str = "kind", level: str = "level") -> tuple[D
     return some.where(F.col(kind) == "Point"), some.where(F.col(kind) != "Point")
 
 
-def transit(spark: SparkSession, folder: str, name: str, columns: list[str]) -> DataFrame:
-    """Columns of a transit feed's table, all strings. Columns the file lacks are null."""
+def transit(spark: SparkSession, folder: str, name: str, columns: list[str], types: dict[str, str] | None = None) -> DataFrame:
+    """Columns of a transit feed's table, strings but for those with a type; what isn't of its type, and columns the file lacks, are null."""
     t = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(f"{folder}/{name}.txt")
-    return t.select(*(F.col(c) if c in t.columns else F.lit(None).cast("string").alias(c) for c in columns))
+    kind = lambda c: (types or {}).get(c, "string")
+    return t.select(*((F.trim(c).try_cast(kind(c)) if kind(c) != "string" else F.col(c)).alias(c) if c in t.columns else F.lit(None).cast(kind(c)).alias(c) for c in columns))
 
 
-def tagged(df: DataFrame, wanted: dict[str, list[str] | None], tags: str = "tags") -> DataFrame:
-    """Rows whose tag map has any wanted key (None) or key with one of its values; null kinds are nodes."""
+def tagged(df: DataFrame, wanted: dict[str, list[str] | None], tags: str = "tags", kinds: list[str] | None = None) -> DataFrame:
+    """Rows whose tag map has any wanted key (None) or key with one of its values, of the given geometry kinds, if any; null kinds of elements are nodes."""
     ok = F.lit(False)
     for k, vs in wanted.items():
         v = F.try_element_at(F.col(tags), F.lit(k))
         ok = ok | (v.isNotNull() if vs is None else F.coalesce(v.isin(vs), F.lit(False)))
-    out = df.where(ok)
+    out = df.where(ok if kinds is None else ok & F.col("kind").isin(kinds))
     return out.withColumn("osm_type", F.coalesce("osm_type", F.lit("node"))) if "osm_type" in df.columns else out
 
 
+def named_places(df: DataFrame, kinds: list[str], box: tuple[float, float, float, float], pad_m: float = 2000.0) -> DataFrame:
+    """(name, place, x, y): points tagged as one of the kinds of place, with a name, in a box grown by so many metres."""
+    tag = lambda k: F.try_element_at(F.col("tags"), F.lit(k))
+    p = tagged(df, {"place": kinds}).select(tag("name").alias("name"), tag("place").alias("place"), "x", "y")
+    return p.where(F.col("name").isNotNull() & geo.in_box(F.col("x"), F.col("y"), geo.padded_box(*box, pad_m)))
+
+
+def layers(df: DataFrame, wanted: dict[str, dict[str, list[str] | None]]) -> dict[str, DataFrame]:
+    """Named layers of one table, each by its tags."""
+    return {name: tagged(df, w) for name, w in wanted.items()}
+
+
 def tiles(spark: SparkSession, box: tuple[float, float, float, float], size: float) -> DataFrame:
     """(w, s, e, n) of the tiles that cover a box."""
     w, s, e, n = box
@@ -240,4 +253,4 @@ def smallest_cover(boxes: dict[str, tuple[float, float, float, float]], want: tu
     return min(fit)[1] if fit else None
 
 
-__all__ = ["PagedAnswers", "by_shape", "csv_after", "cut_to_box", "features", "paged_features", "since", "xlsx_table", "geo", "json_table", "line_of", "located", "point_of", "ring_of", "rings_of", "smallest_cover", "tagged", "tiles", "transit"]
+__all__ = ["PagedAnswers", "by_shape", "csv_after", "cut_to_box", "features", "paged_features", "since", "xlsx_table", "geo", "json_table", "layers", "line_of", "named_places", "located", "point_of", "ring_of", "rings_of", "smallest_cover", "tagged", "tiles", "transit"]

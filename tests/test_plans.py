@@ -304,3 +304,22 @@ def test_sources_that_fail_while_read(spark):
     good, err = settings.guarded(spark, "s", "a int", lambda: spark.range(3).select(F.col("id").cast("int").alias("a")))
     assert good.count() == 3 and err is None
     assert settings.setting("FIELDLOOM_NO_SUCH", "x") == "x"
+
+
+def test_typed_feed_and_tag_layers(spark, tmp_path):
+    (tmp_path / "shapes.txt").write_text("shape_id,shape_pt_lat,shape_pt_sequence\nh1, 53.5,2\nh1,bad,1\n")
+    t = landed.transit(spark, str(tmp_path), "shapes", ["shape_id", "shape_pt_lat", "shape_pt_sequence", "gone"], {"shape_pt_lat": "double", "shape_pt_sequence": "int", "gone": "int"})
+    assert {tuple(r) for r in t.collect()} == {("h1", 53.5, 2, None), ("h1", None, 1, None)} and dict(t.dtypes)["gone"] == "int"
+    o = spark.createDataFrame([({"place": "suburb", "name": "A"}, -6.2, 53.3, "Point"), ({"place": "suburb"}, -6.2, 53.3, "Point"), ({"place": "quarter", "name": "B"}, -7.0, 53.3, "Point"), ({"building": "yes"}, -6.2, 53.3, "Polygon"), ({"building": "no"}, -6.2, 53.3, "LineString")], "tags map<string,string>, x double, y double, kind string")
+    assert [r["name"] for r in landed.named_places(o, ["suburb", "quarter"], (-6.3, 53.2, -6.1, 53.4)).collect()] == ["A"]
+    assert landed.tagged(o, {"building": None}, kinds=["Polygon", "MultiPolygon", "Point"]).count() == 1
+    assert {k: v.count() for k, v in landed.layers(o, {"b": {"building": None}, "s": {"place": ["suburb"]}}).items()} == {"b": 2, "s": 2}
+
+
+def test_questions_by_cost_and_size(spark):
+    d = spark.createDataFrame([("A-1", 5, "granted", 1.0, 1.0, 1.0, 1.0, 900.0, 30.0), ("B-2", 50, "pending", 2.0, 2.0, 2.0, 2.0, None, 10.0)], "app_id string, units int, status string, water double, transport double, schools double, overall double, cost double, distance double")
+    r = spark.createDataFrame([], "route_id string, length_km double, serves_app_ids array<string>")
+    assert ask.answer("which are the most expensive", d, r).ids == ["A-1"] and ask.answer("largest first", d, r).ids == ["B-2", "A-1"] and ask.answer("top 1 by distance", d, r).ids == ["A-1"]
+    model = lambda q, top: ask.Answer(f"{len(top)}", ["B-2", "nobody"])
+    assert ask.answer_with(model, "q", d, r).ids == ["B-2"]
+    assert ask.answer_with(lambda q, top: 1 / 0, "largest", d, r).ids == ["B-2", "A-1"]
