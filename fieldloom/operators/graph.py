@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,27 +30,66 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v", "length").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "length"))
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+#: Edges of a partition whose stars are found together.
+CHUNK = 500_000
+
+
+def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each CHUNK edges (u, v) of a partition the stars of their components: every other node with the least."""
+
+    def star(u: np.ndarray, v: np.ndarray) -> pd.DataFrame:
+        nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        a, b = at[: len(u)], at[len(u) :]
+        root = np.arange(len(nodes))
+        while len(a):
+            low = np.minimum(root[a], root[b])
+            np.minimum.at(root, root[a], low)
+            np.minimum.at(root, root[b], low)
+            while (root[root] != root).any():
+                root = root[root]
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+        m = root != np.arange(len(nodes))
+        return pd.DataFrame({"u": nodes[m], "v": nodes[root[m]]})
+
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        held.append(b)
+        if sum(map(len, held)) >= CHUNK:
+            yield star(np.concatenate([h.u.to_numpy() for h in held]), np.concatenate([h.v.to_numpy() for h in held]))
+            held = []
+    if sum(map(len, held)):
+        yield star(np.concatenate([h.u.to_numpy() for h in held]), np.concatenate([h.v.to_numpy() for h in held]))
+
+
+def components(edges: DataFrame, nodes: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
     """(node, component): the least node of each connected component.
 
-    Alternates two joins: big-star hooks each node's larger neighbours to its least,
-    small-star the smaller ones; the edge set shrinks to stars in a number of rounds
-    that grows with the logarithm of the longest path.
+    Every partition's edges are first brought down to the stars of their own components.
+    Stars of at most `chunk` edges in all are then brought together in one task; more are joined in rounds, with the same result:
+    big-star hooks each node's larger neighbours to its least, small-star the smaller ones; the edge
+    set shrinks to stars in a number of rounds that grows with the logarithm of the longest path.
     """
-    e = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = materialise(e, "star")
+    kind = dict(edges.dtypes)["u"]
+    e = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    e = materialise(e.mapInPandas(_stars, f"u {kind}, v {kind}"), "star")
     before = None
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        big = both.join(low, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # Small star on the result: every node's smaller neighbours, and itself, to the least of them.
-        least = big.groupBy("u").agg(F.min("v").alias("m"))
-        e = materialise(big.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "star")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+    if e.count() <= chunk:
+        e = e.coalesce(1).mapInPandas(_stars, f"u {kind}, v {kind}")
+    else:
+        while True:
+            both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+            big = both.join(low, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            # A node hooked to its least neighbour stays hooked.
+            big = big.unionByName(low.where("u <> m").select("u", F.col("m").alias("v"))).distinct()
+            # Small star on the result: every node's smaller neighbours, and itself, to the least of them.
+            least = big.groupBy("u").agg(F.min("v").alias("m"))
+            e = materialise(big.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "star")
+            now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if now == before:
+                break
+            before = now
     out = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node")))
     if nodes is not None:
@@ -153,16 +194,21 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, size: int = PART) -> Da
     kind = dict(e.dtypes)["u"]
     ends = e.select(F.col("u").alias("node")).unionByName(e.select(F.col("v").alias("node")))
     part = parts(ends, size)
+    starts = sources.select("node").where("node IS NOT NULL").distinct().join(part, "node").select("part", "node", F.lit(0.0).alias("dist"), F.col("node").alias("root"), F.lit(0).alias("hops"), F.col("node").alias("pred"))
+    label = ["dist", "root", "hops", "pred"]
+    run = _local_paths()
+    if part.agg(F.max("part")).first()[0] in (None, 0):
+        # One part holds it all: one search, and nothing to carry on.
+        one = starts.withColumn("new", F.lit(True)).groupBy("part").cogroup(e.withColumn("part", F.lit(0)).groupBy("part"))
+        found = one.applyInPandas(lambda a, b: run(None, a, b).drop(columns="new"), f"node {kind}, dist double, root {kind}, hops int, pred {kind}")
+        return found.select("node", "dist", "root", F.nullif("pred", "node").alias("pred"))
     pu, pv = part.select(F.col("node").alias("u"), F.col("part").alias("pu")), part.select(F.col("node").alias("v"), F.col("part").alias("pv"))
     e = materialise(e.join(pu, "u").join(pv, "v"), "parted")
     inner = e.where("pu = pv").select(F.col("pu").alias("part"), "u", "v", "length")
     across = e.where("pu <> pv")
     across = materialise(across.select("u", "v", "length", F.col("pv").alias("part")).unionByName(across.select(F.col("v").alias("u"), F.col("u").alias("v"), "length", F.col("pu").alias("part"))), "across")
-    news = sources.select("node").where("node IS NOT NULL").distinct().join(part, "node").select("part", "node", F.lit(0.0).alias("dist"), F.col("node").alias("root"), F.lit(0).alias("hops"), F.col("node").alias("pred"))
-    news = materialise(news, "labels")
+    news = materialise(starts, "labels")
     state = news.where("false")
-    label = ["dist", "root", "hops", "pred"]
-    run = _local_paths()
     while not news.isEmpty():
         # Only parts that something reaches are searched; the others keep what they have.
         live = F.broadcast(news.select("part").distinct())
@@ -343,7 +389,7 @@ def spanning_forest(edges: DataFrame, most: int = SPANNED) -> DataFrame:
     """
     e = materialise(edges, "bridges")
     cols = e.columns
-    if e.limit(most + 1).count() <= most:
+    if e.count() <= most:
         return e.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda x: kruskal(x.drop(columns="_all")), e.schema)
     tree = None
     kept: list[DataFrame] = []

@@ -73,8 +73,8 @@ def materialise(df: DataFrame, name: str = "part") -> DataFrame:
 
 
 def within_rows(df: DataFrame, limit_rows: int) -> bool:
-    """Whether `df`, best a materialised one, has at most `limit_rows` rows; counted on the executors, reading no more than that."""
-    return df.limit(limit_rows + 1).count() <= limit_rows
+    """Whether `df`, best a materialised one, has at most `limit_rows` rows. Counted on the executors; of a written table only the footers are read."""
+    return df.count() <= limit_rows
 
 
 def checked_broadcast(df: DataFrame, limit_rows: int) -> DataFrame:

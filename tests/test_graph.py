@@ -54,13 +54,16 @@ def find(edges):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components(spark, seed):
     e = random_graph(seed, 80, 60)
-    got = {r.node: r.component for r in G.components(spark.createDataFrame(e + [(None, 3, 1.0)], E)).collect()}
-    assert got == {**find(e), 3: find(e).get(3, 3)}
+    d = spark.createDataFrame(e + [(None, 3, 1.0)], E).repartition(3)
+    for chunk in (G.CHUNK, 0):
+        got = {r.node: r.component for r in G.components(d, chunk=chunk).collect()}
+        assert got == {**find(e), 3: find(e).get(3, 3)}
 
 
 def test_long_chain(spark):
     e = [(i, i + 1, 1.0) for i in range(200)]
-    assert {r.component for r in G.components(spark.createDataFrame(e, E)).collect()} == {0}
+    for chunk in (G.CHUNK, 0):
+        assert {r.component for r in G.components(spark.createDataFrame(e, E).repartition(4, "v"), chunk=chunk).collect()} == {0}
 
 
 def test_empty(spark):
