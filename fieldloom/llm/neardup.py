@@ -216,7 +216,7 @@ def class_links(texts: DataFrame, signs: DataFrame, similarity: float = SIMILARI
     short = materialise(short, "candidates")
     ends = short.select(F.col("class_a").alias("class_id")).unionByName(short.select(F.col("class_b").alias("class_id"))).distinct()
     keys = reps.select("class_id", F.col("rep").alias("key")).join(ends, "class_id", "left_semi").select("key")
-    keys = checked_broadcast(keys, MOST_KEYS)
+    keys = checked_broadcast(materialise(keys, "keys"), MOST_KEYS)
     full = materialise(texts.join(keys, "key", "left_semi").mapInArrow(_full_bags, "class_id long, bag array<long>").dropDuplicates(["class_id"]), "bags")
     ra, rb = (full.select(F.col("class_id").alias(f"class_{x}"), F.col("bag").alias(f"bag_{x}")) for x in "ab")
     both = short.join(ra, "class_a").join(rb, "class_b")
