@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import geo, measures, rules, text
-from fieldloom.operators import keyed, spatial
-from fieldloom.plans import network, schools, sites, summary, transport
+from fieldloom.operators import graph, keyed, spatial
+from fieldloom.plans import ask, network, schools, sites, summary, transport
 from fieldloom.plans.bridge import ctes, view
 from fieldloom.runtime import table
 from fieldloom.sources import landed
+from fieldloom.streaming import incremental
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -446,3 +447,45 @@ def valid_readings(spark: SparkSession, sf: str) -> DataFrame:
     """Readings whose kind is known and whose units, less ten, aren't negative."""
     r = F.struct("dev_type", (F.col("num_units") - 10).alias("units"))
     return table(spark, sf, "developments").groupBy("app_id").agg(F.count("*").alias("n"), F.count_if(rules.valid_reading(r, {"dev_type": ["residential", "mixed"]}, ["units"])).alias("valid"))
+
+
+@query(ctes("b_edge") + """, z AS (SELECT count(*) AS n FROM part), nodes AS (SELECT u AS node FROM b_edge UNION SELECT v FROM b_edge), leg AS (SELECT DISTINCT node, node * 7 % n AS t FROM nodes JOIN part ON p_partkey = node, z WHERE p_size = 1),
+far AS (SELECT node, t, abs(node % 50 - t % 50) + abs(floor(node / 50) - floor(t / 50)) AS d FROM leg WHERE t IN (SELECT node FROM nodes)) SELECT node, t AS goal, CAST(d AS DOUBLE) AS dist, CAST(d + 1 AS INTEGER) AS passed FROM far""")
+def grid_ways(spark: SparkSession, sf: str) -> DataFrame:
+    """Ways over the street grid, counted in streets, from each marked corner to another."""
+    e = view(spark, sf, "b_edge").select("u", "v", F.lit(1.0).alias("length"))
+    n = table(spark, sf, "part").count()
+    ends = e.select(F.col("u").alias("node")).unionByName(e.select(F.col("v").alias("node"))).distinct()
+    legs = ends.join(table(spark, sf, "part").where("p_size = 1").select(F.col("p_partkey").alias("node")), "node", "left_semi").select("node", (F.col("node") * 7 % n).alias("to"))
+    return graph.pair_paths(e, legs).select("node", F.col("to").alias("goal"), "dist", F.size("path").alias("passed"))
+
+
+@query(None)
+def chains_contracted(spark: SparkSession, sf: str) -> DataFrame:
+    """The short streets of the grid, with chains as one street each."""
+    return graph.contracted(view(spark, sf, "b_edge").where("length <= 90"))
+
+
+@query(ctes("b_dev") + """, r AS (SELECT dev_id, status, num_units, row_number() OVER (PARTITION BY status = 'granted' ORDER BY num_units DESC, CAST(dev_id AS VARCHAR)) AS g, row_number() OVER (ORDER BY num_units * 0.25 DESC, CAST(dev_id AS VARCHAR)) AS w FROM b_dev)
+SELECT 'top 7 by water' AS question, CAST(w AS INTEGER) AS place, CAST(dev_id AS VARCHAR) AS app_id FROM r WHERE w <= 7 UNION ALL SELECT 'which granted ones', CAST(g AS INTEGER), CAST(dev_id AS VARCHAR) FROM r WHERE status = 'granted' AND g <= 5""")
+def answered(spark: SparkSession, sf: str) -> DataFrame:
+    """The applications that answers to two questions name, in their order."""
+    u = F.col("num_units").cast("double")
+    d = view(spark, sf, "b_dev").select(F.col("dev_id").cast("string").alias("app_id"), F.col("num_units").alias("units"), "status", (u * 0.25).alias("water"), u.alias("transport"), u.alias("schools"), u.alias("overall"))
+    routes = spark.createDataFrame([], "route_id string, length_km double, serves_app_ids array<string>")
+    rows = [(q, i, a) for q in ("top 7 by water", "which granted ones") for i, a in enumerate(ask.answer(q, d, routes).ids, 1)]
+    return spark.createDataFrame(rows, "question string, place int, app_id string")
+
+
+@query("SELECT date_trunc('hour', CAST(ts AS TIMESTAMP)) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def hourly_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts in tumbling windows, as a stream would give them."""
+    return incremental.windowed_counts(table(spark, sf, "events"), "ts", "event_type")
+
+
+@query("SELECT app_id, max(length(coalesce(description, ''))) AS n_chars FROM developments WHERE app_id IS NOT NULL AND app_id NOT IN (SELECT app_id FROM developments WHERE num_units > 20 AND app_id IS NOT NULL) GROUP BY app_id HAVING max(length(coalesce(description, ''))) > 0")
+def extracted_once(spark: SparkSession, sf: str) -> DataFrame:
+    """An outside reader asked only for what isn't known; answers of the wrong form don't count."""
+    d = table(spark, sf, "developments").select("app_id", F.coalesce("description", F.lit("")).alias("description"), "num_units")
+    new = incremental.todo(d, d.where("num_units > 20").select("app_id").distinct(), "app_id")
+    return incremental.extract(new, "app_id", lambda b: b.assign(n_chars=b.description.str.len()), "app_id string, n_chars long", "n_chars > 0")
