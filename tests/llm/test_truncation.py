@@ -35,3 +35,16 @@ def test_rates_count_texts_once(spark):
     rows = [("a", "X", "It is whole."), ("a", "X", "It is whole."), ("b", "X", "It is who…")]
     r = T.rates(T.measured(spark.createDataFrame([(*x, 0, 0) for x in rows], S), "app_id", "authority", "description")).collect()
     assert [(x.source, x.n_texts, x.n_truncated, x.rate) for x in r] == [("x", 2, 1, 0.5)]
+
+
+def test_hot_contexts_and_stages_agree(spark, monkeypatch):
+    df = spark.createDataFrame([(*r, 1, 2) for r in texts() + [("m2", "Open Council", "Permission for 9 houses at Coolmore. The gate of 9 m fac")]], S)
+    t = T.measured(df, "app_id", "authority", "description")
+    want = {r.key for r in T.found(t).collect()}
+    stages = T.stages(t).collect()
+    assert sum(r.n_truncated for r in stages) == len(want) and {"limit", "transfer"} == {r.stage for r in stages}
+    # Every context split off, none, and cut words met by a shuffled join.
+    for hot, odd in ((10**9, T.MOST_ODD), (0, 0)):
+        monkeypatch.setattr(T, "HOT", hot)
+        monkeypatch.setattr(T, "MOST_ODD", odd)
+        assert {r.key for r in T.found(t).collect()} == want
