@@ -22,7 +22,7 @@ larger test set takes more passes over the index.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -217,6 +217,7 @@ def edits(a: str, b: str, most: int) -> int:
 FIGURES = str.maketrans("oilzsbg", "0112589")
 
 
+@lru_cache(maxsize=1 << 17)
 def alike(a: str, b: str) -> bool:
     """Equal or a plausible misreading: at most a third of the letters changed; figures only by look-alikes."""
     if a == b:
@@ -226,7 +227,11 @@ def alike(a: str, b: str) -> bool:
     long = max(len(a), len(b))
     if long < 3:
         return long == 2 and edits(a, b, 1) <= 1
-    return edits(a, b, long // 3) <= long // 3
+    most = long // 3
+    # What the longer has over the letters both have must be changed at least.
+    if abs(len(a) - len(b)) > most or long - sum(min(a.count(c), b.count(c)) for c in set(a)) > most:
+        return False
+    return edits(a, b, most) <= most
 
 
 def _walk(item: list[str], gain: list[float], doc: list[str], i: int, j: int, step: int, gap: int = GAP) -> tuple[int, int]:
