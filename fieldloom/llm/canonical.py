@@ -89,11 +89,14 @@ def near_words(bases: DataFrame, words: DataFrame, shard: int = SHARD) -> DataFr
         held, name = sorted(r.word for r in words.collect()), uuid.uuid4().hex
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            if name not in _BUILT:
-                _BUILT.clear()
-                _BUILT[name] = BKTree(held)
+            # The worker's own module, not the copy that travels with this function.
+            from fieldloom.llm import canonical as here
+
+            if name not in here._BUILT:
+                here._BUILT.clear()
+                here._BUILT[name] = BKTree(held)
             for b in batches:
-                yield _hits(_BUILT[name], b.base.tolist())
+                yield _hits(here._BUILT[name], b.base.tolist())
 
         # Few bytes, but much to do with them: spread over all cores.
         found = rest.repartition(rest.sparkSession.sparkContext.defaultParallelism, "base").mapInPandas(run, "base string, d int, word string")
