@@ -29,12 +29,14 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.bktree import BKTree
 from fieldloom.llm.street_names import TYPE_OF, fold, near_type, read, unglued, unread
-from fieldloom.runtime import materialise
+from fieldloom.runtime import MOST_SENT, materialise, unsent, within_rows
 
 #: A phrase is a locality or county if so many telling addresses name it.
 LEAST = 2
 #: Localities, misspellings of others folded, that the executors hold (some 100 MB); of more, the rarest stand for themselves.
 MOST_TOWNS = 1_000_000
+#: Shortened forms of a spelling, about.
+FORMS = 10
 #: What a reading loses for each that is likelier, and for a spelling the gazetteer only has an edit away; a street gains the logarithm (base 2) of its addresses.
 LESS_LIKELY = 2.0
 EDITED = 3.0
@@ -334,23 +336,24 @@ def clusters(spellings: DataFrame, group: list[str], word: str) -> DataFrame:
     of each is left out are neighbours; they meet under these shortened forms, so
     no group is ever gathered in one task.
     """
-    s = spellings.select(*group, word, "n")
+    s = materialise(spellings.select(*group, word, "n"), "spellings")
+    rows = s.count()
     posts = s.withColumn("short", F.explode(_short_forms(word)))
     other = posts.select(*group, "short", F.col(word).alias("to"), F.col("n").alias("to_n"))
     better = (F.col("to_n") > F.col("n")) | ((F.col("to_n") == F.col("n")) & (F.col("to") < F.col(word)))
     joins = (F.col("n") <= RARE) | (F.col("to_n") >= TIMES * F.col("n"))
-    up = posts.join(other, [*group, "short"]).where((F.col("to") != F.col(word)) & better & joins)
+    up = posts.join(unsent(other, rows * FORMS > MOST_SENT), [*group, "short"]).where((F.col("to") != F.col(word)) & better & joins)
     up = up.groupBy(*group, word).agg(F.max_by("to", F.struct("to_n", F.length("to"), "to")).alias("up"))
-    link = materialise(s.join(up, [*group, word], "left").select(*group, word, "n", F.coalesce("up", F.col(word)).alias("root")), "links")
+    link = materialise(s.join(unsent(up, rows > MOST_SENT), [*group, word], "left").select(*group, word, "n", F.coalesce("up", F.col(word)).alias("root")), "links")
     # Each round doubles what is followed; a link always leads to a better spelling, so there is no circle.
     while True:
         step = link.select(*group, F.col(word).alias("root"), F.col("root").alias("next"))
-        moved = materialise(link.join(step, [*group, "root"]).select(*group, word, "n", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "links")
+        moved = materialise(link.join(unsent(step, rows > MOST_SENT), [*group, "root"]).select(*group, word, "n", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "links")
         link = moved.drop("moved")
         if moved.where("moved").isEmpty():
             break
     size = link.groupBy(*group, "root").agg(F.sum("n").alias("root_n"))
-    return link.join(size, [*group, "root"]).select(*group, word, "root", "root_n")
+    return link.join(unsent(size, rows > MOST_SENT), [*group, "root"]).select(*group, word, "root", "root_n")
 
 
 _STREET = ["town", "kind", "rest"]
@@ -366,7 +369,7 @@ def gazetteer(readings_: DataFrame) -> DataFrame:
     g = materialise(g.select(*_STREET, "base", "street_id", "root", F.concat_ws(" ", "root", "kind", "rest").alias("street"), F.col("root_n").alias("n")), "clusters")
     # A spelling without a type: the only street of that name with one, if there is just one.
     typed = g.where("kind <> ''").groupBy("town", "rest", F.col("base").alias("root")).agg(F.min("street_id").alias("t_id"), F.max("street_id").alias("t_other"), F.min("street").alias("t_street"), F.max("n").alias("t_n")).where("t_id = t_other")
-    bare = g.where("kind = ''").join(typed, ["town", "rest", "root"], "left")
+    bare = g.where("kind = ''").join(unsent(typed, not within_rows(g, MOST_SENT)), ["town", "rest", "root"], "left")
     bare = bare.select(*_STREET, "base", F.coalesce("t_id", "street_id").alias("street_id"), F.coalesce("t_street", "street").alias("street"), F.coalesce("t_n", "n").alias("n"))
     return materialise(g.where("kind <> ''").select(bare.columns).unionByName(bare), "gazetteer")
 
@@ -375,16 +378,19 @@ def searched(readings_: DataFrame, gaz: DataFrame) -> DataFrame:
     """(app_id, unit, number, house, house_kind, town, street_id, street): the best reading of each address over the gazetteer's entries."""
     here = readings_.where("town <> ''")
     entry = ["street_id", "street", "n"]
-    exact = here.join(gaz, [*_STREET, "base"]).withColumn("cost", F.lit(0.0))
+    entries = gaz.count()
+    many = entries > MOST_SENT
+    exact = here.join(unsent(gaz, many), [*_STREET, "base"]).withColumn("cost", F.lit(0.0))
     # Less likely readings may be spelt in ways the gazetteer doesn't have: entries an edit away, the best known of several.
-    asked = here.where("rank > 0").select(*_STREET, "base").distinct().join(gaz, [*_STREET, "base"], "left_anti")
+    asked = here.where("rank > 0").select(*_STREET, "base").distinct().join(unsent(gaz, many), [*_STREET, "base"], "left_anti")
     posts = asked.withColumn("short", F.explode(_short_forms("base")))
-    near = posts.join(gaz.select(*_STREET, F.explode(_short_forms("base")).alias("short"), *entry), [*_STREET, "short"])
+    forms = gaz.select(*_STREET, F.explode(_short_forms("base")).alias("short"), *entry)
+    near = posts.join(unsent(forms, entries * FORMS > MOST_SENT), [*_STREET, "short"])
     near = near.groupBy(*_STREET, "base").agg(F.max(F.struct("n", "street_id", "street")).alias("e")).select(*_STREET, "base", "e.street_id", "e.street", "e.n")
-    edited = here.where("rank > 0").join(near, [*_STREET, "base"]).withColumn("cost", F.lit(EDITED))
+    edited = here.where("rank > 0").join(unsent(near, many), [*_STREET, "base"]).withColumn("cost", F.lit(EDITED))
     # Without a locality: the one that has a street so named, if there is only one.
     only = gaz.groupBy("kind", "rest", "base").agg(F.min("town").alias("t"), F.max("town").alias("u"), *(F.min_by(c, F.struct("town", "street_id")).alias(c) for c in entry)).where("t = u").drop("u")
-    lost = readings_.where("town = ''").join(only, ["kind", "rest", "base"]).withColumn("town", F.col("t")).withColumn("cost", F.lit(0.0))
+    lost = readings_.where("town = ''").join(unsent(only, many), ["kind", "rest", "base"]).withColumn("town", F.col("t")).withColumn("cost", F.lit(0.0))
     both = exact.unionByName(edited.select(exact.columns)).unionByName(lost.select(exact.columns))
     score = F.log2(F.col("n").cast("double")) - LESS_LIKELY * F.col("rank") - F.col("cost")
     best = both.groupBy("app_id", "unit", "number", "house", "house_kind").agg(F.max_by(F.struct("town", "street_id", "street"), F.struct(score, -F.col("rank"), "town", "street_id")).alias("b"))
@@ -400,7 +406,7 @@ def resolved(developments: DataFrame) -> DataFrame:
     named = best.where("number = ''")
     group = ["street_id", "house_kind"]
     houses = clusters(named.groupBy(*group, "house").agg(F.count("*").alias("n")), group, "house").select(*group, "house", F.col("root").alias("house_root"))
-    out = best.where("number <> ''").withColumn("house_root", F.lit("")).unionByName(named.join(houses, [*group, "house"]).select(*best.columns, "house_root"))
+    out = best.where("number <> ''").withColumn("house_root", F.lit("")).unionByName(named.join(unsent(houses, not within_rows(best, MOST_SENT)), [*group, "house"]).select(*best.columns, "house_root"))
     place = F.xxhash64("street_id", "number", "house_root", F.when(F.col("number") == "", F.col("house_kind")).otherwise(""), "unit")
     return materialise(out.select("app_id", place.alias("place_id"), "town", "street_id", "street", "number", F.col("house_root").alias("house"), "unit").distinct(), "resolved")
 
@@ -411,6 +417,7 @@ def pairs(developments: DataFrame) -> DataFrame:
     Null, blank and placeless addresses pair with nothing; an application delivered
     again, or with two addresses, counts once for each place.
     """
-    x = resolved(developments).select("app_id", "place_id").distinct()
-    y = x.select(F.col("app_id").alias("app_id_b"), "place_id")
+    placed = resolved(developments)
+    x = placed.select("app_id", "place_id").distinct()
+    y = unsent(x.select(F.col("app_id").alias("app_id_b"), "place_id"), not within_rows(placed, MOST_SENT))
     return x.withColumnRenamed("app_id", "app_id_a").join(y, "place_id").where("app_id_a < app_id_b").select("app_id_a", "app_id_b").distinct()

@@ -80,3 +80,16 @@ def within_rows(df: DataFrame, limit_rows: int) -> bool:
 def checked_broadcast(df: DataFrame, limit_rows: int) -> DataFrame:
     """`df`, with a broadcast hint only if it has at most `limit_rows` rows."""
     return F.broadcast(df) if within_rows(df, limit_rows) else df
+
+
+#: Rows of a written table up to which joins may send it to all executors on Spark's own estimate (some 40 MB in memory).
+MOST_SENT = 200_000
+
+
+def unsent(df: DataFrame, when: bool = True) -> DataFrame:
+    """`df`, never broadcast in a join if `when` holds.
+
+    Spark estimates by compressed files and takes no account of what `explode` adds: it would
+    send tables a hundred times as large as its threshold.
+    """
+    return df.hint("merge") if when else df

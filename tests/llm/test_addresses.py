@@ -75,3 +75,16 @@ def test_rare_localities_are_learnt_at_any_size(spark):
     df = spark.createDataFrame([(*r, "t", 1) for r in rows], S)
     assert {("x", "y"), ("x", "z"), ("y", "z")} <= {tuple(r) for r in A.pairs(df).collect()}
     assert "oddwick" in A.learn(df.select("app_id", "address")).towns
+
+
+def test_tables_beyond_the_bound_are_not_broadcast(spark, monkeypatch):
+    plans, rows = [], [(f"p{i}", f"{i} {n} Road, Kilbeg, Co Clare") for i, n in enumerate(["Marrowby", "Marowby", "Danesfort", "Danesfrot", "Tullig"] * 3)]
+    rows += [(f"h{i}", f"Rose {h}, Danesfort Road, Kilbeg, Co Clare") for i, h in enumerate(["Cottage", "Cottage", "Lodge"])]
+    d = spark.createDataFrame(rows, "app_id string, address string")
+    want = sorted(A.pairs(d).collect())
+    write = A.materialise
+    monkeypatch.setattr(A, "materialise", lambda df, name="part": plans.append((name, df._jdf.queryExecution().sparkPlan().toString())) or write(df, name))
+    monkeypatch.setattr(A, "MOST_SENT", 0)
+    assert want and sorted(A.pairs(d).collect()) == want
+    # What is exploded, and what grows with the addresses, is many times what Spark takes it for.
+    assert not [n for n, p in plans if "BroadcastHashJoin" in p and ("Generate explode" in p or n in ("gazetteer", "searched"))]
