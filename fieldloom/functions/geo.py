@@ -130,10 +130,18 @@ def interpolate(line: Column, fraction: Column) -> Column:
     return F.when(F.size(line) > 0, F.aggregate(steps(line), start, walk).at)
 
 
+def _let(value: Column, of) -> Column:
+    """`of(value)` with the value computed once, however often `of` names it. Within lambdas Spark shares nothing."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def area(ring: Column) -> Column:
     """Of a closed ring, by the shoelace sum about its first point (large coordinates cost no digits); orientation doesn't matter."""
-    o = F.get(ring, F.lit(0))
-    return F.abs(F.aggregate(steps(ring), F.lit(0.0), lambda s, p: s + (p.a.x - o.x) * (p.b.y - o.y) - (p.b.x - o.x) * (p.a.y - o.y))) / 2
+
+    def about(r: Column, o: Column) -> Column:
+        return F.abs(F.aggregate(steps(r), F.lit(0.0), lambda s, p: s + (p.a.x - o.x) * (p.b.y - o.y) - (p.b.x - o.x) * (p.a.y - o.y))) / 2
+
+    return _let(ring, lambda r: _let(F.get(r, F.lit(0)), lambda o: about(r, o)))
 
 
 def contains(ring: Column, x: Column, y: Column) -> Column:
@@ -273,14 +281,25 @@ def peucker(pts: list[tuple[float, float]], tolerance: float) -> list[tuple[floa
 
 def inner_point(ring: Column) -> Column:
     """A point surely inside a closed ring: the middle of the widest stretch of a line half-way up its box; null for what holds no area."""
-    ys = F.array_sort(F.array_distinct(F.transform(ring, lambda p: p.y)))
-    n = F.size(ys)
-    mid = (F.get(ys, F.lit(0)) + F.get(ys, n - 1)) / 2
-    # Off every corner, or a crossing would count twice.
-    k = F.size(F.filter(ys, lambda v: v <= mid))
-    y = (F.get(ys, F.greatest(k - 1, F.lit(0))) + F.get(ys, F.least(k, n - 1))) / 2
-    cut = lambda s: F.when(((s.a.y <= y) & (y < s.b.y)) | ((s.b.y <= y) & (y < s.a.y)), s.a.x + F.try_divide((y - s.a.y) * (s.b.x - s.a.x), s.b.y - s.a.y))
-    xs = F.array_sort(F.filter(F.transform(steps(ring), cut), lambda x: x.isNotNull()))
-    pairs = F.floor(F.size(xs) / 2).cast("int")
-    spans = F.transform(F.sequence(F.lit(0), F.greatest(pairs - 1, F.lit(0))), lambda i: F.struct((F.get(xs, 2 * i + 1) - F.get(xs, 2 * i)).alias("w"), ((F.get(xs, 2 * i) + F.get(xs, 2 * i + 1)) / 2).alias("x")))
-    return F.when((F.size(ring) >= 4) & (n >= 2) & (pairs > 0), F.struct(F.array_max(spans).x.alias("x"), y.alias("y")))
+
+    def height(ys: Column) -> Column:
+        n = F.size(ys)
+        mid = (F.get(ys, F.lit(0)) + F.get(ys, n - 1)) / 2
+        # Off every corner, or a crossing would count twice.
+        between = lambda k: (F.get(ys, F.greatest(k - 1, F.lit(0))) + F.get(ys, F.least(k, n - 1))) / 2
+        return _let(mid, lambda m: _let(F.size(F.filter(ys, lambda v: v <= m)), between))
+
+    def widest(xs: Column, y: Column) -> Column:
+        pairs = F.floor(F.size(xs) / 2).cast("int")
+        spans = F.transform(F.sequence(F.lit(0), F.greatest(pairs - 1, F.lit(0))), lambda i: F.struct((F.get(xs, 2 * i + 1) - F.get(xs, 2 * i)).alias("w"), ((F.get(xs, 2 * i) + F.get(xs, 2 * i + 1)) / 2).alias("x")))
+        return F.when(pairs > 0, F.struct(F.array_max(spans).x.alias("x"), y.alias("y")))
+
+    def at(r: Column, y: Column) -> Column:
+        cut = lambda s: F.when(((s.a.y <= y) & (y < s.b.y)) | ((s.b.y <= y) & (y < s.a.y)), s.a.x + F.try_divide((y - s.a.y) * (s.b.x - s.a.x), s.b.y - s.a.y))
+        return _let(F.array_sort(F.filter(F.transform(steps(r), cut), lambda x: x.isNotNull())), lambda xs: widest(xs, y))
+
+    def point(r: Column) -> Column:
+        ys = F.array_sort(F.array_distinct(F.transform(r, lambda p: p.y)))
+        return _let(ys, lambda v: F.when((F.size(r) >= 4) & (F.size(v) >= 2), _let(height(v), lambda y: at(r, y))))
+
+    return _let(ring, point)

@@ -90,3 +90,13 @@ def test_measures(spark):
     assert one(spark, measures.headway(F.lit(300.0), 72.0, 5.0, 20.0)) == 12
     assert one(spark, measures.growth(F.lit(5.0), F.lit(0))) is None
     assert abs(one(spark, measures.velocity(F.lit(10.0), F.lit(150.0))) - 0.01 / (math.pi * 0.075**2)) < 1e-12
+
+
+def test_ring_functions_name_their_ring_once(spark):
+    # Within lambdas Spark computes an expression as often as it is named.
+    r = F.array(*(F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("a", "a"), ("b", "a"), ("b", "b"), ("a", "b"), ("a", "a"))))
+    d = spark.createDataFrame([(0.0, 6.0), (None, 6.0), (2.0, 2.0)], "a double, b double")
+    for f in (geo.area, geo.inner_point):
+        assert d.select(f(r).alias("v"))._jdf.queryExecution().optimizedPlan().toString().count("array(struct(") <= 1
+        assert d.select(f(F.lit(None).cast(geo.LINE)).alias("v")).first().v is None
+    assert [tuple(x.p) if x.p else None for x in d.select(geo.inner_point(r).alias("p")).collect()] == [(3.0, 3.0), None, None]
