@@ -8,12 +8,15 @@ neighbouring cells is the one with fewer rows by the caller's choice (the right)
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions import geo
 from fieldloom.operators import boxtree
-from fieldloom.runtime import materialise
+from fieldloom.runtime import materialise, unsent
 
 
 def _cell(v: Column, size: float) -> Column:
@@ -83,6 +86,19 @@ def _in_cells(segs: DataFrame, names: tuple[str, str, str, str], grow: float, si
     return some.select("*", F.explode(_along(*ends, grow, size)).alias("_g")).select("*", "_g.gx", "_g.gy").drop("_g")
 
 
+def _cell_size(segs: DataFrame, reach: float) -> float:
+    """A width of cells that makes no more rows than a few for most segments: the reach, or if that is larger a quarter of their median length."""
+    n = segs.agg(F.percentile_approx(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), 0.5)).first()[0]
+    return max(reach, (n or 0.0) / 4) if (n or 0.0) < float("inf") else reach
+
+
+def _boxes_within(r: float) -> Column:
+    """Whether the boxes of segments x1 .. y2 and ox1 .. oy2 are at most `r` apart on either axis: what is cheap to rule out first."""
+    apart = lambda a, b: F.greatest(F.least(f"o{a}", f"o{b}") - F.greatest(a, b), F.least(a, b) - F.greatest(f"o{a}", f"o{b}"))
+    # Rounding of what is decided exactly afterwards may not lose a pair here.
+    return (apart("x1", "x2") <= r * (1 + 1e-9) + 1e-6) & (apart("y1", "y2") <= r * (1 + 1e-9) + 1e-6)
+
+
 def points_near_segments(points: DataFrame, segs: DataFrame, radius: float, point_id: str, line_id: str) -> DataFrame:
     """(point_id, line_id, d2): points at most `radius` from a line, with the least distance over the line's segments."""
     r = float(radius)
@@ -127,9 +143,10 @@ def overlap_share(lines: DataFrame, others: DataFrame, radius: float, line_id: s
     r = float(radius)
     a = lines.select(F.col(line_id), F.col("k").alias("k"), *(F.col(c).alias(c) for c in ("x1", "y1", "x2", "y2")))
     b = others.select(F.col(other_id), F.col("k").alias("ok"), *(F.col(c).alias("o" + c) for c in ("x1", "y1", "x2", "y2")))
-    ga = _in_cells(a, ("x1", "y1", "x2", "y2"), 0.0, r)
-    gb = _in_cells(b, ("ox1", "oy1", "ox2", "oy2"), r, r)
-    met = ga.join(gb, ["gx", "gy"]).drop("gx", "gy").distinct()
+    cell = _cell_size(a, r)
+    ga = _in_cells(a, ("x1", "y1", "x2", "y2"), 0.0, cell)
+    gb = _in_cells(b, ("ox1", "oy1", "ox2", "oy2"), r, cell)
+    met = ga.join(unsent(gb), ["gx", "gy"]).where(_boxes_within(r)).drop("gx", "gy").distinct()
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     ex, ey = F.col("ox2") - F.col("ox1"), F.col("oy2") - F.col("oy1")
     e2 = ex * ex + ey * ey
@@ -177,8 +194,10 @@ def near_segments(lines: DataFrame, others: DataFrame, radius: float, line_id: s
     c = {k: F.col(k) for k in ("x1", "y1", "x2", "y2", "ox1", "oy1", "ox2", "oy2")}
     side = lambda px, py, qx, qy, sx, sy: (c[qx] - c[px]) * (c[sy] - c[py]) - (c[qy] - c[py]) * (c[sx] - c[px])
     cross = (side("x1", "y1", "x2", "y2", "ox1", "oy1") * side("x1", "y1", "x2", "y2", "ox2", "oy2") < 0) & (side("ox1", "oy1", "ox2", "oy2", "x1", "y1") * side("ox1", "oy1", "ox2", "oy2", "x2", "y2") < 0)
-    ends = [geo.segment_d2(*(c[k] for k in ks)) for ks in (("x1", "y1", "ox1", "oy1", "ox2", "oy2"), ("x2", "y2", "ox1", "oy1", "ox2", "oy2"), ("ox1", "oy1", "x1", "y1", "x2", "y2"), ("ox2", "oy2", "x1", "y1", "x2", "y2"))]
-    return ga.join(gb, ["gx", "gy"]).where(cross | (F.least(*ends) <= r * r)).select(line_id, other_id).distinct()
+    near = [geo.segment_d2(*(c[k] for k in ks)) <= r * r for ks in (("x1", "y1", "ox1", "oy1", "ox2", "oy2"), ("x2", "y2", "ox1", "oy1", "ox2", "oy2"), ("ox1", "oy1", "x1", "y1", "x2", "y2"), ("ox2", "oy2", "x1", "y1", "x2", "y2"))]
+    # Most that are near have a near end: the first found settles a pair.
+    close = reduce(or_, [F.coalesce(x, F.lit(False)) for x in near]) | cross
+    return ga.join(unsent(gb), ["gx", "gy"]).where(_boxes_within(r)).where(close).select(line_id, other_id).distinct()
 
 
 def meets_box(ring: Column, box: tuple[float, float, float, float]) -> Column:

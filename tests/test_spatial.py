@@ -114,3 +114,19 @@ def test_tour(spark):
     d = spark.createDataFrame([("g", 1, 0.0, 0.0), ("g", 2, 10.0, 0.0), ("g", 3, 4.0, 0.0), ("h", 9, 1.0, 1.0), (None, 5, 0.0, 0.0)], "g string, id long, x double, y double")
     got = [(r.g, r.id) for r in cluster.greedy_tours(d, "g", "id").orderBy("g", "stop").collect()]
     assert got == [("g", 3), ("g", 1), ("g", 2), ("h", 9)]
+
+
+def test_segments_are_not_sent_to_all(spark):
+    # Segments with a row for each cell are many times what Spark takes them for.
+    p = [(i, 0, 100.0 * i, 0.0, 100.0 * i + 900.0, 0.0) for i in range(40)]
+    a = spark.createDataFrame(p, "line long, k int, x1 double, y1 double, x2 double, y2 double")
+    b = a.withColumnRenamed("line", "other")
+    for out in (spatial.overlap_share(a, b, 5.0, "line", "other"), spatial.near_segments(a, b, 5.0, "line", "other")):
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin [gx" in plan
+        assert {(r.line, r.other) for r in out.collect()} == {(i, j) for i in range(40) for j in range(40) if abs(i - j) <= 9}
+
+
+def test_long_segments_have_few_cells(spark):
+    s = spark.createDataFrame([(1, 0.0, 0.0, 800.0, 0.0)], "id long, x1 double, y1 double, x2 double, y2 double")
+    assert spatial._cell_size(s, 15.0) == 200.0 and spatial._cell_size(s, 300.0) == 300.0 and spatial._cell_size(s.where("false"), 15.0) == 15.0
