@@ -116,10 +116,11 @@ def test_tour(spark):
     assert got == [("g", 3), ("g", 1), ("g", 2), ("h", 9)]
 
 
-def test_segments_are_not_sent_to_all(spark):
+def test_segments_are_not_sent_to_all(spark, tmp_path):
     # Segments with a row for each cell are many times what Spark takes them for.
     p = [(i, 0, 100.0 * i, 0.0, 100.0 * i + 900.0, 0.0) for i in range(40)]
-    a = spark.createDataFrame(p, "line long, k int, x1 double, y1 double, x2 double, y2 double")
+    spark.createDataFrame(p, "line long, k int, x1 double, y1 double, x2 double, y2 double").write.parquet(f"{tmp_path}/lines")
+    a = spark.read.parquet(f"{tmp_path}/lines")
     b = a.withColumnRenamed("line", "other")
     for out in (spatial.overlap_share(a, b, 5.0, "line", "other"), spatial.near_segments(a, b, 5.0, "line", "other")):
         plan = out._jdf.queryExecution().sparkPlan().toString()
