@@ -61,8 +61,11 @@ DRIFT = 48
 GAP = 40
 #: Test items sent to the index's segments at a time (some 20 MB).
 ITEMS = 20_000
-#: Documents of an index segment.
+#: Documents of an index segment, and bytes of their texts, unless one text is longer.
 SEGMENT = 1000
+SEGMENT_BYTES = 8_000_000
+#: Segments of a row group (some 20 MB), which is read at once.
+HELD = 4
 #: Ids of candidate pages are sent to the pages by broadcast up to this number (some 20 MB), beyond by a shuffled join.
 MOST_PAGES = 1_000_000
 #: Test terms are matched on the map side up to this number (about 100 MB), beyond by a shuffled join.
@@ -84,10 +87,21 @@ def _hashes(flat: pa.Array) -> np.ndarray:
 _SEGMENT = "doc_ids array<long>, terms array<long>, n_docs array<int>, starts array<int>, docs array<int>, places array<int>"
 
 
+def _cut(b: pa.RecordBatch, rows: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most `rows` rows and `most` bytes of text; a longer text is a slice by itself."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column("text").cast(pa.string())), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    s = 0
+    while s < b.num_rows:
+        n = int(np.searchsorted(ends, (ends[s - 1] if s else 0) + most, "right")) - s
+        n = min(max(1, n), rows, b.num_rows - s)
+        yield b.slice(s, n)
+        s += n
+
+
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each SEGMENT documents: terms ascending; term k has n_docs[k] documents and the postings starts[k] to starts[k + 1]."""
     one = lambda a, kind: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a, kind))
-    for b in (x.slice(s, SEGMENT) for x in batches for s in range(0, x.num_rows, SEGMENT)):
+    for b in (y for x in batches for y in _cut(x, SEGMENT, SEGMENT_BYTES)):
         flat, off = _page_words(b)
         h = _hashes(flat)
         doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
@@ -110,8 +124,11 @@ def _pages(documents: DataFrame) -> DataFrame:
 
 
 def positional_index(documents: DataFrame) -> DataFrame:
-    """The postings of all words of all documents with an id, written once. A null text has no words."""
-    return materialise(_pages(documents).mapInArrow(_segments, _SEGMENT), "index")
+    """The postings of all words of all documents with an id, written once. A null text has no words.
+
+    A segment is a few MB in one row, and Spark reads up to 4096 rows of a row group at once, so row groups are of HELD rows.
+    """
+    return materialise(_pages(documents).mapInArrow(_segments, _SEGMENT), "index", HELD)
 
 
 def item_words(items: DataFrame) -> DataFrame:

@@ -56,11 +56,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialise(df: DataFrame, name: str = "part") -> DataFrame:
+def materialise(df: DataFrame, name: str = "part", group: int | None = None) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
     Cuts lineage and survives the loss of executors; columns not needed later
-    are pruned by the Parquet scan, which a checkpointed RDD can't do.
+    are pruned by the Parquet scan, which a checkpointed RDD can't do. Where rows are
+    large, `group` is how many a row group has: Parquet looks at its size only every 100 rows.
     """
     spark = df.sparkSession
     home = f"{shared_dir(spark)}/fieldloom/{spark.sparkContext.applicationId}"
@@ -68,7 +69,8 @@ def materialise(df: DataFrame, name: str = "part") -> DataFrame:
         _HOMES.add(home)
         atexit.register(_remove, spark, home)
     path = f"{home}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.option("parquet.block.row.count.limit", group) if group else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

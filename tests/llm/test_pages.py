@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from fieldloom.llm import leakage as L
 from fieldloom.llm import pages as P
@@ -75,3 +76,22 @@ def test_passages_on_a_third_of_the_pages_and_few_pages(spark):
         assert got == {(1, i) for i in range(0, n, 3)} | {(2, n)}
     docs = [(i, " ".join(say(9) + item + say(9)), None, 0) for i in range(200)]
     assert L.matches(spark.createDataFrame(docs, DOC), items).count() == 200
+
+
+def test_index_is_read_a_few_segments_at_a_time(spark):
+    import pyarrow.parquet as pq
+
+    # 30 pages of 1.6 or 1.8 MB: a segment holds four or five of them, a row group HELD segments.
+    d = spark.createDataFrame([(i, None, 0) for i in range(30)], "doc_id long, line_boxes array<struct<x0:int,y0:int,x1:int,y1:int,conf:float>>, item_id int")
+    d = d.withColumn("text", F.repeat(F.concat(F.lit("word w"), F.col("doc_id"), F.lit(" ")), 200_000)).coalesce(1)
+    index = L.positional_index(d)
+    groups = [m.row_group(k) for m in (pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()) for k in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) > L.HELD and max(g.num_rows for g in groups) <= L.HELD
+    assert sorted(x for r in index.select("doc_ids").collect() for x in r.doc_ids) == list(range(30))
+    assert {r.term: r.n for r in L.frequencies(index, spark.createDataFrame([(int(L._hashes(pa.array(["word"]))[0]),)], "term long")).collect()}.popitem()[1] == 30
+
+
+def test_cuts_by_rows_and_bytes():
+    b = pa.record_batch({"text": pa.array(["aaaa", None, "", "bb", "c" * 50, "d", "e", "f"])})
+    assert [x.num_rows for x in L._cut(b, 3, 5)] == [3, 1, 1, 3] and [x.num_rows for x in L._cut(b, 3, 0)] == [1, 2, 1, 1, 1, 1, 1]
+    assert list(L._cut(b.slice(0, 0), 3, 5)) == []
