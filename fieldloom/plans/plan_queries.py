@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions import geo, measures, rules, text
-from fieldloom.operators import graph, keyed, spatial
+from fieldloom.operators import banded, graph, keyed, spatial
 from fieldloom.plans import ask, network, schools, sites, summary, transport
 from fieldloom.plans.bridge import ctes, view
 from fieldloom.runtime import table
@@ -457,7 +457,7 @@ def grid_ways(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "part").count()
     ends = e.select(F.col("u").alias("node")).unionByName(e.select(F.col("v").alias("node"))).distinct()
     legs = ends.join(table(spark, sf, "part").where("p_size = 1").select(F.col("p_partkey").alias("node")), "node", "left_semi").select("node", (F.col("node") * 7 % n).alias("to"))
-    return graph.pair_paths(e, legs).select("node", F.col("to").alias("goal"), "dist", F.size("path").alias("passed"))
+    return banded.pair_lengths(e, legs).select("node", F.col("to").alias("goal"), "dist", "passed")
 
 
 @query(None)

@@ -175,3 +175,52 @@ def test_steiner(spark, seed):
     assert sum(w for *_, w in tree) <= bound + 1e-9
     leaves = [n for n in nodes if sum(n in (u, v) for u, v, _ in tree) == 1]
     assert set(leaves) <= set(terms)
+
+
+def test_lengths_by_blocks_agree_with_search(spark, monkeypatch):
+    from fieldloom.operators import banded as B
+
+    monkeypatch.setattr(B, "NARROWEST", 4)
+    g = random.Random(5)
+    pairs = lambda n: [(g.randrange(n), g.randrange(n)) for _ in range(150)] + [(3, 3), (0, 10**6), (7, 8), (8, 7)]
+    for whole in (True, False):
+        # Edges that span up to seven places, some missing, so that ways wind and parts fall apart; ids with gaps.
+        e = [(3 * a, 3 * (a + d), float(g.randint(1, 9)) if whole else g.choice([0.1, 0.7, 0.25])) for a in range(200) for d in (1, 2, 7) if g.random() < 0.45 and a + d < 200]
+        legs = [(3 * a, 3 * b) for a, b in pairs(200)]
+        d, want = spark.createDataFrame(e, E), {}
+        links = adj(e)
+        for s in {a for a, _ in legs}:
+            heap, best = [(0.0, 0, s)], {}
+            while heap:
+                x, h, n = heapq.heappop(heap)
+                if n not in best:
+                    best[n] = (x, h)
+                    for v, w in links[n]:
+                        heapq.heappush(heap, (round(x + w, 9), h + 1, v))
+            want |= {(a, b): (best[b][0], best[b][1] + 1) for a, b in legs if a == s and a in links and b in best}
+        for size in (20, 33, 1000):
+            got = {(r.node, r.to): (r.dist, r.passed) for r in B.pair_lengths(d, spark.createDataFrame(legs, "node long, to long"), size).collect()}
+            assert got.keys() == want.keys() and all(abs(x - want[k][0]) < 1e-9 for k, (x, _) in got.items())
+            assert not whole or got == want
+        # Wider graphs are searched.
+        if whole:
+            few = spark.createDataFrame(legs[:9], "node long, to long")
+            assert {(r.node, r.to, r.dist, r.passed) for r in B.pair_lengths(d, few, 1000, 3).collect()} == {(*k, *want[k]) for k in legs[:9] if k in want}
+    assert B.pair_lengths(d.where("false"), few).count() == 0 and B.pair_lengths(d, few.where("false"), 20).count() == 0
+
+
+def test_ways_of_a_long_grid_are_not_searched(spark, monkeypatch, tmp_path):
+    from fieldloom.operators import banded as B
+    from fieldloom.plans import plan_queries
+
+    def no(*_):
+        raise AssertionError("every start was searched")
+
+    monkeypatch.setattr(G, "pair_paths", no)
+    monkeypatch.setattr(B, "pair_paths", no)
+    # 45,000 corners, 50 abreast, in three parts; every 75th goes to another.
+    n = 45_000
+    spark.range(n).selectExpr("id AS p_partkey", "cast(1 + id % 75 AS int) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    got = plan_queries.grid_ways(spark, str(tmp_path)).collect()
+    assert sorted(r.node for r in got) == list(range(0, n, 75)) and all(r.goal == r.node * 7 % n for r in got)
+    assert all(r.dist == abs(r.node % 50 - r.goal % 50) + abs(r.node // 50 - r.goal // 50) == r.passed - 1 for r in got)
